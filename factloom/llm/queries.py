@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, simhash, token_files
+from . import bpe, exact_dedup, language_id, simhash, token_counts, token_files
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
     "op2_token_files": token_files.op2_token_files,
+    "op3_language_id": language_id.op3_language_id,
+    "op4_byte_bpe": bpe.op4_byte_bpe,
+    "op5_token_counts": token_counts.op5_token_counts,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
 
