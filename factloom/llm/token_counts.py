@@ -36,7 +36,7 @@ def write_flat(docs: DataFrame, make_encoder: Callable, end_id: int, vocabulary:
     def write(batches):
         enc, fs_root, f, own, n, ids_of = make_encoder(), _store(uri), None, f"{uri}/{uuid.uuid4().hex}.bin", 0, []
         fs, root = fs_root
-        for b in slices(batches):
+        for b in slices(batches, size=4 << 20):
             if f is None:
                 fs.create_dir(root, recursive=True)
                 f = fs.open_output_stream(f"{root}/{own.rpartition('/')[2]}")

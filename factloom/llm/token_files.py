@@ -14,9 +14,11 @@ a lost or repeated task leaves no half-written shard.
 
 from __future__ import annotations
 
+import os
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +33,8 @@ from .words import ranges, slices
 NULL_ID = -(1 << 63)
 #: Documents in a shard, about; and the most shards, so that the list of bounds stays small.
 SHARD_DOCS, MAX_SHARDS = 8192, 4096
-#: Distinct chunks of text whose ids a task keeps.
-CACHE_CHUNKS = 400_000
+#: Distinct pieces of text whose ids a task keeps.
+CACHE_PIECES = 1_000_000
 TAIL = ".,;:!?*&%$#()[]{}<>-+=_/\\\"@^~|`"
 
 
@@ -41,47 +43,38 @@ class ChunkEncoder:
 
     Tokens of such a vocabulary never cross white space, so each distinct piece of text between spaces or line ends is
     encoded by the library once (as long as the cache holds it) and a text's ids are put together from its pieces'.
+    ASCII punctuation that closes a piece is a piece of its own, and pieces are looked up in lower case, for such a
+    vocabulary makes them so anyway; pieces where that could make a difference stay as they are.
     special_as_text: the strings of special tokens in a text are ordinary text.
     """
 
     def __init__(self, path: str, special_as_text: bool = True):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task on each core
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = special_as_text
-        self.cache: dict[str, np.ndarray] = {}
-
-    def _encode(self, chunks: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, np.uint32) for e in self.tok.encode_batch(chunks, add_special_tokens=False)]
-
-    def _plain(self, chunk: str) -> tuple[str, str]:
-        """chunk as what stands before its closing ASCII punctuation, in lower case where that is safe, and that punctuation."""
-        core = chunk.rstrip(TAIL)
-        tail = chunk[len(core) :]
-        if "<|" in chunk or not core or not core[-1].isalnum():
-            return chunk, ""
-        if core.isascii():
-            core = core.lower()
-        elif "Σ" not in core and len(low := core.lower()) == len(core):
-            core = low
-        return core, tail
-
-    def pieces(self, chunks: list[str]) -> list[np.ndarray]:
-        cache = self.cache
-        found = [cache.get(c) for c in chunks]
-        todo = [i for i, x in enumerate(found) if x is None]
-        if todo:
-            split = {i: self._plain(chunks[i]) for i in todo}
-            new = list({p for pair in split.values() for p in pair if p and p not in cache})
-            if len(cache) + len(new) + len(todo) > CACHE_CHUNKS:
-                cache.clear()
-                new = list({p for pair in split.values() for p in pair if p})
-            own = dict(zip(new, self._encode(new), strict=True))
-            cache.update(own)
-            for i, (core, tail) in split.items():
-                ids = cache[core]
-                found[i] = cache[chunks[i]] = np.concatenate([ids, cache[tail]]) if tail else ids
-        return found
+        self._clear()
+
+    def _clear(self) -> None:
+        self.number: dict[str, int] = {"": 0}
+        self.flat, self.size = [np.zeros(0, np.uint32)], [np.zeros(1, np.int64)]
+
+    def pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where each of some distinct pieces' ids start, how many they are, and the array they lie in."""
+        if len(self.number) + len(pieces) > CACHE_PIECES:
+            self._clear()
+        number = self.number
+        new = [p for p in pieces if p not in number]
+        if new:
+            ids = [e.ids for e in self.tok.encode_batch(new, add_special_tokens=False)]
+            number.update(zip(new, range(len(number), len(number) + len(new)), strict=True))
+            self.size.append(np.fromiter(map(len, ids), np.int64, len(ids)))
+            self.flat.append(np.fromiter(chain.from_iterable(ids), np.uint32))
+            self.flat, self.size = [np.concatenate(self.flat)], [np.concatenate(self.size)]
+            self.at = np.cumsum(self.size[0]) - self.size[0]
+        own = np.fromiter(map(number.__getitem__, pieces), np.int64, len(pieces))
+        return (self.at if len(number) > 1 else np.zeros(1, np.int64))[own], self.size[0][own], self.flat[0]
 
     def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in one array, and where each text's start (one more: the end)."""
@@ -89,13 +82,35 @@ class ChunkEncoder:
         offsets = parts.offsets.to_numpy().astype(np.int64)
         flat = parts.values.slice(offsets[0], offsets[-1] - offsets[0]).dictionary_encode()
         offsets -= offsets[0]
-        found = self.pieces(flat.dictionary.to_pylist())
-        sizes = np.array([len(x) for x in found], np.int64)
-        at = np.concatenate([[0], np.cumsum(sizes)])
-        ids = np.concatenate(found) if found else np.zeros(0, np.uint32)
+        whole = flat.dictionary
+        core = pc.utf8_rtrim(whole, TAIL)
+        safe = pc.and_not(pc.match_substring_regex(core, r"[\pL\pN]$"), pc.match_substring_regex(whole, "<\\||\u03a3|\u0130"))
+        keep = pc.binary_length(core).to_numpy(zero_copy_only=False)
+        raw = whole.to_pylist()
+        ok = safe.to_numpy(zero_copy_only=False)
+        long_tail = ok & (keep < pc.binary_length(whole).to_numpy(zero_copy_only=False))
+        tails = [raw[i].rpartition(raw[i].rstrip(TAIL))[2] for i in np.flatnonzero(long_tail)]
+        heads = pc.if_else(safe, pc.utf8_lower(core), whole).dictionary_encode()
+        tail_coded = pa.array(tails, pa.large_string()).dictionary_encode()
+        known = [*heads.dictionary.to_pylist(), *tail_coded.dictionary.to_pylist()]
+        distinct = list(dict.fromkeys(known))
+        at, size, ids = self.pieces(distinct)
+        place = {p: i for i, p in enumerate(distinct)} if len(distinct) < len(known) else None
+        tail_at = np.array([place[p] for p in known[len(heads.dictionary) :]], np.int64) if place else np.arange(len(heads.dictionary), len(known))
+        # ids of a chunk: of its head, then of its tail
+        n = len(whole)
+        two = np.zeros((n, 2), np.int64)
+        two_size = np.zeros((n, 2), np.int64)
+        head_code = heads.indices.to_numpy(zero_copy_only=False)
+        head_place = head_code if place is None else np.array([place[p] for p in known[: len(heads.dictionary)]], np.int64)[head_code]
+        two[:, 0], two_size[:, 0] = at[head_place], size[head_place]
+        if len(tails):
+            t = tail_at[tail_coded.indices.to_numpy(zero_copy_only=False)]
+            two[long_tail, 1], two_size[long_tail, 1] = at[t], size[t]
         codes = flat.indices.to_numpy(zero_copy_only=False)
-        lengths = sizes[codes]
-        return ids[ranges(at[codes], lengths)], np.concatenate([[0], np.cumsum(lengths)])[offsets]
+        lengths = two_size[codes]
+        total = np.concatenate([[0], np.cumsum(lengths.sum(axis=1))])[offsets]
+        return ids[ranges(two[codes].ravel(), lengths.ravel())], total
 
 
 def closed(ids: np.ndarray, starts: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
@@ -159,7 +174,7 @@ def write_token_files(docs: DataFrame, make_encoder: Callable, end_id: int, voca
 
     def encode(batches):
         enc = make_encoder()
-        for b in slices(batches):
+        for b in slices(batches, size=4 << 20):
             ids, starts = closed(*enc.batch(b["text"]), end_id)
             shard = np.searchsorted(bounds, pc.fill_null(b["doc_id"], NULL_ID).to_numpy(zero_copy_only=False), side="left")
             yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), b["doc_id"], packed(ids, starts, dtype)], ["shard", "doc_id", "ids"])
