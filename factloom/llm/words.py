@@ -23,7 +23,8 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", size: int = SL
         while at < n:
             done = ends[at - 1] if at else 0
             to = max(at + 1, int(np.searchsorted(ends, done + size, side="right")))
-            yield batch.slice(at, to - at)
+            # a copy: some Arrow kernels don't mind the offset of a slice
+            yield batch.take(pa.array(np.arange(at, to))) if to - at < n else batch
             at = to
 
 
