@@ -81,7 +81,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def run(batches):
         lanes = _lanes()
-        for b in slices(batches):
+        for b in slices(batches, size=1 << 20):  # the shingles are Python objects
             fp = fingerprints_of(*shingle_hashes(b["text"], k), lanes)
             yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(fp.view(np.int64))], ["doc_id", "fp"])
 
