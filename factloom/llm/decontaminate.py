@@ -13,12 +13,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import MAX_BROADCAST_ROWS, id_and_text, materialise, table
-from .words import codes_of, slices, words_of
+from .words import plain_words, ranges, seeds_of, slices
 
 SEED_WORDS = 3
 #: An item searches with this share of its seeds, the rarest ones, and with at least so many.
@@ -28,43 +27,10 @@ MATCH, MISMATCH, GAP = 2, 1, 1
 MIN_SCORE = 0.5
 #: Words of the items of one block.
 BLOCK_WORDS = 1_000_000
-PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Cells of the alignments that are worked on side by side.
 CELLS = 1 << 21
 
 
-def plain_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """A 64-bit hash of each word of the texts, and where each text's words start (one more: the end)."""
-    from xxhash import xxh64_intdigest
-
-    words, starts = words_of(pc.utf8_lower(pc.fill_null(texts.cast(pa.large_string()), "")))
-    code, distinct = codes_of(words)
-    trimmed = pc.utf8_trim(distinct, PUNCTUATION)
-    h = np.array([xxh64_intdigest(w) for w in trimmed.to_pylist()], np.uint64)
-    full = pc.binary_length(trimmed).to_numpy(zero_copy_only=False) > 0
-    if not full.all():
-        keep = full[code]
-        starts = np.concatenate([[0], np.cumsum(keep)])[starts]
-        code = code[keep]
-    return (h[code] if len(h) else np.zeros(0, np.uint64)), starts
-
-
-def seeds_of(words: np.ndarray, starts: np.ndarray, n: int = SEED_WORDS) -> tuple[np.ndarray, np.ndarray]:
-    """The n-gram hashes of texts, and the places (in words) where they start."""
-    m = len(words) - n + 1
-    if m <= 0:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    out = np.zeros(m, np.uint64)
-    for i in range(n):
-        out = out * np.uint64(0x9E3779B97F4A7C15) + words[i : i + m]
-    out ^= out >> np.uint64(29)
-    out *= np.uint64(0xBF58476D1CE4E5B9)
-    out ^= out >> np.uint64(32)
-    text = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
-    inside = np.flatnonzero(text[:m] == text[n - 1 :])
-    return out[inside], inside
-
-
 class SeedSet:
     """Sorted seeds behind a bit map."""
 
@@ -171,7 +137,7 @@ def contaminated(docs: DataFrame, items: DataFrame, min_score: float = MIN_SCORE
     data = id_and_text(docs, id_col, text_col)
     out = None
     for k, (item_ids, item_words, item_at) in enumerate(_item_blocks(items, item_col, item_text_col)):
-        hashes, where = seeds_of(item_words, item_at)
+        hashes, where = seeds_of(item_words, item_at, SEED_WORDS)
         if not len(hashes):
             continue
         every = SeedSet(hashes)
@@ -180,7 +146,7 @@ def contaminated(docs: DataFrame, items: DataFrame, min_score: float = MIN_SCORE
             df = np.zeros(len(every.seeds), np.int64)
             for b in slices(batches):
                 words, starts = plain_words(b["text"])
-                h, place = seeds_of(words, starts)
+                h, place = seeds_of(words, starts, SEED_WORDS)
                 at, number = every.find(h)
                 doc = np.searchsorted(starts, place[at], side="right")
                 df += np.bincount(np.unique(number * (len(b) + 1) + doc) // (len(b) + 1), minlength=len(df))
@@ -203,11 +169,9 @@ def contaminated(docs: DataFrame, items: DataFrame, min_score: float = MIN_SCORE
         seed_item, seed_place = item[rare], where[rare] - item_at[item[rare]]
 
         def search(batches, own=own, seed_from=seed_from, seed_to=seed_to, seed_item=seed_item, seed_place=seed_place, item_ids=item_ids, item_words=item_words, item_at=item_at):
-            from .words import ranges
-
             for b in slices(batches):
                 words, starts = plain_words(b["text"])
-                h, place = seeds_of(words, starts)
+                h, place = seeds_of(words, starts, SEED_WORDS)
                 at, number = own.find(h)
                 if not len(at):
                     continue

@@ -10,6 +10,7 @@ import pyarrow.compute as pc
 
 #: Texts are worked on in slices of about so many bytes, however large Spark's batches are.
 SLICE_BYTES = 2 << 20
+PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text", size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -59,3 +60,35 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         return np.zeros(0, np.int64)
     before = np.concatenate([[0], np.cumsum(lengths)[:-1]])
     return np.arange(total, dtype=np.int64) + np.repeat(starts - before, lengths)
+
+
+def plain_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash of each word of the texts, and where each text's words start (one more: the end)."""
+    from xxhash import xxh64_intdigest
+
+    words, starts = words_of(pc.utf8_lower(pc.fill_null(texts.cast(pa.large_string()), "")))
+    code, distinct = codes_of(words)
+    trimmed = pc.utf8_trim(distinct, PUNCTUATION)
+    h = np.array([xxh64_intdigest(w) for w in trimmed.to_pylist()], np.uint64)
+    full = pc.binary_length(trimmed).to_numpy(zero_copy_only=False) > 0
+    if not full.all():
+        keep = full[code]
+        starts = np.concatenate([[0], np.cumsum(keep)])[starts]
+        code = code[keep]
+    return (h[code] if len(h) else np.zeros(0, np.uint64)), starts
+
+
+def seeds_of(words: np.ndarray, starts: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The n-gram hashes of texts, and the places (in words) where they start."""
+    m = len(words) - n + 1
+    if m <= 0:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    out = np.zeros(m, np.uint64)
+    for i in range(n):
+        out = out * np.uint64(0x9E3779B97F4A7C15) + words[i : i + m]
+    out ^= out >> np.uint64(29)
+    out *= np.uint64(0xBF58476D1CE4E5B9)
+    out ^= out >> np.uint64(32)
+    text = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
+    inside = np.flatnonzero(text[:m] == text[n - 1 :])
+    return out[inside], inside
