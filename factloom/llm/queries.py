@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, exact_dedup, language_id, lm_score, secrets, simhash, token_counts, token_files
+from . import bpe, decontaminate, exact_dedup, language_id, licenses, lm_score, secrets, simhash, token_counts, token_files
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_token_counts": token_counts.op5_token_counts,
     "op6_lm_score": lm_score.op6_lm_score,
     "op7_secrets": secrets.op7_secrets,
+    "op8_licenses": licenses.op8_licenses,
     "op9_decontaminate": decontaminate.op9_decontaminate,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
