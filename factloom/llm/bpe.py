@@ -313,17 +313,20 @@ def decode(coded: DataFrame, path: str) -> DataFrame:
     return coded.select("doc_id", "ids", "ends").mapInArrow(lambda it: decoded(it, path), "doc_id long, ids binary, ends binary, decoded binary")
 
 
-def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Encode and decode in one pass: doc_id, n_tokens, ids_sha256, decoded_sha256."""
+def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
+    """Encode and decode in one pass: doc_id, n_tokens, ids_sha256, decoded_sha256; with keep_ids also the ids."""
+    own = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * keep_ids
 
     def run(batches):
         from hashlib import sha256
 
         for b in decoded(encoded(batches, path), path):
             ids, text = ([sha256(x.as_buffer()).hexdigest() for x in b[c]] for c in ("ids", "decoded"))
-            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(pc.binary_length(b["ids"]).to_numpy().astype(np.int64) // 4), pa.array(ids, pa.string()), pa.array(text, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            made = [b["doc_id"], pa.array(pc.binary_length(b["ids"]).to_numpy().astype(np.int64) // 4), pa.array(ids, pa.string()), pa.array(text, pa.string()), b["ids"]]
+            yield pa.RecordBatch.from_arrays(made[: len(own)], own)
 
-    return id_and_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * keep_ids
+    return id_and_text(docs, id_col, text_col).mapInArrow(run, schema)
 
 
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
