@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.llm import bpe, decontaminate, exact_dedup, language_id, simhash
+from factloom.llm import bpe, decontaminate, exact_dedup, language_id, simhash_wide
 from factloom.llm.common import materialise, table
 
 #: SQL cannot express the language model, fingerprints, alignments or merges; the stages are tested against brute force.
@@ -26,8 +26,8 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
-    return simhash.drop_near_copies(docs)
+    """One document of each group of near copies: five-word shingles, a similarity of 0.8 or more."""
+    return simhash_wide.drop_similar(docs)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -199,14 +199,5 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """documents with one of each component: the row whose doc_id is the component's smallest; rows without a doc_id stay."""
-    from .common import MAX_BROADCAST_ROWS
-
-    said = simhash_components(docs)
-    gone = materialise(said.where("doc_id != component_id").select(F.col("doc_id").alias("__id")).distinct(), "near-copies")
-    return docs.join(F.broadcast(gone) if gone.count() <= MAX_BROADCAST_ROWS else gone, F.col(id_col) == F.col("__id"), "left_anti")
-
-
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"))
