@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import is_test_path
 from .graph import containers, downstream, reach
+from .tables import written
 
 #: Which relationship to which label makes which category.
 OWNED = [("EXPOSES", "API", "API"), ("PUBLISHES", "Event", "EVENT"), ("CONSUMES", "Event", "EVENT"), ("ACCESSES", "Database", "DATABASE"), ("ACCESSES", "Table", "TABLE")]
@@ -71,17 +72,18 @@ def analyze(nodes: DataFrame, edges: DataFrame, changed: DataFrame, max_depth: i
     Code by callers; its classes and files; services that contain it within four steps; APIs, events, databases and tables that code, classes,
     files or services lead to, and tables of those databases; services downstream of the owning ones; tests that validate code.
     """
-    code = callers(nodes, edges, changed, max_depth)
+    code = written(callers(nodes, edges, changed, max_depth), "impact-code")  # read by all that follows
     link = lambda *rels: edges.where(F.col("rel_type").isin(*rels))
     holds = link("CONTAINS").select(F.col("start_id").alias("src"), F.col("end_id").alias("dst"), "start_label")
     inner = code.where("category != 'TEST'").select("id", "depth")
     up = holds.select(F.col("src").alias("owner"), F.col("dst").alias("id"), "start_label")
     classes = up.where("start_label = 'Class'").join(inner, "id").select(F.col("owner").alias("id"), "depth")
     files = up.where("start_label = 'File'").join(inner.unionByName(classes), "id").select(F.col("owner").alias("id"), "depth")
-    anchors = inner.unionByName(classes).unionByName(files).groupBy("id").agg(F.min("depth").alias("depth"))
+    anchors = written(inner.unionByName(classes).unionByName(files).groupBy("id").agg(F.min("depth").alias("depth")), "impact-anchors")
     service = nodes.where("label = 'Service'").select(F.col("id").alias("owner"))
     owned = containers(holds.select("src", "dst")).join(service, "owner", "left_semi")
     services = owned.join(anchors.withColumnRenamed("id", "node"), "node").groupBy("owner").agg(F.min(F.col("depth") + F.col("hops")).alias("depth")).select(F.col("owner").alias("id"), "depth")
+    services = written(services, "impact-services")
     every = anchors.unionByName(services)
     legal = F.lit(False)
     category = F.lit(None).cast("string")

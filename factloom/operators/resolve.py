@@ -93,10 +93,14 @@ def as_of(left: DataFrame, right: DataFrame, by: str, at: str, order: list[Colum
 
 
 def innermost(points: DataFrame, spans: DataFrame, by: str) -> DataFrame:
-    """points: row, by, line; spans: by, first, last, name. Each point's innermost span around it (the latest start, then the later end, then name)."""
-    hits = points.join(spans, by).where("line between first and last")
-    best = hits.groupBy("row").agg(F.max(F.struct("first", "last", "name")).alias("s"))
-    return points.select("row").join(best, "row", "left").select("row", F.col("s.name").alias("name"), F.col("s.first").alias("first"), F.col("s.last").alias("last"))
+    """points: row, by, line; spans: by, first, last, name. Each point's innermost span around it (the latest start, then the earlier end, then name).
+
+    Spans are laid out by line and each line keeps one span, so a point meets one row at most and no pairs are made; a span costs its length.
+    """
+    laid = spans.where("first <= last").select(by, F.struct("first", (-F.col("last")).alias("end"), "name").alias("s"), F.explode(F.sequence("first", "last")).alias("line"))
+    best = laid.groupBy(by, "line").agg(F.max("s").alias("s"))
+    hit = points.join(best, [by, "line"], "left")
+    return hit.select("row", F.col("s.name").alias("name"), F.col("s.first").alias("first"), (-F.col("s.end")).alias("last"))
 
 
 def band(left: DataFrame, right: DataFrame, seconds: int) -> DataFrame:

@@ -34,11 +34,20 @@ def nearest(vectors: DataFrame, query: Column, k: int, key: str, vector: str, mi
     return top if min_score is None else top.where(F.col("score") >= min_score)
 
 
-def fuse(lists: DataFrame, k: int | None = 5, constant: int = RRF_K) -> DataFrame:
-    """lists: list, rank, key. (key, score, first_list, first_rank) by score; ties in the order of first sight. k None: all."""
-    scored = lists.groupBy("key").agg(F.sum(1.0 / (constant + F.col("rank"))).alias("score"), F.min(F.struct("list", "rank")).alias("f"))
-    flat = scored.select("key", "score", F.col("f.list").alias("first_list"), F.col("f.rank").alias("first_rank"))
-    return flat if k is None else flat.orderBy(F.col("score").desc(), "first_list", "first_rank").limit(k)
+def fuse(lists: DataFrame, k: int | None = 5, by: list[str] | None = None, constant: int = RRF_K) -> DataFrame:
+    """lists: list, rank, key and the columns of by, which tell apart searches that are fused at once.
+
+    (by, key, score, first_list, first_rank), the k best of each search; ties in the order of first sight. k None: all.
+    """
+    by = by or []
+    scored = lists.groupBy(*by, "key").agg(F.sum(1.0 / (constant + F.col("rank"))).alias("score"), F.min(F.struct("list", "rank")).alias("f"))
+    flat = scored.select(*by, "key", "score", F.col("f.list").alias("first_list"), F.col("f.rank").alias("first_rank"))
+    best = [F.col("score").desc(), F.col("first_list"), F.col("first_rank")]
+    if k is None:
+        return flat
+    if not by:
+        return flat.orderBy(*best).limit(k)
+    return flat.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(*best))).where(F.col("place") <= k)
 
 
 def upsert_vectors(stored: DataFrame, batch: DataFrame, key: str = "id") -> DataFrame:

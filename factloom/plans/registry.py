@@ -1,6 +1,11 @@
-"""The queries of the code-intelligence operators over the driver's tables, with their SQL."""
+"""The queries of the code-intelligence operators over the driver's tables, with their DuckDB SQL."""
 
 from __future__ import annotations
 
+from . import graph_queries, resolve_queries, text_queries
+
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
+for _part in (graph_queries, resolve_queries, text_queries):
+    QUERIES |= _part.QUERIES
+    ORACLE_SQL |= _part.ORACLE_SQL
