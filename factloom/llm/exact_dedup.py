@@ -100,7 +100,10 @@ def drop_copies(docs: DataFrame) -> DataFrame:
     gone = said.where("not kept").groupBy(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha")).count()
     twice = gone.join(said.where("kept"), (F.col("__id").eqNullSafe(F.col("doc_id"))) & (F.col("__sha") == F.col("text_sha256")), "left_semi")
     repeated = not twice.isEmpty()
-    gone = gone.drop("count") if not repeated else materialise(gone.join(twice, ["__sha"], "left_anti").drop("count"), "gone")
+    gone = gone.drop("count")
+    if repeated:  # a row that stays has a twin of the same identifier: they go by dropDuplicates below, not by their identifier
+        stay = twice.select(F.col("__id").alias("__stay"), F.col("__sha").alias("__text"))
+        gone = materialise(gone.join(stay, F.col("__id").eqNullSafe(F.col("__stay")) & (F.col("__sha") == F.col("__text")), "left_anti"), "gone")
     small = gone.count() <= MAX_BROADCAST_ROWS
     marked = docs.withColumn("__own", F.sha2(normalised(F.coalesce(F.col("text"), F.lit(""))), 256))
     kept = marked.join(F.broadcast(gone) if small else gone, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__sha")), "left_anti")
