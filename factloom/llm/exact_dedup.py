@@ -8,6 +8,8 @@ what is proven equal forms a group.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -35,7 +37,7 @@ class DigestIndex:
 
     def flush(self, rows: DataFrame) -> DataFrame:
         """Write (key, sha, doc_id) rows as runs, one a task, and return them as written."""
-        path = f"{self.root}/run-{len(self.runs)}"
+        path = f"{self.root}/run-{uuid.uuid4().hex}"
         self._write(rows, path)
         self.runs.append(path)
         return self.spark.read.schema("key binary, sha binary, doc_id long").parquet(path)
@@ -47,7 +49,7 @@ class DigestIndex:
         merged = parts[0]
         for p in parts[1:]:
             merged = merged.unionByName(p)
-        path = f"{self.root}/level-{len(self.levels)}-{len(self.runs)}"
+        path = f"{self.root}/level-{uuid.uuid4().hex}"
         self._write(merged.groupBy("key").agg(F.min("keep_id").alias("keep_id"), F.sum("n").alias("n")), path)
         self.runs, self.levels = [], [path]
         return self.spark.read.schema("key binary, keep_id long, n long").parquet(path)
@@ -55,7 +57,7 @@ class DigestIndex:
     def lookup(self, keys: list[bytes]) -> DataFrame:
         """The compacted rows of a few keys."""
         level = self.spark.read.schema("key binary, keep_id long, n long").parquet(*self.levels)
-        return level.where(F.col("key").isin([F.lit(k) for k in keys]))
+        return level.where(F.col("key").isin(*keys))
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest_bytes: int = 32) -> DataFrame:
