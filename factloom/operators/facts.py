@@ -61,8 +61,9 @@ def resolve_calls(calls: DataFrame, imports: DataFrame, classes: DataFrame, meth
     is left keeps what was written: no object is guessed.
     """
     symbols = functions.select(module_name(F.col("file_path")).alias("module"), "name").unionByName(classes.select(module_name(F.col("file_path")).alias("module"), "name")).distinct()
-    name, bare = F.col("attr"), calls.where("base is null and attr is not null")
-    self_calls = calls.where("base = 'self' and class_name is not null")
+    slim = calls.select("row", "file_path", "class_name", "base", "attr")
+    name, bare = F.col("attr"), slim.where("base is null and attr is not null")
+    self_calls = slim.where("base = 'self' and class_name is not null")
     by_self = self_calls.join(methods.select("file_path", "class_name", F.col("name").alias("attr")).distinct(), ["file_path", "class_name", "attr"]).select("row", qualified_name(F.col("class_name"), name).alias("target"))
     by_file = bare.join(functions.select("file_path", F.col("name").alias("attr")).distinct(), ["file_path", "attr"]).select("row", name.alias("target"))
     # a later import of a name hides an earlier one
@@ -70,7 +71,7 @@ def resolve_calls(calls: DataFrame, imports: DataFrame, classes: DataFrame, meth
     brought = bound(imports.where("module is not null").select("file_path", "ord", F.coalesce("alias", "name").alias("attr"), absolute_module(F.col("file_path"), F.col("module")).alias("module"), F.col("name").alias("original")), "attr")
     by_import = bare.join(brought, ["file_path", "attr"]).join(symbols.select("module", F.col("name").alias("original")), ["module", "original"]).select("row", qualified_name(F.col("module"), F.col("original")).alias("target"))
     plain = bound(imports.where("module is null").select("file_path", "ord", F.coalesce("alias", F.substring_index("name", ".", 1)).alias("base"), F.col("name").alias("module")), "base")
-    of_module = calls.where("base is not null and base != 'self'").join(plain.drop("ord"), ["file_path", "base"])
+    of_module = slim.where("base is not null and base != 'self'").join(plain.drop("ord"), ["file_path", "base"])
     by_module = of_module.join(symbols.select("module", F.col("name").alias("attr")), ["module", "attr"]).select("row", qualified_name(F.col("module"), name).alias("target"))
     out = first_rule(calls, "row", [("self", by_self), ("file", by_file), ("import", by_import), ("module", by_module)], "target")
     written = out.join(of_module.select("row", F.concat_ws(".", "module", "attr").alias("as_module")), "row", "left")

@@ -111,10 +111,14 @@ def naming_convention_tests(files: DataFrame, functions: DataFrame, targets: Dat
     A test's name is cut into all its parts that are as long as some target, so this is an equi join.
     """
     tests = functions.join(files.where(is_test_path(F.col("path"))).select("path"), "path", "left_semi").select("path", "name").distinct()
-    parts = lambda c: F.sequence(F.lit(1), F.length(c))
     sized = targets.select(F.col("name").alias("target")).where("target != ''").distinct().withColumn("n", F.length("target"))
     sizes = [r[0] for r in sized.select("n").distinct().collect()]  # lengths of identifiers, not names
-    windows = F.flatten(F.array(*(F.transform(F.filter(parts("name"), lambda i, s=s: i <= F.length("name") - s + 1), lambda i, s=s: F.substring(F.col("name"), i, F.lit(s))) for s in sizes))) if sizes else F.array().cast("array<string>")
+
+    def parts(n):
+        starts = F.filter(F.sequence(F.lit(1), F.length("name")), lambda i: i <= F.length("name") - n + 1)
+        return F.transform(starts, lambda i: F.substring(F.col("name"), i, F.lit(n)))
+
+    windows = F.flatten(F.array(*(parts(n) for n in sizes))) if sizes else F.array().cast("array<string>")
     hits = tests.select("path", "name", F.explode(F.array_distinct(windows)).alias("target")).join(sized.select("target"), "target")
     return hits.join(known.select("path", "name"), ["path", "name"], "left_anti").select("path", "name", "target")
 
