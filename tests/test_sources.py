@@ -95,6 +95,7 @@ def test_calls_and_imports_resolve(parsed):
         ("check", "payment.validator.validate", True, "import"), ("self.save", "Service.save", True, "self"), ("self.gone", "self.gone", False, None), ("other.thing", "other.thing", False, None),
         ("json.dumps", "json.dumps", False, None), ("helper", "helper", True, "file"), ("Service().process", "Service().process", False, None), ("Service", "Service", False, None),
         ("pv.validate", "payment.validator.validate", True, "module"), ("client.get", "client.get", False, None),
+        ("router.get", "router.get", False, None), ("router.route", "router.route", False, None), ("bool", "bool", False, None),
     }
     links = {(r["file"], r["target"], r["line"]) for r in facts.import_edges(part("import"), files).collect()}
     assert links == {("payment/service.py", "payment/validator.py", 2), ("api/routes.py", "payment/validator.py", 2)}
