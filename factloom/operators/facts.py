@@ -75,7 +75,7 @@ def resolve_calls(calls: DataFrame, imports: DataFrame, classes: DataFrame, meth
     by_module = of_module.join(symbols.select("module", F.col("name").alias("attr")), ["module", "attr"]).select("row", qualified_name(F.col("module"), name).alias("target"))
     out = first_rule(calls, "row", [("self", by_self), ("file", by_file), ("import", by_import), ("module", by_module)], "target")
     written = out.join(of_module.select("row", F.concat_ws(".", "module", "attr").alias("as_module")), "row", "left")
-    return written.select(*calls.columns, F.coalesce("target", "as_module", F.concat_ws(".", "base", "attr"), "raw").alias("target"), F.col("rule").isNotNull().alias("resolved"), "rule")
+    return written.select(*calls.columns, F.coalesce("target", "as_module", F.nullif(F.concat_ws(".", "base", "attr"), F.lit("")), "raw").alias("target"), F.col("rule").isNotNull().alias("resolved"), "rule")
 
 
 def unresolved_call_sites(nodes: DataFrame, name: str, limit: int = 25) -> DataFrame:
