@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import id_and_text, materialise, scratch, table
+from .common import forget, id_and_text, materialise, scratch, table
 from .words import codes_of, lowered, slices, words_of
 
 #: Characters of text in a block, about; and of all texts for each bucket of hashes.
@@ -276,6 +276,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
     asked = parts.where("kind = 'ask'").select("block", "bucket", "data")
     answers = asked.repartition(buckets, "bucket").sortWithinPartitions("bucket", "block").mapInArrow(_answers, "block string, bucket int, data binary, v long, n long")
     answers = materialise(answers, "lm-answers")
+    forget(spark, f"{path}/kind=ask")  # answered, and the answers are written
     stats = answers.where("block is null").agg(F.sum("v"), F.sum("n")).first()
     v, n = stats[0] or 0, stats[1] or 0
     both = parts.where("kind = 'block'").select("block", "bucket", "data").unionByName(answers.where("block is not null").select("block", "bucket", "data"))
