@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,10 +32,34 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/factloom-{name}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def settings(spark: SparkSession, **conf: str) -> Iterator[None]:
+    """SQL settings of the session (dots as double underscores) for the length of a block."""
+    own = {k.replace("__", "."): v for k, v in conf.items()}
+    before = {k: spark.conf.get(k, None) for k in own}
+    try:
+        for k, v in own.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def put(df: DataFrame, path: str, *by: str) -> None:
+    """Write df as Parquet. Its shuffle files go when it is written, for what follows reads the table.
+
+    Values may be megabytes long, so a writer looks at its size after each few rows, and folders (by) are written side by side, unsorted.
+    """
+    small = {"parquet.block.size": 16 << 20, "parquet.page.size.row.check.min": 4, "parquet.page.size.row.check.max": 1000}
+    with settings(df.sparkSession, spark__sql__classic__shuffleDependency__fileCleanup__enabled="true", spark__sql__maxConcurrentOutputFileWriters="4"):
+        (df.write.options(**small).partitionBy(*by) if by else df.write).parquet(path)
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """df as a written table of the shared folder: cuts the lineage and outlives lost executors."""
     path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
+    put(df, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import forget, id_and_text, materialise, scratch, table
+from .common import forget, id_and_text, materialise, put, scratch, table
 from .words import codes_of, lowered, slices, words_of
 
 #: Characters of text in a block, about; and of all texts for each bucket of hashes.
@@ -170,38 +170,45 @@ def _answers(batches: Iterator[pa.RecordBatch]):
         yield flush()
 
 
+def _counted(block: bytes, answers: list[bytes]) -> bytes:
+    """A block's documents and, for each token, the training counts of itself and of itself after its context."""
+    doc, null, held, at, token, known = unpack(block)
+    got = [unpack(x) for x in answers]
+    words, pairs = (np.concatenate([x[i] for x in got]) if got else np.zeros(0, np.int64) for i in range(2))
+    token, known = token.astype(np.int64), np.cumsum(known, dtype=np.uint64)
+    _, pair = np.unique(pairs_of(known, token, at), return_inverse=True)
+    return pack(doc, null, held, at, *(x.astype(np.uint32) if x.max(initial=0) < 1 << 32 else x for x in (words[token], pairs[pair])))
+
+
 def _packs(batches: Iterator[pa.RecordBatch]):
-    """A block and its answers, sorted by bucket, as one row."""
+    """A block and its answers, sorted by bucket, as one row of counts."""
     held: list[bytes] = []
     now = None
 
     def flush():
-        got = [unpack(x) for x in held[1:]]
-        words, pairs = (np.concatenate([x[i] for x in got]) if got else np.zeros(0, np.int64) for i in range(2))
-        return pa.RecordBatch.from_arrays([pa.array([held[0]], pa.binary()), pa.array([pack(words, pairs)], pa.binary())], ["block", "counts"])
+        return pa.RecordBatch.from_arrays([pa.array([_counted(held[0], held[1:])], pa.binary())], ["counts"])
 
     for b in batches:
-        for r in b.to_pylist():
-            if r["block"] != now:
+        for block, data in zip(b["block"].to_pylist(), b["data"], strict=True):
+            if block != now:
                 if held:
                     yield flush()
-                held, now = [], r["block"]
-            held.append(r["data"])
+                held, now = [], block
+            held.append(data.as_py())
     if held:
         yield flush()
 
 
-def _counted(block: bytes, counts: bytes, docs_in_training: int):
-    """A block's documents and, for each token, the training counts of its context, of itself, and of both."""
-    doc, null, held, at, token, known = unpack(block)
-    words, pairs = unpack(counts)
-    token, known = token.astype(np.int64), np.cumsum(known, dtype=np.uint64)
-    _, pair = np.unique(pairs_of(known, token, at), return_inverse=True)
-    c_word, c_pair = words[token], pairs[pair]
-    c_context = np.empty_like(c_word)
-    c_context[1:] = c_word[:-1]
-    c_context[at[:-1]] = docs_in_training
-    return doc, null, held, at, c_context, c_word, c_pair
+def _counts(batches: Iterator[pa.RecordBatch], docs_in_training: int):
+    """Each block's documents and, for each token, the training counts of its context, of itself, and of both."""
+    for b in batches:
+        for x in b["counts"]:
+            doc, null, held, at, c_word, c_pair = unpack(x.as_py())
+            c_word, c_pair = c_word.astype(np.int64), c_pair.astype(np.int64)
+            c_context = np.empty_like(c_word)
+            c_context[1:] = c_word[:-1]
+            c_context[at[:-1]] = docs_in_training
+            yield doc, null, held, at, c_context, c_word, c_pair
 
 
 def context_bucket(c: np.ndarray) -> np.ndarray:
@@ -219,16 +226,14 @@ def held_out_counts(packs: DataFrame, n: int, v: int, docs_in_training: int) ->
     """(cell, n): how many training tokens, each deleted from the counts, fall into each cell (context bucket, step of the pair's estimate, step of the word's)."""
 
     def run(batches):
-        for b in batches:
-            for r in b.to_pylist():
-                _, _, held, at, c_context, c_word, c_pair = _counted(r["block"], r["counts"], docs_in_training)
-                train = np.repeat(held == 0, np.diff(at))
-                h, w, hw = c_context[train] - 1, c_word[train] - 1, c_pair[train] - 1
-                base = 1 / (v + 1)
-                pair = _ratio_step(np.where(h > 0, hw / np.maximum(h, 1), 0), base)
-                word = _ratio_step(w / max(n - 1, 1), base)
-                cell, count = np.unique((context_bucket(h) * (RATIOS + 1) + pair) * (RATIOS + 1) + word, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(count)], ["cell", "n"])
+        for _, _, held, at, c_context, c_word, c_pair in _counts(batches, docs_in_training):
+            train = np.repeat(held == 0, np.diff(at))
+            h, w, hw = c_context[train] - 1, c_word[train] - 1, c_pair[train] - 1
+            base = 1 / (v + 1)
+            pair = _ratio_step(np.where(h > 0, hw / np.maximum(h, 1), 0), base)
+            word = _ratio_step(w / max(n - 1, 1), base)
+            cell, count = np.unique((context_bucket(h) * (RATIOS + 1) + pair) * (RATIOS + 1) + word, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(count)], ["cell", "n"])
 
     return packs.mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
 
@@ -271,7 +276,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
     size = data.agg(F.sum(F.length("text")), F.count_if(~F.col("held"))).first()
     buckets, in_training = max(12, -(-(size[0] or 0) // BUCKET_CHARS)), size[1]
     path = scratch(spark, "lm-blocks")
-    data.mapInArrow(_blocks(buckets), "kind string, block string, bucket int, data binary").write.partitionBy("kind").parquet(path)
+    put(data.mapInArrow(_blocks(buckets), "kind string, block string, bucket int, data binary"), path, "kind")
     parts = spark.read.schema("block string, bucket int, data binary, kind string").parquet(path)
     asked = parts.where("kind = 'ask'").select("block", "bucket", "data")
     answers = asked.repartition(buckets, "bucket").sortWithinPartitions("bucket", "block").mapInArrow(_answers, "block string, bucket int, data binary, v long, n long")
@@ -280,25 +285,24 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
     stats = answers.where("block is null").agg(F.sum("v"), F.sum("n")).first()
     v, n = stats[0] or 0, stats[1] or 0
     both = parts.where("kind = 'block'").select("block", "bucket", "data").unionByName(answers.where("block is not null").select("block", "bucket", "data"))
-    packs = materialise(both.repartition(buckets, "block").sortWithinPartitions("block", "bucket").mapInArrow(_packs, "block binary, counts binary"), "lm-packs")
+    packs = materialise(both.repartition(buckets, "block").sortWithinPartitions("block", "bucket").mapInArrow(_packs, "counts binary"), "lm-packs")
+    forget(spark, path)
     cells = held_out_counts(packs, n, v, in_training).toArrow()
     weights = learn_weights(cells["cell"].to_numpy(), cells["n"].to_numpy())
 
     def score(batches):
-        for b in batches:
-            for r in b.to_pylist():
-                doc, null, held, at, c_context, c_word, c_pair = _counted(r["block"], r["counts"], in_training)
-                w = weights[context_bucket(c_context)]
-                p = w[:, 0] * c_pair / np.maximum(c_context, 1) + w[:, 1] * c_word / max(n, 1) + w[:, 2] / (v + 1)
-                if not n:
-                    p = np.ones(len(c_word))
-                base = np.log10((c_word + 0.1) / (n + 0.1 * (v + 1)))
-                first = at[:-1]
-                sums = [np.add.reduceat(x, first) for x in (np.log10(p), base, (c_word > 0).astype(np.int64))]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(doc, mask=null.astype(bool)), pa.array(held.astype(bool)), pa.array(np.diff(at)), pa.array(sums[2]), pa.array(np.full(len(doc), n, np.int64)), pa.array(sums[1]), pa.array(sums[0])],
-                    ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
-                )
+        for doc, null, held, at, c_context, c_word, c_pair in _counts(batches, in_training):
+            w = weights[context_bucket(c_context)]
+            p = w[:, 0] * c_pair / np.maximum(c_context, 1) + w[:, 1] * c_word / max(n, 1) + w[:, 2] / (v + 1)
+            if not n:
+                p = np.ones(len(c_word))
+            base = np.log10((c_word + 0.1) / (n + 0.1 * (v + 1)))
+            first = at[:-1]
+            sums = [np.add.reduceat(x, first) for x in (np.log10(p), base, (c_word > 0).astype(np.int64))]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(doc, mask=null.astype(bool)), pa.array(held.astype(bool)), pa.array(np.diff(at)), pa.array(sums[2]), pa.array(np.full(len(doc), n, np.int64)), pa.array(sums[1]), pa.array(sums[0])],
+                ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+            )
 
     return packs.mapInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
