@@ -46,29 +46,19 @@ def settings(spark: SparkSession, **conf: str) -> Iterator[None]:
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def put(df: DataFrame, path: str, *by: str) -> None:
-    """Write df as Parquet. Its shuffle files go when it is written, for what follows reads the table.
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    """df as a written table of the shared folder: cuts the lineage and outlives lost executors.
 
-    Values may be megabytes long, so a writer looks at its size after each few rows, and folders (by) are written side by side, unsorted.
+    Its shuffle files go when it is written, for what follows reads the table. Values may be megabytes long, so a writer looks at its
+    size after each few rows.
     """
-    small = {"parquet.block.size": 16 << 20, "parquet.page.size.row.check.min": 4, "parquet.page.size.row.check.max": 1000}
-    with settings(df.sparkSession, spark__sql__classic__shuffleDependency__fileCleanup__enabled="true", spark__sql__maxConcurrentOutputFileWriters="4"):
-        (df.write.options(**small).partitionBy(*by) if by else df.write).parquet(path)
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """df as a written table of the shared folder: cuts the lineage and outlives lost executors."""
     path = scratch(df.sparkSession, name)
-    put(df, path)
+    small = {"parquet.block.size": 16 << 20, "parquet.page.size.row.check.min": 4, "parquet.page.size.row.check.max": 1000}
+    with settings(df.sparkSession, spark__sql__classic__shuffleDependency__fileCleanup__enabled="true"):
+        df.write.options(**small).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def forget(spark: SparkSession, path: str) -> None:
-    """Delete a table of the shared folder that no later step reads."""
-    own = spark._jvm.org.apache.hadoop.fs.Path(path)
-    own.getFileSystem(spark._jsc.hadoopConfiguration()).delete(own, True)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import forget, id_and_text, materialise, put, scratch, table
+from .common import id_and_text, materialise, table
 from .words import codes_of, lowered, slices, words_of
 
 #: Characters of text in a block, about; and of all texts for each bucket of hashes.
@@ -111,8 +111,19 @@ def pairs_of(known: np.ndarray, token: np.ndarray, at: np.ndarray) -> np.ndarray
     return pair_hash(before, h)
 
 
-def _blocks(buckets: int):
-    """Batches of doc_id, text, held as rows (kind, block, bucket, data): the block itself, and its requests by bucket."""
+def _blocks(batches: Iterator[pa.RecordBatch]):
+    """Batches of doc_id, text, held as blocks (block, bucket -1, data): distinct words and the documents' tokens."""
+    for b in slices(batches, size=BLOCK_BYTES):
+        known, token, at = tokens_of(b["text"])
+        held = b["held"].to_numpy(zero_copy_only=False).astype(np.uint8)
+        null = np.asarray(b["doc_id"].is_null()).astype(np.uint8)
+        doc = pc.fill_null(b["doc_id"], 0).to_numpy(zero_copy_only=False)
+        data = pack(doc, null, held, at, token.astype(np.uint32), np.diff(known, prepend=np.uint64(0)))
+        yield pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().hex]), pa.array([-1], pa.int32()), pa.array([data], pa.binary())], ["block", "bucket", "data"])
+
+
+def _asks(buckets: int):
+    """Blocks to their requests (block, bucket, data): distinct words and pairs, and how often the block's training tokens are them."""
 
     def ask(keys: np.ndarray, number: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         seen = np.bincount(number[train], minlength=len(keys)).astype(np.uint32)
@@ -120,21 +131,19 @@ def _blocks(buckets: int):
         return keys, seen, np.searchsorted(bucket, np.arange(buckets + 1))
 
     def run(batches: Iterator[pa.RecordBatch]):
-        for b in slices(batches, size=BLOCK_BYTES):
-            block = uuid.uuid4().hex
-            known, token, at = tokens_of(b["text"])
-            held = b["held"].to_numpy(zero_copy_only=False).astype(np.uint8)
-            train = np.repeat(held == 0, np.diff(at))
-            pairs, pair = np.unique(pairs_of(known, token, at), return_inverse=True)
-            null = np.asarray(b["doc_id"].is_null()).astype(np.uint8)
-            doc = pc.fill_null(b["doc_id"], 0).to_numpy(zero_copy_only=False)
-            rows = [("block", -1, pack(doc, null, held, at, token.astype(np.uint32), np.diff(known, prepend=np.uint64(0))))]
-            w, p = ask(known, token, train), ask(pairs, pair, train)
-            for k in range(buckets):
-                (i, j), (x, y) = w[2][k : k + 2], p[2][k : k + 2]
-                if j > i or y > x:
-                    rows.append(("ask", k, pack(np.diff(w[0][i:j], prepend=np.uint64(0)), w[1][i:j], np.diff(p[0][x:y], prepend=np.uint64(0)), p[1][x:y])))
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([block] * len(rows)), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], ["kind", "block", "bucket", "data"])
+        for b in batches:
+            for block, data in zip(b["block"].to_pylist(), b["data"], strict=True):
+                _, _, held, at, token, known = unpack(data.as_py())
+                token, known = token.astype(np.int64), np.cumsum(known, dtype=np.uint64)
+                train = np.repeat(held == 0, np.diff(at))
+                pairs, pair = np.unique(pairs_of(known, token, at), return_inverse=True)
+                w, p = ask(known, token, train), ask(pairs, pair, train)
+                rows = []
+                for k in range(buckets):
+                    (i, j), (x, y) = w[2][k : k + 2], p[2][k : k + 2]
+                    if j > i or y > x:
+                        rows.append((k, pack(np.diff(w[0][i:j], prepend=np.uint64(0)), w[1][i:j], np.diff(p[0][x:y], prepend=np.uint64(0)), p[1][x:y])))
+                yield pa.RecordBatch.from_arrays([pa.array([block] * len(rows)), pa.array([k for k, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], ["block", "bucket", "data"])
 
     return run
 
@@ -275,18 +284,14 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
     data = id_and_text(docs, id_col, text_col, held)
     size = data.agg(F.sum(F.length("text")), F.count_if(~F.col("held"))).first()
     buckets, in_training = max(12, -(-(size[0] or 0) // BUCKET_CHARS)), size[1]
-    path = scratch(spark, "lm-blocks")
-    put(data.mapInArrow(_blocks(buckets), "kind string, block string, bucket int, data binary"), path, "kind")
-    parts = spark.read.schema("block string, bucket int, data binary, kind string").parquet(path)
-    asked = parts.where("kind = 'ask'").select("block", "bucket", "data")
+    blocks = materialise(data.mapInArrow(_blocks, "block string, bucket int, data binary"), "lm-blocks")
+    asked = blocks.mapInArrow(_asks(buckets), "block string, bucket int, data binary")
     answers = asked.repartition(buckets, "bucket").sortWithinPartitions("bucket", "block").mapInArrow(_answers, "block string, bucket int, data binary, v long, n long")
     answers = materialise(answers, "lm-answers")
-    forget(spark, f"{path}/kind=ask")  # answered, and the answers are written
     stats = answers.where("block is null").agg(F.sum("v"), F.sum("n")).first()
     v, n = stats[0] or 0, stats[1] or 0
-    both = parts.where("kind = 'block'").select("block", "bucket", "data").unionByName(answers.where("block is not null").select("block", "bucket", "data"))
+    both = blocks.unionByName(answers.where("block is not null").select("block", "bucket", "data"))
     packs = materialise(both.repartition(buckets, "block").sortWithinPartitions("block", "bucket").mapInArrow(_packs, "counts binary"), "lm-packs")
-    forget(spark, path)
     cells = held_out_counts(packs, n, v, in_training).toArrow()
     weights = learn_weights(cells["cell"].to_numpy(), cells["n"].to_numpy())
 
