@@ -6,6 +6,9 @@ acos(2 J / (1 + J)) / pi of the bits on average, and that share of BITS, for J a
 distance of a link. Blocks of bits are the join keys; their width follows the number of texts, so that unrelated texts
 seldom meet, and their number follows from the width, so that a pair at the wanted similarity shares a block with a
 chance of RECALL (closer pairs: nearly always; within BITS / width differing bits: always, as the first blocks are disjoint).
+
+To the buckets go keys, nodes and the first SKETCH bits alone. A row that differs from all others of its small bucket in more of
+those than a link can (but for a chance of 10^-9) has no partner there; the other rows meet again with whole fingerprints.
 """
 
 from __future__ import annotations
@@ -30,6 +33,8 @@ MARGIN = 0.03
 BUCKET = 16_384
 SMALL = 32
 LEVELS = 3
+#: Bits of a fingerprint that go to its buckets, and by how many standard deviations a link's distance there may exceed its mean.
+SKETCH, DEVIATIONS = 128, 6
 
 
 def differing_share(similarity: float) -> float:
@@ -88,21 +93,55 @@ def _keys(fp: np.ndarray, blocks: np.ndarray) -> np.ndarray:
     return out ^ out >> np.uint64(31)
 
 
-def _expand(batches, blocks: np.ndarray, finer: bool):
-    """Rows (key, node, fp) for each block; finer: for each block that makes the key of an overfull bucket narrower."""
+def _finer(batches, blocks: np.ndarray):
+    """Rows (key, node, fp) for each block that makes the key of an overfull bucket narrower."""
     for b in batches:
         for s in range(0, len(b), 2000):
             part = b.slice(s, 2000)
             data = b"".join(part["fp"].to_pylist())
             fp = np.frombuffer(data, np.uint8).reshape(-1, BITS // 8)
-            keys = _keys(fp, blocks)
-            if finer:
-                keys = (keys ^ part["key"].to_numpy().view(np.uint64)[:, None]) * np.uint64(0x94D049BB133111EB)
-                keys ^= keys >> np.uint64(30)
+            keys = (_keys(fp, blocks) ^ part["key"].to_numpy().view(np.uint64)[:, None]) * np.uint64(0x94D049BB133111EB)
+            keys ^= keys >> np.uint64(30)
             row = np.repeat(np.arange(len(part)), len(blocks))
             yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), part["node"].take(pa.array(row)), part["fp"].take(pa.array(row))], ["key", "node", "fp"])
 
 
+def _sketches(batches, blocks: np.ndarray):
+    """Rows (key, node, a, b) for each block: the first SKETCH bits as two longs."""
+    for rows in batches:
+        for s in range(0, len(rows), 2000):
+            part = rows.slice(s, 2000)
+            fp = np.frombuffer(b"".join(part["fp"].to_pylist()), np.uint8).reshape(-1, BITS // 8)
+            a, b = np.ascontiguousarray(fp[:, : SKETCH // 8]).view(np.int64).T
+            row = np.repeat(np.arange(len(part)), len(blocks))
+            keys = _keys(fp, blocks).ravel().view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(keys), part["node"].take(pa.array(row)), pa.array(a[row]), pa.array(b[row])], ["key", "node", "a", "b"])
+
+
+def sketch_distance(most: int) -> int:
+    """How far apart the sketches of two fingerprints that differ in `most` bits may be."""
+    share = most / BITS
+    return math.ceil(SKETCH * share + DEVIATIONS * math.sqrt(SKETCH * share * (1 - share) * (1 - SKETCH / BITS)))
+
+
+def _near_rows(batches, most: int):
+    """Rows sorted by key: (key, node) of those that may have a partner. Larger buckets and those at a batch's ends go on untested."""
+    for rows in batches:
+        key, node, a, b = (rows[c].to_numpy() for c in ("key", "node", "a", "b"))
+        sketch = np.stack([a, b], axis=1).view(np.uint64)
+        cuts = np.concatenate([[0], np.flatnonzero(np.diff(key) != 0) + 1, [len(key)]])
+        size = np.diff(cuts)
+        group = np.repeat(np.arange(len(size)), size)
+        tested = size <= SMALL
+        tested[[0, -1]] = False
+        near = ~tested[group]
+        for o in range(1, int(size[tested].max(initial=1))):
+            i = np.flatnonzero((group[o:] == group[:-o]) & tested[group[o:]])
+            i = i[_distance(sketch[i], sketch[i + o]) <= most]
+            near[i] = near[i + o] = True
+        yield pa.RecordBatch.from_arrays([pa.array(key[near]), pa.array(node[near])], ["key", "node"])
+
+
 def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64)
 
@@ -188,10 +227,13 @@ def similar_components(docs: DataFrame, k: int = 5, similarity: float = 0.8, id_
     share = differing_share(similarity)
     blocks = block_bits(width, max(BITS // width, math.ceil(math.log(1 / (1 - RECALL)) / (1 - share) ** width)))
     most = int(differing_share(similarity - MARGIN) * BITS)
-    level, links = nodes.select("node", "fp"), None
+    apart = sketch_distance(most)
+    met = nodes.select("node", "fp").mapInArrow(lambda it: _sketches(it, blocks), "key long, node long, a long, b long")
+    met = met.repartition("key").sortWithinPartitions("key").mapInArrow(lambda it: _near_rows(it, apart), "key long, node long")
+    rows = materialise(met, "wide-near").join(nodes.select("node", "fp"), "node").select("key", "node", "fp")
+    links = None
     for i in range(LEVELS):
-        finer, last = i > 0, i == LEVELS - 1
-        rows = level.mapInArrow(lambda it, finer=finer: _expand(it, blocks, finer), "key long, node long, fp binary")
+        last = i == LEVELS - 1
         dealt = rows.repartition("key").sortWithinPartitions("key", "node")
         found = materialise(dealt.mapInArrow(lambda it, last=last: _links(it, most, last), "u long, v long, key long, fp binary"), f"wide-links-{i}")
         mine = found.where("v is not null").select("u", "v").distinct()
@@ -199,7 +241,7 @@ def similar_components(docs: DataFrame, k: int = 5, similarity: float = 0.8, id_
         rest = found.where("key is not null").select("key", F.col("u").alias("node"), "fp")
         if last or rest.isEmpty():
             break
-        level = rest
+        rows = rest.mapInArrow(lambda it: _finer(it, blocks), "key long, node long, fp binary")
     parts = materialise(connected_components(links), "wide-components")
     out = attach(fp, nodes.where("n > 1"), "fp", "n").select("doc_id", F.coalesce("node", "doc_id").alias("node"))
     return out.join(parts, "node", "left").select("doc_id", F.coalesce("root", "node").alias("component_id"))
