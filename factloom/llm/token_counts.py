@@ -103,7 +103,7 @@ def token_counts(docs: DataFrame, make_encoder: Callable, end_id: int, vocabular
     files = write_flat(docs, make_encoder, end_id, vocabulary, None, id_col, text_col)
     counts = scan_counts(files.select("file", "n_ids"), end_id, dtype_for(vocabulary))
     names = files.select("file", F.posexplode("doc_ids").alias("ordinal", "doc_id")).withColumn("ordinal", F.col("ordinal").cast("long"))
-    return counts.join(names, ["file", "ordinal"]).select("doc_id", "n_tokens")
+    return counts.join(names.hint("merge"), ["file", "ordinal"]).select("doc_id", "n_tokens")
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
