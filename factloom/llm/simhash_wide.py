@@ -1,14 +1,19 @@
-"""SimHash near-dedup for a given similarity of word shingles: wide fingerprints, blocks, Hamming verification.
+"""SimHash near-dedup for a given similarity of word shingles: wide fingerprints and blocks propose pairs, exact Jaccard decides.
 
 A 64-bit fingerprint tells apart little at a similarity of 0.8 (ten of its bits differ on average), so here a text has BITS bits,
 of its distinct k-word shingles. Two texts whose shingle sets have the Jaccard similarity J differ in a share
-acos(2 J / (1 + J)) / pi of the bits on average, and that share of BITS, for J a little under the wanted similarity, is the greatest
-distance of a link. Blocks of bits are the join keys; their width follows the number of texts, so that unrelated texts
-seldom meet, and their number follows from the width, so that a pair at the wanted similarity shares a block with a
-chance of RECALL (closer pairs: nearly always; within BITS / width differing bits: always, as the first blocks are disjoint).
+acos(2 J / (1 + J)) / pi of the bits on average. A pair within REACH standard deviations over that share of the wanted similarity
+is a candidate: 999 of 1,000 pairs right at the similarity, and nearly all closer ones. Blocks of bits are the join keys; their
+width follows the number of texts, so that unrelated texts seldom meet, and their number follows from the width, so that a pair
+at the wanted similarity shares a block with a chance of RECALL (closer pairs: nearly always; within BITS / width differing bits:
+always, as the first blocks are disjoint).
+
+Candidates are links only if the shingle sets of their texts have a Jaccard similarity of at least the wanted one. The pairs of small
+buckets are made distinct and joined to the shingles. Rows of larger buckets get their shingles into the bucket, and only a
+spanning forest of verified pairs leaves it.
 
 To the buckets go keys, nodes and the first SKETCH bits alone. A row that differs from all others of its small bucket in more of
-those than a link can (but for a chance of 10^-9) has no partner there; the other rows meet again with whole fingerprints.
+those than a candidate can (but for a chance of 10^-9) has no partner there; the other rows meet again with whole fingerprints.
 """
 
 from __future__ import annotations
@@ -26,13 +31,13 @@ from .simhash import _lanes, fingerprints_of, shingle_hashes
 from .words import slices
 
 BITS = 640
-RECALL = 0.95
-#: A link's estimated similarity may be this much under the wanted one, for the estimate has an error of about as much.
-MARGIN = 0.03
-#: Rows of a bucket that are compared with each other; more go on to finer buckets.
-BUCKET = 16_384
+RECALL = 0.999
+#: By how many standard deviations a candidate's distance may exceed the mean at the wanted similarity.
+REACH = 3.1
+#: Rows of a bucket whose pairs leave it as they are; those of larger buckets are verified inside.
 SMALL = 32
-LEVELS = 3
+#: Candidates of a larger bucket that are verified at once, and the most bytes of bit sets for that.
+PAIRS, BIT_BYTES = 4096, 64 << 20
 #: Bits of a fingerprint that go to its buckets, and by how many standard deviations a link's distance there may exceed its mean.
 SKETCH, DEVIATIONS = 128, 6
 
@@ -41,20 +46,30 @@ def differing_share(similarity: float) -> float:
     return math.acos(2 * similarity / (1 + similarity)) / math.pi
 
 
+def reach(similarity: float) -> int:
+    """How many bits of a candidate's fingerprints may differ."""
+    share = differing_share(similarity)
+    return math.ceil(BITS * share + REACH * math.sqrt(BITS * share * (1 - share)))
+
+
+def _distinct_shingles(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each text's distinct shingle hashes in ascending order, and where each text's start."""
+    h, starts = shingle_hashes(texts, k)
+    own = np.repeat(np.arange(len(texts)), np.diff(starts))
+    order = np.lexsort((h, own))
+    h, own = h[order], own[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (own[1:] != own[:-1])
+    return h[new], np.searchsorted(own[new], np.arange(len(texts) + 1))
+
+
 def wide_fingerprints(docs: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and fp (BITS bits) of every row that has a word."""
+    """doc_id, fp (BITS bits) and m (distinct shingles) of every row that has a word."""
 
     def run(batches):
         lanes = _lanes()
         for b in slices(batches, size=1 << 20):
-            h, starts = shingle_hashes(b["text"], k)
-            own = np.repeat(np.arange(len(b)), np.diff(starts))
-            order = np.lexsort((h, own))
-            h, own = h[order], own[order]
-            new = np.ones(len(h), bool)
-            new[1:] = (h[1:] != h[:-1]) | (own[1:] != own[:-1])
-            h, own = h[new], own[new]
-            starts = np.searchsorted(own, np.arange(len(b) + 1))
+            h, starts = _distinct_shingles(b["text"], k)
             parts = []
             for i in range(BITS // 64):
                 x = (h ^ np.uint64(i * 0x9E3779B97F4A7C15 % (1 << 64))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -65,9 +80,26 @@ def wide_fingerprints(docs: DataFrame, k: int, id_col: str = "doc_id", text_col:
             full = np.flatnonzero(np.diff(starts))
             fp = np.ascontiguousarray(np.stack(parts, axis=1)[full])
             data = pa.FixedSizeBinaryArray.from_buffers(pa.binary(BITS // 8), len(full), [None, pa.py_buffer(fp)]).cast(pa.binary())
-            yield pa.RecordBatch.from_arrays([b["doc_id"].take(pa.array(full)), data], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b["doc_id"].take(pa.array(full)), data, pa.array(np.diff(starts)[full])], ["doc_id", "fp", "m"])
+
+    return id_and_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, fp binary, m long")
+
+
+def shingles_of(docs: DataFrame, nodes: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
+    """node and sh (its distinct shingle hashes in ascending order, 64 bit each) of the documents of nodes, which has each node once."""
+
+    def run(batches):
+        for b in slices(batches, size=1 << 20):
+            h, starts = _distinct_shingles(b["text"], k)
+            full = np.flatnonzero(np.diff(starts))
+            data = pa.Array.from_buffers(pa.large_binary(), len(b), [None, pa.py_buffer(starts.astype(np.int64) * 8), pa.py_buffer(np.ascontiguousarray(h))]).take(pa.array(full)).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([b["doc_id"].take(pa.array(full)), data], ["node", "sh"])
 
-    return id_and_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, fp binary")
+    n = nodes.count()
+    mine = F.broadcast(nodes) if n <= MAX_BROADCAST_ROWS else nodes
+    rows = id_and_text(docs, id_col, text_col).join(mine, F.col("doc_id") == F.col("node"), "left_semi")
+    out = materialise(rows.mapInArrow(run, "node long, sh binary"), "wide-shingles")
+    return out if out.count() == n else materialise(out.distinct(), "wide-shingles")
 
 
 def block_bits(width: int, blocks: int) -> np.ndarray:
@@ -93,19 +125,6 @@ def _keys(fp: np.ndarray, blocks: np.ndarray) -> np.ndarray:
     return out ^ out >> np.uint64(31)
 
 
-def _finer(batches, blocks: np.ndarray):
-    """Rows (key, node, fp) for each block that makes the key of an overfull bucket narrower."""
-    for b in batches:
-        for s in range(0, len(b), 2000):
-            part = b.slice(s, 2000)
-            data = b"".join(part["fp"].to_pylist())
-            fp = np.frombuffer(data, np.uint8).reshape(-1, BITS // 8)
-            keys = (_keys(fp, blocks) ^ part["key"].to_numpy().view(np.uint64)[:, None]) * np.uint64(0x94D049BB133111EB)
-            keys ^= keys >> np.uint64(30)
-            row = np.repeat(np.arange(len(part)), len(blocks))
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), part["node"].take(pa.array(row)), part["fp"].take(pa.array(row))], ["key", "node", "fp"])
-
-
 def _sketches(batches, blocks: np.ndarray):
     """Rows (key, node, a, b) for each block: the first SKETCH bits as two longs."""
     for rows in batches:
@@ -146,104 +165,179 @@ def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64)
 
 
-def group_stars(node: np.ndarray, fp: np.ndarray, most: int, step: int = 512) -> tuple[np.ndarray, np.ndarray]:
-    """Each node of a bucket that isn't the first of its component there, and that first one; pairs are compared in squares of step rows."""
-    n = len(node)
-    label = np.arange(n)
-    for i in range(0, n, step):
-        for j in range(i, n, step):
-            u, v = np.nonzero(_distance(fp[i : i + step, None, :], fp[None, j : j + step, :]) <= most)
-            u, v = u + i, v + j
-            while True:
-                low = np.minimum(label[u], label[v])
-                before = label.copy()
-                np.minimum.at(label, label[u], low)
-                np.minimum.at(label, label[v], low)
-                label = label[label]
-                if (label == before).all():
-                    break
-    while (label[label] != label).any():
-        label = label[label]
-    own = np.flatnonzero(label != np.arange(n))
-    return node[own], node[label[own]]
-
-
-def _links(batches, most: int, last: bool):
-    """Rows sorted by key: links (u, v), and the rows of overfull buckets (u, key, fp)."""
-    held: list[tuple[np.ndarray, np.ndarray]] = []
-    now, over = None, False
-    width = BITS // 64
-
-    def links(u, v):
-        n = len(u)
-        return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())], ["u", "v", "key", "fp"])
-
-    def excess(rows):
-        node, fp = (np.concatenate([r[i] for r in rows]) for i in range(2))
-        data = pa.FixedSizeBinaryArray.from_buffers(pa.binary(BITS // 8), len(node), [None, pa.py_buffer(np.ascontiguousarray(fp))]).cast(pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(node), pa.nulls(len(node), pa.int64()), pa.array(np.full(len(node), now)), data], ["u", "v", "key", "fp"])
+def _small_pairs(batches, most: int):
+    """Rows (key, node, fp) sorted by key, buckets of SMALL rows or fewer: all pairs (u, v) within `most` bits."""
+    key, node, fp = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, BITS // 64), np.uint64)
 
-    for b in batches:
-        key, node = b["key"].to_numpy(), b["node"].to_numpy()
-        fp = np.frombuffer(b"".join(b["fp"].to_pylist()), np.uint64).reshape(-1, width)
-        cuts = np.concatenate([[0], np.flatnonzero(np.diff(key) != 0) + 1, [len(key)]])
-        size = np.diff(cuts)
-        group = np.repeat(np.arange(len(size)), size)
-        inner = np.zeros(len(size), bool)
-        inner[1:-1] = size[1:-1] <= SMALL
-        # small groups inside the batch: each row with the next ones of its group, all groups at once
-        for o in range(1, min(SMALL, int(size[inner].max(initial=1)))):
-            i = np.flatnonzero((group[o:] == group[:-o]) & inner[group[o:]])
+    def pairs(key, node, fp):
+        for o in range(1, len(key)):
+            i = np.flatnonzero(key[o:] == key[:-o])
+            if not len(i):
+                break
             i = i[_distance(fp[i], fp[i + o]) <= most]
-            if len(i):
-                yield links(np.maximum(node[i], node[i + o]), np.minimum(node[i], node[i + o]))
-        for g in np.flatnonzero(~inner):
-            i, j = cuts[g], cuts[g + 1]
-            if i == j:
+            yield pa.RecordBatch.from_arrays([pa.array(np.maximum(node[i], node[i + o])), pa.array(np.minimum(node[i], node[i + o]))], ["u", "v"])
+
+    for b in batches:
+        key = np.concatenate([key, b["key"].to_numpy()])
+        node = np.concatenate([node, b["node"].to_numpy()])
+        fp = np.concatenate([fp, np.frombuffer(b"".join(b["fp"].to_pylist()), np.uint64).reshape(-1, BITS // 64)])
+        done = int(np.searchsorted(key, key[-1])) if len(key) else 0  # the last bucket may go on
+        yield from pairs(key[:done], node[:done], fp[:done])
+        key, node, fp = key[done:], node[done:], fp[done:]
+    yield from pairs(key, node, fp)
+
+
+def _similar(both, size_u, size_v, similarity: float):
+    return both >= similarity * (size_u + size_v - both) - 1e-9
+
+
+def _verified(batches, similarity: float):
+    """Rows (u, v, a, b) with the shingles of u and v: the pairs (u, v) whose similarity is great enough."""
+    for rows in batches:
+        keep = np.zeros(len(rows), bool)
+        for i, (a, b) in enumerate(zip(rows["a"], rows["b"], strict=True)):
+            a, b = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
+            keep[i] = _similar(len(np.intersect1d(a, b, assume_unique=True)), len(a), len(b), similarity)
+        yield rows.select(["u", "v"]).filter(pa.array(keep))
+
+
+class Overlaps:
+    """How many shingles pairs of some texts share; by bit sets over the shingles that several texts hold, if those are small enough."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.sets, self.size, self.bits = sets, np.fromiter(map(len, sets), np.int64, len(sets)), None
+        every, code, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        shared = np.cumsum(times > 1) - 1
+        width = -(-int((times > 1).sum()) // 64) * 64
+        if width * len(sets) <= BIT_BYTES * 8:
+            own = np.repeat(np.arange(len(sets)), self.size)
+            hit = times[code] > 1
+            own, code = own[hit], shared[code[hit]]
+            self.bits = np.zeros((len(sets), width // 64), np.uint64)
+            for i in range(64):
+                at = code % 64 == i
+                self.bits[own[at], code[at] // 64] |= np.uint64(1 << i)
+
+    def of(self, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+        if self.bits is None:
+            return np.array([len(np.intersect1d(self.sets[i], self.sets[j], assume_unique=True)) for i, j in zip(u, v, strict=True)], np.int64)
+        step = max(1, (8 << 20) // max(1, self.bits.shape[1] * 8))
+        return np.concatenate([_distance_and(self.bits[u[s : s + step]], self.bits[v[s : s + step]]) for s in range(0, len(u), step)])
+
+
+def _distance_and(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(a & b).sum(axis=-1, dtype=np.int64)
+
+
+def forest(fp: np.ndarray, sets: list[np.ndarray], side: np.ndarray, most: int, similarity: float, step: int = 512) -> tuple[np.ndarray, np.ndarray]:
+    """Verified pairs that connect what all verified pairs do. side: part of a text; if there are two, only pairs of both are looked at.
+
+    Pairs are compared in squares of step rows and verified in the order of their distances, but not if they are connected already.
+    """
+    overlaps = Overlaps(sets)
+    parent, out = np.arange(len(fp)), []
+
+    def find(i):
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    parts = [np.flatnonzero(side == x) for x in np.unique(side)]
+    left, right = parts[0], parts[-1]
+    for i in range(0, len(left), step):
+        for j in range(i if len(parts) == 1 else 0, len(right), step):
+            d = _distance(fp[left[i : i + step], None, :], fp[None, right[j : j + step], :])
+            u, v = np.nonzero(d <= most)
+            order = np.argsort(d[u, v], kind="stable")
+            u, v = left[u[order] + i], right[v[order] + j]
+            while len(u):
+                while (parent[parent] != parent).any():
+                    parent = parent[parent]
+                apart = parent[u] != parent[v]
+                u, v = u[apart], v[apart]
+                x, y = u[:PAIRS], v[:PAIRS]
+                u, v = u[PAIRS:], v[PAIRS:]
+                good = _similar(overlaps.of(x, y), overlaps.size[x], overlaps.size[y], similarity) if len(x) else np.zeros(0, bool)
+                for a, b in zip(x[good].tolist(), y[good].tolist(), strict=True):
+                    ra, rb = find(a), find(b)
+                    if ra != rb:
+                        parent[max(ra, rb)] = min(ra, rb)
+                        out.append((a, b))
+    pairs = np.array(out, np.int64).reshape(-1, 2)
+    return pairs[:, 0], pairs[:, 1]
+
+
+def _forests(batches, most: int, similarity: float):
+    """Rows (key, i, j, part, node, fp, sh) sorted by key, i and j: each group's spanning forest of verified pairs (u, v)."""
+    held, now = [], None
+
+    def links():
+        part, node, fp, sh = (list(x) for x in zip(*held, strict=True))
+        sh = [np.frombuffer(x, np.uint64) for y in sh for x in y]
+        node = np.concatenate(node)
+        a, b = forest(np.concatenate(fp), sh, np.concatenate(part), most, similarity)
+        return pa.RecordBatch.from_arrays([pa.array(np.maximum(node[a], node[b])), pa.array(np.minimum(node[a], node[b]))], ["u", "v"])
+
+    for b in batches:
+        key, i, j = (b[c].to_numpy() for c in ("key", "i", "j"))
+        cuts = [0, *(np.flatnonzero((np.diff(key) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0)) + 1), len(key)]
+        for x, y in zip(cuts, cuts[1:], strict=False):
+            if x == y:
                 continue
-            if now != key[i]:
-                if held and not over:
-                    yield links(*group_stars(*(np.concatenate([r[k] for r in held]) for k in range(2)), most))
-                held, now, over = [], key[i], False
-            held.append((node[i:j], fp[i:j]))
-            if over or (not last and sum(len(r[0]) for r in held) > BUCKET):
-                yield excess(held)
-                held, over = [], True
-    if held and not over:
-        yield links(*group_stars(*(np.concatenate([r[k] for r in held]) for k in range(2)), most))
+            if now != (key[x], i[x], j[x]):
+                if held:
+                    yield links()
+                held, now = [], (key[x], i[x], j[x])
+            some = b.slice(x, y - x)
+            fp = np.frombuffer(b"".join(some["fp"].to_pylist()), np.uint64).reshape(-1, BITS // 64)
+            held.append((some["part"].to_numpy(), some["node"].to_numpy(), fp, some["sh"].to_pylist()))
+    if held:
+        yield links()
+
+
+def _dealt(large: DataFrame) -> DataFrame:
+    """large: key, node, fp, m, n (rows of the bucket). The rows with the group (key, i, j) and the part that they are compared in."""
+    return large.select("key", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("part"), "node", "fp")
 
 
 def similar_components(docs: DataFrame, k: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of docs that has a word and a doc_id: doc_id, component_id (the smallest doc_id that links reach).
 
-    Texts with equal fingerprints are one node. A text of fewer than k words has its whole sequence as its one shingle. Null texts and
-    texts without words are no copies of each other and have no row.
+    A link is a candidate whose shingle sets have a Jaccard similarity of `similarity` or more. Texts with equal fingerprints are one
+    node. A text of fewer than k words has its whole sequence as its one shingle. Null texts and texts without words are no copies of
+    each other and have no row.
     """
-    spark = docs.sparkSession
     fp = materialise(wide_fingerprints(docs, k, id_col, text_col).where("doc_id is not null"), "wide")
-    nodes = materialise(fp.groupBy("fp").agg(F.min("doc_id").alias("node"), F.count("*").alias("n")), "wide-nodes")
+    nodes = materialise(fp.groupBy("fp").agg(F.min("doc_id").alias("node"), F.max("m").alias("m"), F.count("*").alias("n")), "wide-nodes")
     n = nodes.count()
     width = max(16, math.ceil(math.log2(max(n, 2))) - 2)
     share = differing_share(similarity)
     blocks = block_bits(width, max(BITS // width, math.ceil(math.log(1 / (1 - RECALL)) / (1 - share) ** width)))
-    most = int(differing_share(similarity - MARGIN) * BITS)
+    most = reach(similarity)
     apart = sketch_distance(most)
     met = nodes.select("node", "fp").mapInArrow(lambda it: _sketches(it, blocks), "key long, node long, a long, b long")
     met = met.repartition("key").sortWithinPartitions("key").mapInArrow(lambda it: _near_rows(it, apart), "key long, node long")
-    rows = materialise(met, "wide-near").join(nodes.select("node", "fp"), "node").select("key", "node", "fp")
-    links = None
-    for i in range(LEVELS):
-        last = i == LEVELS - 1
-        dealt = rows.repartition("key").sortWithinPartitions("key", "node")
-        found = materialise(dealt.mapInArrow(lambda it, last=last: _links(it, most, last), "u long, v long, key long, fp binary"), f"wide-links-{i}")
-        mine = found.where("v is not null").select("u", "v").distinct()
-        links = mine if links is None else links.unionByName(mine)
-        rest = found.where("key is not null").select("key", F.col("u").alias("node"), "fp")
-        if last or rest.isEmpty():
-            break
-        rows = rest.mapInArrow(lambda it: _finer(it, blocks), "key long, node long, fp binary")
+    near = materialise(met, "wide-near")
+    many = materialise(near.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > SMALL), "wide-large")
+    small, large = near, None
+    if not many.isEmpty():
+        marked = materialise(attach(near, many, "key", "n"), "wide-marked")
+        small, large = marked.where("n is null").select("key", "node"), marked.where("n is not null")
+        large = materialise(large.join(nodes.select("node", "fp", "m"), "node"), "wide-rows")
+    whole = small.join(nodes.select("node", "fp"), "node").select("key", "node", "fp").repartition("key").sortWithinPartitions("key", "node")
+    pairs = materialise(whole.mapInArrow(lambda it: _small_pairs(it, most), "u long, v long").where("u != v").distinct(), "wide-pairs")
+    asked = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node")))
+    asked = asked if large is None else asked.unionByName(large.select("node"))
+    sh = shingles_of(docs, materialise(asked.distinct(), "wide-asked"), k, id_col, text_col)
+    of = lambda end, name: sh.select(F.col("node").alias(end), F.col("sh").alias(name))
+    links = pairs.join(of("u", "a"), "u").join(of("v", "b"), "v").select("u", "v", "a", "b").mapInArrow(lambda it: _verified(it, similarity), "u long, v long")
+    if large is not None:
+        rows = _dealt(large).join(sh, "node").select("key", "i", "j", "part", "node", "fp", "sh")
+        rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+        links = materialise(links, "wide-links").unionByName(materialise(rows.mapInArrow(lambda it: _forests(it, most, similarity), "u long, v long"), "wide-forests"))
     parts = materialise(connected_components(links), "wide-components")
-    out = attach(fp, nodes.where("n > 1"), "fp", "n").select("doc_id", F.coalesce("node", "doc_id").alias("node"))
+    out = attach(fp.select("doc_id", "fp"), nodes.where("n > 1").select("fp", "node", "n"), "fp", "n").select("doc_id", F.coalesce("node", "doc_id").alias("node"))
     return out.join(parts, "node", "left").select("doc_id", F.coalesce("root", "node").alias("component_id"))
 
 

@@ -393,3 +393,29 @@ def test_sql_of_exact_dedup(spark, sf):
     db.sql(f"create view documents as select * from '{sf}/documents.parquet'")
     got = sorted(map(tuple, QUERIES["op10_exact_dedup"](spark, sf).collect()))
     assert got == sorted(db.sql(ORACLE_SQL["op10_exact_dedup"]).fetchall())
+
+
+def overlapping_texts(rng, n, pairs):
+    """Two texts of n shingles each for each number of shared ones in pairs."""
+    out = []
+    for shared in pairs:
+        word = lambda: "".join(rng.choice(list("abcdefghij"), 9))
+        same = [word() for _ in range(shared + 4)]
+        out += [" ".join(same + [word() for _ in range(n - shared)]) for _ in range(2)]
+    return out
+
+
+def exact_components(texts):
+    sets = [set(shingles(t, 5)) for t in texts]
+    return components(len(texts), [(i, j) for i in range(len(texts)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])])
+
+
+def test_near_dedup_is_exact_at_its_similarity(spark):
+    """At 0.8 to 0.82 pairs are linked, under 0.8 none is."""
+    n = 200
+    shared = [178 + i % 3 for i in range(120)] + [171 + i % 7 for i in range(80)]  # 178 of 222: 0.802; 177 of 223: 0.794; 171: 0.747
+    texts = overlapping_texts(np.random.default_rng(7), n, shared)
+    got = {r["doc_id"]: r["component_id"] for r in simhash_wide.similar_components(odd_documents(spark, texts)).collect()}
+    want = dict(enumerate(exact_components(texts)))
+    assert sum(got[i] != want[i] for i in got) <= 1  # a pair right at 0.8 is found with a chance of 0.998
+    assert all(got[i] in (i, want[i]) for i in got)
