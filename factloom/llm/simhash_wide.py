@@ -10,7 +10,7 @@ always, as the first blocks are disjoint).
 
 Candidates are links only if the shingle sets of their texts have a Jaccard similarity of at least the wanted one. The pairs of small
 buckets are made distinct and joined to the shingles. Rows of larger buckets get their shingles into the bucket, and only a
-spanning forest of verified pairs leaves it.
+spanning forest of verified pairs leaves it. A bucket that is too large for one task is cut into parts, each two of which are a group.
 
 To the buckets go keys, nodes and the first SKETCH bits alone. A row that differs from all others of its small bucket in more of
 those than a candidate can (but for a chance of 10^-9) has no partner there; the other rows meet again with whole fingerprints.
@@ -36,6 +36,8 @@ RECALL = 0.999
 REACH = 3.1
 #: Rows of a bucket whose pairs leave it as they are; those of larger buckets are verified inside.
 SMALL = 32
+#: Rows and bytes of shingles of a part of a larger bucket, about.
+BUCKET, BUCKET_BYTES = 4096, 32 << 20
 #: Candidates of a larger bucket that are verified at once, and the most bytes of bit sets for that.
 PAIRS, BIT_BYTES = 4096, 64 << 20
 #: Bits of a fingerprint that go to its buckets, and by how many standard deviations a link's distance there may exceed its mean.
@@ -297,8 +299,16 @@ def _forests(batches, most: int, similarity: float):
 
 
 def _dealt(large: DataFrame) -> DataFrame:
-    """large: key, node, fp, m, n (rows of the bucket). The rows with the group (key, i, j) and the part that they are compared in."""
-    return large.select("key", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("part"), "node", "fp")
+    """large: key, node, fp, m, n (rows of the bucket). The rows with the group (key, i, j) and the part that they are compared in.
+
+    A bucket of over BUCKET rows or BUCKET_BYTES of shingles is cut into parts by a hash, and each two of them are a group, so every
+    pair meets in one group and none grows with its bucket.
+    """
+    need = F.ceil(F.greatest(F.count("*") / F.lit(BUCKET), F.sum("m") * 8 / F.lit(BUCKET_BYTES))).cast("int")
+    size = materialise(large.groupBy("key").agg(need.alias("parts"), F.count("*").alias("rows")), "wide-parts")
+    cut = attach(large.select("key", "node", "fp"), size, "key", "rows").withColumn("part", F.pmod(F.xxhash64("node", "key"), F.col("parts")).cast("int"))
+    cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return cut.select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "node", "fp")
 
 
 def similar_components(docs: DataFrame, k: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

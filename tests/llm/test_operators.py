@@ -419,3 +419,35 @@ def test_near_dedup_is_exact_at_its_similarity(spark):
     want = dict(enumerate(exact_components(texts)))
     assert sum(got[i] != want[i] for i in got) <= 1  # a pair right at 0.8 is found with a chance of 0.998
     assert all(got[i] in (i, want[i]) for i in got)
+
+
+def near_copies(rng, n):
+    """Three families of texts that differ from their first in a few words; in a family all share many blocks."""
+    out = []
+    for _ in range(3):
+        base = ["".join(rng.choice(list("abcdefghij"), 9)) for _ in range(300)]
+        for _ in range(n):
+            own = list(base)
+            for at in rng.integers(0, 300, rng.integers(0, 9)):
+                own[at] = "".join(rng.choice(list("klmnop"), 9))
+            out.append(" ".join(own))
+    return out
+
+
+def test_near_dedup_overfull_buckets(spark, monkeypatch):
+    """Buckets of near copies are cut into groups of a bounded size, and no pair is lost or joined wrongly."""
+    texts = near_copies(np.random.default_rng(4), 60)
+    want = dict(enumerate(exact_components(texts)))
+    monkeypatch.setattr(simhash_wide, "BUCKET", 8)
+    rows = [(7, i, b"", 3, 200) for i in range(200)] + [(8, i, b"", 3, 100) for i in range(100)]
+    dealt = simhash_wide._dealt(spark.createDataFrame(rows, "key long, node long, fp binary, m long, n long")).collect()
+    size, meet = Counter((r["key"], r["i"], r["j"]) for r in dealt), defaultdict(set)
+    for r in dealt:
+        meet[r["key"], r["i"], r["j"]].add(r["node"])
+    assert max(size.values()) <= 6 * 8 and all(len(meet[g]) == size[g] for g in size)
+    for key, n in ((7, 200), (8, 100)):
+        groups = [g for k, g in meet.items() if k[0] == key]
+        together = {(a, b) for g in groups for a in g for b in g}
+        assert len(together) == n * n
+    got = {r["doc_id"]: r["component_id"] for r in simhash_wide.similar_components(odd_documents(spark, texts)).collect()}
+    assert got == want
