@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +13,8 @@ from ..functions.columns import bucket, cosine, words
 
 RRF_K = 60
 MIN_SCORE = 0.15
+#: Query vectors that go to all tasks at once, and rows that a task compares with them at once.
+QUERY_BLOCK, ROWS = 1024, 2048
 
 
 def hashed_vectors(texts: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
@@ -34,6 +40,61 @@ def nearest(vectors: DataFrame, query: Column, k: int, key: str, vector: str, mi
     return top if min_score is None else top.where(F.col("score") >= min_score)
 
 
+def _query_blocks(queries: DataFrame, key: str, vector: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The ids and vectors of QUERY_BLOCK queries at a time; only a block is on the driver."""
+    ids, own = [], []
+    for r in queries.select(F.col(key).cast("long"), F.col(vector).cast("array<double>")).where(F.col(vector).isNotNull()).toLocalIterator():
+        ids.append(r[0])
+        own.append(r[1])
+        if len(ids) == QUERY_BLOCK:
+            yield np.array(ids, np.int64), np.array(own, np.float64)
+            ids, own = [], []
+    if ids:
+        yield np.array(ids, np.int64), np.array(own, np.float64)
+
+
+def nearest_of_each(vectors: DataFrame, queries: DataFrame, k: int, key: str, vector: str, min_score: float | None = None) -> DataFrame:
+    """(query_id, place, key, score): for each row of queries (key, vector) what nearest() says, ties in the order of the key.
+
+    Queries are taken in blocks; a task keeps the k best of each query, and a window over the query merges the tasks' ones.
+    """
+    rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).where("v is not null")
+    out = None
+    for q_ids, q in _query_blocks(queries, key, vector):
+        norm = np.sqrt((q * q).sum(axis=1))
+
+        def search(batches, q_ids=q_ids, q=q, norm=norm):
+            best = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+            for whole in batches:
+                for at in range(0, len(whole), ROWS):
+                    b = whole.slice(at, ROWS)
+                    own = b["v"].flatten().to_numpy(zero_copy_only=False).reshape(len(b), -1)
+                    size = np.sqrt((own * own).sum(axis=1))
+                    scale = norm[:, None] * size[None, :]
+                    about = np.divide(q @ own.T, scale, out=np.zeros_like(scale), where=scale > 0)
+                    least = np.partition(about, -k, axis=1)[:, -k] if len(b) > k else np.full(len(q), -1.0)
+                    i, j = np.nonzero((about >= least[:, None] - 1e-9) & (about > -1e-9))
+                    # equal vectors must have equal scores, so these are summed row by row
+                    score = np.concatenate([np.zeros(0), *((q[i[s : s + ROWS]] * own[j[s : s + ROWS]]).sum(axis=1) for s in range(0, len(i), ROWS))])
+                    score = np.divide(score, scale[i, j], out=np.zeros(len(i)), where=scale[i, j] > 0)
+                    more = score > 0
+                    found = i[more], b["id"].to_numpy()[j[more]], score[more]
+                    best = [np.concatenate(x) for x in zip(best, found, strict=True)]
+                    order = np.lexsort((best[1], -best[2], best[0]))
+                    best = [x[order] for x in best]
+                    head = np.searchsorted(best[0], best[0])
+                    best = [x[np.arange(len(head)) - head < k] for x in best]
+            yield pa.RecordBatch.from_arrays([pa.array(q_ids[best[0]]), pa.array(best[1]), pa.array(best[2])], ["query_id", "id", "score"])
+
+        found = rows.mapInArrow(search, "query_id long, id long, score double")
+        out = found if out is None else out.unionByName(found)
+    if out is None:
+        out = vectors.sparkSession.createDataFrame([], "query_id long, id long, score double")
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id"))
+    top = out.withColumn("place", place).where(F.col("place") <= k).select("query_id", "place", F.col("id").alias(key), "score")
+    return top if min_score is None else top.where(F.col("score") >= min_score)
+
+
 def fuse(lists: DataFrame, k: int | None = 5, by: list[str] | None = None, constant: int = RRF_K) -> DataFrame:
     """lists: list, rank, key and the columns of by, which tell apart searches that are fused at once.
 

@@ -27,3 +27,18 @@ def test_query(spark, sf, db, name):
     got = rows(names, df.select(*names).collect())
     assert got == rows(sorted(said.columns), said.select(*(f'"{c}"' for c in sorted(said.columns))).fetchall())
     assert got[1]
+
+
+def test_nearest_of_each_ties_and_blocks(spark, monkeypatch):
+    """Several blocks of queries and batches of rows give the k best of each query, ties by id; zero and null vectors are never found."""
+    from factloom.operators import retrieval
+
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 3)
+    monkeypatch.setattr(retrieval, "ROWS", 4)
+    data = [(i, [1.0, float(i % 3), 0.5] if i % 7 else [0.0, 0.0, 0.0] if i else None) for i in range(40)]
+    vectors = spark.createDataFrame(data, "vec_id long, v array<float>").repartition(3)
+    got = {(r["query_id"], r["place"]): r["vec_id"] for r in retrieval.nearest_of_each(vectors, vectors.where("vec_id % 5 = 0"), 4, "vec_id", "v").collect()}
+    full = [i for i, v in data if v and any(v)]
+    cosine = lambda a, b: sum(x * y for x, y in zip(a, b, strict=True)) / (sum(x * x for x in a) * sum(y * y for y in b)) ** 0.5
+    want = {(q, n + 1): i for q in full if q % 5 == 0 for n, i in enumerate(sorted(full, key=lambda i: (-round(cosine(data[q][1], data[i][1]), 9), i))[:4])}
+    assert got == want
