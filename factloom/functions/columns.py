@@ -169,14 +169,17 @@ def new_file_patch(path: Column, text: Column) -> Column:
 
 
 def bounded_text(text: Column, limit: int) -> Column:
-    """At most `limit` bytes: the first quarter and the last three, with a mark between them that says how much is left out."""
+    """At most `limit` bytes: the first quarter and the last three, with a mark between them that says how much is left out.
+
+    What a cut leaves of a character becomes U+FFFD.
+    """
     data = F.encode(text, "UTF-8")
     head = limit // 4
     tail = limit - head
     cut = F.concat(
-        F.decode(F.substring(data, 1, head), "UTF-8"),
+        F.make_valid_utf8(F.substring(data, 1, head).cast("string")),
         F.format_string("\n[... %d bytes truncated ...]\n", F.length(data) - limit),
-        F.decode(F.substring(data, -tail, tail), "UTF-8"),
+        F.make_valid_utf8(F.substring(data, -tail, tail).cast("string")),
     )
     return F.when(F.length(data) <= limit, text).otherwise(cut)
 

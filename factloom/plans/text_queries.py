@@ -97,6 +97,15 @@ def bounded_texts(spark, sf):
     return rows.select("doc_id", F.octet_length(C.bounded_text(F.col("text"), 400)).cast("long").alias("n_bytes"))
 
 
+@_Q.add(
+    r"""WITH h AS (SELECT doc_id, text, hex(encode(text)) AS h FROM documents), c AS (SELECT doc_id, text, octet_length(encode(text)) AS n, regexp_replace(left(h, 200), '^((?:..)*?)(?:[CDEF].|E.[89AB].|F.[89AB].|F.[89AB].[89AB].)$', '\1EFBFBD') AS head, right(h, 600) AS t, length(regexp_extract(right(h, 600), '^(?:[89AB].)*')) AS cut FROM h)
+    SELECT doc_id, octet_length(encode(b)) AS n_bytes, md5(b) AS md5 FROM (SELECT doc_id, CASE WHEN n <= 400 THEN text ELSE concat(decode(unhex(head)), chr(10), '[... ', n - 400, ' bytes truncated ...]', chr(10), decode(unhex(concat(repeat('EFBFBD', CAST(cut / 2 AS INT)), substr(t, cut + 1))))) END AS b FROM c) AS x"""
+)
+def bounded_texts_of_all(spark, sf):
+    rows = select(spark, sf, "SELECT doc_id, text FROM documents").select("doc_id", C.bounded_text(F.col("text"), 400).alias("b"))
+    return rows.select("doc_id", F.octet_length("b").cast("long").alias("n_bytes"), F.md5("b").alias("md5"))
+
+
 @_Q.add("SELECT page_id, lower(regexp_extract(url, '^https?://([^/:?#]+)', 1)) AS host FROM pages")
 def url_hosts(spark, sf):
     return select(spark, sf, "SELECT page_id, url FROM pages").select("page_id", C.url_host(F.col("url")).alias("host"))

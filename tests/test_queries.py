@@ -42,3 +42,20 @@ def test_nearest_of_each_ties_and_blocks(spark, monkeypatch):
     cosine = lambda a, b: sum(x * y for x, y in zip(a, b, strict=True)) / (sum(x * x for x in a) * sum(y * y for y in b)) ** 0.5
     want = {(q, n + 1): i for q in full if q % 5 == 0 for n, i in enumerate(sorted(full, key=lambda i: (-round(cosine(data[q][1], data[i][1]), 9), i))[:4])}
     assert got == want
+
+
+def test_bounded_text_cuts_inside_characters(spark):
+    from pyspark.sql import functions as F
+
+    from factloom.functions.columns import bounded_text
+
+    texts = [None, "", "é" * 30, *("a" * i + c * 40 + "z" * j for c in "é日🎉" for i in range(4) for j in range(4))]
+
+    def brute(t):
+        data = (t or "").encode()
+        if t is None or len(data) <= 40:
+            return t
+        return data[:10].decode("utf-8", "replace") + f"\n[... {len(data) - 40} bytes truncated ...]\n" + data[-30:].decode("utf-8", "replace")
+
+    docs = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    assert {r["i"]: r["b"] for r in docs.select("i", bounded_text(F.col("text"), 40).alias("b")).collect()} == dict(enumerate(map(brute, texts)))
