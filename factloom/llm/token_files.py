@@ -45,7 +45,7 @@ class ChunkEncoder:
     encoded by the library once (as long as the cache holds it) and a text's ids are put together from its pieces'.
     ASCII punctuation that closes a piece is a piece of its own, and pieces are looked up in lower case, for such a
     vocabulary makes them so anyway; pieces where that could make a difference stay as they are.
-    special_as_text: the strings of special tokens in a text are ordinary text.
+    special_as_text: the strings of special tokens in a text are ordinary text; otherwise they are these tokens, as by the library's default.
     """
 
     def __init__(self, path: str, special_as_text: bool = True):
@@ -251,5 +251,5 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .common import table
 
     path = public_tokenizers.path("word_bpe_49k.json")
-    shards = write_token_files(table(spark, sf_dir, "documents"), lambda: ChunkEncoder(path), end_id=1, vocabulary=49_408)
+    shards = write_token_files(table(spark, sf_dir, "documents"), lambda: ChunkEncoder(path, special_as_text=False), end_id=1, vocabulary=49_408)
     return read_token_files(shards, end_id=1)

@@ -451,3 +451,20 @@ def test_near_dedup_overfull_buckets(spark, monkeypatch):
         assert len(together) == n * n
     got = {r["doc_id"]: r["component_id"] for r in simhash_wide.similar_components(odd_documents(spark, texts)).collect()}
     assert got == want
+
+
+def test_token_files_special_tokens(spark, tmp_path):
+    """The registered query gives the ids of the unchanged tokenizer, strings of special tokens included."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    texts = [*odd_texts(), "a <|endoftext|> b", "A.<|endoftext|>,B", "x<|startoftext|><|endoftext|>y...", "<|ENDOFTEXT|> <| endoftext |>", "<|endoftext|", "\t<|endoftext|>\n\n<|startoftext|>ΣΑΣ", "é<|endoftext|>s's"]
+    odd_documents(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    want, start = {}, 0
+    for i, x in enumerate(texts):
+        ids = np.array([*t.encode(x or "", add_special_tokens=False).ids, 1], "<u4")
+        want[i] = (start, len(ids), zlib.crc32(ids.tobytes()))
+        start += len(ids)
+    assert t.encode("a <|endoftext|> b", add_special_tokens=False).ids == [320, 49407, 321]
+    assert {r["doc_id"]: (r["start"], r["n_tokens"], r["ids_crc32"]) for r in QUERIES["op2_token_files"](spark, str(tmp_path)).collect()} == want
