@@ -12,17 +12,23 @@ Everything happens where the text is read; the templates are a list of fixed siz
 
 from __future__ import annotations
 
+from pathlib import Path
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import id_and_text, table
-from .words import plain_words, ranges, seeds_of, slices
+from .words import PUNCTUATION, plain_words, ranges, seeds_of, slices
 
 SHINGLE, CONTAINMENT = 5, 0.8
 BANDS, SMALLEST = 64, 8
 #: Templates go to every task.
 MAX_TEMPLATES = 10_000
+#: A notice of up to so many words is found only with its version; a text from so many words on takes the place of what it overlaps.
+NOTICE_WORDS, WHOLE_WORDS = 12, 100
+#: Words that alone tell a shorter text from that of another license: it is found only with them, and takes the other's place.
+MARKS = {"affero", "lesser", "sharealike", "attribution-sharealike", "attribution-noncommercial"}
 
 #: Notices by which licenses are given, with their SPDX names.
 TEMPLATES = {
@@ -37,6 +43,17 @@ TEMPLATES = {
     "ISC": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."],
     "Unlicense": ["This is free and unencumbered software released into the public domain."],
 }
+for _name, _more in {
+    "GPL-2.0": ["This work is licensed under the GNU General Public License, version 2."],
+    "LGPL-2.1": ["This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."],
+    "AGPL-3.0": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."],
+    "CC-BY-SA-4.0": ["This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
+    "EPL-2.0": ["This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at"],
+}.items():
+    TEMPLATES.setdefault(_name, []).extend(_more)
+#: Whole texts, a file for each SPDX name.
+for _file in sorted((Path(__file__).parent / "license_texts").glob("*.txt")):
+    TEMPLATES.setdefault(_file.stem, []).append(_file.read_text())
 
 
 class Templates:
@@ -53,6 +70,14 @@ class Templates:
         h, at = seeds_of(words, starts, SHINGLE)
         own = np.searchsorted(starts, at, side="right") - 1
         self.shingles = [np.unique(h[own == i]) for i in range(len(texts))]
+        # the shingles of shorter texts that hold a mark, else of one-line notices those that hold a word with a digit
+        plain = [x for t in texts for x in (y.strip(PUNCTUATION) for y in t.lower().split()) if x]
+        digit = np.array([any(c.isdigit() for c in x) for x in plain], bool)
+        versioned = np.array([digit[i : i + SHINGLE].any() for i in at], bool)
+        mark = np.array([x in MARKS for x in plain], bool)
+        marking = np.array([mark[i : i + SHINGLE].any() for i in at], bool)
+        self.marked = [self.words[i] < WHOLE_WORDS and bool((marking & (own == i)).any()) for i in range(len(texts))]
+        self.version = [h[(own == i) & (marking if self.marked[i] else versioned)] if self.marked[i] or self.words[i] <= NOTICE_WORDS else h[:0] for i in range(len(texts))]
         self.factors = np.random.default_rng(11).integers(0, 1 << 63, BANDS, np.uint64) * np.uint64(2) + np.uint64(1)
         self.level = [max(0, int(np.ceil(np.log2(2 * len(s) / SMALLEST)))) for s in self.shingles]
         self.levels = 1 + max(self.level, default=-1)
@@ -131,7 +156,7 @@ def licenses_of(texts: pa.Array, t: Templates) -> list[tuple[int, int, float, in
         # occurrences lie apart: a new one begins where the hits are further apart than the template is long
         for group in np.split(hits, np.flatnonzero(np.diff(hits) > t.words[m]) + 1):
             share = len(np.unique(part[group])) / len(t.shingles[m])
-            if share >= CONTAINMENT:
+            if share >= CONTAINMENT and (not len(t.version[m]) or np.isin(t.version[m], part[group]).any()):
                 out.setdefault((int(full[i]), int(m)), []).append((int(lo + group[0]), int(lo + group[-1]) + SHINGLE, share))
     rows = []
     for (text, m), spans in sorted(out.items()):
@@ -144,7 +169,18 @@ def licenses_of(texts: pa.Array, t: Templates) -> list[tuple[int, int, float, in
                     rows.append((text, m, now[2], now[0], now[1]))
                 now = (a, b, share)
         rows.append((text, m, now[2], now[0], now[1]))
-    return rows
+    return _without_covered(rows, t)
+
+
+def _without_covered(rows: list[tuple[int, int, float, int, int]], t: Templates) -> list[tuple[int, int, float, int, int]]:
+    """rows without those that lie by half or more in an occurrence of a whole or marked text that has more of its shingles there."""
+    held = [r[2] * len(t.shingles[r[1]]) for r in rows]
+    whole: dict[int, list[int]] = {}
+    for i, r in enumerate(rows):
+        if t.words[r[1]] >= WHOLE_WORDS or t.marked[r[1]]:
+            whole.setdefault(r[0], []).append(i)
+    covered = lambda i, j: held[j] > held[i] and 2 * (min(rows[i][4], rows[j][4]) - max(rows[i][3], rows[j][3])) >= rows[i][4] - rows[i][3]
+    return [r for i, r in enumerate(rows) if not any(covered(i, j) for j in whole.get(r[0], []))]
 
 
 def license_scan(docs: DataFrame, templates: dict[str, list[str]] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

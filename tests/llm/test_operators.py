@@ -468,3 +468,18 @@ def test_token_files_special_tokens(spark, tmp_path):
         start += len(ids)
     assert t.encode("a <|endoftext|> b", add_special_tokens=False).ids == [320, 49407, 321]
     assert {r["doc_id"]: (r["start"], r["n_tokens"], r["ids_crc32"]) for r in QUERIES["op2_token_files"](spark, str(tmp_path)).collect()} == want
+
+
+def test_licenses_whole_texts_and_versions(spark):
+    pad = " ".join(f"w{i}" for i in range(300))
+    names = sorted(n for n, own in licenses.TEMPLATES.items() if len(own[-1].split()) >= licenses.WHOLE_WORDS)
+    texts = [f"{pad} {licenses.TEMPLATES[n][-1]} {pad}" for n in names]
+    texts += [f"This work is licensed under the GNU General Public License, version {v}." for v in (2, 3)]
+    texts += ["This work is licensed under the GNU General Public License, version 9."]
+    by = defaultdict(set)
+    for r in licenses.license_scan(odd_documents(spark, texts)).collect():
+        by[r["doc_id"]].add(r["license"])
+    assert {"LGPL-2.1", "BSD-2-Clause", "BSD-3-Clause", "CC0-1.0", "BSL-1.0", "Zlib", "MIT"} <= set(names)
+    assert [by[i] for i in range(len(texts))] == [*({n} for n in names), {"GPL-2.0"}, {"GPL-3.0"}, set()]
+    headers = [licenses.TEMPLATES["AGPL-3.0"][0], licenses.TEMPLATES["CC-BY-SA-4.0"][0], licenses.TEMPLATES["LGPL-2.1"][0]]
+    assert [r["license"] for r in licenses.license_scan(odd_documents(spark, headers)).orderBy("doc_id").collect()] == ["AGPL-3.0", "CC-BY-SA-4.0", "LGPL-2.1"]
