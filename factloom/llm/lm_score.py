@@ -1,22 +1,26 @@
 """Language-model scores by deleted interpolation (operator 6).
 
-The model mixes the maximum-likelihood estimates of the word after its predecessor, of the word alone and of any word
-at all. The three weights depend on a bucket of the context's frequency (powers of two) and are learned by
+The model mixes the maximum-likelihood estimates of a word after its two predecessors, after its predecessor alone, of the
+word alone and of any word at all. The weights depend on buckets of the contexts' frequencies (powers of two) and are learned by
 expectation-maximisation on held-out counts: each training token in turn is held out, so its estimates are taken from counts
-from which its own occurrence is deleted.
+from which its own occurrence is deleted. The three lower estimates are mixed first; the trigram's estimate is then mixed with that.
 
 Counts are exact and cover all training documents. No token is shuffled: a block of documents (a slice of what a task
-reads) asks for the counts of its distinct words and word pairs, and adds what it has itself seen of them; a request goes
-to the bucket of its hash, where all blocks' counts are summed, and the sums go back to the block. The number
-of buckets follows the size of the corpus, so a bucket stays small however large that is. Words and pairs are known by
-64-bit hashes.
+reads) asks for the counts of its distinct n-grams and adds what it has itself seen of them. Requests travel in two steps,
+so that their number stays far under blocks x buckets: a block writes one request for each range of hashes (as many
+ranges as the root of the number of buckets); a group of blocks merges the requests of a range, with their counts
+summed, and asks the range's buckets; the sums go back the same way. Buckets, ranges and groups follow the size of the
+corpus, so what a task holds does not grow with it. N-grams are known by 64-bit hashes.
 """
 
 from __future__ import annotations
 
+import math
 import struct
 import uuid
 from collections.abc import Iterator
+from itertools import groupby, pairwise
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import id_and_text, materialise, table
+from .common import discard, id_and_text, materialise, table
 from .words import codes_of, lowered, slices, words_of
 
 #: Characters of text in a block, about; and of all texts for each bucket of hashes.
@@ -111,156 +115,259 @@ def pairs_of(known: np.ndarray, token: np.ndarray, at: np.ndarray) -> np.ndarray
     return pair_hash(before, h)
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]):
-    """Batches of doc_id, text, held as blocks (block, bucket -1, data): distinct words and the documents' tokens."""
-    for b in slices(batches, size=BLOCK_BYTES):
+def _blocks(batches: Iterator[pa.RecordBatch], size: int):
+    """Batches of doc_id, text, held as blocks (block, data): distinct words and the documents' tokens."""
+    for b in slices(batches, size=size):
         known, token, at = tokens_of(b["text"])
         held = b["held"].to_numpy(zero_copy_only=False).astype(np.uint8)
         null = np.asarray(b["doc_id"].is_null()).astype(np.uint8)
         doc = pc.fill_null(b["doc_id"], 0).to_numpy(zero_copy_only=False)
         data = pack(doc, null, held, at, token.astype(np.uint32), np.diff(known, prepend=np.uint64(0)))
-        yield pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().hex]), pa.array([-1], pa.int32()), pa.array([data], pa.binary())], ["block", "bucket", "data"])
+        yield pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().hex]), pa.array([data], pa.binary())], ["block", "data"])
 
 
-def _asks(buckets: int):
-    """Blocks to their requests (block, bucket, data): distinct words and pairs, and how often the block's training tokens are them."""
+class Routes:
+    """How n-grams and blocks are dealt: hashes to buckets, buckets to ranges, blocks to groups; a part is a group's share of a range."""
 
-    def ask(keys: np.ndarray, number: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        seen = np.bincount(number[train], minlength=len(keys)).astype(np.uint32)
-        bucket = (keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
-        return keys, seen, np.searchsorted(bucket, np.arange(buckets + 1))
+    def __init__(self, size: int):
+        buckets = max(12, -(-size // BUCKET_CHARS))
+        self.ranges = math.isqrt(buckets - 1) + 1
+        self.each = -(-buckets // self.ranges)
+        self.groups, self.buckets = self.each, self.ranges * self.each
+        self.parts = self.ranges * self.groups
+
+    def cuts(self, keys: np.ndarray, first: int, last: int, of_ranges: bool) -> np.ndarray:
+        """Where the buckets (or ranges) first, ..., last - 1 begin in sorted keys, and where the last one ends."""
+        n = self.ranges if of_ranges else self.buckets
+        return np.searchsorted((keys >> np.uint64(32)) * np.uint64(n) >> np.uint64(32), np.arange(first, last + 1))
+
+    def part(self, block: str, range_: int) -> int:
+        return range_ * self.groups + int(block[:8], 16) % self.groups
+
+
+def _rows(schema: str, *columns: list) -> pa.RecordBatch:
+    kinds = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+    names, types = zip(*(x.split() for x in schema.split(", ")), strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[t]) for c, t in zip(columns, types, strict=True)], list(names))
+
+
+def _grouped(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[object, Iterator[dict]]]:
+    """Rows sorted by key, group by group; a group is streamed, so it must be used up before the next one."""
+    return groupby((r for b in batches for r in b.to_pylist()), itemgetter(key))
+
+
+class _Block:
+    """A block's documents, tokens and n-grams."""
+
+    def __init__(self, data: bytes):
+        self.doc, self.null, self.held, self.at, token, known, *self.counts = unpack(data)
+        self.token, self.gaps, known = token.astype(np.int64), known, np.cumsum(known, dtype=np.uint64)
+        self.words = known & ~np.uint64(1)  # an even key is a word's, an odd one a pair's
+        self.train = np.repeat(self.held == 0, np.diff(self.at))
+        self.pair = pairs_of(known, self.token, self.at)
+        self.hash = known[self.token]
+
+    def numbers(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct pairs, each token's pair's number, and how often the training tokens are each word and each pair."""
+        pairs, pair = np.unique(self.pair | np.uint64(1), return_inverse=True)
+        seen = lambda number, n: np.bincount(number[self.train], minlength=n)
+        return pairs, pair, seen(self.token, len(self.words)), seen(pair, len(pairs))
+
+    def first(self) -> tuple[np.ndarray, np.ndarray]:
+        """The sorted keys of words and pairs, and the training tokens' counts of them."""
+        pairs, _, words_seen, pairs_seen = self.numbers()
+        keys = np.concatenate([self.words, pairs])
+        order = np.argsort(keys, kind="stable")
+        return keys[order], np.concatenate([words_seen, pairs_seen])[order]
+
+    def with_first(self, totals: np.ndarray) -> bytes:
+        """The block with the counts of each token and of its pair."""
+        pairs, pair, *_ = self.numbers()
+        order = np.argsort(np.concatenate([self.words, pairs]), kind="stable")
+        by_key = np.empty(len(order), np.int64)
+        by_key[order] = totals
+        return pack(self.doc, self.null, self.held, self.at, self.token.astype(np.uint32), self.gaps, *map(_small, (by_key[self.token], by_key[len(self.words) :][pair])))
+
+    def triples(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Which tokens' trigrams are asked for, their sorted keys, and each one's number among these. The first trigram of a document is its first pair."""
+        ask = np.ones(len(self.pair), bool)
+        ask[self.at[:-1]] = False
+        at = np.flatnonzero(ask)
+        return ask, *np.unique(pair_hash(self.pair[at - 1], self.hash[at]), return_inverse=True)
+
+    def second(self) -> tuple[np.ndarray, np.ndarray]:
+        """The sorted keys of trigrams, and the training tokens' counts of them."""
+        ask, keys, number = self.triples()
+        return keys, np.bincount(number[self.train[ask]], minlength=len(keys))
+
+    def with_second(self, totals: np.ndarray) -> bytes:
+        """The documents and, for each token, the training counts of itself, its pair and its trigram."""
+        ask, _, number = self.triples()
+        count = self.counts[1].astype(np.int64)
+        count[ask] = totals[number]
+        return pack(self.doc, self.null, self.held, self.at, *self.counts, _small(count))
+
+
+def _small(x: np.ndarray) -> np.ndarray:
+    return x.astype(np.uint32) if x.max(initial=0) < 1 << 32 else x
+
+
+def _asks(routes: Routes, round_: int):
+    """Blocks to their requests (part, block, data): for each range the sorted keys and the training tokens' counts of them."""
 
     def run(batches: Iterator[pa.RecordBatch]):
         for b in batches:
             for block, data in zip(b["block"].to_pylist(), b["data"], strict=True):
-                _, _, held, at, token, known = unpack(data.as_py())
-                token, known = token.astype(np.int64), np.cumsum(known, dtype=np.uint64)
-                train = np.repeat(held == 0, np.diff(at))
-                pairs, pair = np.unique(pairs_of(known, token, at), return_inverse=True)
-                w, p = ask(known, token, train), ask(pairs, pair, train)
-                rows = []
-                for k in range(buckets):
-                    (i, j), (x, y) = w[2][k : k + 2], p[2][k : k + 2]
-                    if j > i or y > x:
-                        rows.append((k, pack(np.diff(w[0][i:j], prepend=np.uint64(0)), w[1][i:j], np.diff(p[0][x:y], prepend=np.uint64(0)), p[1][x:y])))
-                yield pa.RecordBatch.from_arrays([pa.array([block] * len(rows)), pa.array([k for k, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], ["block", "bucket", "data"])
+                one = _Block(data.as_py())
+                keys, seen = (one.first, one.second)[round_]()
+                at = routes.cuts(keys, 0, routes.ranges, True)
+                rows = [(routes.part(block, r), pack(np.diff(keys[i:j], prepend=np.uint64(0)), _small(seen[i:j]))) for r, (i, j) in enumerate(pairwise(at)) if j > i]
+                yield _rows("part int, block string, data binary", [x for x, _ in rows], [block] * len(rows), [x for _, x in rows])
 
     return run
 
 
-def _answers(batches: Iterator[pa.RecordBatch]):
-    """Requests sorted by bucket; for each, the sums (block, bucket, data), and for each bucket (null, distinct training tokens, all training tokens)."""
-    held: list[tuple[str, list[np.ndarray]]] = []
-    now = None
-
-    def flush():
-        out = [[], []]
-        for kind in range(2):
-            keys = np.concatenate([np.cumsum(x[2 * kind], dtype=np.uint64) for _, x in held])
-            seen = np.concatenate([x[2 * kind + 1] for _, x in held])
-            _, number = np.unique(keys, return_inverse=True)
-            total = np.bincount(number, weights=seen).astype(np.int64) if len(keys) else np.zeros(0, np.int64)
-            if kind == 0:
-                stats = (int((total > 0).sum()), int(total.sum()))
-            cuts = np.cumsum([len(x[2 * kind]) for _, x in held])[:-1]
-            out[kind] = np.split(total[number] if len(keys) else total, cuts)
-        data = [pack(w, p) for w, p in zip(*out, strict=True)]
-        n = len(held)
-        return pa.RecordBatch.from_arrays([pa.array([x for x, _ in held] + [None], pa.string()), pa.array([now] * n + [None], pa.int32()), pa.array([*data, None], pa.binary()), pa.array([None] * n + [stats[0]], pa.int64()), pa.array([None] * n + [stats[1]], pa.int64())], ["block", "bucket", "data", "v", "n"])
+def _merged(routes: Routes):
+    """Requests sorted by part: a row for each bucket of a part (keys and sums), and one for each block (its keys' places in the part)."""
 
-    for b in batches:
-        for r in b.to_pylist():
-            if r["bucket"] != now:
-                if held:
-                    yield flush()
-                held, now = [], r["bucket"]
-            held.append((r["block"], unpack(r["data"])))
-    if held:
-        yield flush()
-
-
-def _counted(block: bytes, answers: list[bytes]) -> bytes:
-    """A block's documents and, for each token, the training counts of itself and of itself after its context."""
-    doc, null, held, at, token, known = unpack(block)
-    got = [unpack(x) for x in answers]
-    words, pairs = (np.concatenate([x[i] for x in got]) if got else np.zeros(0, np.int64) for i in range(2))
-    token, known = token.astype(np.int64), np.cumsum(known, dtype=np.uint64)
-    _, pair = np.unique(pairs_of(known, token, at), return_inverse=True)
-    return pack(doc, null, held, at, *(x.astype(np.uint32) if x.max(initial=0) < 1 << 32 else x for x in (words[token], pairs[pair])))
-
-
-def _packs(batches: Iterator[pa.RecordBatch]):
-    """A block and its answers, sorted by bucket, as one row of counts."""
-    held: list[bytes] = []
-    now = None
-
-    def flush():
-        return pa.RecordBatch.from_arrays([pa.array([_counted(held[0], held[1:])], pa.binary())], ["counts"])
+    def run(batches: Iterator[pa.RecordBatch]):
+        for part, own in _grouped(batches, "part"):
+            blocks, keys, seen = zip(*((r["block"], np.cumsum((x := unpack(r["data"]))[0], dtype=np.uint64), x[1]) for r in own), strict=True)
+            known, place = np.unique(np.concatenate(keys), return_inverse=True)
+            total = np.bincount(place, weights=np.concatenate(seen)).astype(np.int64)
+            first = part // routes.groups * routes.each
+            at = routes.cuts(known, first, first + routes.each, False)
+            rows = [(first + k, None, pack(np.diff(known[i:j], prepend=np.uint64(0)), _small(total[i:j]))) for k, (i, j) in enumerate(pairwise(at)) if j > i]
+            for block, x in zip(blocks, np.split(place, np.cumsum([len(x) for x in keys])[:-1]), strict=True):
+                rows.append((None, block, pack(np.diff(x, prepend=0).astype(np.uint32))))
+            buckets, names, data = map(list, zip(*rows, strict=True))
+            yield _rows(_MERGED, [part] * len(rows), buckets, names, data)
 
-    for b in batches:
-        for block, data in zip(b["block"].to_pylist(), b["data"], strict=True):
-            if block != now:
-                if held:
-                    yield flush()
-                held, now = [], block
-            held.append(data.as_py())
-    if held:
-        yield flush()
+    return run
+
+
+_MERGED = "part int, bucket int, block string, data binary"
+
+
+def _sums(batches: Iterator[pa.RecordBatch]):
+    """Rows of buckets, sorted by bucket: for each part what all parts have, and a row without a part: v distinct words and n training tokens."""
+    for bucket, own in _grouped(batches, "bucket"):
+        parts, keys, seen = zip(*((r["part"], np.cumsum((x := unpack(r["data"]))[0], dtype=np.uint64), x[1]) for r in own), strict=True)
+        known, place = np.unique(np.concatenate(keys), return_inverse=True)
+        total = np.bincount(place, weights=np.concatenate(seen)).astype(np.int64)
+        words = total[known & np.uint64(1) == 0]
+        data = [pack(_small(total[x])) for x in np.split(place, np.cumsum([len(x) for x in keys])[:-1])]
+        k = len(parts)
+        yield _rows(f"{_MERGED}, v long, n long", [*parts, None], [bucket] * (k + 1), [None] * (k + 1), [*data, None], [None] * k + [int((words > 0).sum())], [None] * k + [int(words.sum())])
+
+
+def _returned(batches: Iterator[pa.RecordBatch]):
+    """Sums of a part by bucket, then its blocks' places: (block, part, data), the counts of the block's keys in the part's range."""
+    for part, own in _grouped(batches, "part"):
+        sums, whole = [], None
+        for r in own:
+            if r["block"] is None:
+                sums.append(unpack(r["data"])[0].astype(np.int64))
+                continue
+            whole = np.concatenate(sums) if whole is None else whole
+            yield _rows("block string, part int, data binary", [r["block"]], [part], [pack(_small(whole[np.cumsum(unpack(r["data"])[0], dtype=np.int64)]))])
+
+
+def _counted(round_: int):
+    """A block (part -1) and the counts that came back to it, sorted by block and part: (block, data)."""
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        for block, own in _grouped(batches, "block"):
+            one = _Block(next(own)["data"])
+            totals = np.concatenate([np.zeros(0, np.int64), *(unpack(r["data"])[0].astype(np.int64) for r in own)])
+            yield _rows("block string, data binary", [block], [(one.with_first, one.with_second)[round_](totals)])
+
+    return run
+
+
+def exchanged(blocks: DataFrame, routes: Routes, round_: int) -> tuple[DataFrame, int, int]:
+    """The blocks with the counts of a round (0: words and pairs, 1: trigrams), and the distinct and all training tokens, where it counts them."""
+    asked = blocks.mapInArrow(_asks(routes, round_), "part int, block string, data binary")
+    asked = asked.repartitionById(routes.parts, F.col("part")).sortWithinPartitions("part", "block")
+    merged = materialise(asked.mapInArrow(_merged(routes), _MERGED), "lm-merged")
+    sums = merged.where("bucket is not null").repartitionById(routes.buckets, F.col("bucket")).sortWithinPartitions("bucket", "part").mapInArrow(_sums, f"{_MERGED}, v long, n long")
+    sums = materialise(sums, "lm-sums")
+    v, n = sums.where("part is null").agg(F.sum("v"), F.sum("n")).first()
+    back = merged.where("block is not null").unionByName(sums.where("part is not null").select(*merged.columns))
+    back = back.repartitionById(routes.parts, F.col("part")).sortWithinPartitions("part", F.col("block").asc_nulls_first(), "bucket").mapInArrow(_returned, "block string, part int, data binary")
+    both = blocks.select("block", F.lit(-1).alias("part"), "data").unionByName(back)
+    out = materialise(both.repartition(routes.buckets, "block").sortWithinPartitions("block", "part").mapInArrow(_counted(round_), "block string, data binary"), "lm-counted")
+    discard(merged, sums, blocks)
+    return out, v or 0, n or 0
 
 
 def _counts(batches: Iterator[pa.RecordBatch], docs_in_training: int):
-    """Each block's documents and, for each token, the training counts of its context, of itself, and of both."""
+    """Each block's documents and, for each token, the training counts of its two words' context, its one word's, itself, its pair and its trigram."""
     for b in batches:
-        for x in b["counts"]:
-            doc, null, held, at, c_word, c_pair = unpack(x.as_py())
-            c_word, c_pair = c_word.astype(np.int64), c_pair.astype(np.int64)
-            c_context = np.empty_like(c_word)
-            c_context[1:] = c_word[:-1]
-            c_context[at[:-1]] = docs_in_training
-            yield doc, null, held, at, c_context, c_word, c_pair
+        for x in b["data"]:
+            doc, null, held, at, *counts = unpack(x.as_py())
+            word, pair, triple = (c.astype(np.int64) for c in counts)
+            contexts = []
+            for c in (pair, word):
+                before = np.empty_like(c)
+                before[1:] = c[:-1]
+                before[at[:-1]] = docs_in_training
+                contexts.append(before)
+            yield doc, null, held, at, *contexts, word, pair, triple
 
 
 def context_bucket(c: np.ndarray) -> np.ndarray:
     return np.minimum(np.ceil(np.log2(np.maximum(c, 0) + 1)).astype(np.int64), TOP_BUCKET)
 
 
-def _ratio_step(p: np.ndarray, base: float) -> np.ndarray:
+def _ratio_step(p: np.ndarray, base: float | np.ndarray) -> np.ndarray:
     """0 for no chance, else 1 + the step of p / base, from -OCTAVES / 2 octaves on."""
     with np.errstate(divide="ignore"):
         step = np.round(STEPS * (np.log2(p / base) + OCTAVES / 2))
     return np.where(p > 0, 1 + np.clip(step, 0, RATIOS - 1), 0).astype(np.int64)
 
 
-def held_out_counts(packs: DataFrame, n: int, v: int, docs_in_training: int) -> DataFrame:
-    """(cell, n): how many training tokens, each deleted from the counts, fall into each cell (context bucket, step of the pair's estimate, step of the word's)."""
+def _lower(weights: np.ndarray, c_context: np.ndarray, c_pair: np.ndarray, c_word: np.ndarray, n: int, v: int) -> np.ndarray:
+    """The mix of the pair's, the word's and any word's estimate."""
+    w = weights[context_bucket(c_context)]
+    return w[:, 0] * np.where(c_context > 0, c_pair / np.maximum(c_context, 1), 0) + w[:, 1] * c_word / max(n, 1) + w[:, 2] / (v + 1)
+
+
+def held_out_counts(packs: DataFrame, n: int, v: int, docs_in_training: int, weights: np.ndarray | None = None) -> DataFrame:
+    """(cell, n): how many training tokens, each deleted from the counts, fall into each cell.
+
+    Without weights a cell is (context bucket, step of the pair's estimate, step of the word's); with the lower estimates' weights it is
+    (bucket of the two words' context, step of the trigram's estimate over the lower mix).
+    """
 
     def run(batches):
-        for _, _, held, at, c_context, c_word, c_pair in _counts(batches, docs_in_training):
+        for _, _, held, at, c_two, c_context, c_word, c_pair, c_triple in _counts(batches, docs_in_training):
             train = np.repeat(held == 0, np.diff(at))
-            h, w, hw = c_context[train] - 1, c_word[train] - 1, c_pair[train] - 1
+            two, h, w, hw, triple = (c[train] - 1 for c in (c_two, c_context, c_word, c_pair, c_triple))
             base = 1 / (v + 1)
-            pair = _ratio_step(np.where(h > 0, hw / np.maximum(h, 1), 0), base)
-            word = _ratio_step(w / max(n - 1, 1), base)
-            cell, count = np.unique((context_bucket(h) * (RATIOS + 1) + pair) * (RATIOS + 1) + word, return_counts=True)
+            if weights is None:
+                pair = _ratio_step(np.where(h > 0, hw / np.maximum(h, 1), 0), base)
+                word = _ratio_step(w / max(n - 1, 1), base)
+                cell = (context_bucket(h) * (RATIOS + 1) + pair) * (RATIOS + 1) + word
+            else:
+                lower = _lower(weights, h, hw, w, n - 1, v)
+                cell = context_bucket(two) * (RATIOS + 1) + _ratio_step(np.where(two > 0, triple / np.maximum(two, 1), 0), lower)
+            cell, count = np.unique(cell, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(count)], ["cell", "n"])
 
     return packs.mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
 
 
-def learn_weights(cells: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Expectation-maximisation of the weights (pair, word, any word) of each context bucket; buckets without counts take the next lower one's."""
-    word = cells % (RATIOS + 1)
-    pair = cells // (RATIOS + 1) % (RATIOS + 1)
-    bucket = cells // (RATIOS + 1) ** 2
-    chance = [np.where(x > 0, 2.0 ** ((x - 1) / STEPS - OCTAVES / 2), 0) for x in (pair, word)] + [np.ones(len(cells))]
-    out = np.zeros((TOP_BUCKET + 1, 3))
+def _maximised(chance: np.ndarray, counts: np.ndarray, bucket: np.ndarray, empty: tuple) -> np.ndarray:
+    """Expectation-maximisation of the weights of the estimates (rows of chance) in each context bucket; buckets without counts take the next lower one's."""
+    out = np.zeros((TOP_BUCKET + 1, len(chance)))
     for k in range(TOP_BUCKET + 1):
         own = bucket == k
         if not own.any():
-            out[k] = out[k - 1] if k else (0, 0.5, 0.5)
+            out[k] = out[k - 1] if k else empty
             continue
-        p, c = np.stack([x[own] for x in chance]), counts[own]
-        w = np.full(3, 1 / 3)
+        p, c = chance[:, own], counts[own]
+        w = np.full(len(chance), 1 / len(chance))
         for _ in range(ROUNDS):
             part = w[:, None] * p
             new = (part / part.sum(axis=0) * c).sum(axis=1) / c.sum()
@@ -272,6 +379,21 @@ def learn_weights(cells: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return out
 
 
+def _chance(step: np.ndarray) -> np.ndarray:
+    return np.where(step > 0, 2.0 ** ((step - 1) / STEPS - OCTAVES / 2), 0)
+
+
+def learn_weights(cells: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The weights (pair, word, any word) of each bucket of the context."""
+    chance = np.stack([_chance(cells // (RATIOS + 1) % (RATIOS + 1)), _chance(cells % (RATIOS + 1)), np.ones(len(cells))])
+    return _maximised(chance, counts, cells // (RATIOS + 1) ** 2, (0, 0.5, 0.5))
+
+
+def learn_top(cells: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The weights (trigram, lower mix) of each bucket of the two words' context."""
+    return _maximised(np.stack([_chance(cells % (RATIOS + 1)), np.ones(len(cells))]), counts, cells // (RATIOS + 1), (0, 1))
+
+
 def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 10) -> DataFrame:
     """Learn from the rows whose crc32(doc_id as text) mod folds is not 0, score all: one row for each row of docs.
 
@@ -279,26 +401,22 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
     empty text, whose only token is the end. Rows with a null doc_id are training rows. Without training rows every
     token is as likely as any other and scores 0.
     """
-    spark = docs.sparkSession
     held = F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % folds == 0, F.lit(False)).alias("held")
     data = id_and_text(docs, id_col, text_col, held)
     size = data.agg(F.sum(F.length("text")), F.count_if(~F.col("held"))).first()
-    buckets, in_training = max(12, -(-(size[0] or 0) // BUCKET_CHARS)), size[1]
-    blocks = materialise(data.mapInArrow(_blocks, "block string, bucket int, data binary"), "lm-blocks")
-    asked = blocks.mapInArrow(_asks(buckets), "block string, bucket int, data binary")
-    answers = asked.repartition(buckets, "bucket").sortWithinPartitions("bucket", "block").mapInArrow(_answers, "block string, bucket int, data binary, v long, n long")
-    answers = materialise(answers, "lm-answers")
-    stats = answers.where("block is null").agg(F.sum("v"), F.sum("n")).first()
-    v, n = stats[0] or 0, stats[1] or 0
-    both = blocks.unionByName(answers.where("block is not null").select("block", "bucket", "data"))
-    packs = materialise(both.repartition(buckets, "block").sortWithinPartitions("block", "bucket").mapInArrow(_packs, "counts binary"), "lm-packs")
+    routes, in_training, block_bytes = Routes(size[0] or 0), size[1], BLOCK_BYTES
+    blocks = materialise(data.mapInArrow(lambda it: _blocks(it, block_bytes), "block string, data binary"), "lm-blocks")
+    counted, v, n = exchanged(blocks, routes, 0)
+    packs, _, _ = exchanged(counted, routes, 1)
     cells = held_out_counts(packs, n, v, in_training).toArrow()
     weights = learn_weights(cells["cell"].to_numpy(), cells["n"].to_numpy())
+    cells = held_out_counts(packs, n, v, in_training, weights).toArrow()
+    top = learn_top(cells["cell"].to_numpy(), cells["n"].to_numpy())
 
     def score(batches):
-        for doc, null, held, at, c_context, c_word, c_pair in _counts(batches, in_training):
-            w = weights[context_bucket(c_context)]
-            p = w[:, 0] * c_pair / np.maximum(c_context, 1) + w[:, 1] * c_word / max(n, 1) + w[:, 2] / (v + 1)
+        for doc, null, held, at, c_two, c_context, c_word, c_pair, c_triple in _counts(batches, in_training):
+            mix = np.where((c_two > 0)[:, None], top[context_bucket(c_two)], [[0.0, 1.0]])
+            p = mix[:, 0] * c_triple / np.maximum(c_two, 1) + mix[:, 1] * _lower(weights, c_context, c_pair, c_word, n, v)
             if not n:
                 p = np.ones(len(c_word))
             base = np.log10((c_word + 0.1) / (n + 0.1 * (v + 1)))
@@ -313,4 +431,5 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
 
 
 def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document."""
     return lm_scores(table(spark, sf_dir, "documents"))

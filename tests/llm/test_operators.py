@@ -207,47 +207,68 @@ def test_language_id(spark, sf):
     assert {r["doc_id"] for r in kept.collect()} <= {i for i, p in odd.items() if p != "und"}
 
 
+def expectation_maximised(p):
+    """p: a column of estimates for each held-out token."""
+    w = np.full(len(p), 1 / len(p))
+    for _ in range(200):
+        part = w[:, None] * p
+        w = (part / part.sum(axis=0)).mean(axis=1)
+    return w
+
+
 def brute_lm(texts):
     """Counts by dictionaries, and weights by expectation-maximisation over single held-out tokens."""
     held = [zlib.crc32(str(i).encode()) % 10 == 0 for i in range(len(texts))]
     toks = [[*words_of(lower(t)), None] for t in texts]
-    c, pair, context, n_docs = Counter(), Counter(), Counter(), 0
+    c, pair, triple, n_docs = Counter(), Counter(), Counter(), 0
+    steps = lambda t: zip(["<s>", "<s>", *t], ["<s>", *t], t, strict=False)
     for h, t in zip(held, toks, strict=True):
         if not h:
             n_docs += 1
             c.update(t)
             pair.update(zip(["<s>", *t], t, strict=False))
+            triple.update(steps(t))
     n, v = sum(c.values()), len(c)
-    of_context = lambda b: n_docs if b == "<s>" else c[b]
-    cells = defaultdict(list)
-    for h, t in zip(held, toks, strict=True):
-        if not h:
-            for b, w in zip(["<s>", *t], t, strict=False):
-                k = of_context(b) - 1
-                p = ((pair[b, w] - 1) / k if k else 0, (c[w] - 1) / max(n - 1, 1), 1 / (v + 1))
-                cells[min(24, math.ceil(math.log2(k + 1)))].append(p)
-    weights, last = {}, (0, 0.5, 0.5)
-    for k in range(25):
-        if k in cells:
-            p = np.array(cells[k]).T
-            w = np.full(3, 1 / 3)
-            for _ in range(200):
-                part = w[:, None] * p
-                w = (part / part.sum(axis=0)).mean(axis=1)
-            last = w
-        weights[k] = last
+    of_one = lambda b: n_docs if b == "<s>" else c[b]
+    of_two = lambda a, b: n_docs if b == "<s>" else pair[a, b]
+    bucket = lambda k: min(24, math.ceil(math.log2(k + 1)))
+    share = lambda x, k: x / k if k else 0
+
+    def learned(parts, empty):
+        cells, weights = defaultdict(list), {}
+        for h, t in zip(held, toks, strict=True):
+            if not h:
+                for a, b, w in steps(t):
+                    k, p = parts(a, b, w)
+                    cells[bucket(k)].append(p)
+        for k in range(25):
+            weights[k] = expectation_maximised(np.array(cells[k]).T) if k in cells else weights.get(k - 1, np.array(empty))
+        return weights
+
+    below = lambda a, b, w: (of_one(b) - 1, (share(pair[b, w] - 1, of_one(b) - 1), (c[w] - 1) / max(n - 1, 1), 1 / (v + 1)))
+    weights = learned(below, (0, 0.5, 0.5))
+
+    def higher(a, b, w):
+        k, p = below(a, b, w)
+        return of_two(a, b) - 1, (share(triple[a, b, w] - 1, of_two(a, b) - 1), float(weights[bucket(k)] @ p))
+
+    top = learned(higher, (0, 1))
     out = []
     for i, t in enumerate(toks):
         score = 0
-        for b, w in zip(["<s>", *t], t, strict=False):
-            k = of_context(b)
-            x = weights[min(24, math.ceil(math.log2(k + 1)))]
-            score += math.log10(x[0] * pair[b, w] / max(k, 1) + x[1] * c[w] / n + x[2] / (v + 1))
+        for a, b, w in steps(t):
+            low = weights[bucket(of_one(b))] @ (share(pair[b, w], of_one(b)), c[w] / n, 1 / (v + 1))
+            x = top[bucket(of_two(a, b))] if of_two(a, b) else (0, 1)
+            score += math.log10(x[0] * share(triple[a, b, w], of_two(a, b)) + x[1] * low)
         out.append((held[i], len(t), sum(c[w] > 0 for w in t), n, sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in t), score))
     return out
 
 
-def test_lm_score(spark, sf):
+@pytest.mark.parametrize("small", [False, True])
+def test_lm_score(spark, sf, monkeypatch, small):
+    if small:  # several blocks, ranges, groups and buckets
+        monkeypatch.setattr(lm_score, "BLOCK_BYTES", 20_000)
+        monkeypatch.setattr(lm_score, "BUCKET_CHARS", 30_000)
     texts = odd_texts() + [r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").orderBy("doc_id").collect()]
     got = {r["doc_id"]: r for r in lm_score.lm_scores(odd_documents(spark, texts)).collect()}
     for i, (held, n, known, total, base, score) in enumerate(brute_lm(texts)):
@@ -258,6 +279,31 @@ def test_lm_score(spark, sf):
     assert lm_score.lm_scores(empty(spark)).count() == 0
 
 
+def test_lm_requests_grow_far_slower_than_blocks_times_buckets(spark, monkeypatch):
+    monkeypatch.setattr(lm_score, "BUCKET_CHARS", 8_000)
+    rng = np.random.default_rng(3)
+    rows = []
+    for n in (200, 800):
+        docs = spark.createDataFrame([(i, " ".join(f"w{x}" for x in rng.integers(0, 5000, 150)), False) for i in range(n)], "doc_id long, text string, held boolean").coalesce(1)
+        blocks = docs.mapInArrow(lambda it: lm_score._blocks(it, 4000), "block string, data binary").cache()
+        routes = lm_score.Routes(sum(len(r["text"]) for r in docs.collect()))
+        asked = blocks.mapInArrow(lm_score._asks(routes, 0), "part int, block string, data binary").count()
+        assert asked <= blocks.count() * routes.ranges and routes.groups * routes.buckets <= 2 * routes.buckets**1.5
+        rows.append((blocks.count(), routes.buckets, asked))
+    (b0, k0, a0), (b1, k1, a1) = rows
+    assert b1 / b0 > 3.5 and k1 / k0 > 3.5 and a1 / a0 < 2.5 * b1 / b0  # blocks x buckets grow 16-fold
+
+
+def test_lm_null_ids_and_no_training_rows(spark):
+    held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 10 == 0)
+    docs = spark.createDataFrame([(held, "a b c"), (held, "a b c"), (held, None)], "doc_id long, text string")
+    got = [tuple(r) for r in lm_score.lm_scores(docs).orderBy("n_tokens").collect()]
+    assert [g[1:5] for g in got] == [(True, 1, 0, 0), (True, 4, 0, 0), (True, 4, 0, 0)] and all(g[6] == 0 for g in got)
+    docs = spark.createDataFrame([(None, "a b a b"), (None, "a b a b"), (held, "a b")], "doc_id long, text string")
+    got = {(r["doc_id"], r["n_tokens"]): r for r in lm_score.lm_scores(docs).collect()}
+    assert got[held, 3]["n_known"] == 3 and got[None, 5]["train_tokens"] == 10 and got[None, 5]["score"] > got[None, 5]["base_score"]
+
+
 def brute_secrets(text):
     text = text or ""
     spans = []
