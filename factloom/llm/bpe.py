@@ -15,7 +15,7 @@ import base64
 import heapq
 import unicodedata
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +39,8 @@ STATES = 8
 
 BLOCK = 256
 CACHE_PIECES = 400_000
-LONG_PIECE = 256
+#: Pieces over so many bytes are merged one by one; of those only ones up to so many bytes are kept.
+LONG_PIECE, LONGEST_CACHED = 256, 512
 
 
 def _step(symbol: int, state: int) -> tuple[int, bool]:
@@ -162,6 +163,10 @@ class Bpe:
         self.pair_rank = np.array([r for _, r in pairs], np.int64)
         self.cache: dict[bytes, np.ndarray] = {}
 
+    @cached_property
+    def pair_of(self) -> dict[int, int]:
+        return dict(zip(self.pair.tolist(), self.pair_rank.tolist(), strict=True))
+
     def rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         key = a << 32 | b
         at = np.minimum(np.searchsorted(self.pair, key), len(self.pair) - 1)
@@ -207,7 +212,7 @@ class Bpe:
         ids = self.byte[np.frombuffer(piece, np.uint8)].tolist()
         n = len(ids)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        pairs = dict(zip(self.pair.tolist(), self.pair_rank.tolist(), strict=True))
+        pairs = self.pair_of
         heap = [(r, i, ids[i], ids[i + 1]) for i in range(n - 1) if (r := pairs.get(ids[i] << 32 | ids[i + 1])) is not None]
         heapq.heapify(heap)
         while heap:
@@ -239,6 +244,8 @@ class Bpe:
                 found[i] = cache[p] = np.array([r], np.uint32)
             elif len(p) > LONG_PIECE:
                 found[i] = self.merge_long(p)
+                if len(p) <= LONGEST_CACHED:
+                    cache[p] = found[i]
             else:
                 by_size.setdefault(len(p), []).append(i)
         for own in by_size.values():

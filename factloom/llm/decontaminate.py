@@ -88,7 +88,7 @@ def score_windows(words: np.ndarray, begin: np.ndarray, end: np.ndarray, item_wo
     n = len(begin)
     share, first, last = np.zeros(n), begin.copy(), begin.copy()
     size = item_at[item + 1] - item_at[item]
-    order = np.argsort(size, kind="stable")
+    order = np.lexsort((-size, begin - end))  # the longest window first, so it bounds what is padded to its length
     at = 0
     while at < n:
         cells = int((end - begin)[order[at]]) + 1
@@ -107,6 +107,26 @@ def score_windows(words: np.ndarray, begin: np.ndarray, end: np.ndarray, item_wo
     return share, first, last
 
 
+def pieces_of(doc: np.ndarray, item: np.ndarray, lo: np.ndarray, hi: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Windows sorted by doc, item and lo: overlapping ones of a document and item as one, and long ones cut into pieces.
+
+    An alignment of a score over 0 spans three item lengths at most (a match is worth two gaps), so pieces of six lengths that overlap by
+    three hold it whole. size: of each window's item.
+    """
+    new = np.ones(len(lo), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1])
+    far = (np.cumsum(new) - 1) * (int(hi.max(initial=0)) + 1)  # a running maximum that starts anew with each document and item
+    reach = np.maximum.accumulate(hi + far) - far
+    new[1:] |= lo[1:] > reach[:-1]
+    head = np.flatnonzero(new)
+    doc, item, lo, hi, size = doc[head], item[head], lo[head], np.maximum.reduceat(hi, head), size[head]
+    step = 3 * size
+    n = np.maximum(1, -(-(hi - lo) // step) - 1)
+    own = np.repeat(np.arange(len(n)), n)
+    begin = lo[own] + step[own] * (np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n))
+    return doc[own], item[own], begin, np.minimum(begin + 2 * step[own], hi[own])
+
+
 def _item_blocks(items: DataFrame, id_col: str, text_col: str) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """item_ids, words and starts of the items, some BLOCK_WORDS words at a time; only a block is on the driver."""
     rows, n = [], 0
@@ -126,13 +146,14 @@ def _item_blocks(items: DataFrame, id_col: str, text_col: str) -> Iterator[tuple
         yield block()
 
 
-def contaminated(docs: DataFrame, items: DataFrame, min_score: float = MIN_SCORE, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def contaminated(docs: DataFrame, items: DataFrame, min_score: float = MIN_SCORE, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", seed_share: float = SEED_SHARE) -> DataFrame:
     """A row for each document and item of which it holds a copy: doc_id, item_id, score, first_word, end_word.
 
     score: the best local alignment's share of the item's score with itself (1: the item word for word); the aligned
     passage lies between the document's words (without punctuation) first_word and end_word, end exclusive. Null and
     empty texts hold nothing. Items without a text or an id, and items of fewer than SEED_WORDS words, which cannot be
-    told from chance, are never found. Repeated documents have their own rows.
+    told from chance, are never found. Repeated documents have their own rows. seed_share: with which share of its seeds, the rarest, an item
+    searches; with 1 no copy that has any seed is missed.
     """
     data = id_and_text(docs, id_col, text_col)
     out = None
@@ -161,7 +182,7 @@ def contaminated(docs: DataFrame, items: DataFrame, min_score: float = MIN_SCORE
         order = np.lexsort((where, frequency, item))
         rank = np.arange(len(order)) - np.repeat(*np.unique(item[order], return_index=True, return_counts=True)[1:])
         total = np.bincount(item, minlength=len(item_ids))[item[order]]
-        rare = order[rank < np.maximum(LEAST_SEEDS, np.ceil(SEED_SHARE * total))]
+        rare = order[rank < np.maximum(LEAST_SEEDS, np.ceil(seed_share * total))]
         rare = rare[np.argsort(hashes[rare], kind="stable")]
         own = SeedSet(hashes[rare])
         seed_from = np.searchsorted(hashes[rare], own.seeds)  # a seed's items lie side by side
@@ -182,15 +203,8 @@ def contaminated(docs: DataFrame, items: DataFrame, min_score: float = MIN_SCORE
                 size = item_at[item + 1] - item_at[item]
                 slack = size // 3 + 2
                 lo, hi = np.maximum(begin - slack, starts[doc]), np.minimum(begin + size + slack, starts[doc + 1])
-                # windows of one document and item that overlap are one window
                 order = np.lexsort((lo, item, doc))
-                doc, item, lo, hi = doc[order], item[order], lo[order], hi[order]
-                reach = np.maximum.accumulate(hi + 0)
-                new = np.ones(len(lo), bool)
-                new[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (lo[1:] > reach[:-1])
-                head = np.flatnonzero(new)
-                hi = np.maximum.reduceat(hi, head)
-                doc, item, lo = doc[head], item[head], lo[head]
+                doc, item, lo, hi = pieces_of(doc[order], item[order], lo[order], hi[order], size[order])
                 share, first, last = score_windows(words, lo, hi, item_words, item_at, item, min_score)
                 good = np.flatnonzero(share >= min_score)
                 good = good[np.lexsort((first[good], -share[good], item[good], doc[good]))]

@@ -28,8 +28,10 @@ SEED = 7
 MAX_LANGUAGES = 500
 #: For a text without a letter.
 UNKNOWN = "und"
-#: Texts are worked on in slices of this many bytes: the count matrix has a row for each text and a column for each n-gram.
+#: Texts are worked on in slices of this many bytes; a count matrix has a row for each text and a column for each n-gram.
 SLICE = 1 << 20
+#: Cells of a count matrix, and n-grams whose vectors are made at once.
+CELLS, GRAMS = 1 << 23, 1 << 14
 
 
 @lru_cache(1)
@@ -102,11 +104,33 @@ def gram_vectors(parts: np.ndarray) -> np.ndarray:
 
 
 def bundle(parts: np.ndarray, number: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
-    """The bundled vectors of `rows` texts (or classes), in a slice of n-grams."""
-    if not len(parts):
-        return np.zeros((rows, DIMENSIONS), np.float32)
-    counts = np.bincount(row * len(parts) + number, minlength=rows * len(parts)).reshape(rows, len(parts)).astype(np.float32)
-    return counts @ gram_vectors(parts)
+    """The bundled vectors of `rows` texts (or classes), in a slice of n-grams.
+
+    Rows are taken by halves until rows x distinct n-grams is at most CELLS, and a row's n-grams in pieces of GRAMS, so memory is bounded
+    whatever the number of texts or n-grams.
+    """
+    out = np.zeros((rows, DIMENSIONS), np.float32)
+    if (np.diff(row) < 0).any():
+        order = np.argsort(row, kind="stable")
+        number, row = number[order], row[order]
+    at = np.searchsorted(row, np.arange(rows + 1))
+    todo = [(0, rows)]
+    while todo:
+        lo, hi = todo.pop()
+        own, local = row[at[lo] : at[hi]] - lo, number[at[lo] : at[hi]]
+        known = np.arange(len(parts))
+        if hi - lo < rows:
+            known, local = np.unique(local, return_inverse=True)
+        if hi - lo > 1 and (hi - lo) * len(known) > CELLS:
+            mid = (lo + hi) // 2
+            todo += [(lo, mid), (mid, hi)]
+            continue
+        for g in range(0, len(known), GRAMS):
+            piece = known[g : g + GRAMS]
+            here = slice(None) if len(known) <= GRAMS else (local >= g) & (local < g + GRAMS)
+            counts = np.bincount(own[here] * len(piece) + local[here] - g, minlength=(hi - lo) * len(piece))
+            out[lo:hi] += counts.reshape(hi - lo, len(piece)).astype(np.float32) @ gram_vectors(parts[piece])
+    return out
 
 
 def held_out(id_col: Column, folds: int = 4, fold: int = 2) -> Column:
