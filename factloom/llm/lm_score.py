@@ -10,7 +10,8 @@ reads) asks for the counts of its distinct n-grams and adds what it has itself s
 so that their number stays far under blocks x buckets: a block writes one request for each range of hashes (as many
 ranges as the root of the number of buckets); a group of blocks merges the requests of a range, with their counts
 summed, and asks the range's buckets; the sums go back the same way. Buckets, ranges and groups follow the size of the
-corpus, so what a task holds does not grow with it. N-grams are known by 64-bit hashes.
+corpus, so what a task holds does not grow with it. Words and pairs, then trigrams, travel in two trips each, to have less on
+disk at once. N-grams are known by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ import math
 import struct
 import uuid
 from collections.abc import Iterator
+from functools import reduce
 from itertools import groupby, pairwise
 from operator import itemgetter
 
@@ -156,70 +158,78 @@ def _grouped(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[obje
     return groupby((r for b in batches for r in b.to_pylist()), itemgetter(key))
 
 
+#: Trips of the exchange: which orders of n-grams (0: words, 1: pairs, 2: trigrams), and which share of their hashes. What is on disk at once is a trip's.
+TRIPS = [((0, 1), 0), ((0, 1), 1), ((2,), 0), ((2,), 1)]
+SHARES = 2
+
+
 class _Block:
     """A block's documents, tokens and n-grams."""
 
     def __init__(self, data: bytes):
-        self.doc, self.null, self.held, self.at, token, known, *self.counts = unpack(data)
-        self.token, self.gaps, known = token.astype(np.int64), known, np.cumsum(known, dtype=np.uint64)
+        self.doc, self.null, self.held, self.at, token, known = unpack(data)
+        self.token, known = token.astype(np.int64), np.cumsum(known, dtype=np.uint64)
         self.words = known & ~np.uint64(1)  # an even key is a word's, an odd one a pair's
         self.train = np.repeat(self.held == 0, np.diff(self.at))
         self.pair = pairs_of(known, self.token, self.at)
         self.hash = known[self.token]
-
-    def numbers(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct pairs, each token's pair's number, and how often the training tokens are each word and each pair."""
-        pairs, pair = np.unique(self.pair | np.uint64(1), return_inverse=True)
-        seen = lambda number, n: np.bincount(number[self.train], minlength=n)
-        return pairs, pair, seen(self.token, len(self.words)), seen(pair, len(pairs))
-
-    def first(self) -> tuple[np.ndarray, np.ndarray]:
-        """The sorted keys of words and pairs, and the training tokens' counts of them."""
-        pairs, _, words_seen, pairs_seen = self.numbers()
-        keys = np.concatenate([self.words, pairs])
+        self.known: dict[int, tuple] = {}
+
+    def grams(self, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray | slice]:
+        """The distinct n-grams' sorted keys, and the number among them of each token of a choice. The first trigram of a document is its first pair, so it has none."""
+        if order not in self.known:
+            if order == 0:
+                self.known[0] = self.words, self.token, slice(None)
+            elif order == 1:
+                self.known[1] = *np.unique(self.pair | np.uint64(1), return_inverse=True), slice(None)
+            else:
+                inner = np.ones(len(self.pair), bool)
+                inner[self.at[:-1]] = False
+                at = np.flatnonzero(inner)
+                self.known[2] = *np.unique(pair_hash(self.pair[at - 1], self.hash[at]), return_inverse=True), at
+        return self.known[order]
+
+    def keys(self, orders: tuple[int, ...], share: int) -> tuple[np.ndarray, list[tuple[int, np.ndarray, np.ndarray]]]:
+        """A trip's sorted keys; for each order the n-grams of the share, and their places in these."""
+        own = [np.flatnonzero((self.grams(o)[0] >> np.uint64(1)) % np.uint64(SHARES) == share) for o in orders]
+        keys = np.concatenate([self.grams(o)[0][x] for o, x in zip(orders, own, strict=True)])
         order = np.argsort(keys, kind="stable")
-        return keys[order], np.concatenate([words_seen, pairs_seen])[order]
-
-    def with_first(self, totals: np.ndarray) -> bytes:
-        """The block with the counts of each token and of its pair."""
-        pairs, pair, *_ = self.numbers()
-        order = np.argsort(np.concatenate([self.words, pairs]), kind="stable")
-        by_key = np.empty(len(order), np.int64)
-        by_key[order] = totals
-        return pack(self.doc, self.null, self.held, self.at, self.token.astype(np.uint32), self.gaps, *map(_small, (by_key[self.token], by_key[len(self.words) :][pair])))
-
-    def triples(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Which tokens' trigrams are asked for, their sorted keys, and each one's number among these. The first trigram of a document is its first pair."""
-        ask = np.ones(len(self.pair), bool)
-        ask[self.at[:-1]] = False
-        at = np.flatnonzero(ask)
-        return ask, *np.unique(pair_hash(self.pair[at - 1], self.hash[at]), return_inverse=True)
-
-    def second(self) -> tuple[np.ndarray, np.ndarray]:
-        """The sorted keys of trigrams, and the training tokens' counts of them."""
-        ask, keys, number = self.triples()
-        return keys, np.bincount(number[self.train[ask]], minlength=len(keys))
-
-    def with_second(self, totals: np.ndarray) -> bytes:
-        """The documents and, for each token, the training counts of itself, its pair and its trigram."""
-        ask, _, number = self.triples()
-        count = self.counts[1].astype(np.int64)
-        count[ask] = totals[number]
-        return pack(self.doc, self.null, self.held, self.at, *self.counts, _small(count))
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        return keys[order], list(zip(orders, own, np.split(place, np.cumsum([len(x) for x in own])[:-1]), strict=True))
+
+    def asked(self, orders: tuple[int, ...], share: int) -> tuple[np.ndarray, np.ndarray]:
+        """A trip's sorted keys, and the training tokens' counts of them."""
+        keys, parts = self.keys(orders, share)
+        seen = np.zeros(len(keys), np.int64)
+        for o, own, place in parts:
+            known, number, at = self.grams(o)
+            seen[place] = np.bincount(number[self.train[at]], minlength=len(known))[own]
+        return keys, seen
+
+    def counted(self, totals: dict[int, np.ndarray]) -> bytes:
+        """The documents and, for each token, the training counts of itself, its pair and its trigram. totals: of each trip's keys."""
+        counts = [np.zeros(len(self.grams(o)[0]), np.int64) for o in range(3)]
+        for k, (orders, share) in enumerate(TRIPS):
+            for o, own, place in self.keys(orders, share)[1]:
+                counts[o][own] = totals[k][place] if len(place) else 0
+        word, pair = (counts[o][self.grams(o)[1]] for o in (0, 1))
+        triple = pair.copy()
+        triple[self.grams(2)[2]] = counts[2][self.grams(2)[1]]
+        return pack(self.doc, self.null, self.held, self.at, *map(_small, (word, pair, triple)))
 
 
 def _small(x: np.ndarray) -> np.ndarray:
     return x.astype(np.uint32) if x.max(initial=0) < 1 << 32 else x
 
 
-def _asks(routes: Routes, round_: int):
+def _asks(routes: Routes, trip: tuple[tuple[int, ...], int]):
     """Blocks to their requests (part, block, data): for each range the sorted keys and the training tokens' counts of them."""
 
     def run(batches: Iterator[pa.RecordBatch]):
         for b in batches:
             for block, data in zip(b["block"].to_pylist(), b["data"], strict=True):
-                one = _Block(data.as_py())
-                keys, seen = (one.first, one.second)[round_]()
+                keys, seen = _Block(data.as_py()).asked(*trip)
                 at = routes.cuts(keys, 0, routes.ranges, True)
                 rows = [(routes.part(block, r), pack(np.diff(keys[i:j], prepend=np.uint64(0)), _small(seen[i:j]))) for r, (i, j) in enumerate(pairwise(at)) if j > i]
                 yield _rows("part int, block string, data binary", [x for x, _ in rows], [block] * len(rows), [x for _, x in rows])
@@ -261,44 +271,59 @@ def _sums(batches: Iterator[pa.RecordBatch]):
         yield _rows(f"{_MERGED}, v long, n long", [*parts, None], [bucket] * (k + 1), [None] * (k + 1), [*data, None], [None] * k + [int((words > 0).sum())], [None] * k + [int(words.sum())])
 
 
-def _returned(batches: Iterator[pa.RecordBatch]):
-    """Sums of a part by bucket, then its blocks' places: (block, part, data), the counts of the block's keys in the part's range."""
-    for part, own in _grouped(batches, "part"):
-        sums, whole = [], None
-        for r in own:
-            if r["block"] is None:
-                sums.append(unpack(r["data"])[0].astype(np.int64))
-                continue
-            whole = np.concatenate(sums) if whole is None else whole
-            yield _rows("block string, part int, data binary", [r["block"]], [part], [pack(_small(whole[np.cumsum(unpack(r["data"])[0], dtype=np.int64)]))])
-
-
-def _counted(round_: int):
-    """A block (part -1) and the counts that came back to it, sorted by block and part: (block, data)."""
+def _returned(trip: int):
+    """Sums of a part by bucket, then its blocks' places: (block, trip, part, data), the counts of the block's keys in the part's range."""
 
     def run(batches: Iterator[pa.RecordBatch]):
-        for block, own in _grouped(batches, "block"):
-            one = _Block(next(own)["data"])
-            totals = np.concatenate([np.zeros(0, np.int64), *(unpack(r["data"])[0].astype(np.int64) for r in own)])
-            yield _rows("block string, data binary", [block], [(one.with_first, one.with_second)[round_](totals)])
+        for part, own in _grouped(batches, "part"):
+            sums, whole = [], None
+            for r in own:
+                if r["block"] is None:
+                    sums.append(unpack(r["data"])[0].astype(np.int64))
+                    continue
+                whole = np.concatenate(sums) if whole is None else whole
+                yield _rows(_BACK, [r["block"]], [trip], [part], [pack(_small(whole[np.cumsum(unpack(r["data"])[0], dtype=np.int64)]))])
 
     return run
 
 
-def exchanged(blocks: DataFrame, routes: Routes, round_: int) -> tuple[DataFrame, int, int]:
-    """The blocks with the counts of a round (0: words and pairs, 1: trigrams), and the distinct and all training tokens, where it counts them."""
-    asked = blocks.mapInArrow(_asks(routes, round_), "part int, block string, data binary")
-    asked = asked.repartitionById(routes.parts, F.col("part")).sortWithinPartitions("part", "block")
-    merged = materialise(asked.mapInArrow(_merged(routes), _MERGED), "lm-merged")
-    sums = merged.where("bucket is not null").repartitionById(routes.buckets, F.col("bucket")).sortWithinPartitions("bucket", "part").mapInArrow(_sums, f"{_MERGED}, v long, n long")
-    sums = materialise(sums, "lm-sums")
-    v, n = sums.where("part is null").agg(F.sum("v"), F.sum("n")).first()
-    back = merged.where("block is not null").unionByName(sums.where("part is not null").select(*merged.columns))
-    back = back.repartitionById(routes.parts, F.col("part")).sortWithinPartitions("part", F.col("block").asc_nulls_first(), "bucket").mapInArrow(_returned, "block string, part int, data binary")
-    both = blocks.select("block", F.lit(-1).alias("part"), "data").unionByName(back)
-    out = materialise(both.repartition(routes.buckets, "block").sortWithinPartitions("block", "part").mapInArrow(_counted(round_), "block string, data binary"), "lm-counted")
-    discard(merged, sums, blocks)
-    return out, v or 0, n or 0
+_BACK = "block string, trip int, part int, data binary"
+
+
+def _counted(batches: Iterator[pa.RecordBatch]):
+    """A block (trip -1) and the counts that came back to it, sorted by block, trip and part: the block's counts."""
+    for _, own in _grouped(batches, "block"):
+        one = _Block(next(own)["data"])
+        totals = {k: [np.zeros(0, np.int64)] for k in range(len(TRIPS))}
+        for r in own:
+            totals[r["trip"]].append(unpack(r["data"])[0].astype(np.int64))
+        yield _rows("data binary", [one.counted({k: np.concatenate(x) for k, x in totals.items()})])
+
+
+def exchanged(blocks: DataFrame, routes: Routes) -> tuple[DataFrame, int, int]:
+    """The blocks' counts, and the distinct and all training tokens."""
+    v = n = 0
+    back = []
+    for k, trip in enumerate(TRIPS):
+        asked = blocks.mapInArrow(_asks(routes, trip), "part int, block string, data binary")
+        asked = asked.repartitionById(routes.parts, F.col("part")).sortWithinPartitions("part", "block")
+        merged = materialise(asked.mapInArrow(_merged(routes), _MERGED), "lm-merged")
+        sums = merged.where("bucket is not null").repartitionById(routes.buckets, F.col("bucket")).sortWithinPartitions("bucket", "part").mapInArrow(_sums, f"{_MERGED}, v long, n long")
+        sums = materialise(sums, "lm-sums")
+        if 0 in trip[0]:
+            more = sums.where("part is null").agg(F.sum("v"), F.sum("n")).first()
+            v, n = v + (more[0] or 0), n + (more[1] or 0)
+        both = merged.where("block is not null").unionByName(sums.where("part is not null").select(*merged.columns))
+        both = both.repartitionById(routes.parts, F.col("part")).sortWithinPartitions("part", F.col("block").asc_nulls_first(), "bucket")
+        back.append(materialise(both.mapInArrow(_returned(k), _BACK), "lm-back"))
+        discard(merged, sums)
+    own = blocks.select("block", F.lit(-1).alias("trip"), F.lit(-1).alias("part"), "data")
+    every, packs = reduce(DataFrame.unionByName, back, own), []
+    for half in range(2):  # what is shuffled at once is half of the blocks
+        mine = every.where(F.crc32(F.col("block").cast("binary")) % 2 == half)
+        packs.append(materialise(mine.repartition(routes.buckets, "block").sortWithinPartitions("block", "trip", "part").mapInArrow(_counted, "data binary"), "lm-counts"))
+    discard(blocks, *back)
+    return reduce(DataFrame.unionByName, packs), v, n
 
 
 def _counts(batches: Iterator[pa.RecordBatch], docs_in_training: int):
@@ -406,8 +431,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
     size = data.agg(F.sum(F.length("text")), F.count_if(~F.col("held"))).first()
     routes, in_training, block_bytes = Routes(size[0] or 0), size[1], BLOCK_BYTES
     blocks = materialise(data.mapInArrow(lambda it: _blocks(it, block_bytes), "block string, data binary"), "lm-blocks")
-    counted, v, n = exchanged(blocks, routes, 0)
-    packs, _, _ = exchanged(counted, routes, 1)
+    packs, v, n = exchanged(blocks, routes)
     cells = held_out_counts(packs, n, v, in_training).toArrow()
     weights = learn_weights(cells["cell"].to_numpy(), cells["n"].to_numpy())
     cells = held_out_counts(packs, n, v, in_training, weights).toArrow()
