@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import id_and_text, materialise, scratch, table
-from .token_files import ChunkEncoder, _store, closed, dtype_for
+from .token_files import ENCODE_BYTES, ChunkEncoder, _store, closed, dtype_for, qualified
 from .words import slices
 
 #: Ids in a block.
@@ -30,13 +30,13 @@ def write_flat(docs: DataFrame, make_encoder: Callable, end_id: int, vocabulary:
     Returns (file, n_ids, doc_ids): which documents a file holds, in their order, not where they are. A null text is an
     empty text. A repeated task writes a file of another name, and only the file of the task that counts is listed.
     """
-    uri = uri or scratch(docs.sparkSession, "flat")
+    uri = qualified(docs.sparkSession, uri or scratch(docs.sparkSession, "flat"))
     dtype = dtype_for(vocabulary)
 
     def write(batches):
         enc, fs_root, f, own, n, ids_of = make_encoder(), _store(uri), None, f"{uri}/{uuid.uuid4().hex}.bin", 0, []
         fs, root = fs_root
-        for b in slices(batches):
+        for b in slices(batches, size=ENCODE_BYTES):
             if f is None:
                 fs.create_dir(root, recursive=True)
                 f = fs.open_output_stream(f"{root}/{own.rpartition('/')[2]}")
@@ -55,6 +55,7 @@ def write_flat(docs: DataFrame, make_encoder: Callable, end_id: int, vocabulary:
 
 def list_flat(spark: SparkSession, uri: str, dtype: str) -> DataFrame:
     """(file, n_ids) of the .bin files of a folder, for files that someone else wrote."""
+    uri = qualified(spark, uri)
     fs, root = _store(uri)
     size = np.dtype(dtype).itemsize
     found = [(f"{uri}/{x.base_name}", x.size // size) for x in fs.get_file_info(pafs.FileSelector(root)) if x.extension == "bin"]
@@ -107,6 +108,7 @@ def token_counts(docs: DataFrame, make_encoder: Callable, end_id: int, vocabular
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id and n_tokens of every document, by the scan."""
     import public_tokenizers
 
     path = public_tokenizers.path("word_bpe_49k.json")

@@ -1,7 +1,7 @@
 """Flat token-ID files in the shared folder: written in doc_id order with 64-bit offsets, read back memory-mapped (operator 2).
 
 A data set is a folder of shards. Shard k holds the documents whose doc_id lies between the k-th and the next of the
-shard bounds, in ascending (doc_id, ids) order, null doc_ids first:
+shard bounds, in ascending order, null doc_ids first:
 
 * ``shard-<k>.bin``: the token ids alone, little-endian unsigned 16 bit where the vocabulary fits, else 32 bit;
 * ``shard-<k>.idx``: n + 1 little-endian unsigned 64-bit offsets, in ids from the shard's start;
@@ -31,8 +31,10 @@ from .common import id_and_text, scratch
 from .words import ranges, slices
 
 NULL_ID = -(1 << 63)
-#: Documents in a shard, about; and the most shards, so that the list of bounds stays small.
-SHARD_DOCS, MAX_SHARDS = 8192, 4096
+#: Bytes of text of a shard, about: at least the first, and from MANY shards on more, up to the second.
+SHARD_BYTES, MANY = (16 << 20, 1 << 30), 4096
+#: Bytes of text that are encoded at once: of more text fewer words are new.
+ENCODE_BYTES = 8 << 20
 #: Distinct pieces of text whose ids a task keeps.
 CACHE_PIECES = 1_000_000
 TAIL = ".,;:!?*&%$#()[]{}<>-+=_/\\\"@^~|`"
@@ -129,8 +131,18 @@ def packed(ids: np.ndarray, starts: np.ndarray, dtype: str) -> pa.Array:
     return pa.Array.from_buffers(pa.large_binary(), len(starts) - 1, [None, pa.py_buffer((starts * size).astype(np.int64)), pa.py_buffer(np.ascontiguousarray(ids.astype(dtype)))]).cast(pa.binary())
 
 
+def qualified(spark: SparkSession, uri: str) -> str:
+    """The path with its scheme: one without is of the cluster's default file system, as for Spark."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(uri)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+
+
 def _store(uri: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
+    """The file system and path of a qualified path."""
+    scheme, _, rest = uri.partition(":")
+    if scheme == "file":
+        return pafs.LocalFileSystem(), "/" + rest.lstrip("/")
+    return pafs.FileSystem.from_uri(f"s3:{rest}" if scheme == "s3a" else uri)
 
 
 def _put(fs: pafs.FileSystem, path: str, parts: Iterator[bytes]) -> None:
@@ -156,28 +168,44 @@ def dtype_for(vocabulary: int) -> str:
     return "<u2" if vocabulary <= 1 << 16 else "<u4"
 
 
+def _ordered(doc_id: pa.Array, mark: pa.Array) -> np.ndarray:
+    """(doc_id, mark) as values that can be compared, null ids first."""
+    out = np.zeros(len(doc_id), [("doc_id", np.int64), ("mark", np.int64)])
+    out["doc_id"], out["mark"] = (pc.fill_null(x, NULL_ID).to_numpy(zero_copy_only=False) for x in (doc_id, mark))
+    return out
+
+
+def shard_bounds(data: DataFrame, shards: int) -> np.ndarray:
+    """The first (doc_id, mark) of each shard but the first one; Spark's range partitioner deals the ids, and a row for each shard comes back."""
+    if shards == 1:
+        return _ordered(pa.array([], pa.int64()), pa.array([], pa.int64()))
+    dealt = data.select("doc_id", "mark").repartitionByRange(shards, F.col("doc_id").asc_nulls_first(), "mark")
+    own = F.struct(F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc_id"), "mark")
+    first = dealt.groupBy(F.spark_partition_id().alias("shard")).agg(F.min(own).alias("x")).select("x.doc_id", "x.mark").toArrow()
+    return np.sort(_ordered(first["doc_id"].combine_chunks(), first["mark"].combine_chunks()))[1:]
+
+
 def write_token_files(docs: DataFrame, make_encoder: Callable, end_id: int, vocabulary: int, uri: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Write the ids of every document (null text: empty) and end_id after each; returns the manifest.
 
     make_encoder: called once in each task, gives an object with batch(texts). Ids are made where the text is read;
-    only the packed ids are shuffled, once, to the shard of their doc_id. Repeated doc_ids stand side by side, in the
-    order of their ids; null doc_ids come first; an empty table gives an empty manifest.
+    only the packed ids are shuffled, once, to the shard of their doc_id. Shards follow the bytes of text. Repeated doc_ids stand side by side,
+    in the order of a hash of their texts, and may go on in the next shard; null doc_ids come first; an empty table gives an empty manifest.
     """
     spark = docs.sparkSession
-    uri = uri or scratch(spark, "tokens")
-    data = id_and_text(docs, id_col, text_col)
-    n = data.select("doc_id").count()
-    shards = max(1, min(MAX_SHARDS, -(-n // SHARD_DOCS)))
-    bounds = data.agg(F.percentile_approx("doc_id", [k / shards for k in range(1, shards)] or [0.5], 100 * MAX_SHARDS)).first()[0] or []
-    bounds = np.array(sorted(set(bounds)) if shards > 1 else [], np.int64)
+    uri = qualified(spark, uri or scratch(spark, "tokens"))
+    data = id_and_text(docs, id_col, text_col, F.xxhash64(F.col(text_col).cast("string")).alias("mark"))
+    size = data.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shards = max(1, -(-size // min(max(SHARD_BYTES[0], size // MANY), SHARD_BYTES[1])))
+    bounds = shard_bounds(data, shards)
     dtype = dtype_for(vocabulary)
 
     def encode(batches):
         enc = make_encoder()
-        for b in slices(batches):
+        for b in slices(batches, size=ENCODE_BYTES):
             ids, starts = closed(*enc.batch(b["text"]), end_id)
-            shard = np.searchsorted(bounds, pc.fill_null(b["doc_id"], NULL_ID).to_numpy(zero_copy_only=False), side="left")
-            yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), b["doc_id"], packed(ids, starts, dtype)], ["shard", "doc_id", "ids"])
+            shard = np.searchsorted(bounds, _ordered(b["doc_id"], b["mark"]), side="right")
+            yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), b["doc_id"], b["mark"], packed(ids, starts, dtype)], ["shard", "doc_id", "mark", "ids"])
 
     def write(batches):
         made: dict = {}
@@ -211,14 +239,14 @@ def write_token_files(docs: DataFrame, make_encoder: Callable, end_id: int, voca
                     made["f"].write(x.as_buffer())
         yield from close()
 
-    coded = data.mapInArrow(encode, "shard int, doc_id long, ids binary")
-    dealt = coded.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), "ids")
+    coded = data.mapInArrow(encode, "shard int, doc_id long, mark long, ids binary")
+    dealt = coded.repartitionById(len(bounds) + 1, F.col("shard")).sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), "mark")
     dealt.mapInArrow(write, "shard int, n_docs long, n_ids long").withColumn("dtype", F.lit(dtype)).write.parquet(f"{uri}/manifest")
     return manifest(spark, uri)
 
 
 def manifest(spark: SparkSession, uri: str) -> DataFrame:
-    """The shards with their bases. At most MAX_SHARDS rows, so the one window over all of them is bounded."""
+    """The shards with their bases. There is a row for each shard (100,000 of 1 GB for 100 TB of text), so the one window over all of them is small."""
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     m = spark.read.schema("shard int, n_docs long, n_ids long, dtype string").parquet(f"{uri}/manifest")
     return m.withColumn("base", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).cast("long")).withColumn("uri", F.lit(uri))
@@ -241,11 +269,11 @@ def read_token_files(shards: DataFrame, end_id: int | None = None) -> DataFrame:
                 crc = np.array([zlib.crc32(ids[i:j].astype("<u4")) for i, j in zip(at, at[1:], strict=False)], np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64(), mask=doc == NULL_ID), pa.array(at[:-1] + s["base"]), pa.array(np.diff(at)), pa.array(crc)], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    n = max(1, min(MAX_SHARDS, shards.count()))
-    return shards.repartition(n).mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return shards.repartition(max(1, shards.count())).mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, start, n_tokens and ids_crc32 of every document, read back from the files."""
     import public_tokenizers
 
     from .common import table
