@@ -9,8 +9,10 @@ at the wanted similarity shares a block with a chance of RECALL (closer pairs: n
 always, as the first blocks are disjoint).
 
 Candidates are links only if the shingle sets of their texts have a Jaccard similarity of at least the wanted one. The pairs of small
-buckets are made distinct and joined to the shingles. Rows of larger buckets get their shingles into the bucket, and only a
-spanning forest of verified pairs leaves it. A bucket that is too large for one task is cut into parts, each two of which are a group.
+buckets are made distinct and joined to the shingles. The rows of a larger bucket are first compared with a few of them, its pivots: that
+links most of a group of near copies in as many comparisons as it has rows. Then the components so far are known, and of a bucket only
+the rows outside its largest component still meet all others, each pair of components at most until it is linked. What is too large for one
+task is cut into parts, each two of which are a group, and only a spanning forest of verified pairs leaves a group.
 
 To the buckets go keys, nodes and the first SKETCH bits alone. A row that differs from all others of its small bucket in more of
 those than a candidate can (but for a chance of 10^-9) has no partner there; the other rows meet again with whole fingerprints.
@@ -22,7 +24,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import MAX_BROADCAST_ROWS, attach, id_and_text, materialise
@@ -38,6 +40,8 @@ REACH = 3.1
 SMALL = 32
 #: Rows and bytes of shingles of a part of a larger bucket, about.
 BUCKET, BUCKET_BYTES = 4096, 32 << 20
+#: Rows of a larger bucket that all its rows are compared with first.
+PIVOTS = 4
 #: Candidates of a larger bucket that are verified at once, and the most bytes of bit sets for that.
 PAIRS, BIT_BYTES = 4096, 64 << 20
 #: Bits of a fingerprint that go to its buckets, and by how many standard deviations a link's distance there may exceed its mean.
@@ -231,13 +235,15 @@ def _distance_and(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a & b).sum(axis=-1, dtype=np.int64)
 
 
-def forest(fp: np.ndarray, sets: list[np.ndarray], side: np.ndarray, most: int, similarity: float, step: int = 512) -> tuple[np.ndarray, np.ndarray]:
+def forest(fp: np.ndarray, sets: list[np.ndarray], side: np.ndarray, root: np.ndarray, most: int, similarity: float, step: int = 512) -> tuple[np.ndarray, np.ndarray]:
     """Verified pairs that connect what all verified pairs do. side: part of a text; if there are two, only pairs of both are looked at.
+    root: component of a text so far; pairs inside one are not looked at.
 
     Pairs are compared in squares of step rows and verified in the order of their distances, but not if they are connected already.
     """
     overlaps = Overlaps(sets)
-    parent, out = np.arange(len(fp)), []
+    _, head, own = np.unique(root, return_index=True, return_inverse=True)
+    parent, out = head[own], []
 
     def find(i):
         while parent[i] != i:
@@ -271,14 +277,13 @@ def forest(fp: np.ndarray, sets: list[np.ndarray], side: np.ndarray, most: int,
 
 
 def _forests(batches, most: int, similarity: float):
-    """Rows (key, i, j, part, node, fp, sh) sorted by key, i and j: each group's spanning forest of verified pairs (u, v)."""
+    """Rows (key, i, j, part, node, root, fp, sh) sorted by key, i and j: each group's spanning forest of verified pairs (u, v)."""
     held, now = [], None
 
     def links():
-        part, node, fp, sh = (list(x) for x in zip(*held, strict=True))
-        sh = [np.frombuffer(x, np.uint64) for y in sh for x in y]
-        node = np.concatenate(node)
-        a, b = forest(np.concatenate(fp), sh, np.concatenate(part), most, similarity)
+        *columns, sh = (list(x) for x in zip(*held, strict=True))
+        part, node, root, fp = map(np.concatenate, columns)
+        a, b = forest(fp, [np.frombuffer(x, np.uint64) for y in sh for x in y], part, root, most, similarity)
         return pa.RecordBatch.from_arrays([pa.array(np.maximum(node[a], node[b])), pa.array(np.minimum(node[a], node[b]))], ["u", "v"])
 
     for b in batches:
@@ -293,22 +298,48 @@ def _forests(batches, most: int, similarity: float):
                 held, now = [], (key[x], i[x], j[x])
             some = b.slice(x, y - x)
             fp = np.frombuffer(b"".join(some["fp"].to_pylist()), np.uint64).reshape(-1, BITS // 64)
-            held.append((some["part"].to_numpy(), some["node"].to_numpy(), fp, some["sh"].to_pylist()))
+            held.append((some["part"].to_numpy(), some["node"].to_numpy(), some["root"].to_numpy(), fp, some["sh"].to_pylist()))
     if held:
         yield links()
 
 
-def _dealt(large: DataFrame) -> DataFrame:
-    """large: key, node, fp, m, n (rows of the bucket). The rows with the group (key, i, j) and the part that they are compared in.
+def _parts(rows: Column, shingles: Column) -> Column:
+    """How many parts so many rows with so many shingles are cut into."""
+    return F.greatest(F.ceil(F.greatest(rows / F.lit(BUCKET), shingles * 8 / F.lit(BUCKET_BYTES))), F.lit(1)).cast("int")
 
-    A bucket of over BUCKET rows or BUCKET_BYTES of shingles is cut into parts by a hash, and each two of them are a group, so every
-    pair meets in one group and none grows with its bucket.
+
+def _with_pivots(large: DataFrame) -> DataFrame:
+    """large: key, node, m. Groups (key, i, j) of a pivot (part 0) and rows of its buckets (part 1); key is the pivot.
+
+    Pivots are the rows of the least hashes, whatever the bucket, so that buckets of one group of copies have the same ones and
+    each pair is compared once.
+    """
+    least = F.array(*(F.min(F.struct(F.xxhash64(F.lit(k), "node"), "node"))["node"] for k in range(PIVOTS)))
+    of_key = materialise(large.groupBy("key").agg(F.array_distinct(least).alias("pivots"), F.count("*").alias("rows")), "wide-pivots")
+    pairs = attach(large, of_key, "key", "rows").select(F.explode("pivots").alias("key"), "node", "m").where("node != key").distinct()
+    pairs = materialise(pairs, "wide-pivot-pairs")
+    size = materialise(pairs.groupBy("key").agg(_parts(F.count("*"), F.sum("m")).alias("parts"), F.count("*").alias("rows")), "wide-pivot-parts")
+    rows = attach(pairs.select("key", "node"), size, "key", "rows").select("key", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("i"), F.lit(1).alias("part"), "node")
+    heads = size.select("key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("i"), F.lit(0).alias("part"), F.col("key").alias("node"))
+    return rows.unionByName(heads).select("key", "i", F.lit(0).alias("j"), "part", "node", F.col("node").alias("root"))
+
+
+def _dealt(labelled: DataFrame) -> DataFrame:
+    """labelled: key, node, root, m. The rows with the groups (key, i, j) and the part that they are compared in.
+
+    Rows outside a bucket's largest component meet all its rows; those inside meet only these. Both are cut into parts
+    of about BUCKET rows or BUCKET_BYTES of shingles by a hash, and each two parts that have to meet are a group, so every pair of
+    different components meets in one group, none grows with its bucket, and a bucket of one component has no group.
     """
-    need = F.ceil(F.greatest(F.count("*") / F.lit(BUCKET), F.sum("m") * 8 / F.lit(BUCKET_BYTES))).cast("int")
-    size = materialise(large.groupBy("key").agg(need.alias("parts"), F.count("*").alias("rows")), "wide-parts")
-    cut = attach(large.select("key", "node", "fp"), size, "key", "rows").withColumn("part", F.pmod(F.xxhash64("node", "key"), F.col("parts")).cast("int"))
-    cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    return cut.select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "node", "fp")
+    by_root = labelled.groupBy("key", "root").agg(F.count("*").alias("n"), F.sum("m").alias("m"))
+    top = F.max(F.struct("n", "root", "m"))
+    sums = by_root.groupBy("key").agg(top.alias("top"), F.sum("n").alias("rows"), F.sum("m").alias("m")).where("rows > top.n")
+    size = sums.select("key", F.col("top.root").alias("top"), _parts(F.col("rows") - F.col("top.n"), F.col("m") - F.col("top.m")).alias("outer"), _parts(F.col("top.n"), F.col("top.m")).alias("inner"), "rows")
+    cut = attach(labelled.select("key", "node", "root"), materialise(size, "wide-parts"), "key", "rows").where("top is not null")
+    h, outside = F.xxhash64("node", "key"), F.col("root") != F.col("top")
+    cut = cut.withColumn("part", F.when(outside, F.pmod(h, F.col("outer"))).otherwise(F.col("outer") + F.pmod(h, F.col("inner"))).cast("int"))
+    cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(outside, F.col("outer") + F.col("inner")).otherwise(F.col("outer")) - 1)))
+    return cut.select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "node", "root")
 
 
 def similar_components(docs: DataFrame, k: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -334,7 +365,7 @@ def similar_components(docs: DataFrame, k: int = 5, similarity: float = 0.8, id_
     if not many.isEmpty():
         marked = materialise(attach(near, many, "key", "n"), "wide-marked")
         small, large = marked.where("n is null").select("key", "node"), marked.where("n is not null")
-        large = materialise(large.join(nodes.select("node", "fp", "m"), "node"), "wide-rows")
+        large = materialise(large.join(nodes.select("node", "m"), "node").select("key", "node", "m"), "wide-rows")
     whole = small.join(nodes.select("node", "fp"), "node").select("key", "node", "fp").repartition("key").sortWithinPartitions("key", "node")
     pairs = materialise(whole.mapInArrow(lambda it: _small_pairs(it, most), "u long, v long").where("u != v").distinct(), "wide-pairs")
     asked = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node")))
@@ -342,11 +373,18 @@ def similar_components(docs: DataFrame, k: int = 5, similarity: float = 0.8, id_
     sh = shingles_of(docs, materialise(asked.distinct(), "wide-asked"), k, id_col, text_col)
     of = lambda end, name: sh.select(F.col("node").alias(end), F.col("sh").alias(name))
     links = pairs.join(of("u", "a"), "u").join(of("v", "b"), "v").select("u", "v", "a", "b").mapInArrow(lambda it: _verified(it, similarity), "u long, v long")
+    parts = None
     if large is not None:
-        rows = _dealt(large).join(sh, "node").select("key", "i", "j", "part", "node", "fp", "sh")
-        rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-        links = materialise(links, "wide-links").unionByName(materialise(rows.mapInArrow(lambda it: _forests(it, most, similarity), "u long, v long"), "wide-forests"))
-    parts = materialise(connected_components(links), "wide-components")
+        links = materialise(links, "wide-links")
+        for deal in (_with_pivots, _dealt):
+            rows = deal(large) if parts is None else deal(large.join(parts, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"), "m"))
+            rows = rows.join(nodes.select("node", "fp"), "node").join(sh, "node").select("key", "i", "j", "part", "node", "root", "fp", "sh")
+            rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+            more = materialise(rows.mapInArrow(lambda it: _forests(it, most, similarity), "u long, v long"), "wide-forests")
+            if parts is None or not more.isEmpty():
+                links = links.unionByName(more)
+                parts = materialise(connected_components(links), "wide-components")
+    parts = materialise(connected_components(links), "wide-components") if parts is None else parts
     out = attach(fp.select("doc_id", "fp"), nodes.where("n > 1").select("fp", "node", "n"), "fp", "n").select("doc_id", F.coalesce("node", "doc_id").alias("node"))
     return out.join(parts, "node", "left").select("doc_id", F.coalesce("root", "node").alias("component_id"))
 

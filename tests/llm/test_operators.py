@@ -139,7 +139,7 @@ def test_token_files(spark, sf, tokenizer, tmp_path):
 
 
 def test_token_files_shards_and_repeats(spark, tokenizer, tmp_path, monkeypatch):
-    monkeypatch.setattr(token_files, "SHARD_DOCS", 4)
+    monkeypatch.setattr(token_files, "SHARD_BYTES", (28, 1 << 30))
     t, path = tokenizer
     rows = [(i // 2, f"text {i % 5}") for i in range(30)] + [(None, "nobody")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
@@ -150,6 +150,25 @@ def test_token_files_shards_and_repeats(spark, tokenizer, tmp_path, monkeypatch)
     assert [g[0] for g in got] == [sum(x[2] for x in got[:i]) for i in range(len(got))]
 
 
+def test_token_files_of_one_repeated_id(spark, tokenizer, tmp_path, monkeypatch):
+    """Rows of one doc_id, or of none, are dealt to several shards, and stand side by side all the same."""
+    monkeypatch.setattr(token_files, "SHARD_BYTES", (200, 1 << 30))
+    t, path = tokenizer
+    rows = [(5 if i % 3 else None, f"text number {i}") for i in range(300)] + [(i, "one") for i in (1, 9)]
+    shards = token_files.write_token_files(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), lambda: token_files.ChunkEncoder(path), 1, 49_408, uri=str(tmp_path / "t"))
+    assert shards.count() > 10
+    got = sorted((r["start"], r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in token_files.read_token_files(shards, 1).collect())
+    assert [g[1] for g in got] == [None] * 100 + [1] + [5] * 200 + [9]
+    assert [g[0] for g in got] == [sum(x[2] for x in got[:i]) for i in range(len(got))]
+    crc = Counter((d, zlib.crc32(np.array([*t.encode(x, add_special_tokens=False).ids, 1], "<u4").tobytes())) for d, x in rows)
+    assert Counter((g[1], g[3]) for g in got) == crc
+
+
+def test_paths_without_a_scheme_are_the_default_file_systems(spark, tmp_path):
+    assert token_files.qualified(spark, f"{tmp_path}/x") == f"file:{tmp_path}/x"
+    assert token_files._store(f"file:{tmp_path}/x")[1] == token_files._store(f"file://{tmp_path}/x")[1] == f"{tmp_path}/x"
+
+
 def test_token_counts(spark, tokenizer, monkeypatch):
     t, path = tokenizer
     monkeypatch.setattr(token_counts.scan_counts, "__defaults__", (7,))
@@ -287,7 +306,7 @@ def test_lm_requests_grow_far_slower_than_blocks_times_buckets(spark, monkeypatc
         docs = spark.createDataFrame([(i, " ".join(f"w{x}" for x in rng.integers(0, 5000, 150)), False) for i in range(n)], "doc_id long, text string, held boolean").coalesce(1)
         blocks = docs.mapInArrow(lambda it: lm_score._blocks(it, 4000), "block string, data binary").cache()
         routes = lm_score.Routes(sum(len(r["text"]) for r in docs.collect()))
-        asked = blocks.mapInArrow(lm_score._asks(routes, 0), "part int, block string, data binary").count()
+        asked = blocks.mapInArrow(lm_score._asks(routes, lm_score.TRIPS[0]), "part int, block string, data binary").count()
         assert asked <= blocks.count() * routes.ranges and routes.groups * routes.buckets <= 2 * routes.buckets**1.5
         rows.append((blocks.count(), routes.buckets, asked))
     (b0, k0, a0), (b1, k1, a1) = rows
@@ -485,20 +504,32 @@ def test_near_dedup_overfull_buckets(spark, monkeypatch):
     texts = near_copies(np.random.default_rng(4), 60)
     want = dict(enumerate(exact_components(texts)))
     monkeypatch.setattr(simhash_wide, "BUCKET", 8)
-    rows = [(7, i, b"", 3, 200) for i in range(200)] + [(8, i, b"", 3, 100) for i in range(100)]
-    dealt = simhash_wide._dealt(spark.createDataFrame(rows, "key long, node long, fp binary, m long, n long")).collect()
+    # the largest component of a bucket meets the other rows alone, and these meet all
+    rows = [(7, i, i if i < 60 else 1000, 3) for i in range(200)] + [(8, i, 5, 3) for i in range(100)] + [(9, i, i, 3) for i in range(50)]
+    root = {(k, i): r for k, i, r, _ in rows}
+    dealt = simhash_wide._dealt(spark.createDataFrame(rows, "key long, node long, root long, m long")).collect()
     size, meet = Counter((r["key"], r["i"], r["j"]) for r in dealt), defaultdict(set)
     for r in dealt:
-        meet[r["key"], r["i"], r["j"]].add(r["node"])
-    assert max(size.values()) <= 6 * 8 and all(len(meet[g]) == size[g] for g in size)
-    for key, n in ((7, 200), (8, 100)):
-        groups = [g for k, g in meet.items() if k[0] == key]
-        together = {(a, b) for g in groups for a in g for b in g}
-        assert len(together) == n * n
+        meet[r["key"], r["i"], r["j"]].add((r["part"], r["node"]))
+    assert max(size.values()) <= 6 * 8 and all(len(meet[g]) == size[g] for g in size) and not any(k == 8 for k, *_ in size)
+    for key, n in ((7, 200), (9, 50)):
+        met = Counter(frozenset((a, b)) for g, own in meet.items() if g[0] == key for p, a in own for q, b in own if a < b and (p != q or len({p for p, _ in own}) == 1))
+        wanted = {frozenset((a, b)) for a in range(n) for b in range(a) if root[key, a] != root[key, b]}
+        assert wanted <= set(met) and set(met.values()) == {1}
     got = {r["doc_id"]: r["component_id"] for r in simhash_wide.similar_components(odd_documents(spark, texts)).collect()}
     assert got == want
 
 
+def test_a_group_of_near_copies_costs_its_rows(spark):
+    """20,000 distinct near copies in one bucket: the rows that are dealt follow the copies, not their pairs."""
+    n = 20_000
+    large = spark.range(n).selectExpr("7 as key", "id as node", "300L as m")
+    assert simhash_wide._with_pivots(large.selectExpr("cast(key as long) key", "node", "m")).count() <= (simhash_wide.PIVOTS + 1) * n
+    linked = large.selectExpr("cast(key as long) key", "node", "if(node % 1000 = 7, node, 0L) as root", "m")
+    assert simhash_wide._dealt(linked).count() <= n + 20 * 7
+    assert simhash_wide._dealt(linked.where("root = 0")).count() == 0
+
+
 def test_token_files_special_tokens(spark, tmp_path):
     """The registered query gives the ids of the unchanged tokenizer, strings of special tokens included."""
     import public_tokenizers
