@@ -34,7 +34,7 @@ NULL_ID = -(1 << 63)
 #: Bytes of text of a shard, about: at least the first, and from MANY shards on more, up to the second.
 SHARD_BYTES, MANY = (16 << 20, 1 << 30), 4096
 #: Bytes of text that are encoded at once: of more text fewer words are new.
-ENCODE_BYTES = 8 << 20
+ENCODE_BYTES = 4 << 20
 #: Distinct pieces of text whose ids a task keeps.
 CACHE_PIECES = 1_000_000
 TAIL = ".,;:!?*&%$#()[]{}<>-+=_/\\\"@^~|`"
