@@ -189,3 +189,26 @@ def filled(template: Column, values: Column) -> Column:
     names = F.array_distinct(F.regexp_extract_all(template, F.lit(r"\{([A-Za-z0-9_.-]+)\}"), F.lit(1)))
     known = lambda n: F.coalesce(F.try_element_at(values, n), F.raise_error(F.concat(F.lit("unknown placeholder "), n)).cast("string"))
     return F.aggregate(names, template, lambda t, n: F.replace(t, F.concat(F.lit("{"), n, F.lit("}")), known(n)))
+
+
+def text_statistics(text: Column) -> Column:
+    """(words, chars, average): words between white space, characters, characters a word (0 without words)."""
+    bare = F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    n = F.when(bare == "", 0).otherwise(F.size(F.split(bare, r"(?U)\s+")))
+    return F.struct(n.cast("long").alias("words"), F.length(text).cast("long").alias("chars"), F.when(n > 0, F.length(text) / n).otherwise(0.0).alias("average"))
+
+
+def issue_query(*parts: Column) -> Column:
+    """The texts of the parts (arrays of texts) that are not empty, joined by blanks."""
+    return F.array_join(F.filter(F.concat(*parts), lambda x: F.coalesce(x, F.lit("")) != ""), " ")
+
+
+def slug(text: Column) -> Column:
+    """Lower case; runs of what is no ASCII letter or digit are one underscore, none at the ends."""
+    return F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", "_"), F.lit("_"))
+
+
+def capped(values: Column, limit: int) -> Column:
+    """(values, dropped): the first `limit` of an array's texts that are not blank, without blanks around them, and how many more there are."""
+    kept = F.filter(F.transform(values, lambda x: F.trim(x)), lambda x: x != "")
+    return F.struct(F.slice(kept, 1, limit).alias("values"), F.greatest(F.size(kept) - limit, F.lit(0)).alias("dropped"))

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .tables import written
+from .tables import is_written, written
 
 
 def reach(edges: DataFrame, starts: DataFrame, max_depth: int, forward: bool = False) -> DataFrame:
@@ -20,18 +20,25 @@ def reach(edges: DataFrame, starts: DataFrame, max_depth: int, forward: bool = F
     repeated edges and self loops do no harm.
     """
     near, far = ("src", "dst") if forward else ("dst", "src")
-    steps = edges.select(F.col(near).alias("node"), F.col(far).alias("next")).where("node is not null and next is not null")
+    steps = _steps(edges, near, far) if max_depth > 0 else None
     level = written(starts.select("node").where("node is not null").distinct().withColumn("depth", F.lit(0)), "level-0")
     seen = level
     for depth in range(1, max_depth + 1):
         found = steps.join(level.select("node"), "node", "left_semi").select(F.col("next").alias("node")).distinct()
-        level = written(found.join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(depth)), f"level-{depth}")
+        found = found.join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(depth))
+        level = written(found, f"level-{depth}")
         if level.isEmpty():
             break
         seen = seen.unionByName(level)
     return seen
 
 
+def _steps(edges: DataFrame, near: str, far: str) -> DataFrame:
+    """(node, next), dealt by the node and written once, so that a lazy edge table is made once and not for each level."""
+    steps = edges.select(F.col(near).alias("node"), F.col(far).alias("next")).where("node is not null and next is not null")
+    return steps if is_written(edges) else written(steps.distinct().repartition("node"), "steps")
+
+
 def walked_edges(edges: DataFrame, depths: DataFrame, max_depth: int, forward: bool = False) -> DataFrame:
     """(depth, src, dst): all edges out of each frontier, those back to visited nodes included; depth counts from 1."""
     near = "src" if forward else "dst"
@@ -62,6 +69,7 @@ def shortest_chains(predecessors: DataFrame, starts: DataFrame, max_depth: int,
     """
     level = written(starts.select("node", F.lit(0).alias("depth"), F.array("node").alias("chain")), "chains-0")
     whole = level
+    predecessors = predecessors if is_written(predecessors) else written(predecessors, "predecessors")
     first = Window.partitionBy("node").orderBy("chain")
     for depth in range(1, max_depth + 1):
         steps = predecessors.where(F.col("depth") == depth).select(F.col("predecessor").alias("was"), F.col("node").alias("next"))

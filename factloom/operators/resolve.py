@@ -92,6 +92,21 @@ def as_of(left: DataFrame, right: DataFrame, by: str, at: str, order: list[Colum
     return left.select("row").join(won, "row", "left").select("row", *(F.col(f"won.r_{c}").alias(f"r_{c}") for c in names))
 
 
+def as_of_same(left: DataFrame, right: DataFrame, by: str, same: str, at: str, order: list[Column]) -> DataFrame:
+    """as_of() that prefers rows with an equal `same` to later ones: one window over (by, same) and one over by, so no pairs are made.
+
+    left: row, by, same, at. Null names are equal to none.
+    """
+    key = F.when(F.col(same).isNotNull() & F.col(by).isNotNull(), F.struct(by, same))
+    near = as_of(left.select("row", key.alias("__key"), at).where("__key is not null"), right.withColumn("__key", key).where("__key is not null"), "__key", at, order)
+    any_ = as_of(left.select("row", by, at), right, by, at, order)
+    names = [c for c in any_.columns if c != "row"]
+    pick = lambda d, name: d.select("row", F.struct(*names).alias(name))
+    both = pick(any_, "__any").join(pick(near, "__near"), "row", "left")
+    found = F.coalesce(F.col(f"__near.r_{at}").isNotNull(), F.lit(False))
+    return both.select("row", *(F.when(found, F.col(f"__near.{c}")).otherwise(F.col(f"__any.{c}")).alias(c) for c in names))
+
+
 def innermost(points: DataFrame, spans: DataFrame, by: str) -> DataFrame:
     """points: row, by, line; spans: by, first, last, name. Each point's innermost span around it (the latest start, then the earlier end, then name).
 

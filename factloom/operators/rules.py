@@ -98,3 +98,41 @@ def evidence_location(claims: DataFrame, evidence: DataFrame) -> DataFrame:
 def status_of(n: Column, n_unresolved: Column) -> Column:
     """RESOLVED, PARTIALLY_RESOLVED or UNRESOLVED by how much was found and how much was not."""
     return F.when((n > 0) & (n_unresolved == 0), "RESOLVED").when(n > 0, "PARTIALLY_RESOLVED").otherwise("UNRESOLVED")
+
+
+def scenario_status(status: Column) -> Column:
+    """A validation's status in the terms of scenarios: passed, failed, and error for all else."""
+    return F.when(status == "PASSED", "passed").when(status == "FAILED", "failed").otherwise("error")
+
+
+def risk_level(raw: Column) -> Column:
+    """low, medium or high, case and blanks aside; what is none of them counts as medium."""
+    level = F.lower(F.trim(raw))
+    return F.when(level.isin(*CONFIDENCE), level).otherwise("medium")
+
+
+def skipped_fix(insufficient: Column, location: Column, indexed: Column) -> Column:
+    """Why a fix is not tried, null if it is: insufficient is null without an analysis."""
+    return (
+        F.when(insufficient.isNull(), "No root cause analysis available.")
+        .when(insufficient, "Root cause is not established (insufficient evidence).")
+        .when(F.coalesce(location, F.lit("")) == "", "Root cause has no exact code location to fix.")
+        .when(~F.coalesce(indexed, F.lit(False)), "Source code for the location is not indexed.")
+    )
+
+
+def validation_request(requests: DataFrame, tests: DataFrame, prefix: str = "pytest") -> DataFrame:
+    """requests: id, commands (an array), file, qualified_name; tests: id, test_file, ord. (id, commands, changed_files, target).
+
+    Given commands win; else one command over the linked test files, each once, in order, quoted for a shell where that is needed. A request
+    with neither raises an error, for no command is guessed.
+    """
+    first = tests.where("test_file is not null").groupBy("id", "test_file").agg(F.min("ord").alias("ord"))
+    bare = F.col("test_file").rlike(r"^[A-Za-z0-9_@%+=:,./-]+$")
+    quoted = F.when(bare, F.col("test_file")).otherwise(F.concat(F.lit("'"), F.replace("test_file", F.lit("'"), F.lit("'\"'\"'")), F.lit("'")))
+    listed = first.groupBy("id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ord", quoted.alias("f")))), lambda x: x["f"]), " ").alias("files"))
+    given = F.size(F.coalesce("commands", F.array().cast("array<string>"))) > 0
+    none = F.raise_error(F.lit("no commands were given and no linked tests were found")).cast("array<string>")
+    commands = F.when(given, F.col("commands")).when(F.col("files").isNotNull(), F.array(F.concat(F.lit(f"{prefix} "), "files"))).otherwise(none)
+    target = F.when(F.col("file").isNotNull() & F.col("qualified_name").isNotNull(), F.concat("file", F.lit("::"), "qualified_name")).otherwise(F.coalesce("file", "qualified_name"))
+    return requests.join(listed, "id", "left").select("id", commands.alias("commands"), F.array_compact(F.array("file")).alias("changed_files"), target.alias("target"))

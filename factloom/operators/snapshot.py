@@ -158,3 +158,61 @@ def summary(changes: DataFrame) -> DataFrame:
 def in_order(changes: DataFrame) -> DataFrame:
     """Changes by entity type (in the order of the types), category, id and change type."""
     return changes.orderBy(F.array_position(F.array(*map(F.lit, ENTITY_TYPES)), F.col("entity_type")), "category", "entity_id", "change_type")
+
+
+def same_repository(previous: DataFrame, current: DataFrame) -> DataFrame:
+    """Both one row with `repository`. One row (repository); an error is raised if the two differ, for such snapshots cannot be compared."""
+    both = previous.select(F.col("repository").alias("a"), F.lit(1).alias("one")).join(current.select(F.col("repository").alias("b"), F.lit(1).alias("one")), "one")
+    wrong = F.raise_error(F.format_string("snapshots of different repositories: %s and %s", F.col("a"), F.col("b"))).cast("string")
+    return both.select(F.when(F.col("a").eqNullSafe(F.col("b")), F.col("a")).otherwise(wrong).alias("repository"))
+
+
+#: How statuses of files are told, and how many commits of a file are.
+WORDING, COMMITS_A_FILE = {"A": "added", "M": "modified", "D": "deleted"}, 3
+
+
+def git_evidence(files: DataFrame, file_changes: DataFrame, commits: DataFrame, previous: str, current: str) -> DataFrame:
+    """files: owner, file; file_changes: path, status, old_path; commits: commit_hash, committed_at, message, changed_files, ord (0: the newest).
+
+    (owner, source, file, details, commit, at): how each file of the evidence changed between the revisions (by its path, else by its old one), and
+    up to three commits that touched it or what it became.
+    """
+    files = files.where("file is not null").distinct()
+    by = lambda c, rank: file_changes.where(F.col(c).isNotNull()).select(F.col(c).alias("file"), F.lit(rank).alias("r"), "path", "status", "old_path")
+    change = by("path", 0).unionByName(by("old_path", 1)).groupBy("file").agg(F.min(F.struct("r", "path", "status", "old_path")).alias("c")).select("file", "c.path", "c.status", "c.old_path")
+    asked = files.select("file").distinct().join(change, "file", "left")
+    wording = F.coalesce(F.create_map(*(F.lit(x) for kv in WORDING.items() for x in kv))[F.col("status")], F.col("status"))
+    detail = F.when(F.col("status") == "R", F.concat(F.lit("file renamed "), "old_path", F.lit(" -> "), "path")).otherwise(F.concat(F.lit("file "), wording))
+    diff = asked.where("status is not null").select("file", F.lit("git_diff").alias("source"), F.concat(detail, F.lit(f" between {previous[:12]} and {current[:12]}")).alias("details"), F.lit(None).cast("string").alias("commit"), F.lit(None).cast("timestamp").alias("at"))
+    names = asked.select("file", F.explode(F.array_distinct(F.array_compact(F.array("file", "path")))).alias("name"))
+    each = commits.select("commit_hash", "committed_at", "message", "ord", F.explode("changed_files").alias("name"))
+    hits = names.join(each, "name").select("file", "commit_hash", "committed_at", "message", "ord").distinct()
+    top = hits.withColumn("rank", F.row_number().over(Window.partitionBy("file").orderBy("ord", "commit_hash"))).where(F.col("rank") <= COMMITS_A_FILE)
+    line = F.element_at(F.split(F.coalesce("message", F.lit("")), r"\r\n|\r|\n", 2), 1)
+    told = top.select("file", F.lit("git_commit").alias("source"), F.concat(F.lit("commit "), F.substring("commit_hash", 1, 12), F.lit(" touched "), "file", F.lit(": "), line).alias("details"), F.col("commit_hash").alias("commit"), F.col("committed_at").cast("timestamp").alias("at"))
+    return files.join(diff.unionByName(told), "file").select("owner", "source", "file", "details", "commit", "at")
+
+
+def told(changes: DataFrame) -> DataFrame:
+    """One row (status, n, text): whether and how much changed, with the number of each category, by name."""
+    per = changes.groupBy("category").agg(F.count("*").alias("n"))
+    one = per.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.array_sort(F.collect_list(F.struct("category", "n"))).alias("c"))
+    listed = F.array_join(F.transform("c", lambda x: F.concat(x["n"].cast("string"), F.lit(" x "), x["category"])), ", ")
+    none = F.col("n") == 0
+    text = F.when(none, "No architecture changes between the two revisions.").otherwise(F.concat(F.col("n").cast("string"), F.lit(" change(s): "), listed))
+    return one.select(F.when(none, "NO_CHANGES").otherwise("CHANGES_DETECTED").alias("status"), "n", text.alias("text"))
+
+
+def of_type(entities: DataFrame, entity_type: str) -> DataFrame:
+    """The entities of a type, by key."""
+    return entities.where(F.col("entity_type") == entity_type).orderBy("key")
+
+
+def unresolved_in_order(unresolved: DataFrame) -> DataFrame:
+    """What could not be told, by file and reason."""
+    return unresolved.orderBy(F.coalesce("file", F.lit("")), "reason")
+
+
+def plain(rows: DataFrame) -> DataFrame:
+    """One column `json`: each row as JSON, times in ISO form, nulls kept."""
+    return rows.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ssXXX"}).alias("json"))

@@ -12,9 +12,11 @@ MAX_BROADCAST_ROWS = 200_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; a temporary folder only where it is unset (tests)."""
+    """spark.checkpoint.dir of the session. Where it is unset, a session on one machine gets a temporary folder; on a cluster that is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set: it names the folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-facts-"))
         base = spark.sparkContext.getCheckpointDir()
     return base.rstrip("/")
@@ -25,4 +27,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/facts-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = True
+    return out
+
+
+def is_written(df: DataFrame) -> bool:
+    """Whether df is as written() returned it, so that reading it twice costs no second run."""
+    return getattr(df, "_written", False)

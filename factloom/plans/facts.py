@@ -41,6 +41,15 @@ FACTS = {
     "evidence": "SELECT id AS claim, seq AS n, CASE WHEN kind = 'build' OR coalesce(failed, 0) > 7 THEN 'fix_localization' ELSE 'rca' END AS source, CASE WHEN coalesce(failed, 0) > 4 THEN 'method [KNOWN]' ELSE 'method' END AS description, CASE WHEN coalesce(exit_code, 1) > 0 THEN NULL ELSE concat('f', CAST(id % 7 AS STRING), '.py', CASE WHEN passed IS NULL THEN '' ELSE concat('::m', CAST(seq AS STRING)) END) END AS location FROM runs",
     "claims": "SELECT o_orderkey AS claim, CASE WHEN o_orderstatus = 'F' THEN ' High ' WHEN o_orderstatus = 'P' THEN 'medium' ELSE 'certain' END AS confidence, o_orderpriority = '1-URGENT' AS insufficient, CASE WHEN o_orderpriority = '2-HIGH' THEN ' e2 ' END AS location_id, CASE WHEN o_orderpriority = '5-LOW' THEN NULL WHEN o_orderstatus = 'F' THEN concat('f', CAST(o_orderkey % 7 AS STRING), '.py:12-', CAST(o_custkey AS STRING)) WHEN o_orderstatus = 'P' THEN concat('f', CAST(o_orderkey % 7 AS STRING), '.py::m1') ELSE 'nowhere.py' END AS location FROM orders",
     "citations": "SELECT o_orderkey AS claim, ' e1' AS cited FROM orders WHERE o_orderstatus <> 'O' UNION ALL SELECT o_orderkey, 'E4 ' FROM orders WHERE o_orderpriority <> '5-LOW' UNION ALL SELECT o_orderkey, 'E1' FROM orders WHERE o_totalprice > 200000",
+    # parsed sources: parts are functions, suppliers classes, their lines methods that call parts
+    "src_files": "SELECT concat('pkg/m', CAST(k AS STRING), '.py') AS path, concat('m', CAST(k AS STRING), '.py') AS name, k AS line_count FROM (SELECT DISTINCT p_partkey % 40 AS k FROM part) AS x",
+    "src_functions": "SELECT concat('pkg/m', CAST(p_partkey % 40 AS STRING), '.py') AS file_path, concat('f', CAST(p_partkey AS STRING)) AS name, p_size AS line FROM part",
+    "src_classes": "SELECT concat('pkg/m', CAST(s_suppkey % 40 AS STRING), '.py') AS file_path, concat('C', CAST(s_suppkey AS STRING)) AS name, s_nationkey AS line FROM supplier",
+    "src_methods": "SELECT DISTINCT concat('pkg/m', CAST(l_suppkey % 40 AS STRING), '.py') AS file_path, concat('C', CAST(l_suppkey AS STRING)) AS class_name, concat('run', CAST(l_linenumber AS STRING)) AS name, l_linenumber AS line FROM lineitem",
+    "src_calls": "SELECT DISTINCT concat('pkg/m', CAST(l_suppkey % 40 AS STRING), '.py') AS file_path, concat('C', CAST(l_suppkey AS STRING)) AS class_name, concat('run', CAST(l_linenumber AS STRING)) AS name, CASE WHEN l_returnflag = 'R' THEN concat('x.f', CAST(l_partkey AS STRING)) WHEN l_partkey % 40 = l_suppkey % 40 THEN concat('f', CAST(l_partkey AS STRING)) WHEN l_returnflag = 'A' THEN concat('pkg.m', CAST(l_partkey % 40 AS STRING), '.f', CAST(l_partkey AS STRING)) ELSE concat('pkg.m', CAST(l_partkey % 40 AS STRING), '.gone') END AS target, CASE WHEN l_partkey % 2 = 0 THEN concat('x.f', CAST(l_partkey AS STRING), '()') END AS raw, l_returnflag <> 'R' AS resolved, l_partkey AS ord FROM lineitem",
+    "src_changes": "SELECT DISTINCT CAST(l_orderkey AS STRING) AS commit_hash, concat('pkg/m', CAST(l_partkey % 45 AS STRING), '.py') AS path FROM lineitem",
+    "src_imports": "SELECT DISTINCT concat('pkg/m', CAST(l_suppkey % 40 AS STRING), '.py') AS file, concat('pkg/m', CAST(l_partkey % 50 AS STRING), '.py') AS target FROM lineitem WHERE l_quantity > 40",
+    "repos": "SELECT CAST(n_nationkey AS STRING) AS id, n_name AS name, CASE WHEN n_nationkey % 3 = 0 THEN NULL WHEN n_nationkey % 3 = 1 THEN concat('git@', lower(n_name)) ELSE 'git@shared' END AS remote_url, concat('/src/', CAST(n_regionkey AS STRING)) AS root_path FROM nation",
     # parts whose text calls the parts that follow them
     "code_chunks": "SELECT concat('p', CAST(src AS STRING)) AS id, array_join(sort_array(collect_list(concat('  p', CAST(dst AS STRING), ' (x)'))), ' ') AS text FROM calls GROUP BY src",
     "ranked_lists": "SELECT 1 AS list, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) AS rank, CAST(c_custkey AS STRING) AS key, c_nationkey AS nation FROM customer UNION ALL SELECT 2, row_number() OVER (PARTITION BY c_nationkey ORDER BY n DESC, c_custkey), CAST(c_custkey AS STRING), c_nationkey FROM customer JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) AS o ON c_custkey = o_custkey",

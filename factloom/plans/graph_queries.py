@@ -18,6 +18,10 @@ _WALK = "WITH RECURSIVE w AS (SELECT node, 0 AS depth FROM start UNION SELECT c.
 _UP, _DOWN = _WALK.format(far="src", near="dst"), _WALK.format(far="dst", near="src")
 
 
+def _calls(spark, sf):
+    return written(fact(spark, sf, "calls"), "calls")
+
+
 @_Q.add(_UP + "SELECT node, depth FROM d")
 def bfs_callers(spark, sf):
     return graph.reach(fact(spark, sf, "calls"), fact(spark, sf, "start"), DEPTH)
@@ -30,19 +34,19 @@ def bfs_callees(spark, sf):
 
 @_Q.add(_UP + "SELECT d.depth + 1 AS depth, c.src, c.dst FROM calls c JOIN d ON c.dst = d.node WHERE d.depth < 3")
 def walked_call_edges(spark, sf):
-    edges = fact(spark, sf, "calls")
+    edges = _calls(spark, sf)
     return graph.walked_edges(edges, graph.reach(edges, fact(spark, sf, "start"), DEPTH), DEPTH)
 
 
 @_Q.add(_UP + "SELECT a.node, b.node AS predecessor, a.depth FROM calls c JOIN d a ON c.src = a.node JOIN d b ON c.dst = b.node WHERE a.depth = b.depth + 1")
 def shortest_predecessors(spark, sf):
-    edges = fact(spark, sf, "calls")
+    edges = _calls(spark, sf)
     return graph.shortest_predecessors(edges, graph.reach(edges, fact(spark, sf, "start"), DEPTH))
 
 
 @_Q.add(_UP + "SELECT count(DISTINCT c.src) AS n FROM calls c JOIN d ON c.dst = d.node WHERE d.depth = 3 AND c.src NOT IN (SELECT node FROM d)")
 def frontier_truncated(spark, sf):
-    edges = fact(spark, sf, "calls")
+    edges = _calls(spark, sf)
     return graph.callers_beyond(edges, graph.reach(edges, fact(spark, sf, "start"), DEPTH), DEPTH)
 
 
@@ -55,7 +59,7 @@ def frontier_truncated(spark, sf):
     SELECT node, depth, array_to_string(chain, '>') AS chain, n > 10 AS capped FROM r WHERE rank <= 10"""
 )
 def shortest_paths(spark, sf):
-    edges, start = fact(spark, sf, "calls"), fact(spark, sf, "start")
+    edges, start = _calls(spark, sf), fact(spark, sf, "start")
     steps = graph.shortest_predecessors(edges, graph.reach(edges, start, DEPTH))
     return graph.shortest_chains(steps, start, DEPTH).withColumn("chain", F.array_join("chain", ">"))
 
@@ -110,6 +114,13 @@ def edge_upsert(spark, sf):
     return upsert.merge_edges(batch.limit(0), batch, fact(spark, sf, "graph_nodes"))
 
 
+@_Q.add("SELECT e.start_label, e.start_id, e.rel_type, e.end_label, e.end_id FROM graph_edges e WHERE e.rel_type = 'LIVES_IN' AND e.start_label = 'Customer' UNION SELECT e.* FROM graph_edges e JOIN graph_nodes a ON e.start_id = a.id AND e.start_label = a.label JOIN graph_nodes b ON e.end_id = b.id AND e.end_label = b.label")
+def edge_upsert_stored(spark, sf):
+    """Stored edges stay, with or without their nodes; the batch repeats some of them."""
+    batch = fact(spark, sf, "graph_edges")
+    return upsert.merge_edges(batch.where("rel_type = 'LIVES_IN' and start_label = 'Customer'"), batch, fact(spark, sf, "graph_nodes"))
+
+
 @_Q.add("SELECT 'node' AS kind, label AS name, count(*) AS n FROM graph_nodes GROUP BY label UNION ALL SELECT 'edge', rel_type, count(*) FROM graph_edges GROUP BY rel_type")
 def ingestion_summary(spark, sf):
     return upsert.ingestion_summary(fact(spark, sf, "graph_nodes"), fact(spark, sf, "graph_edges"))
@@ -162,10 +173,10 @@ UNION ALL SELECT 'API', concat('a', CAST(file AS VARCHAR)), depth + 1, 'EXPOSES'
 UNION ALL SELECT 'DOWNSTREAM_SERVICE', concat('s', CAST(k AS VARCHAR)), k - 4, CASE WHEN k = 5 THEN 'DIRECT' ELSE 'INDIRECT' END FROM (SELECT unnest([5, 6, 7]) AS k) AS y WHERE 4 IN (SELECT service FROM sv)"""
 
 
-@_Q.add(_IMPACT_SQL)
-def analyze_impact(spark, sf):
+def impact_graph(spark, sf):
+    """Nodes, edges and the changed node: parts call parts, files hold them, services hold files and need each other, files expose APIs."""
     part = "SELECT DISTINCT src AS k FROM calls UNION SELECT dst FROM calls"
-    nodes = select(spark, sf, f"SELECT 'Function' AS label, concat('p', CAST(k AS STRING)) AS id, concat(CASE WHEN k % 10 = 3 THEN 'tests/' ELSE 'src/' END, CAST(k AS STRING), '.py') AS path FROM ({part}) AS x UNION ALL SELECT DISTINCT 'File', concat('f', CAST(k % 50 AS STRING)), 'f' FROM ({part}) AS x UNION ALL SELECT DISTINCT 'Service', concat('s', CAST(n_nationkey AS STRING)), '' FROM nation")
+    nodes = select(spark, sf, f"SELECT 'Function' AS label, concat('p', CAST(k AS STRING)) AS id, concat('p', CAST(k AS STRING)) AS name, concat(CASE WHEN k % 10 = 3 THEN 'tests/' ELSE 'src/' END, CAST(k AS STRING), '.py') AS path FROM ({part}) AS x UNION ALL SELECT DISTINCT 'File', concat('f', CAST(k % 50 AS STRING)), concat('f', CAST(k % 50 AS STRING)), 'f' FROM ({part}) AS x UNION ALL SELECT DISTINCT 'Service', concat('s', CAST(n_nationkey AS STRING)), concat('s', CAST(n_nationkey AS STRING)), '' FROM nation")
     edges = select(
         spark,
         sf,
@@ -176,7 +187,12 @@ def analyze_impact(spark, sf):
         UNION ALL SELECT 'Service', concat('s', CAST(n_nationkey AS STRING)), 'DEPENDS_ON', 'Service', concat('s', CAST(n_nationkey + 1 AS STRING)) FROM nation WHERE n_nationkey >= 4""",
     )
     start = fact(spark, sf, "start").select(F.concat(F.lit("p"), F.col("node").cast("string")).alias("id"))
-    return impact.analyze(written(nodes, "nodes"), written(edges, "edges"), start, DEPTH)
+    return written(nodes, "nodes"), written(edges, "edges"), start
+
+
+@_Q.add(_IMPACT_SQL)
+def analyze_impact(spark, sf):
+    return impact.analyze(*impact_graph(spark, sf), DEPTH)
 
 
 def _entities(spark, sf, revision):

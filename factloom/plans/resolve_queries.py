@@ -32,6 +32,15 @@ def asof_definition_preferred(spark, sf):
     return resolve.as_of(left, right, "user_id", "at", [F.col("r.event_id")], F.col("r.value") > F.col("l.value")).select("row", "r_event_id")
 
 
+@_Q.add(
+    "SELECT row, r_event_id FROM (SELECT e.event_id AS row, s.event_id AS r_event_id, row_number() OVER (PARTITION BY e.event_id ORDER BY CASE WHEN floor(s.value) % 4 = floor(e.value) % 4 THEN 0 ELSE 1 END, s.ts DESC, s.event_id) AS n FROM events e LEFT JOIN events s ON s.user_id = e.user_id AND s.ts <= e.ts AND s.event_type = 'signup' WHERE e.event_type = 'error') AS x WHERE n = 1"
+)
+def asof_definition_of_name(spark, sf):
+    """The last definition of the same name, else the last one at all, by two windows instead of a join of all pairs."""
+    rows = lambda kind, id_: select(spark, sf, f"SELECT event_id AS {id_}, user_id, CAST(floor(value) % 4 AS BIGINT) AS name, ts FROM events WHERE event_type = '{kind}'")
+    return resolve.as_of_same(rows("error", "row"), rows("signup", "event_id"), "user_id", "name", "ts", [F.col("event_id")]).select("row", "r_event_id")
+
+
 @_Q.add(
     "SELECT row, name FROM (SELECT p.p_partkey AS row, s.p_partkey AS name, row_number() OVER (PARTITION BY p.p_partkey ORDER BY s.p_size DESC, s.p_size + s.p_partkey % 30, s.p_partkey DESC) AS n FROM part p LEFT JOIN part s ON p.p_brand = s.p_brand AND p.p_size + 5 BETWEEN s.p_size AND s.p_size + s.p_partkey % 30) AS x WHERE n = 1"
 )
@@ -130,9 +139,10 @@ def prioritised_resolution(spark, sf):
     )
 
 
-@_Q.add("SELECT a.c_mktsegment || a.c_nationkey AS k, a.c_custkey AS b_c_custkey, b.s_suppkey AS a_s_suppkey FROM (SELECT *, count(*) OVER (PARTITION BY c_nationkey, c_mktsegment) AS n FROM customer) a JOIN (SELECT *, count(*) OVER (PARTITION BY s_nationkey) AS n FROM supplier) b ON a.c_mktsegment || a.c_nationkey = 'BUILDING' || b.s_nationkey WHERE a.n = 1 AND b.n = 1")
+@_Q.add("SELECT concat('k', a.g) AS k, a.c_custkey AS b_c_custkey, b.s_suppkey AS a_s_suppkey FROM (SELECT *, count(*) OVER (PARTITION BY g) AS n FROM (SELECT c_custkey, c_custkey * 2 // 3 AS g FROM customer) AS x) a JOIN (SELECT *, count(*) OVER (PARTITION BY g) AS n FROM (SELECT s_suppkey, s_suppkey * 4 // 5 AS g FROM supplier) AS y) b ON a.g = b.g WHERE a.n = 1 AND b.n = 1")
 def one_to_one_pairing(spark, sf):
-    return resolve.paired(select(spark, sf, "SELECT concat(c_mktsegment, CAST(c_nationkey AS STRING)) AS k, c_custkey FROM customer"), select(spark, sf, "SELECT concat('BUILDING', CAST(s_nationkey AS STRING)) AS k, s_suppkey FROM supplier"), "k")
+    """Every other key stands for two customers, every fourth for two suppliers."""
+    return resolve.paired(select(spark, sf, "SELECT concat('k', CAST(floor(c_custkey * 2 / 3) AS STRING)) AS k, c_custkey FROM customer"), select(spark, sf, "SELECT concat('k', CAST(floor(s_suppkey * 4 / 5) AS STRING)) AS k, s_suppkey FROM supplier"), "k")
 
 
 @_Q.add("SELECT DISTINCT c.claim, upper(trim(c.cited)) AS key, e.n IS NOT NULL AS known FROM citations c LEFT JOIN evidence e ON e.claim = c.claim AND concat('E', e.n) = upper(trim(c.cited))")

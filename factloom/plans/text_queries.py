@@ -50,11 +50,10 @@ def rrf_fuse(spark, sf):
     return retrieval.fuse(fact(spark, sf, "ranked_lists"), 5, ["nation"]).select("nation", "place", "key", F.round("score", 6).alias("score"))
 
 
-@_Q.add("SELECT c_custkey, list_position(t, x) - 1 AS pos, x AS term FROM (SELECT c_custkey, t, unnest(list_distinct(t)) AS x FROM (SELECT c_custkey, [c_mktsegment, n_name, c_name] AS t FROM customer JOIN nation ON c_nationkey = n_nationkey) AS a) AS b")
+@_Q.add("WITH t AS (SELECT c_custkey, [c_mktsegment, n_name, lower(c_mktsegment), c_name, ' ', upper(n_name)] AS t FROM customer JOIN nation ON c_nationkey = n_nationkey), e AS (SELECT c_custkey, unnest(range(6)) AS pos, unnest(t) AS term FROM t) SELECT c_custkey, CAST(min(pos) AS INT) AS pos, arg_min(term, pos) AS term FROM e WHERE trim(term) <> '' GROUP BY c_custkey, lower(term)")
 def dedupe_terms(spark, sf):
     rows = select(spark, sf, "SELECT c_custkey, array(c_mktsegment, n_name, lower(c_mktsegment), c_name, ' ', upper(n_name)) AS t FROM customer JOIN nation ON c_nationkey = n_nationkey")
-    out = retrieval.terms(rows, "c_custkey", "t")
-    return out.withColumn("pos", F.when(F.col("pos") > 2, 2).otherwise(F.col("pos")))
+    return retrieval.terms(rows, "c_custkey", "t")
 
 
 @_Q.add("SELECT p.vec_id AS id, CASE WHEN p.label % 2 = 0 THEN 'new' ELSE 'old' END AS version FROM embeddings p")
@@ -73,9 +72,12 @@ def requirement_parse(spark, sf):
     return fact(spark, sf, "requirements").select("k", C.requirement(F.col("line")).alias("r")).select("k", "r.name", "r.spec")
 
 
-@_Q.add("SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN lower(p_type) WHEN p_size % 3 = 1 THEN concat(lower(p_type), '.', replace(p_name, ' ', '_')) ELSE '' END AS module FROM part")
+_MODULES = "SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN concat(lower(p_type), '/__init__.py') WHEN p_size % 3 = 1 THEN concat(lower(p_type), '/', replace(p_name, ' ', '_'), '.py') ELSE '__init__.py' END AS path FROM part"
+
+
+@_Q.add(rf"SELECT p_partkey, replace(CASE WHEN path = '__init__.py' THEN '' WHEN path LIKE '%/__init__.py' THEN left(path, length(path) - 12) ELSE left(path, length(path) - 3) END, '/', '.') AS module FROM ({_MODULES}) AS x")
 def module_names(spark, sf):
-    rows = select(spark, sf, "SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN concat(lower(p_type), '/__init__.py') WHEN p_size % 3 = 1 THEN concat(lower(p_type), '/', replace(p_name, ' ', '_'), '.py') ELSE '__init__.py' END AS path FROM part")
+    rows = select(spark, sf, _MODULES)
     return rows.select("p_partkey", C.module_name(F.col("path")).alias("module"))
 
 
@@ -85,9 +87,12 @@ def relative_imports(spark, sf):
     return rows.select("p_partkey", C.absolute_module(F.col("path"), F.col("module")).alias("module"))
 
 
-@_Q.add("SELECT p_partkey, p_size % 4 < 3 AS is_test FROM part")
+_PATHS = "SELECT p_partkey, CASE WHEN p_size % 4 = 0 THEN concat('src/test_', replace(p_name, ' ', '_'), '.py') WHEN p_size % 4 = 1 THEN concat(replace(p_name, ' ', '_'), '_test.py') WHEN p_size % 4 = 2 THEN concat('pkg/tests/', replace(p_name, ' ', '/'), '.py') ELSE concat('latest/', replace(p_name, ' ', '_'), '/contest.py') END AS path FROM part"
+
+
+@_Q.add(f"SELECT p_partkey, len(list_intersect(string_split(path, '/')[:-2], ['test', 'tests'])) > 0 OR split_part(path, '/', -1) LIKE 'test\\_%' ESCAPE '\\' OR path LIKE '%\\_test.py' ESCAPE '\\' AS is_test FROM ({_PATHS}) AS x")
 def test_paths(spark, sf):
-    rows = select(spark, sf, "SELECT p_partkey, CASE WHEN p_size % 4 = 0 THEN concat('src/test_', replace(p_name, ' ', '_'), '.py') WHEN p_size % 4 = 1 THEN concat(replace(p_name, ' ', '_'), '_test.py') WHEN p_size % 4 = 2 THEN concat('pkg/tests/', replace(p_name, ' ', '/'), '.py') ELSE concat('latest/', replace(p_name, ' ', '_'), '/contest.py') END AS path FROM part")
+    rows = select(spark, sf, _PATHS)
     return rows.select("p_partkey", C.is_test_path(F.col("path")).alias("is_test"))
 
 
@@ -111,9 +116,12 @@ def url_hosts(spark, sf):
     return select(spark, sf, "SELECT page_id, url FROM pages").select("page_id", C.url_host(F.col("url")).alias("host"))
 
 
-@_Q.add("SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN 'postgres' WHEN p_size % 3 = 1 THEN 'mongo' END AS engine FROM part")
+_IMAGES = "SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN concat('registry.io/', lower(p_type), '/Postgres:', CAST(p_size AS STRING)) WHEN p_size % 3 = 1 THEN 'mongo@sha256' ELSE 'redis:7' END AS image FROM part"
+
+
+@_Q.add(f"SELECT p_partkey, nullif(regexp_extract(lower(split_part(image, '/', -1)), '^(postgres|mysql|mariadb|mongo|neo4j)([:@].*)?$', 1), '') AS engine FROM ({_IMAGES}) AS x")
 def database_engines(spark, sf):
-    rows = select(spark, sf, "SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN concat('registry.io/', lower(p_type), '/Postgres:', CAST(p_size AS STRING)) WHEN p_size % 3 = 1 THEN 'mongo@sha256' ELSE 'redis:7' END AS image FROM part")
+    rows = select(spark, sf, _IMAGES)
     return rows.select("p_partkey", C.database_engine(F.col("image")).alias("engine"))
 
 

@@ -19,11 +19,14 @@ from ..functions.columns import database_engine, requirement
 REQUIREMENTS = r"(^|/)requirements\.txt$|(^|/)requirements/(base|main|prod|production|runtime)\.txt$"
 COMPOSE = r"(^|/)(docker-)?compose(\.[\w-]+)?\.ya?ml$"
 #: Lists of a declaration, the entity type and relationship that each stands for.
-DECLARED = {"publishes": ("EVENT", "PUBLISHES"), "consumes": ("EVENT", "CONSUMES"), "calls": ("SERVICE", "CALLS"), "databases": ("DATABASE", "ACCESSES"), "tables": ("TABLE", "ACCESSES")}
+DECLARED = {"publishes": ("EVENT", "PUBLISHES"), "consumes": ("EVENT", "CONSUMES"), "calls": ("SERVICE", "CALLS"), "databases": ("DATABASE", "ACCESSES"), "tables": ("TABLE", "ACCESSES"), "apis": ("API", "EXPOSES")}
 
 
 def declared_dependencies(files: DataFrame) -> DataFrame:
-    """(file, line, name, version) of requirement files and of [project] dependencies; version is the specifier without blanks, empty if there is none."""
+    """(file, line, name, version) of requirement files and of [project] dependencies; version is the specifier without blanks, empty if there is none.
+
+    A file that is no TOML has no rows here; unreadable_manifests() tells it.
+    """
     lines = files.where(F.col("path").rlike(REQUIREMENTS)).select(F.col("path").alias("file"), F.posexplode(F.split("text", r"\r\n|\r|\n")).alias("pos", "raw"))
     plain = lines.select("file", (F.col("pos") + 1).alias("line"), requirement(F.col("raw")).alias("r"))
 
@@ -44,6 +47,22 @@ def declared_dependencies(files: DataFrame) -> DataFrame:
     return both.where("r is not null").select("file", "line", F.col("r.name").alias("name"), F.col("r.spec").alias("version"))
 
 
+def unreadable_manifests(files: DataFrame) -> DataFrame:
+    """(file, reason) of project files that are no TOML."""
+
+    def read(batches: Iterator[pd.DataFrame]):
+        for b in batches:
+            rows = []
+            for path, text in zip(b["path"], b["text"], strict=True):
+                try:
+                    tomllib.loads(text)
+                except tomllib.TOMLDecodeError as e:
+                    rows.append((path, f"no valid TOML: {e}"))
+            yield pd.DataFrame(rows, columns=["file", "reason"])
+
+    return files.where(F.col("path").rlike(r"(^|/)pyproject\.toml$") & F.col("text").isNotNull()).mapInPandas(read, "file string, reason string")
+
+
 def compose_services(files: DataFrame) -> DataFrame:
     """(file, name, image, depends_on, error) of the services of compose files; a file that is no YAML has one row with its error."""
 
@@ -86,7 +105,10 @@ def compose_links(services: DataFrame) -> DataFrame:
 
 
 def declarations(files: DataFrame, file_name: str) -> DataFrame:
-    """(file, field, value, entity_type, rel_type, reason) of JSON declarations of a given file name; what is no list of names has a reason instead of a value."""
+    """(file, field, value, method, entity_type, rel_type, line, reason) of JSON declarations of a given file name.
+
+    What is no list, no name or (in `apis`) no {method, path} has a reason instead of a value. An API's value is its path. line: the first one that holds the value as JSON.
+    """
 
     def read(batches: Iterator[pd.DataFrame]):
         for b in batches:
@@ -97,26 +119,33 @@ def declarations(files: DataFrame, file_name: str) -> DataFrame:
                     if not isinstance(data, dict):
                         raise ValueError("it is no object")
                 except ValueError as e:
-                    rows.append((path, None, None, str(e)))
+                    rows.append((path, None, None, None, None, str(e)))
                     continue
+                lines = text.splitlines()
+                at = lambda v: next((i for i, x in enumerate(lines, 1) if json.dumps(v) in x), None)  # noqa: B023, E731
                 for field, values in data.items():
                     if field not in DECLARED:
-                        rows.append((path, field, None, "unknown field"))
+                        rows.append((path, field, None, None, None, "unknown field"))
                     elif not isinstance(values, list):
-                        rows.append((path, field, None, "not a list"))
+                        rows.append((path, field, None, None, None, "not a list"))
+                    elif field == "apis":
+                        for v in values:
+                            method, place = (v.get("method"), v.get("path")) if isinstance(v, dict) else (None, None)
+                            good = isinstance(method, str) and isinstance(place, str) and place.startswith("/")
+                            rows.append((path, field, place, method.upper(), at(place), None) if good else (path, field, None, None, None, "not a method and a /path"))
                     else:
-                        rows += [(path, field, v, None) if isinstance(v, str) and v.strip() else (path, field, None, "not a name") for v in values]
-            yield pd.DataFrame(rows, columns=["file", "field", "value", "reason"])
+                        rows += [(path, field, v, None, at(v), None) if isinstance(v, str) and v.strip() else (path, field, None, None, None, "not a name") for v in values]
+            yield pd.DataFrame(rows, columns=["file", "field", "value", "method", "line", "reason"]).astype({"line": "Int32"})
 
     own = files.where((F.substring_index("path", "/", -1) == file_name) & F.col("text").isNotNull())
-    out = own.mapInPandas(read, "file string, field string, value string, reason string")
+    out = own.mapInPandas(read, "file string, field string, value string, method string, line int, reason string")
     at = lambda i: F.create_map(*(F.lit(x) for k, v in DECLARED.items() for x in (k, v[i])))[F.col("field")]
-    return out.select("file", "field", "value", at(0).alias("entity_type"), at(1).alias("rel_type"), "reason")
+    return out.select("file", "field", "value", "method", at(0).alias("entity_type"), at(1).alias("rel_type"), "line", "reason")
 
 
-def http_links(calls: DataFrame, services: DataFrame) -> DataFrame:
-    """calls: file_path, name (an address), line; services: name. Calls whose host is a known service; unknown hosts are never guessed to be one."""
-    from ..functions.columns import url_host
+def http_links(calls: DataFrame, services: DataFrame, own: str | None = None) -> DataFrame:
+    """calls: file_path, name (an address), line; services: name. Calls whose host is a known service, but not the own one; unknown hosts are never guessed to be one. Test files don't count."""
+    from ..functions.columns import is_test_path, url_host
 
-    known = services.select(F.lower("name").alias("host"), F.col("name").alias("service")).distinct()
-    return calls.select("file_path", "line", url_host(F.col("name")).alias("host")).join(known, "host").select("file_path", "line", "service")
+    known = services.where(~F.col("name").eqNullSafe(F.lit(own))).select(F.lower("name").alias("host"), F.col("name").alias("service")).distinct()
+    return calls.where(~is_test_path(F.col("file_path"))).select("file_path", "line", url_host(F.col("name")).alias("host")).join(known, "host").select("file_path", "line", "service")

@@ -1,4 +1,4 @@
-"""Data sources for files and Git: spark.read.format("source_tree" | "git_tree" | "git_commits" | "git_changes" | "git_blame").
+"""Data sources for files and Git: spark.read.format("source_tree" | "git_tree" | "git_commits" | "git_changes" | "git_blame" | "git_line_log").
 
 Spark's own file readers hide names that begin with _ or ., and so every __init__.py; these list files themselves. A
 partition is a range of paths, read where it runs: the root or repository must be a folder that all executors reach.
@@ -6,9 +6,11 @@ partition is a range of paths, read where it runs: the root or repository must b
 
 from __future__ import annotations
 
+import json
 import os
 import subprocess
 from collections.abc import Iterator
+from datetime import UTC, datetime
 
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -58,12 +60,17 @@ class _Reader(DataSourceReader):
 
 
 class _Files(_Reader):
-    """Options: path; suffix (default .py); excluded (comma-separated names)."""
+    """Options: path; suffix (default .py); excluded (comma-separated names); above (true: a root below a folder of such a name has no files).
+
+    Names of folders are looked at from the root down; with above those over the root count as well.
+    """
 
     def items(self):
         root, suffix = self.options["path"], self.options.get("suffix", ".py")
         excluded = set(self.options["excluded"].split(",")) if "excluded" in self.options else set(EXCLUDED)
         found = []
+        if self.options.get("above", "false").lower() == "true" and excluded & set(os.path.abspath(root).split(os.sep)):
+            return found
         for folder, below, names in os.walk(root):
             below[:] = [d for d in below if d not in excluded]
             found += [os.path.relpath(os.path.join(folder, n), root) for n in names if n.endswith(suffix)]
@@ -80,22 +87,39 @@ class _Files(_Reader):
                 yield path, os.path.basename(path), None, 0, type(e).__name__
 
 
+def _blobs(repo: str, names: list[str]) -> dict[str, bytes]:
+    """The blobs of some ids, by one process."""
+    if not names:
+        return {}
+    out = subprocess.run(["git", "-C", repo, "cat-file", "--batch"], input="\n".join(names).encode(), check=True, capture_output=True).stdout
+    found, at = {}, 0
+    while at < len(out):
+        end = out.index(b"\n", at)
+        name, _, size = out[at:end].decode().split()
+        found[name] = out[end + 1 : end + 1 + int(size)]
+        at = end + 2 + int(size)
+    return found
+
+
 class _Tree(_Reader):
     """Options: path, revision. Blobs of a commit; the text is null for one that is too large or no UTF-8."""
 
     def items(self):
         out = git(self.options["path"], "ls-tree", "-r", "-l", "-z", checked_revision(self.options["revision"])).decode("utf-8", "replace")
-        return sorted(x.partition("\t")[2] + "\t" + x.split()[3] for x in out.split("\0") if x and x.split()[1] == "blob")
+        return sorted("\t".join([x.partition("\t")[2], *x.split()[2:4]]) for x in out.split("\0") if x and x.split()[1] == "blob")
 
     def rows(self, items):
+        names, wanted = [], []
         for item in items:
-            path, _, size = item.rpartition("\t")
-            text = None
-            if int(size) <= MAX_BYTES:
-                try:
-                    text = git(self.options["path"], "show", f"{self.options['revision']}:{path}").decode()
-                except UnicodeDecodeError:
-                    text = None
+            path, name, size = item.rsplit("\t", 2)
+            names.append(path)
+            wanted.append(name if int(size) <= MAX_BYTES else None)
+        found = _blobs(self.options["path"], [w for w in wanted if w])
+        for path, name in zip(names, wanted, strict=True):
+            try:
+                text = found[name].decode() if name else None
+            except UnicodeDecodeError:
+                text = None
             yield self.options["revision"], path, text, None if text is not None else "UNREADABLE"
 
 
@@ -112,8 +136,6 @@ class _Commits(_Reader):
             return []
 
     def rows(self, items):
-        from datetime import UTC, datetime
-
         for commit in items:
             out = git(self.options["path"], "show", "--no-renames", "--name-only", "-z", "--format=%H%x00%an%x00%ae%x00%ct%x00%B%x00", commit).decode("utf-8", "replace")
             name, author, email, at, message, *files = out.split("\0")
@@ -134,11 +156,25 @@ class _Changes(_Reader):
         yield from sorted(found, key=lambda x: x[:2])
 
 
+def _listed(value: str) -> list:
+    """An option that is a JSON array, or names with commas between them."""
+    return json.loads(value) if value.lstrip().startswith("[") else value.split(",")
+
+
+def _commits(repo: str, names: list[str]) -> dict[str, tuple]:
+    """Author, time and message of some commits, by one process."""
+    if not names:
+        return {}
+    out = git(repo, "show", "-s", "-z", "--format=%H%x01%an%x01%ct%x01%B", *names).decode("utf-8", "replace")
+    each = (x.split("\x01", 3) for x in out.split("\0") if x.strip())
+    return {name.strip(): (author, datetime.fromtimestamp(int(at), UTC), message.strip()) for name, author, at, message in each}
+
+
 class _Blame(_Reader):
-    """Options: path, files (comma-separated), revision. The commit that last touched each line."""
+    """Options: path; files (a JSON array, or names with commas between them); revision. The commit that last touched each line; files that git cannot blame have no rows."""
 
     def items(self):
-        return self.options["files"].split(",")
+        return _listed(self.options["files"])
 
     def rows(self, items):
         for path in items:
@@ -146,8 +182,29 @@ class _Blame(_Reader):
                 out = git(self.options["path"], "blame", "-s", "-l", "--root", self.options.get("revision", "HEAD"), "--", path).decode("utf-8", "replace")
             except subprocess.CalledProcessError:
                 continue
-            for n, line in enumerate(out.splitlines(), 1):
-                yield path, n, line.split()[0].lstrip("^")
+            lines = [line.split()[0].lstrip("^") for line in out.splitlines()]
+            known = _commits(self.options["path"], sorted(set(lines)))
+            for n, name in enumerate(lines, 1):
+                yield path, n, name, *known[name]
+
+
+class _LineLog(_Reader):
+    """Options: path; ranges (a JSON array of [file, first line, last line]); revision. Newest first, the commits that changed lines of each range, by git's own line history; none where git knows no such lines."""
+
+    def items(self):
+        return [json.dumps(x) for x in json.loads(self.options["ranges"])]
+
+    def rows(self, items):
+        for file, first, last in map(json.loads, items):
+            span = f"-L{int(first)},{int(last)}:{file}"
+            try:
+                out = git(self.options["path"], "log", span, "-s", "--format=%H", checked_revision(self.options.get("revision", "HEAD"))).decode()
+            except subprocess.CalledProcessError:
+                continue
+            names = out.split()
+            known = _commits(self.options["path"], names)
+            for rank, name in enumerate(names):
+                yield file, int(first), int(last), rank, name, *known[name]
 
 
 def _source(name: str, ddl: str, reader: type[_Reader]) -> type[DataSource]:
@@ -170,7 +227,8 @@ SOURCES = [
     _source("git_tree", "revision string, path string, text string, error string", _Tree),
     _source("git_commits", "commit_hash string, author_name string, author_email string, committed_at timestamp, message string, changed_files array<string>", _Commits),
     _source("git_changes", "path string, status string, old_path string", _Changes),
-    _source("git_blame", "file_path string, line_number int, commit_hash string", _Blame),
+    _source("git_blame", "file_path string, line_number int, commit_hash string, author_name string, committed_at timestamp, message string", _Blame),
+    _source("git_line_log", "file_path string, first int, last int, rank int, commit_hash string, author_name string, committed_at timestamp, message string", _LineLog),
 ]
 
 
