@@ -1,19 +1,29 @@
 """Exact dedup by a log-structured merge index of text digests (operator 10), in DataFrame operations only.
 
-Flush: every task writes the digests of the rows that it reads as one sorted run with a Bloom filter; nothing is
-shuffled. Compaction merges all runs and keeps each digest's smallest identifier and count. A digest held by more than
-one row is a hit: the texts of hits are read again and compared byte by byte (grouped by the whole text), and only
-what is proven equal forms a group.
+Flush: every task writes the digests of the rows that it reads as a run of its own, sorted by digest; nothing is shuffled. Runs come in
+generations. Each generation in turn becomes a level of the index: its digests, each once with its smallest identifier and its
+number of rows, and a filter of them. Before it does, its digests are asked of the filters of the levels so far; only what a filter does not deny
+is looked up in a level's keys, and what is there, or several times in the generation itself, is a hit. Levels of like size are merged by compaction, which
+keeps the smallest identifier, so there are as many as the logarithm of the number of generations.
+
+The texts of hits are read again and compared byte by byte (grouped by the whole text), and only what is proven equal forms a group.
 """
 
 from __future__ import annotations
 
-import uuid
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import MAX_BROADCAST_ROWS, attach, id_and_text, materialise, scratch, table
+from .common import MAX_BROADCAST_ROWS, attach, discard, id_and_text, materialise, scratch, table
+
+#: Generations that the runs of one call come in.
+GENERATIONS = 4
+#: A filter has so many bits for each digest, about; of these so many are set and asked. A block of a filter is a binary value of BLOCK_BITS bits.
+BITS_A_KEY, PROBES, BLOCK_BITS = 12, 2, 32_768
+#: A level is merged into the one before it if that has at most so many times its digests.
+RATIO = 2
 
 
 def normalised(text: Column) -> Column:
@@ -21,43 +31,87 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(text, r"[\x20\x09-\x0D]+", " ")
 
 
-class DigestIndex:
-    """Runs (key, sha, doc_id) and compacted levels (key, keep_id, n) as Parquet tables under a shared folder.
+class Level:
+    """keys: key, keep_id, n, each key once; filter: block, bits; blocks: how many blocks the filter has."""
 
-    Files are sorted by key and carry Bloom filters on it, so lookup() skips row groups without the wanted keys.
-    """
+    def __init__(self, keys: DataFrame, size: int):
+        self.keys, self.size = keys, size
+        self.blocks = max(1, -(-size * BITS_A_KEY // BLOCK_BITS))
+        placed = keys.select(F.explode(_probes(F.col("key"), self.blocks)).alias("p")).select("p.block", F.bitmap_bit_position(F.col("p.bit")).alias("at"))
+        self.filter = materialise(placed.groupBy("block").agg(F.bitmap_construct_agg("at").alias("bits")), "digest-filter")
+
+    def may_have(self, keys: DataFrame) -> DataFrame:
+        """keys (key) without those that the filter denies: each key's block is joined by its number, and its bits are looked at."""
+        asked = keys.select("key", _probes(F.col("key"), self.blocks).alias("probes")).withColumn("block", F.col("probes")[0]["block"])
+        small = self.blocks <= MAX_FILTER_BLOCKS
+        met = asked.join(F.broadcast(self.filter) if small else self.filter, "block")
+        # bit i of a block is bit i % 8 of its byte i / 8
+        at = lambda i: F.bitmap_bit_position(F.col("probes")[i]["bit"])
+        byte = lambda i: F.conv(F.hex(F.substring("bits", (at(i) / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+        is_set = lambda i: byte(i).bitwiseAND(F.pow(F.lit(2), at(i) % 8).cast("int")) > 0
+        return met.where(reduce(Column.__and__, (is_set(i) for i in range(PROBES)))).select("key")
+
+
+#: Filters of up to so many blocks (of 4 KB) are broadcast.
+MAX_FILTER_BLOCKS = 1024
+
+
+def _probes(key: Column, blocks: int) -> Column:
+    """The (block, bit) pairs of a key: all of its bits lie in one block."""
+    block = F.pmod(F.xxhash64(key), F.lit(blocks))
+    own = F.xxhash64(key, F.lit(1))
+    return F.array(*(F.struct(block.alias("block"), (F.pmod(F.shiftright(own, 20 * i), F.lit(BLOCK_BITS)) + 1).alias("bit")) for i in range(PROBES)))
+
+
+class DigestIndex:
+    """Levels of digests, smallest last, and the hits so far."""
 
     def __init__(self, spark: SparkSession, root: str | None = None):
         self.spark, self.root = spark, root or scratch(spark, "digests")
-        self.runs: list[str] = []
-        self.levels: list[str] = []
-
-    def _write(self, df: DataFrame, path: str) -> None:
-        df.sortWithinPartitions("key").write.option("parquet.bloom.filter.enabled#key", "true").parquet(path)
+        self.levels: list[Level] = []
+        self.hits: list[DataFrame] = []
 
     def flush(self, rows: DataFrame) -> DataFrame:
-        """Write (key, sha, doc_id) rows as runs, one a task, and return them as written."""
-        path = f"{self.root}/run-{uuid.uuid4().hex}"
-        self._write(rows, path)
-        self.runs.append(path)
-        return self.spark.read.schema("key binary, sha binary, doc_id long").parquet(path)
-
-    def compact(self) -> DataFrame:
-        """Merge all runs and levels into one level: each key's smallest identifier and number of rows."""
-        parts = [self.spark.read.schema("key binary, doc_id long").parquet(p).select("key", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("n")) for p in self.runs]
-        parts += [self.spark.read.schema("key binary, keep_id long, n long").parquet(p) for p in self.levels]
-        merged = parts[0]
-        for p in parts[1:]:
-            merged = merged.unionByName(p)
-        path = f"{self.root}/level-{uuid.uuid4().hex}"
-        self._write(merged.groupBy("key").agg(F.min("keep_id").alias("keep_id"), F.sum("n").alias("n")), path)
-        self.runs, self.levels = [], [path]
-        return self.spark.read.schema("key binary, keep_id long, n long").parquet(path)
-
-    def lookup(self, keys: list[bytes]) -> DataFrame:
-        """The compacted rows of a few keys."""
-        level = self.spark.read.schema("key binary, keep_id long, n long").parquet(*self.levels)
-        return level.where(F.col("key").isin(*keys))
+        """Write (key, sha, doc_id) rows as runs, one a task, in generations, and return them as written, with `generation`."""
+        path = f"{self.root}/runs"
+        dealt = rows.withColumn("generation", F.pmod(F.spark_partition_id(), F.lit(GENERATIONS)))
+        dealt.sortWithinPartitions("generation", "key").write.partitionBy("generation").mode("append").parquet(path)
+        return self.spark.read.schema("key binary, sha binary, doc_id long, generation int").parquet(path)
+
+    def add(self, generation: DataFrame) -> None:
+        """generation: key, doc_id. Make it the last level, note which of its keys are hits, and merge levels of like size."""
+        fresh = materialise(generation.groupBy("key").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("n")), "digest-level")
+        size = fresh.count()
+        if not size:
+            return
+        found = [fresh.where("n > 1").select("key")]
+        for level in self.levels:
+            found.append(level.may_have(fresh.select("key")).join(level.keys.select("key"), "key", "left_semi"))
+        self.hits.append(materialise(reduce(DataFrame.unionByName, found).distinct(), "digest-hits"))
+        self.levels.append(Level(fresh, size))
+        while len(self.levels) > 1 and self.levels[-2].size <= RATIO * self.levels[-1].size:
+            self.compact(2)
+
+    def compact(self, last: int) -> None:
+        """Merge the last levels into one: each key's smallest identifier and number of rows."""
+        old, self.levels = self.levels[-last:], self.levels[:-last]
+        keys = reduce(DataFrame.unionByName, (x.keys for x in old)).groupBy("key").agg(F.min("keep_id").alias("keep_id"), F.sum("n").alias("n"))
+        keys = materialise(keys, "digest-level")
+        self.levels.append(Level(keys, keys.count()))
+        discard(*(t for x in old for t in (x.keys, x.filter)))
+
+    def repeated(self) -> DataFrame:
+        """(key, n) of the keys that several rows have."""
+        if not self.hits:
+            return self.spark.createDataFrame([], "key binary, n long")
+        hits = reduce(DataFrame.unionByName, self.hits).distinct()
+        found = reduce(DataFrame.unionByName, (x.keys.select("key", "n") for x in self.levels)).join(hits, "key", "left_semi")
+        return found.groupBy("key").agg(F.sum("n").alias("n"))
+
+    def lookup(self, keys: DataFrame) -> DataFrame:
+        """(key, keep_id, n) of the keys (key) that the index has; a level is read only for keys that its filter does not deny."""
+        found = [x.keys.join(x.may_have(keys).distinct(), "key", "left_semi") for x in self.levels]
+        return reduce(DataFrame.unionByName, found).groupBy("key").agg(F.min("keep_id").alias("keep_id"), F.sum("n").alias("n"))
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest_bytes: int = 32) -> DataFrame:
@@ -73,7 +127,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     keyed = rows.select(sha.alias("sha"), "doc_id").select(F.substring("sha", 1, digest_bytes).alias("key"), "sha", "doc_id")
     index = DigestIndex(spark)
     run = index.flush(keyed)
-    hits = index.compact().where("n > 1").select("key", "n")
+    for k in range(GENERATIONS):
+        index.add(run.where(F.col("generation") == k).select("key", "doc_id"))
+    hits = materialise(index.repeated(), "digest-repeated")
+    run = run.select("key", "sha", "doc_id")
     hit_rows = materialise(attach(run.select("key", "doc_id"), hits, "key", "n").where("n > 1").select("doc_id"), "hits")
     ids = hit_rows.where("doc_id is not null")
     ids = F.broadcast(ids) if ids.count() <= MAX_BROADCAST_ROWS else ids.distinct()
@@ -86,14 +143,14 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     if not proven.groupBy("sha").count().where("count > 1").isEmpty():
         raise ValueError("different texts with one SHA-256")
     out = attach(run.select("sha", "doc_id"), proven, "sha", "n")
-    first = F.row_number().over(Window.partitionBy("sha", "doc_id").orderBy(F.lit(0))) == 1
-    return out.select(
-        "doc_id",
-        F.coalesce("keep_id", "doc_id").alias("keep_id"),
-        F.coalesce("n", F.lit(1)).cast("long").alias("group_size"),
-        (F.col("doc_id").eqNullSafe(F.coalesce("keep_id", "doc_id")) & first).alias("kept"),
-        F.lower(F.hex("sha")).alias("text_sha256"),
-    )
+    out = out.withColumn("keep_id", F.coalesce("keep_id", "doc_id")).withColumn("n", F.coalesce("n", F.lit(1)).cast("long"))
+    stays = F.col("doc_id").eqNullSafe(F.col("keep_id"))
+    # a row that stays may be there several times: of such rows, which are few, the first one stays
+    numbered = materialise(out.select("*", stays.alias("stays"), F.monotonically_increasing_id().alias("row")), "numbered")
+    twice = numbered.where("stays and n > 1").groupBy("sha").agg(F.min("row").alias("first"), F.count("*").alias("m")).where("m > 1")
+    twice = materialise(twice.withColumnRenamed("m", "n"), "twice")
+    told = attach(numbered.select("row", "sha", "doc_id", "keep_id", F.col("n").alias("group_size"), "stays"), twice, "sha", "n")
+    return told.select("doc_id", "keep_id", "group_size", (F.col("stays") & (F.col("first").isNull() | (F.col("first") == F.col("row")))).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
@@ -115,6 +172,7 @@ def drop_copies(docs: DataFrame) -> DataFrame:
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, keep_id, group_size, kept and text_sha256 of every document."""
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 

@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from factloom.llm import bpe, decontaminate, exact_dedup, language_id, licenses, lm_score, secrets, simhash, simhash_wide, token_counts, token_files
 from factloom.llm.queries import ORACLE_SQL, QUERIES
@@ -436,14 +437,31 @@ def test_exact_dedup_repeated_rows(spark):
     assert exact_dedup.drop_copies(docs).count() == 3
 
 
-def test_digest_lookup(spark):
-    docs = spark.createDataFrame([(1, b"k1"), (2, b"k1"), (3, b"k2")], "doc_id long, key binary").selectExpr("key", "key as sha", "doc_id")
+def keys_of(spark, names):
+    return spark.createDataFrame([(bytes(n, "ascii"),) for n in names], "key binary").selectExpr("unhex(sha2(key, 256)) as key")
+
+
+def test_digest_index(spark, monkeypatch):
+    """Generations, their filters, levels merged by size, and lookups."""
+    name = lambda k: hashlib.sha256(k.encode()).digest()
     index = exact_dedup.DigestIndex(spark)
-    index.flush(docs)
-    index.compact()
-    index.flush(docs.where("doc_id = 3"))
-    index.compact()
-    assert sorted((bytes(r["key"]), r["keep_id"], r["n"]) for r in index.lookup([b"k1", b"k2", b"k9"]).collect()) == [(b"k1", 1, 2), (b"k2", 3, 2)]
+    batches = [[f"a{i}" for i in range(600)], [f"b{i}" for i in range(200)] + ["a7", "b3"], [f"c{i}" for i in range(50)] + ["a7", "a8"], [f"d{i}" for i in range(400)], []]
+    sizes = []
+    for j, batch in enumerate(batches):
+        rows = keys_of(spark, batch).withColumn("doc_id", F.monotonically_increasing_id() + 10_000 * j)
+        index.add(rows)
+        sizes.append([x.size for x in index.levels])
+    assert sizes == [[600], [600, 201], [600, 201, 52], [1250], [1250]]
+    assert {bytes(r["key"]): r["n"] for r in index.repeated().collect()} == {name("a7"): 3, name("a8"): 2, name("b3"): 2}
+    got = {bytes(r["key"]): (r["keep_id"], r["n"]) for r in index.lookup(keys_of(spark, ["a7", "d0", "zz"])).collect()}
+    assert set(got) == {name("a7"), name("d0")} and got[name("a7")][1] == 3 and got[name("a7")][0] < 10_000
+    # a filter never denies what a level has, and denies nearly all that it has not
+    level = index.levels[0]
+    asked = keys_of(spark, [f"q{i}" for i in range(2000)])
+    for small in (1024, 0):
+        monkeypatch.setattr(exact_dedup, "MAX_FILTER_BLOCKS", small)
+        assert level.may_have(level.keys.select("key")).count() == 1250
+        assert level.may_have(asked).count() < 200
 
 
 def test_registered_queries(spark):
