@@ -38,7 +38,8 @@ FRESH, IN_LETTERS, IN_NUMBERS, IN_OTHER, IN_SPACE, AFTER_BLANK, ONE_LEFT, TWO_LE
 STATES = 8
 
 BLOCK = 256
-CACHE_PIECES = 400_000
+#: Pieces whose ids a process keeps; bytes of text that are worked on at once.
+CACHE_PIECES, SLICE = 150_000, 1 << 20
 #: Pieces over so many bytes are merged one by one; of those only ones up to so many bytes are kept.
 LONG_PIECE, LONGEST_CACHED = 256, 512
 
@@ -285,6 +286,12 @@ class Bpe:
         return self.flat[ranges(self.at[ids], self.size[ids])]
 
 
+@lru_cache(1)
+def shared(path: str) -> Bpe:
+    """One for all tasks of a process."""
+    return Bpe(path)
+
+
 def _binary(values: np.ndarray, starts: np.ndarray) -> pa.Array:
     size = values.dtype.itemsize
     return pa.Array.from_buffers(pa.large_binary(), len(starts) - 1, [None, pa.py_buffer((starts * size).astype(np.int64)), pa.py_buffer(np.ascontiguousarray(values))]).cast(pa.binary())
@@ -292,15 +299,15 @@ def _binary(values: np.ndarray, starts: np.ndarray) -> pa.Array:
 
 def encoded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     """Batches of doc_id, text as doc_id, ids, ends (both little-endian unsigned 32 bit)."""
-    bpe = Bpe(path)
-    for b in slices(batches):
+    bpe = shared(path)
+    for b in slices(batches, size=SLICE):
         ids, starts = bpe.batch(b["text"])
         yield pa.RecordBatch.from_arrays([b["doc_id"], _binary(ids.astype("<u4"), starts), _binary(bpe.ends(ids, starts).astype("<u4"), starts)], ["doc_id", "ids", "ends"])
 
 
 def decoded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     """Batches of doc_id, ids, ends with the decoded bytes in `decoded`; ends that the ids do not lead to raise an error."""
-    bpe = Bpe(path)
+    bpe = shared(path)
     for b in batches:
         ids, ends = (np.frombuffer(b"".join(b[c].to_pylist()), "<u4") for c in ("ids", "ends"))
         starts = np.concatenate([[0], np.cumsum(pc.binary_length(b["ids"]).to_numpy() // 4)]).astype(np.int64)
@@ -337,6 +344,7 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
 
 
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every document."""
     import public_tokenizers
 
     return round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
