@@ -39,11 +39,11 @@ REACH = 3.1
 #: Rows of a bucket whose pairs leave it as they are; those of larger buckets are verified inside.
 SMALL = 32
 #: Rows and bytes of shingles of a part of a larger bucket, about.
-BUCKET, BUCKET_BYTES = 4096, 32 << 20
+BUCKET, BUCKET_BYTES = 2048, 8 << 20
 #: Rows of a larger bucket that all its rows are compared with first.
 PIVOTS = 4
 #: Candidates of a larger bucket that are verified at once, and the most bytes of bit sets for that.
-PAIRS, BIT_BYTES = 4096, 64 << 20
+PAIRS, BIT_BYTES = 4096, 32 << 20
 #: Bits of a fingerprint that go to its buckets, and by how many standard deviations a link's distance there may exceed its mean.
 SKETCH, DEVIATIONS = 128, 6
 
