@@ -26,6 +26,8 @@ GRAM = 3
 SEED = 7
 #: Prototypes go to every task, so their number has a bound; more languages raise an error.
 MAX_LANGUAGES = 500
+#: Vectors with nothing in common have a cosine of 0 with a deviation of 1 / sqrt(DIMENSIONS); the greatest of several such seldom is over this.
+NOISE = 3.2 / DIMENSIONS**0.5
 #: For a text without a letter.
 UNKNOWN = "und"
 #: Texts are worked on in slices of this many bytes; a count matrix has a row for each text and a column for each n-gram.
@@ -46,7 +48,7 @@ def letters() -> np.ndarray:
     return out
 
 
-@lru_cache(100_000)
+@lru_cache(20_000)
 def letter_vector(point: int) -> np.ndarray:
     raw = shake_256(f"{SEED}:{point}".encode()).digest(DIMENSIONS // 8)
     return (np.unpackbits(np.frombuffer(raw, np.uint8)).astype(np.int8) << 1) - 1
@@ -206,12 +208,12 @@ def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return said.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
-def keep_languages(docs: DataFrame, min_score: float = 0.0, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def keep_languages(docs: DataFrame, min_score: float = NOISE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """docs without the rows that language ID rejects; all columns stay as they are.
 
-    Rejected are null texts, texts without a letter, and texts with a cosine of min_score or less with every prototype
-    (0: nothing in common with any learned language; short clean texts have low cosines, so no more is asked). If no
-    row teaches a language, every text with a letter stays.
+    Rejected are null texts, texts without a letter, and texts with a cosine of min_score or less with every prototype. Texts in a
+    script that no prototype holds have only noise; short clean texts have cosines of 0.11 and more, so no more is asked. If no row
+    teaches a language, every text with a letter stays.
     """
     prototypes = train(docs.where(~held_out(F.col(id_col))), lang_col, text_col)
     names = list(prototypes)
@@ -230,4 +232,5 @@ def keep_languages(docs: DataFrame, min_score: float = 0.0, id_col: str = "doc_i
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, lang_pred and score of every document."""
     return language_id(table(spark, sf_dir, "documents"))
