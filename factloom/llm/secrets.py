@@ -66,8 +66,10 @@ def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rep
     and in no base span. A null text is an empty text; a null repository is a repository of its own.
     """
     text = F.col("text")
-    rows = id_and_text(docs, id_col, text_col, F.coalesce(F.col(repo_col).cast("string"), F.lit("")).alias("repo"))
-    scanned = rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "repo", F.array(*(_matches(text, k) for k in range(len(KINDS)))).alias("found"))
+    rows = id_and_text(docs, id_col, text_col, F.col(repo_col).cast("string").alias("repo"))
+    row = F.monotonically_increasing_id()
+    repo = F.coalesce("repo", F.concat(F.lit("\0"), row.cast("string")))
+    scanned = rows.select(row.alias("row"), "doc_id", repo.alias("repo"), F.array(*(_matches(text, k) for k in range(len(KINDS)))).alias("found"))
     scanned = materialise(scanned, "secret-scan")
     some = scanned.where(F.exists("found", lambda x: x.isNotNull()))
     v = F.col("value")
@@ -75,19 +77,20 @@ def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rep
     placed = materialise(placed.select("*", F.sha2(v, 256).alias("hash"), (~v.rlike(PLACEHOLDER)).alias("looks_live")).drop("value"), "candidates")
     known = materialise(ownership(placed), "ownership")
     judged = attach(placed, known, "hash", "n")
-    span = F.struct("start", "kind", "end", "repos", "owners", (F.col("owners") <= max_owners).alias("owned"), ((F.col("owners") <= max_owners) & F.col("looks_live")).alias("live"))
-    per_row = judged.groupBy("row").agg(F.sort_array(F.collect_list(span)).alias("all"))
-    base = F.filter("all", lambda s: s["kind"] < BASE)
-    # the base spans that reach furthest: an added span lies in none of them
-    inside = lambda s: F.exists("base", lambda b: (b["start"] <= s["start"]) & (s["end"] <= b["end"]))
-    added = F.filter("all", lambda s: (s["kind"] >= BASE) & s["live"] & ~inside(s))
-    per_row = per_row.withColumn("base", base).select("row", F.array_sort(F.concat("base", added)).alias("spans"))
+    # an added span lies in no base span: of those that begin no later, the furthest end is before its own
+    so_far = Window.partitionBy("row").orderBy("start").rangeBetween(Window.unboundedPreceding, 0)
+    reach = F.max(F.when(F.col("kind") < BASE, F.col("end"))).over(so_far)
+    owned = F.col("owners") <= max_owners
+    judged = judged.select("*", owned.alias("owned"), (owned & F.col("looks_live")).alias("live"), reach.alias("reach"))
+    judged = judged.where((F.col("kind") < BASE) | (F.col("live") & (F.col("reach").isNull() | (F.col("reach") < F.col("end")))))
+    per_row = judged.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "kind", "end", "repos", "owners", "owned", "live"))).alias("spans"))
     names = F.array(*(F.lit(k[0]) for k in KINDS))
     told = F.transform(F.coalesce("spans", F.array().cast(per_row.schema["spans"].dataType)), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.element_at(names, s["kind"] + 1).alias("kind"), (s["kind"] < BASE).alias("base"), s["repos"].alias("repos"), s["owners"].alias("owners"), s["owned"].alias("owned"), s["live"].alias("live")))
     return scanned.select("row", "doc_id").join(per_row, "row", "left").select("doc_id", told.alias("spans"))
 
 
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_added, n_live and n_copied of every document."""
     found = secrets(table(spark, sf_dir, "documents"))
     told = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     many = lambda keep: F.size(F.filter("spans", keep)).cast("long")
