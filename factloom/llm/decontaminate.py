@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import MAX_BROADCAST_ROWS, id_and_text, materialise, table
+from .common import id_and_text, materialise, table
 from .words import plain_words, ranges, seeds_of, slices
 
 SEED_WORDS = 3
@@ -146,17 +146,8 @@ def _item_blocks(items: DataFrame, id_col: str, text_col: str) -> Iterator[tuple
         yield block()
 
 
-def contaminated(docs: DataFrame, items: DataFrame, min_score: float = MIN_SCORE, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", seed_share: float = SEED_SHARE) -> DataFrame:
-    """A row for each document and item of which it holds a copy: doc_id, item_id, score, first_word, end_word.
-
-    score: the best local alignment's share of the item's score with itself (1: the item word for word); the aligned
-    passage lies between the document's words (without punctuation) first_word and end_word, end exclusive. Null and
-    empty texts hold nothing. Items without a text or an id, and items of fewer than SEED_WORDS words, which cannot be
-    told from chance, are never found. Repeated documents have their own rows. seed_share: with which share of its seeds, the rarest, an item
-    searches; with 1 no copy that has any seed is missed.
-    """
-    data = id_and_text(docs, id_col, text_col)
-    out = None
+def _searches(data: DataFrame, items: DataFrame, min_score: float, item_col: str, item_text_col: str, seed_share: float):
+    """For each block of items (item ids, search); search(texts): document, item, share, first and end word (places in the texts laid end to end), and where texts start."""
     for k, (item_ids, item_words, item_at) in enumerate(_item_blocks(items, item_col, item_text_col)):
         hashes, where = seeds_of(item_words, item_at, SEED_WORDS)
         if not len(hashes):
@@ -189,40 +180,76 @@ def contaminated(docs: DataFrame, items: DataFrame, min_score: float = MIN_SCORE
         seed_to = np.append(seed_from[1:], len(rare))
         seed_item, seed_place = item[rare], where[rare] - item_at[item[rare]]
 
-        def search(batches, own=own, seed_from=seed_from, seed_to=seed_to, seed_item=seed_item, seed_place=seed_place, item_ids=item_ids, item_words=item_words, item_at=item_at):
+        def search(texts, own=own, seed_from=seed_from, seed_to=seed_to, seed_item=seed_item, seed_place=seed_place, item_words=item_words, item_at=item_at):
+            words, starts = plain_words(texts)
+            h, place = seeds_of(words, starts, SEED_WORDS)
+            at, number = own.find(h)
+            if not len(at):
+                none = np.zeros(0, np.int64)
+                return none, none, np.zeros(0), none, none, starts
+            n = seed_to[number] - seed_from[number]
+            pick = ranges(seed_from[number], n)
+            item, begin = seed_item[pick], np.repeat(place[at], n) - seed_place[pick]
+            doc = np.searchsorted(starts, np.repeat(place[at], n), side="right") - 1
+            size = item_at[item + 1] - item_at[item]
+            slack = size // 3 + 2
+            lo, hi = np.maximum(begin - slack, starts[doc]), np.minimum(begin + size + slack, starts[doc + 1])
+            order = np.lexsort((lo, item, doc))
+            doc, item, lo, hi = pieces_of(doc[order], item[order], lo[order], hi[order], size[order])
+            share, first, last = score_windows(words, lo, hi, item_words, item_at, item, min_score)
+            good = np.flatnonzero(share >= min_score)
+            good = good[np.lexsort((first[good], -share[good], item[good], doc[good]))]
+            keep = np.ones(len(good), bool)  # the best of a document and item
+            keep[1:] = (doc[good][1:] != doc[good][:-1]) | (item[good][1:] != item[good][:-1])
+            good = good[keep]
+            return doc[good], item[good], share[good], first[good], last[good], starts
+
+        yield item_ids, search
+
+
+def contaminated(docs: DataFrame, items: DataFrame, min_score: float = MIN_SCORE, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", seed_share: float = SEED_SHARE) -> DataFrame:
+    """A row for each document and item of which it holds a copy: doc_id, item_id, score, first_word, end_word.
+
+    score: the best local alignment's share of the item's score with itself (1: the item word for word); the aligned
+    passage lies between the document's words (without punctuation) first_word and end_word, end exclusive. Null and
+    empty texts hold nothing. Items without a text or an id, and items of fewer than SEED_WORDS words, which cannot be
+    told from chance, are never found. Repeated documents have their own rows. seed_share: with which share of its seeds, the rarest, an item
+    searches; with 1 no copy that has any seed is missed.
+    """
+    data = id_and_text(docs, id_col, text_col)
+    out = None
+    for item_ids, search in _searches(data, items, min_score, item_col, item_text_col, seed_share):
+
+        def run(batches, item_ids=item_ids, search=search):
             for b in slices(batches):
-                words, starts = plain_words(b["text"])
-                h, place = seeds_of(words, starts, SEED_WORDS)
-                at, number = own.find(h)
-                if not len(at):
-                    continue
-                n = seed_to[number] - seed_from[number]
-                pick = ranges(seed_from[number], n)
-                item, begin = seed_item[pick], np.repeat(place[at], n) - seed_place[pick]
-                doc = np.searchsorted(starts, np.repeat(place[at], n), side="right") - 1
-                size = item_at[item + 1] - item_at[item]
-                slack = size // 3 + 2
-                lo, hi = np.maximum(begin - slack, starts[doc]), np.minimum(begin + size + slack, starts[doc + 1])
-                order = np.lexsort((lo, item, doc))
-                doc, item, lo, hi = pieces_of(doc[order], item[order], lo[order], hi[order], size[order])
-                share, first, last = score_windows(words, lo, hi, item_words, item_at, item, min_score)
-                good = np.flatnonzero(share >= min_score)
-                good = good[np.lexsort((first[good], -share[good], item[good], doc[good]))]
-                keep = np.ones(len(good), bool)  # the best of a document and item
-                keep[1:] = (doc[good][1:] != doc[good][:-1]) | (item[good][1:] != item[good][:-1])
-                good = good[keep]
-                yield pa.RecordBatch.from_arrays([b["doc_id"].take(pa.array(doc[good])), pa.array(item_ids[item[good]]), pa.array(share[good]), pa.array(first[good] - starts[doc[good]]), pa.array(last[good] - starts[doc[good]])], ["doc_id", "item_id", "score", "first_word", "end_word"])
-
-        found = data.mapInArrow(search, "doc_id long, item_id long, score double, first_word long, end_word long")
+                doc, item, share, first, last, starts = search(b["text"])
+                if len(doc):
+                    yield pa.RecordBatch.from_arrays([b["doc_id"].take(pa.array(doc)), pa.array(item_ids[item]), pa.array(share), pa.array(first - starts[doc]), pa.array(last - starts[doc])], ["doc_id", "item_id", "score", "first_word", "end_word"])
+
+        found = data.mapInArrow(run, "doc_id long, item_id long, score double, first_word long, end_word long")
         out = found if out is None else out.unionByName(found)
     return out if out is not None else docs.sparkSession.createDataFrame([], "doc_id long, item_id long, score double, first_word long, end_word long")
 
 
-def drop_contaminated(docs: DataFrame, items: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
-    """docs without the documents that hold a copy of an item; rows without a doc_id stay. All columns stay as they are."""
-    gone = materialise(contaminated(docs, items, min_score).where("doc_id is not null").select(F.col("doc_id").alias("__id")).distinct(), "contaminated")
-    return docs.join(F.broadcast(gone) if gone.count() <= MAX_BROADCAST_ROWS else gone, F.col("doc_id") == F.col("__id"), "left_anti")
+def drop_contaminated(docs: DataFrame, items: DataFrame, min_score: float = MIN_SCORE, text_col: str = "text") -> DataFrame:
+    """docs without the rows that hold a copy of an item. All columns stay as they are.
+
+    Each row is judged by its own text where it is read, so nothing is joined, and rows with a null or repeated doc_id are as any others.
+    """
+    texts = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    out = docs
+    for _, search in _searches(texts, items, min_score, "item_id", "text", SEED_SHARE):
+
+        def run(batches, search=search):
+            for b in slices(batches, text_col):
+                keep = np.ones(len(b), bool)
+                keep[search(b[text_col])[0]] = False
+                yield b.filter(pa.array(keep))
+
+        out = out.mapInArrow(run, docs.schema)
+    return out
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, item_id, score, first_word and end_word of every document and the items that it holds copies of."""
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

@@ -352,6 +352,23 @@ def test_secret_ownership(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
     got = {r["doc_id"]: [(s["repos"], s["owners"], s["owned"]) for s in r["spans"]] for r in secrets.secrets(docs).collect()}
     assert got[0] == [(3, 3, False)] and got[9] == got[10] == [(2, 1, True)]
+    docs = spark.createDataFrame([(i, "token=nobodys1", None) for i in range(3)], "doc_id long, text string, source string")
+    assert {(s["repos"], s["owners"]) for r in secrets.secrets(docs).collect() for s in r["spans"]} == {(3, 3)}  # each null is a repository of its own
+
+
+def test_mixed_secrets_by_brute_force(spark):
+    """Strings of upper and lower case and digits that few own, outside all base spans; also in a text that is a dump of keys."""
+    rng = np.random.default_rng(8)
+    mixed = lambda: "Aa0" + "".join(rng.choice(list("ABCxyz123_-"), 24))
+    shared = mixed()
+    texts = [f"x {mixed()} y token={mixed()} {shared} {'0af3' * 8}", f"{shared}", f"{shared} {mixed()}", " ".join(f"key{i}: {mixed()} secret={mixed()}" for i in range(400))]
+    docs = spark.createDataFrame([(i, t, f"o{i}/r") for i, t in enumerate(texts)], "doc_id long, text string, source string")
+    got = {r["doc_id"]: [(s["kind"], s["start"], s["end"]) for s in r["spans"]] for r in secrets.secrets(docs).collect()}
+    for i, t in enumerate(texts):
+        base = [(k, int(a), int(b)) for k, a, b in (x.split(":") for x in brute_secrets(t))]
+        added = [("mixed", m.start(), m.end()) for m in re.finditer("[A-Za-z0-9+/_-]{24,}", t) if re.search("[0-9]", m[0]) and re.search("[A-Z]", m[0]) and re.search("[a-z]", m[0]) and m[0] != shared and not re.search(secrets.PLACEHOLDER, m[0])]
+        added = [x for x in added if not any(b[1] <= x[1] and x[2] <= b[2] for b in base)]
+        assert sorted(got[i]) == sorted(base + added), i
 
 
 def test_licenses(spark):
@@ -412,6 +429,8 @@ def test_decontamination(spark, sf):
     assert all(got[k] == pytest.approx(want[k]) for k in want)
     kept = decontaminate.drop_contaminated(odd_documents(spark, texts), bench)
     assert {r["doc_id"] for r in kept.collect()} == set(range(len(texts))) - {k[0] for k in want}
+    null = spark.createDataFrame([(None, texts[3]), (None, "clean words"), (7, texts[3]), (7, "clean words")], "doc_id long, text string")
+    assert [tuple(r) for r in decontaminate.drop_contaminated(null, bench).orderBy("doc_id").collect()] == [(None, "clean words"), (7, "clean words")]
     assert decontaminate.contaminated(empty(spark), bench).count() == 0
     assert decontaminate.contaminated(odd_documents(spark), bench.limit(0)).count() == 0
 
