@@ -293,9 +293,9 @@ def git_evidence_of_changes(spark, sf):
     return snapshot.git_evidence(files, status, _commits(spark, sf), "0123456789012345", "b").select("owner", "file", "source", "details")
 
 
-@_Q.add(f"WITH {_PAIR_SQL} SELECT 'CHANGES_DETECTED' AS status, sum(n) AS n, concat(sum(n), ' change(s): ', string_agg(concat(n, ' x ', category), ', ' ORDER BY category)) AS text FROM (SELECT category, count(*) AS n FROM ee GROUP BY 1) AS x")
+@_Q.add(f"WITH {_PAIR_SQL} SELECT 'CHANGES_DETECTED' AS status, CAST(sum(n) AS BIGINT) AS n, concat(sum(n), ' change(s): ', string_agg(concat(n, ' x ', category), ', ' ORDER BY category)) AS text FROM (SELECT category, count(*) AS n FROM ee GROUP BY 1) AS x")
 def change_text(spark, sf):
-    return snapshot.told(snapshot_diff(spark, sf)).withColumn("n", F.col("n").cast("decimal(38,0)"))
+    return snapshot.told(snapshot_diff(spark, sf)).withColumn("n", F.col("n").cast("long"))
 
 
 @_Q.add(r"SELECT doc_id, CASE WHEN trim(text, E' \t\n\r\f\v') = '' THEN 0 ELSE len(regexp_split_to_array(trim(text, E' \t\n\r\f\v'), '[ \t\n\r\f\v]+')) END AS words, length(text) AS chars FROM documents")
