@@ -352,7 +352,7 @@ def similar_components(docs: DataFrame, k: int = 5, similarity: float = 0.8, id_
     fp = materialise(wide_fingerprints(docs, k, id_col, text_col).where("doc_id is not null"), "wide")
     nodes = materialise(fp.groupBy("fp").agg(F.min("doc_id").alias("node"), F.max("m").alias("m"), F.count("*").alias("n")), "wide-nodes")
     n = nodes.count()
-    width = max(16, math.ceil(math.log2(max(n, 2))) - 2)
+    width = max(16, math.ceil(math.log2(max(n, 2))))
     share = differing_share(similarity)
     blocks = block_bits(width, max(BITS // width, math.ceil(math.log(1 / (1 - RECALL)) / (1 - share) ** width)))
     most = reach(similarity)
