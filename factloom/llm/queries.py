@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, exact_dedup, language_id, licenses, lm_score, secrets, simhash, token_counts, token_files
+from . import bpe, decontaminate, exact_dedup, filter_audit, language_id, licenses, lm_score, secrets, simhash, suffix_dedup, target_resample, token_counts, token_files
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
@@ -15,8 +15,12 @@ QUERIES = {
     "op8_licenses": licenses.op8_licenses,
     "op9_decontaminate": decontaminate.op9_decontaminate,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
+    "op11_filter_audit": filter_audit.op11_filter_audit,
+    "op12_target_resample": target_resample.op12_target_resample,
+    "op13_suffix_dedup": suffix_dedup.op13_suffix_dedup,
 }
 
 ORACLE_SQL = {
     "op10_exact_dedup": exact_dedup.OP10_SQL,
+    "op11_filter_audit": filter_audit.OP11_SQL,
 }
