@@ -116,14 +116,14 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP11_SQL = r"""
-WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') AS w FROM documents),
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
 marks AS (SELECT part, len(w) < 200 AS a, 100 * len(list_distinct(w)) < 50 * len(w) AS b, 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t) AS c, regexp_matches(t, '[#$%&*|]') AS d,
   doc_id <> min(doc_id) OVER (PARTITION BY t) AS e, coalesce(doc_id IN (SELECT doc_id FROM labels WHERE quality = 1), false) AS good, coalesce(doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1), false) AS toxic FROM d),
 cells AS (SELECT part, [a, b, c, d, e] AS f, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM marks GROUP BY ALL),
 l AS (SELECT unnest([1, 2, 3, 4, 5]) AS i),
 orders AS (SELECT [p.i, q.i, r.i, s.i, u.i] AS o FROM l p, l q, l r, l s, l u WHERE len(list_distinct([p.i, q.i, r.i, s.i, u.i])) = 5),
-steps AS (SELECT o, array_to_string(list_transform(o, x -> chr(64 + x)), '') AS filter_order, l.i AS step, o[l.i] AS own, o[:l.i - 1] AS before FROM orders, l),
-met AS (SELECT part, filter_order, step, own, n, good, toxic, f[own] AS fails, len(list_filter(before, x -> f[x])) > 0 AS gone, len(list_filter(f, x -> x)) AS many FROM cells, steps),
+steps AS (SELECT o, array_to_string(list_transform(o, lambda x: chr(64 + x)), '') AS filter_order, l.i AS step, o[l.i] AS own, o[:l.i - 1] AS before FROM orders, l),
+met AS (SELECT part, filter_order, step, own, n, good, toxic, f[own] AS fails, len(list_filter(before, lambda x: f[x])) > 0 AS gone, len(list_filter(f, lambda x: x)) AS many FROM cells, steps),
 effects AS (SELECT part, filter_order, step, own, sum(CASE WHEN NOT fails AND NOT gone THEN n ELSE 0 END) AS kept, sum(CASE WHEN fails AND NOT gone THEN n ELSE 0 END) AS removed, sum(CASE WHEN fails AND gone THEN n ELSE 0 END) AS redundant,
   sum(CASE WHEN fails AND many = 1 THEN n ELSE 0 END) AS unique_fails, sum(CASE WHEN fails AND NOT gone THEN good ELSE 0 END) AS good_lost, sum(CASE WHEN fails AND NOT gone THEN toxic ELSE 0 END) AS toxic_lost FROM met GROUP BY ALL)
 SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
