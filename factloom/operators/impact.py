@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import is_test_path
 from .graph import containers, downstream, reach
+from .needles import substring_hits
 from .tables import written
 
 #: Which relationship to which label makes which category.
@@ -108,18 +109,10 @@ def analyze(nodes: DataFrame, edges: DataFrame, changed: DataFrame, max_depth: i
 def naming_convention_tests(files: DataFrame, functions: DataFrame, targets: DataFrame, known: DataFrame) -> DataFrame:
     """files: path; functions: path, name; targets: name; known: path, name. Functions of test files whose name has a target's name in it, without the known ones.
 
-    A test's name is cut into all its parts that are as long as some target, so this is an equi join.
+    Names are searched for all targets at once by an automaton.
     """
     tests = functions.join(files.where(is_test_path(F.col("path"))).select("path"), "path", "left_semi").select("path", "name").distinct()
-    sized = targets.select(F.col("name").alias("target")).where("target != ''").distinct().withColumn("n", F.length("target"))
-    sizes = [r[0] for r in sized.select("n").distinct().collect()]  # lengths of identifiers, not names
-
-    def parts(n):
-        starts = F.filter(F.sequence(F.lit(1), F.length("name")), lambda i: i <= F.length("name") - n + 1)
-        return F.transform(starts, lambda i: F.substring(F.col("name"), i, F.lit(n)))
-
-    windows = F.flatten(F.array(*(parts(n) for n in sizes))) if sizes else F.array().cast("array<string>")
-    hits = tests.select("path", "name", F.explode(F.array_distinct(windows)).alias("target")).join(sized.select("target"), "target")
+    hits = substring_hits(tests.withColumn("__name", F.col("name")), "__name", targets.select(F.col("name").alias("target")), "target")
     return hits.join(known.select("path", "name"), ["path", "name"], "left_anti").select("path", "name", "target")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import is_test_path
+from .needles import substring_hits
 
 #: Lines of a block by which ranges and lines are joined.
 BLOCK_LINES = 64
@@ -54,15 +55,12 @@ def changed_node(asked: DataFrame, definitions: DataFrame) -> DataFrame:
 def related_tests(targets: DataFrame, functions: DataFrame, methods: DataFrame) -> DataFrame:
     """targets: repository_id, target; functions, methods: repository_id, path, name. (repository_id, target, test_file, test_function) of test files' functions and methods with the target's name in theirs.
 
-    A test's name is cut into all its parts that are as long as some target of its repository, so this is an equi join.
+    Names are searched for all targets at once by an automaton; what it finds meets the targets of the test's repository by an equi join.
     """
     tests = functions.select("repository_id", "path", "name").unionByName(methods.select("repository_id", "path", "name")).where(is_test_path(F.col("path"))).distinct()
     asked = targets.select("repository_id", "target").where("target != ''").distinct()
-    sizes = asked.groupBy("repository_id").agg(F.collect_set(F.length("target")).alias("sizes"))  # lengths of identifiers
-    parts = F.flatten(F.transform("sizes", lambda n: F.transform(F.sequence(F.lit(1), F.length("name") - n + 1), lambda i: F.substring(F.col("name"), i, n))))
-    fits = F.filter("sizes", lambda n: n <= F.length("name"))
-    cut = tests.join(sizes, "repository_id").withColumn("sizes", fits).select("repository_id", "path", "name", F.explode(F.array_distinct(parts)).alias("target"))
-    return cut.join(asked, ["repository_id", "target"]).select("repository_id", "target", F.col("path").alias("test_file"), F.col("name").alias("test_function"))
+    hits = substring_hits(tests.withColumn("__name", F.col("name")), "__name", asked, "target")
+    return hits.join(asked, ["repository_id", "target"]).select("repository_id", "target", F.col("path").alias("test_file"), F.col("name").alias("test_function"))
 
 
 def dependencies_of(files: DataFrame, imports: DataFrame) -> DataFrame:

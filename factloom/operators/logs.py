@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .needles import substring_hits
+from .resolve import band
+from .tables import written
+
 #: A frame line, an exception line with and without a message, a time, an id.
 FRAME = r'^\s*File "([^"]+)", line (\d+), in (\S+)\s*$'
 EXCEPTION = r"^([A-Za-z_][A-Za-z0-9_.]*)\s*:\s*(.*)$"
@@ -59,25 +63,38 @@ def log_entry(raw: Column) -> Column:
     return F.struct(zoned.try_cast("timestamp").alias("ts"), F.nullif(F.regexp_extract(raw, CORRELATION, 1), F.lit("")).alias("correlation_id"))
 
 
-def correlate(logs: DataFrame, failure: dict, seconds: int = 5) -> DataFrame:
-    """logs: log_id, raw; failure: any of correlation_id, ts, exception_type, message, file_path, qualified_name.
+#: Rules that tie a log line to a failure, the first one that fits counts.
+RULES = ["correlation_id", "timestamp_window", "exception_type", "exception_message", "file_path", "method"]
+
+
+def correlate_all(logs: DataFrame, failures: DataFrame, seconds: int = 5) -> DataFrame:
+    """logs: log_id, raw; failures: failure_id and correlation_id, ts, exception_type, message, file_path, qualified_name, each of which may be null.
 
-    (log_id, matched_on): the first rule that fits, in this order: the id, the time (at most `seconds` away), then
-    exception type, message, file name and method name as parts of the line. Other lines are left out.
+    (failure_id, log_id, matched_on): each pair that a rule ties, with the first rule that does: the id, the time (at most `seconds` away), then exception type,
+    message, file name and method name as parts of the line. Ids meet by an equi join, times by a band join, strings by an automaton over the distinct
+    strings of all failures; empty ones tie nothing. A log_id or failure_id that is there twice is one.
     """
-    entry, raw = log_entry(F.col("raw")), F.col("raw")
-    rule = F.lit(None).cast("string")
-    last = lambda k, sep: (failure.get(k) or "").rpartition(sep)[2]
-    needles = [("exception_type", failure.get("exception_type")), ("exception_message", failure.get("message")), ("file_path", last("file_path", "/")), ("method", last("qualified_name", "."))]
-    for name, needle in reversed(needles):
-        if needle:
-            rule = F.when(F.contains(raw, F.lit(needle)), name).otherwise(rule)
-    if failure.get("ts") is not None:
-        near = F.abs(F.unix_micros("entry.ts") - F.unix_micros(F.lit(failure["ts"]).cast("timestamp"))) <= seconds * 1_000_000
-        rule = F.when(near, "timestamp_window").otherwise(rule)
-    if failure.get("correlation_id"):
-        rule = F.when(F.col("entry.correlation_id") == failure["correlation_id"], "correlation_id").otherwise(rule)
-    return logs.withColumn("entry", entry).select("log_id", rule.alias("matched_on")).where("matched_on is not null")
+    entry = log_entry(F.col("raw"))
+    read = written(logs.select("log_id", "raw", entry.alias("entry")).select("log_id", "raw", "entry.ts", "entry.correlation_id"), "log-entries")
+    last = lambda c, sep: F.substring_index(c, sep, -1)
+    wanted = [F.col("exception_type"), F.col("message"), last("file_path", "/"), last("qualified_name", ".")]
+    needles = F.explode(F.array(*(F.struct(F.lit(RULES.index(r)).alias("rule"), c.alias("needle")) for r, c in zip(RULES[2:], wanted, strict=True)))).alias("x")
+    asked = written(failures.select("failure_id", needles).select("failure_id", "x.rule", "x.needle").where("needle != ''").distinct(), "log-needles")
+    ids = failures.where("correlation_id != ''").select("failure_id", "correlation_id")
+    by_id = read.join(ids, "correlation_id").select("failure_id", "log_id", F.lit(0).alias("rule"))
+    near = band(failures.select(F.col("failure_id").alias("row"), "ts"), read.select(F.col("log_id").alias("other"), "ts"), seconds)
+    by_time = near.select(F.col("row").alias("failure_id"), F.col("other").alias("log_id"), F.lit(1).alias("rule"))
+    by_part = substring_hits(read.select("log_id", "raw"), "raw", asked, "needle").join(asked, "needle").select("failure_id", "log_id", "rule")
+    first = by_id.unionByName(by_time).unionByName(by_part).groupBy("failure_id", "log_id").agg(F.min("rule").alias("rule"))
+    return first.select("failure_id", "log_id", F.element_at(F.array(*map(F.lit, RULES)), F.col("rule") + 1).alias("matched_on"))
+
+
+def correlate(logs: DataFrame, failure: dict, seconds: int = 5) -> DataFrame:
+    """correlate_all() of one failure, a dict: (log_id, matched_on)."""
+    names = ["correlation_id", "ts", "exception_type", "message", "file_path", "qualified_name"]
+    row = [(0, *(failure.get(n) for n in names))]
+    schema = "failure_id int, " + ", ".join(f"{n} {'timestamp' if n == 'ts' else 'string'}" for n in names)
+    return correlate_all(logs, logs.sparkSession.createDataFrame(row, schema), seconds).select("log_id", "matched_on")
 
 
 def test_counts(output: Column) -> Column:

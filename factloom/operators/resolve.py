@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import location_file, location_name, path_suffixes
+from .tables import written
 
 
 def edge_pattern(edges: DataFrame, nodes: DataFrame, start_label: str, rel_type: str, end_label: str) -> DataFrame:
@@ -107,15 +108,38 @@ def as_of_same(left: DataFrame, right: DataFrame, by: str, same: str, at: str, o
     return both.select("row", *(F.when(found, F.col(f"__near.{c}")).otherwise(F.col(f"__any.{c}")).alias(c) for c in names))
 
 
+def dyadic_blocks(first: Column, last: Column) -> Column:
+    """The blocks (level, block) that [first, last] is made of: block b of level k holds the 2^k numbers from b 2^k on; two of a level at most.
+
+    Of each level at most the block at the left end and the one at the right end are left over by the coarser ones, so a span of n numbers has at
+    most 2 log2 n blocks. Numbers may be negative; empty spans have no blocks.
+    """
+    one, zero = F.lit(1).cast("long"), F.lit(0).cast("int")
+    first, end = first.cast("long"), last.cast("long") + 1
+    shifted = lambda x, k: F.call_function("shiftright", x, k)
+
+    def of_level(k: Column) -> Column:
+        left, right = -shifted(-first, k), shifted(end, k)  # rounded up, rounded down
+        odd = lambda x: x.bitwiseAND(one) == 1
+        return F.array(F.when((left < right) & odd(left), F.struct(k.alias("level"), left.alias("block"))), F.when((left < right) & odd(right), F.struct(k.alias("level"), (right - 1).alias("block"))))
+
+    levels = F.sequence(zero, F.floor(F.log2(F.greatest(end - first, one).cast("double"))).cast("int") + 1)
+    return F.filter(F.flatten(F.transform(levels, of_level)), lambda x: x.isNotNull())
+
+
 def innermost(points: DataFrame, spans: DataFrame, by: str) -> DataFrame:
     """points: row, by, line; spans: by, first, last, name. Each point's innermost span around it (the latest start, then the earlier end, then name).
 
-    Spans are laid out by line and each line keeps one span, so a point meets one row at most and no pairs are made; a span costs its length.
+    A span is laid out as its dyadic blocks, and each block keeps one span; a point looks into the blocks around it, one of each level that some span
+    has (64 at most). So a span costs the logarithm of its length, a point that of the longest span, and no pairs are made. Rows of points are told apart by `row`.
     """
-    laid = spans.where("first <= last").select(by, F.struct("first", (-F.col("last")).alias("end"), "name").alias("s"), F.explode(F.sequence("first", "last")).alias("line"))
-    best = laid.groupBy(by, "line").agg(F.max("s").alias("s"))
-    hit = points.join(best, [by, "line"], "left")
-    return hit.select("row", F.col("s.name").alias("name"), F.col("s.first").alias("first"), (-F.col("s.end")).alias("last"))
+    laid = spans.where("first <= last").select(by, F.struct("first", (-F.col("last")).alias("end"), "name").alias("s"), F.explode(dyadic_blocks(F.col("first"), F.col("last"))).alias("x"))
+    best = written(laid.groupBy(by, "x.level", "x.block").agg(F.max("s").alias("s")), "interval-blocks")
+    levels = sorted(r["level"] for r in best.select("level").distinct().collect())
+    around = F.array(*(F.struct(F.lit(k).alias("level"), F.shiftright(F.col("line").cast("long"), k).alias("block")) for k in levels)) if levels else F.array().cast("array<struct<level:int,block:long>>")
+    asked = points.where(F.col(by).isNotNull() & F.col("line").isNotNull()).select("row", by, F.explode(around).alias("x")).select("row", by, "x.level", "x.block")
+    hit = asked.join(best, [by, "level", "block"]).groupBy("row").agg(F.max("s").alias("s"))
+    return points.select("row").join(hit, "row", "left").select("row", F.col("s.name").alias("name"), F.col("s.first").alias("first"), (-F.col("s.end")).alias("last"))
 
 
 def band(left: DataFrame, right: DataFrame, seconds: int) -> DataFrame:
@@ -126,8 +150,9 @@ def band(left: DataFrame, right: DataFrame, seconds: int) -> DataFrame:
     """
     at = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
     width = seconds * 1_000_000
-    a = left.where("ts is not null").select("row", at("ts").alias("a"), F.floor(at("ts") / width).alias("bucket"))
-    b = right.where("ts is not null").select("other", at("ts").alias("b"), F.explode(F.array(*(F.floor(at("ts") / width) + i for i in (-1, 0, 1)))).alias("bucket"))
+    bucket = lambda t: F.floor(t / max(width, 1))
+    a = left.where("ts is not null").select("row", at("ts").alias("a"), bucket(at("ts")).alias("bucket"))
+    b = right.where("ts is not null").select("other", at("ts").alias("b"), F.explode(F.array(*(bucket(at("ts")) + i for i in (-1, 0, 1)))).alias("bucket"))
     hits = a.join(b, "bucket").where(F.abs(F.col("a") - F.col("b")) <= width)
     return hits.select("row", "other", ((F.col("b") - F.col("a")) / 1_000_000).alias("delta"))
 

@@ -17,6 +17,9 @@ FACTS = {
     "graph_edges": "SELECT 'Supplier' AS start_label, concat('s', s_suppkey) AS start_id, 'LIVES_IN' AS rel_type, 'Nation' AS end_label, concat('n', s_nationkey) AS end_id FROM supplier UNION ALL SELECT 'Customer', concat('c', o_custkey), 'ORDERED_FROM', 'Nation', concat('n', c_nationkey) FROM orders JOIN customer ON o_custkey = c_custkey UNION ALL SELECT 'Customer', concat('c', c_custkey), 'LIVES_IN', 'Nation', concat('n', c_nationkey) FROM customer",
     # log lines of events
     "log_lines": "SELECT event_id AS log_id, concat(CASE WHEN event_type = 'view' THEN '' ELSE concat(replace(substring(CAST(ts AS STRING), 1, 19), ' ', 'T'), CASE WHEN event_type = 'click' THEN 'Z' WHEN event_type = 'error' THEN '+05:30' ELSE '' END, ' ') END, event_type, CASE WHEN event_type = 'signup' THEN ' Request-ID: ' ELSE ' trace_id=' END, 'u-', CAST(user_id AS STRING), ' failed with ', CAST(CAST(floor(value) AS INT) AS STRING)) AS raw FROM events",
+    # failures of parts, each with some of what ties log lines to it
+    "failures": """SELECT p_partkey AS failure_id, CASE WHEN p_size % 5 = 0 THEN concat('u-', CAST(p_partkey AS STRING)) END AS correlation_id, CASE WHEN p_size % 4 = 1 THEN TIMESTAMP '2024-01-01 00:00:00' + p_partkey * INTERVAL '1' HOUR END AS ts, CASE WHEN p_size % 6 = 1 THEN concat('with ', CAST(200 + p_partkey % 100 AS STRING)) END AS exception_type,
+        CASE WHEN p_size % 3 = 0 THEN concat('u-', CAST(p_partkey % 40 AS STRING), ' failed with ', CAST(p_size AS STRING)) ELSE '' END AS message, CASE WHEN p_size % 7 = 2 THEN concat('src/signup Request-ID: u-', CAST(p_partkey % 90 AS STRING)) END AS file_path, CASE WHEN p_size % 8 = 3 THEN concat('Orders.error trace_id=u-', CAST(p_partkey % 70 AS STRING)) END AS qualified_name FROM part""",
     # stack traces of parts
     "traces": "SELECT p_partkey AS trace_id, concat('Traceback (most recent call last):\n', '  File \"/srv/', lower(p_type), '/app.py\", line ', CAST(p_size AS STRING), ', in run\n', CASE WHEN p_size < 20 THEN concat('    ', replace(p_name, ' ', '_'), '(x)\n') WHEN p_size < 30 THEN '    return\n' ELSE '' END, '  File \"lib/', replace(p_name, ' ', '_'), '.py\", line ', CAST(p_size + 7 AS STRING), ', in <module>\n', '    step = ', CAST(p_size AS STRING), '\n', CASE WHEN p_size > 45 THEN '' WHEN p_size > 40 THEN 'KeyError' WHEN p_size > 10 THEN concat('ValueError: bad ', p_name) ELSE 'errors.Timeout:  ' END, '\n') AS raw FROM part",
     # files of parts: nested folders, names that repeat

@@ -73,6 +73,14 @@ def log_rules_first_match(spark, sf):
     return logs.correlate(fact(spark, sf, "log_lines"), FAILURE, 3600)
 
 
+@_Q.add(
+    f"""WITH {_ENTRY_SQL}, f AS (SELECT failure_id, correlation_id AS wanted, ts AS happened, nullif(exception_type, '') AS kind, nullif(message, '') AS message, nullif(regexp_extract(file_path, '[^/]*$'), '') AS file, nullif(regexp_extract(qualified_name, '[^.]*$'), '') AS method FROM failures)
+    SELECT * FROM (SELECT failure_id, log_id, CASE WHEN wanted = correlation_id THEN 'correlation_id' WHEN abs(epoch_us(ts) - epoch_us(happened)) <= 600000000 THEN 'timestamp_window' WHEN contains(raw, kind) THEN 'exception_type' WHEN contains(raw, message) THEN 'exception_message' WHEN contains(raw, file) THEN 'file_path' WHEN contains(raw, method) THEN 'method' END AS matched_on FROM p, f) AS x WHERE matched_on IS NOT NULL"""
+)
+def log_rules_of_all(spark, sf):
+    return logs.correlate_all(fact(spark, sf, "log_lines"), fact(spark, sf, "failures"), 600)
+
+
 @_Q.add(
     """SELECT p_partkey AS trace_id, 1 AS frame_no, concat('/srv/', lower(p_type), '/app.py') AS file, p_size AS line, 'run' AS function, CASE WHEN p_size < 20 THEN concat(replace(p_name, ' ', '_'), '(x)') END AS snippet FROM part
     UNION ALL SELECT p_partkey, 2, concat('lib/', replace(p_name, ' ', '_'), '.py'), p_size + 7, '<module>', concat('step = ', CAST(p_size AS VARCHAR)) FROM part"""
