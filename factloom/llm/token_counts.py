@@ -83,18 +83,16 @@ def scan_counts(files: DataFrame, end_id: int, dtype: str, block_ids: int = BLOC
 
     cuts = files.select("file", "n_ids", F.explode(F.expr(f"sequence(0L, greatest(n_ids - 1, 0L), {block_ids}L)")).alias("lo")).where("n_ids > 0")
     cuts = cuts.select("file", "lo", F.least(F.col("lo") + block_ids, "n_ids").alias("hi"))
-    blocks = cuts.repartition(F.col("file"), F.col("lo")).mapInArrow(search, "file string, lo long, ends array<long>")
+    blocks = materialise(cuts.repartition(F.col("file"), F.col("lo")).mapInArrow(search, "file string, lo long, ends array<long>"), "token-blocks")
+    # the scan over a file's blocks carries two numbers of each, not its ends
+    sums = blocks.select("file", "lo", F.size("ends").cast("long").alias("n"), F.try_element_at("ends", F.lit(-1)).alias("end"))
     before = Window.partitionBy("file").orderBy("lo").rowsBetween(Window.unboundedPreceding, -1)
-    stitched = blocks.select(
-        "file",
-        "ends",
-        F.coalesce(F.sum(F.size("ends")).over(before), F.lit(0)).alias("base"),
-        F.coalesce(F.last(F.try_element_at("ends", F.lit(-1)), ignorenulls=True).over(before), F.lit(-1)).alias("last"),
-    ).where(F.size("ends") > 0)
+    carried = sums.select("file", "lo", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"), F.coalesce(F.last("end", ignorenulls=True).over(before), F.lit(-1)).alias("last"))
+    stitched = blocks.where(F.size("ends") > 0).join(carried, ["file", "lo"])
     starts = F.concat(F.array(F.col("last") + 1), F.transform(F.expr("slice(ends, 1, size(ends) - 1)"), lambda e: e + 1))
     spans = F.zip_with("ends", starts, lambda e, s: F.struct(s.alias("start"), (e - s).alias("n_tokens")))
     found = stitched.select("file", "base", F.posexplode(spans).alias("pos", "span")).select("file", (F.col("base") + F.col("pos")).cast("long").alias("ordinal"), "span.start", "span.n_tokens", F.lit(True).alias("closed"))
-    whole = blocks.groupBy("file").agg(F.max(F.try_element_at("ends", F.lit(-1))).alias("last"), F.sum(F.size("ends")).cast("long").alias("ordinal"))
+    whole = sums.groupBy("file").agg(F.max("end").alias("last"), F.sum("n").alias("ordinal"))
     open_ = files.join(whole, "file").withColumn("start", F.coalesce(F.col("last") + 1, F.lit(0))).where("n_ids > start")
     return found.unionByName(open_.select("file", "ordinal", "start", (F.col("n_ids") - F.col("start")).alias("n_tokens"), F.lit(False).alias("closed")))
 

@@ -46,7 +46,7 @@ class ChunkEncoder:
     Tokens of such a vocabulary never cross white space, so each distinct piece of text between spaces or line ends is
     encoded by the library once (as long as the cache holds it) and a text's ids are put together from its pieces'.
     ASCII punctuation that closes a piece is a piece of its own, and pieces are looked up in lower case, for such a
-    vocabulary makes them so anyway; pieces where that could make a difference stay as they are.
+    vocabulary makes them so anyway; pieces where that could make a difference (letters that NFC changes among them) stay as they are.
     special_as_text: the strings of special tokens in a text are ordinary text; otherwise they are these tokens, as by the library's default.
     """
 
@@ -87,6 +87,8 @@ class ChunkEncoder:
         whole = flat.dictionary
         core = pc.utf8_rtrim(whole, TAIL)
         safe = pc.and_not(pc.match_substring_regex(core, r"[\pL\pN]$"), pc.match_substring_regex(whole, "<\\||\u03a3|\u0130"))
+        # a letter that composition takes apart ends in a mark, which stays with the punctuation after it
+        safe = pc.and_(safe, pc.equal(core, pc.utf8_normalize(core, "NFC")))
         keep = pc.binary_length(core).to_numpy(zero_copy_only=False)
         raw = whole.to_pylist()
         ok = safe.to_numpy(zero_copy_only=False)

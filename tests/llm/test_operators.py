@@ -597,3 +597,19 @@ def test_licenses_whole_texts_and_versions(spark):
     assert [by[i] for i in range(len(texts))] == [*({n} for n in names), {"GPL-2.0"}, {"GPL-3.0"}, set()]
     headers = [licenses.TEMPLATES["AGPL-3.0"][0], licenses.TEMPLATES["CC-BY-SA-4.0"][0], licenses.TEMPLATES["LGPL-2.1"][0]]
     assert [r["license"] for r in licenses.license_scan(odd_documents(spark, headers)).orderBy("doc_id").collect()] == ["AGPL-3.0", "CC-BY-SA-4.0", "LGPL-2.1"]
+
+
+def test_chunk_encoder_of_every_code_point_before_punctuation(tokenizer):
+    """Each code point up to U+2FFFF behind a letter and before punctuation gets the ids of the library."""
+    import pyarrow as pa
+
+    t, path = tokenizer
+    own = token_files.ChunkEncoder(path)
+    points = [chr(c) for c in range(1, 0x30000) if not 0xD800 <= c < 0xE000]
+    for tail in (".", ",", ".,", "!)"):
+        for s in range(0, len(points), 20_000):
+            texts = [f"ल{c}{tail}" for c in points[s : s + 20_000]]
+            ids, starts = own.batch(pa.array(texts))
+            want = [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
+            assert np.array_equal(np.diff(starts), [len(w) for w in want])
+            assert np.array_equal(ids, np.concatenate([np.array(w, np.uint32) for w in want]))
