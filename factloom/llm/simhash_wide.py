@@ -70,7 +70,7 @@ def _distinct_shingles(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]
 
 
 def wide_fingerprints(docs: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fp (BITS bits) and m (distinct shingles) of every row that has a word."""
+    """doc_id, mark (a hash of the text), fp (BITS bits) and m (distinct shingles) of every row that has a word."""
 
     def run(batches):
         lanes = _lanes()
@@ -86,25 +86,31 @@ def wide_fingerprints(docs: DataFrame, k: int, id_col: str = "doc_id", text_col:
             full = np.flatnonzero(np.diff(starts))
             fp = np.ascontiguousarray(np.stack(parts, axis=1)[full])
             data = pa.FixedSizeBinaryArray.from_buffers(pa.binary(BITS // 8), len(full), [None, pa.py_buffer(fp)]).cast(pa.binary())
-            yield pa.RecordBatch.from_arrays([b["doc_id"].take(pa.array(full)), data, pa.array(np.diff(starts)[full])], ["doc_id", "fp", "m"])
+            own = pa.array(full)
+            yield pa.RecordBatch.from_arrays([b["doc_id"].take(own), b["mark"].take(own), data, pa.array(np.diff(starts)[full])], ["doc_id", "mark", "fp", "m"])
 
-    return id_and_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, fp binary, m long")
+    return _marked(docs, id_col, text_col).mapInArrow(run, "doc_id long, mark long, fp binary, m long")
+
+
+def _marked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, text, mark: what a row is told by, for a doc_id may be null or repeated."""
+    return id_and_text(docs, id_col, text_col).withColumn("mark", F.xxhash64("text"))
 
 
 def shingles_of(docs: DataFrame, nodes: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
-    """node and sh (its distinct shingle hashes in ascending order, 64 bit each) of the documents of nodes, which has each node once."""
+    """nodes: node, doc_id, mark, each text once. node and sh (its distinct shingle hashes in ascending order, 64 bit each)."""
 
     def run(batches):
         for b in slices(batches, size=1 << 20):
             h, starts = _distinct_shingles(b["text"], k)
             full = np.flatnonzero(np.diff(starts))
             data = pa.Array.from_buffers(pa.large_binary(), len(b), [None, pa.py_buffer(starts.astype(np.int64) * 8), pa.py_buffer(np.ascontiguousarray(h))]).take(pa.array(full)).cast(pa.binary())
-            yield pa.RecordBatch.from_arrays([b["doc_id"].take(pa.array(full)), data], ["node", "sh"])
+            yield pa.RecordBatch.from_arrays([b["node"].take(pa.array(full)), data], ["node", "sh"])
 
     n = nodes.count()
-    mine = F.broadcast(nodes) if n <= MAX_BROADCAST_ROWS else nodes
-    rows = id_and_text(docs, id_col, text_col).join(mine, F.col("doc_id") == F.col("node"), "left_semi")
-    out = materialise(rows.mapInArrow(run, "node long, sh binary"), "wide-shingles")
+    named = nodes.select("node", F.col("doc_id").alias("__id"), F.col("mark").alias("__mark"))
+    rows = _marked(docs, id_col, text_col).join(F.broadcast(named) if n <= MAX_BROADCAST_ROWS else named, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("mark") == F.col("__mark")))
+    out = materialise(rows.select("node", "text").mapInArrow(run, "node long, sh binary"), "wide-shingles")
     return out if out.count() == n else materialise(out.distinct(), "wide-shingles")
 
 
@@ -343,14 +349,17 @@ def _dealt(labelled: DataFrame) -> DataFrame:
 
 
 def similar_components(docs: DataFrame, k: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each row of docs that has a word and a doc_id: doc_id, component_id (the smallest doc_id that links reach).
+    """One row for each row of docs that has a word: doc_id, mark (a hash of its text), component_id, stays.
 
     A link is a candidate whose shingle sets have a Jaccard similarity of `similarity` or more. Texts with equal fingerprints are one
     node. A text of fewer than k words has its whole sequence as its one shingle. Null texts and texts without words are no copies of
-    each other and have no row.
+    each other and have no row. Rows are judged by their own texts: rows of one doc_id with different texts need not be of one component. Of a component the
+    text of the smallest doc_id stays (null is the largest; of texts of one doc_id that of the smallest hash), and component_id is its doc_id.
     """
-    fp = materialise(wide_fingerprints(docs, k, id_col, text_col).where("doc_id is not null"), "wide")
-    nodes = materialise(fp.groupBy("fp").agg(F.min("doc_id").alias("node"), F.max("m").alias("m"), F.count("*").alias("n")), "wide-nodes")
+    fp = materialise(wide_fingerprints(docs, k, id_col, text_col), "wide")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark"))
+    nodes = fp.groupBy("fp").agg(least.alias("least"), F.max("m").alias("m"), F.count("*").alias("n"))
+    nodes = materialise(nodes.withColumn("node", F.monotonically_increasing_id()), "wide-nodes")
     n = nodes.count()
     width = max(16, math.ceil(math.log2(max(n, 2))))
     share = differing_share(similarity)
@@ -370,7 +379,8 @@ def similar_components(docs: DataFrame, k: int = 5, similarity: float = 0.8, id_
     pairs = materialise(whole.mapInArrow(lambda it: _small_pairs(it, most), "u long, v long").where("u != v").distinct(), "wide-pairs")
     asked = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node")))
     asked = asked if large is None else asked.unionByName(large.select("node"))
-    sh = shingles_of(docs, materialise(asked.distinct(), "wide-asked"), k, id_col, text_col)
+    texts = nodes.select("node", "least.doc_id", "least.mark").join(asked.distinct(), "node", "left_semi")
+    sh = shingles_of(docs, materialise(texts, "wide-asked"), k, id_col, text_col)
     of = lambda end, name: sh.select(F.col("node").alias(end), F.col("sh").alias(name))
     links = pairs.join(of("u", "a"), "u").join(of("v", "b"), "v").select("u", "v", "a", "b").mapInArrow(lambda it: _verified(it, similarity), "u long, v long")
     parts = None
@@ -385,12 +395,25 @@ def similar_components(docs: DataFrame, k: int = 5, similarity: float = 0.8, id_
                 links = links.unionByName(more)
                 parts = materialise(connected_components(links), "wide-components")
     parts = materialise(connected_components(links), "wide-components") if parts is None else parts
-    out = attach(fp.select("doc_id", "fp"), nodes.where("n > 1").select("fp", "node", "n"), "fp", "n").select("doc_id", F.coalesce("node", "doc_id").alias("node"))
-    return out.join(parts, "node", "left").select("doc_id", F.coalesce("root", "node").alias("component_id"))
+    linked = nodes.select("node", "least").join(parts, "node")
+    first = materialise(linked.groupBy("root").agg(F.min("least").alias("first"), F.count("*").alias("size")), "wide-firsts")
+    of_node = attach(linked, first, "root", "size").select("node", "first")
+    told = nodes.join(of_node, "node", "left").where("n > 1 or first is not null").select("fp", F.coalesce("first", "least").alias("first"), "n")
+    out = attach(fp.select("doc_id", "mark", "fp"), materialise(told, "wide-told"), "fp", "n")
+    stays = F.col("first").isNull() | (F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("mark") == F.col("first.mark")))
+    return out.select("doc_id", "mark", F.when(F.col("first").isNull(), F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("component_id"), stays.alias("stays"))
 
 
 def drop_similar(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> DataFrame:
-    """docs with one document of each component, the one with the smallest doc_id; rows without a doc_id or a word stay."""
-    said = similar_components(docs, k, similarity)
-    gone = materialise(said.where("doc_id != component_id").select(F.col("doc_id").alias("__id")).distinct(), "similar")
-    return docs.join(F.broadcast(gone) if gone.count() <= MAX_BROADCAST_ROWS else gone, F.col("doc_id") == F.col("__id"), "left_anti")
+    """docs with one row of each component of similar_components, the one that stays; of rows equal in doc_id and text one. Rows without a word stay."""
+    said = materialise(similar_components(docs, k, similarity), "similar-rows")
+    named = lambda d: d.select(F.col("doc_id").alias("__id"), F.col("mark").alias("__told")).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__mark") == F.col("__told"))
+    small = lambda d: F.broadcast(d) if d.count() <= MAX_BROADCAST_ROWS else d
+    marked = docs.withColumn("__mark", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    out = marked.join(small(materialise(named(said.where("not stays")), "similar")), same, "left_anti")
+    twice = materialise(named(said.where("stays").groupBy("doc_id", "mark").count().where("count > 1")), "similar-twice")
+    if not twice.isEmpty():
+        some = small(twice)
+        out = out.join(some, same, "left_anti").unionByName(out.join(some, same, "left_semi").dropDuplicates(["doc_id", "__mark"]))
+    return out.select(*docs.columns)

@@ -73,14 +73,13 @@ def test_stages_and_run(spark, corpus):
     assert docs.columns == columns and sorted((re.sub(r"[\x20\x09-\x0D]+", " ", t), i) for i, t in left) == sorted(unique.items())
 
     docs = stage("simhash_near_dedup")(spark, docs, corpus)
-    known = [x for x in left if x[0] >= 0 and words_of(x[1])]
-    least = {}
+    known = sorted((x for x in left if words_of(x[1])), key=lambda x: x[0] if x[0] >= 0 else 1 << 60)
+    stay = {}
     for x, c in zip(known, exact_components([t for _, t in known]), strict=True):
-        least[c] = min(least.get(c, 1 << 60), x[0])
-    stay = sorted(least.values())
+        stay.setdefault(c, x)
     after = rows_of(docs)
     assert docs.columns == columns and len(known) - len(stay) >= 6
-    assert sorted(i for i, t in after if i >= 0 and words_of(t)) == stay and sum(i < 0 for i, _ in after) == sum(i < 0 for i, _ in left)
+    assert after == sorted([*stay.values(), *(x for x in left if not words_of(x[1]))])
 
     docs = stage("decontaminate")(spark, docs, corpus)
     strip = lambda t: [x for x in (y.strip("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~") for y in t.lower().split()) if x]
@@ -118,3 +117,22 @@ def test_stages_of_nothing_and_clashing_columns(spark, corpus):
         out = f(spark, docs, corpus)
         assert out.columns == docs.columns and all(tuple(r)[5:] == values for r in out.collect()), name
     assert lower("A") == "a"
+
+
+def test_near_dedup_judges_rows_by_their_own_texts(spark):
+    """Rows of one doc_id, or of none, with different texts: each text keeps one surviving near copy, and only one row of it."""
+    from factloom.llm import simhash_wide
+
+    rng = np.random.default_rng(4)
+    say = lambda: ["".join(rng.choice(list("abcdefgh"), 7)) for _ in range(120)]
+    a, b, c, d = say(), say(), say(), say()
+    edit = lambda w, i: " ".join([*w[:i], "edited", *w[i + 1 :]])
+    rows = [(1, " ".join(a)), (2, edit(a, 5)), (2, " ".join(b)), (7, edit(b, 9)), (None, edit(a, 60)), (None, " ".join(c)), (None, edit(c, 70)), (9, " ".join(d)), (9, " ".join(d)), (9, edit(d, 3)), (3, None), (3, None), (4, " ")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], COLUMNS).repartition(4)
+    kept = rows_of(simhash_wide.drop_similar(docs))
+    texts = [t for _, t in kept]
+    assert (1, " ".join(a)) in kept and (2, " ".join(b)) in kept and len(kept) == 7
+    assert sum(t in (" ".join(c), edit(c, 70)) for t in texts) == 1 and sum(t in (" ".join(d), edit(d, 3)) for t in texts) == 1
+    assert texts.count("") == 2 and texts.count(" ") == 1
+    said = {(r["doc_id"], r["component_id"]) for r in simhash_wide.similar_components(docs).collect()}
+    assert said == {(1, 1), (2, 1), (2, 2), (7, 2), (None, 1), (None, None), (9, 9)}
