@@ -6,16 +6,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def merge_rows(stored: DataFrame, batch: DataFrame, keys: list[str], properties: list[str]) -> DataFrame:
+    """stored and batch: keys, properties (batch also `ord`, its order). One row for each key, with the properties of the batch's last record of it or else as stored."""
+    old = stored.select(*keys, F.lit(-1).cast("long").alias("ord"), *properties)
+    new = batch.select(*keys, F.col("ord").cast("long").alias("ord"), *properties)
+    last = old.unionByName(new).groupBy(*keys).agg(F.max_by(F.struct(F.lit(0), *properties), "ord").alias("p"))
+    return last.select(*keys, *(F.col(f"p.{c}").alias(c) for c in properties))
+
+
 def merge_nodes(stored: DataFrame, batch: DataFrame, properties: list[str], label: str = "label", key: str = "id") -> DataFrame:
     """stored and batch: label, id, properties (batch also `ord`, its order). One row for each label and id.
 
     The batch's last record of an id sets its properties, and a null there removes a stored value, as a later write of the
     whole record does. Ids that the batch doesn't have keep what is stored.
     """
-    old = stored.select(label, key, F.lit(-1).cast("long").alias("ord"), *properties)
-    new = batch.select(label, key, F.col("ord").cast("long").alias("ord"), *properties)
-    last = old.unionByName(new).groupBy(label, key).agg(F.max_by(F.struct(*properties), "ord").alias("p"))
-    return last.select(label, key, *(F.col(f"p.{c}").alias(c) for c in properties))
+    return merge_rows(stored, batch, [label, key], properties)
 
 
 def merge_edges(stored: DataFrame, batch: DataFrame, nodes: DataFrame) -> DataFrame:

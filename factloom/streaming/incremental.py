@@ -3,31 +3,15 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.upsert import merge_nodes
+from ..sources.keyed_table import KeyedTable
 
 
-def near_in_time(failures: DataFrame, logs: DataFrame, seconds: int = 5, late: str = "1 minute") -> DataFrame:
-    """Streams failures: row, ts and logs: other, log_ts. (row, other): pairs at most `seconds` apart, and of one bucket of that length or of neighbours,
-    so state is joined by the bucket; watermarks bound it, and rows that are later than `late` are dropped."""
-    width = seconds
-    bucket = lambda c: F.floor(F.unix_seconds(c) / width)
-    a = failures.withWatermark("ts", late).withColumn("bucket", bucket(F.col("ts")))
-    b = logs.withWatermark("log_ts", late).withColumn("bucket", F.explode(F.array(*(bucket(F.col("log_ts")) + i for i in (-1, 0, 1)))))
-    near = F.expr(f"log_ts BETWEEN ts - INTERVAL {seconds} SECONDS AND ts + INTERVAL {seconds} SECONDS")
-    return a.alias("a").join(b.alias("b"), near & (F.col("a.bucket") == F.col("b.bucket"))).select("row", "other")
-
-
-def upsert_stream(batches: DataFrame, root: str, properties: list[str], checkpoint: str) -> StreamingQuery:
-    """Merge each micro-batch of (label, id, ord, properties) into the node table under root. A batch writes version <batch id>, by its id, so a
-    repeated one gives the same; readers take the last version that is complete."""
+def upsert_stream(batches: DataFrame, table: KeyedTable, checkpoint: str) -> StreamingQuery:
+    """Upsert each micro-batch of the table's columns and `ord`. A batch that is sent again after a failure changes nothing; each batch writes the buckets it touches."""
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        shape = batch.select("label", "id", *properties)
-        stored = spark.read.parquet(f"{root}/version={batch_id - 1}") if batch_id else shape.limit(0)
-        merge_nodes(stored, batch, properties).write.mode("overwrite").parquet(f"{root}/version={batch_id}")
+        KeyedTable(batch.sparkSession, table.root, table.schema, table.keys, table.buckets).upsert(batch)
 
     return batches.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

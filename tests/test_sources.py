@@ -155,13 +155,15 @@ def test_columns(spark):
 
 
 def test_streams(spark, tmp_path):
+    from factloom.sources.keyed_table import KeyedTable
     from factloom.streaming import incremental
 
     schema = "label string, id string, ord long, v string"
+    table = KeyedTable(spark, str(tmp_path / "out"), "label string, id string, v string", ["label", "id"], 8)
+    run = lambda: incremental.upsert_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), table, str(tmp_path / "check")).awaitTermination()
     spark.createDataFrame([("N", "a", 1, "x"), ("N", "a", 2, "y"), ("N", "b", 1, "z")], schema).write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
-    incremental.upsert_stream(stream, str(tmp_path / "out"), ["v"], str(tmp_path / "check")).awaitTermination()
+    run()
     spark.createDataFrame([("N", "a", 1, None), ("N", "c", 1, "q")], schema).write.mode("append").parquet(str(tmp_path / "in"))
-    incremental.upsert_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), str(tmp_path / "out"), ["v"], str(tmp_path / "check")).awaitTermination()
-    last = spark.read.parquet(str(tmp_path / "out" / "version=1")).collect()
-    assert sorted((r["id"], r["v"]) for r in last) == [("a", None), ("b", "z"), ("c", "q")]
+    run()
+    assert sorted((r["id"], r["v"]) for r in table.read().collect()) == [("a", None), ("b", "z"), ("c", "q")]
+    assert sorted((r["id"], r["v"]) for r in table.read(1).collect()) == [("a", "y"), ("b", "z")]
