@@ -137,13 +137,18 @@ def package_name(name: Column) -> Column:
 
 
 def requirement(line: Column) -> Column:
-    """A requirement line as (name, spec): comment, options and marker cut off; null for options, paths and addresses."""
-    text = F.trim(F.regexp_replace(F.substring_index(line, " #", 1), r"(?s)\s+--.*$", ""), F.lit(" \t\n\r\f"))
-    bare = F.substring_index(text, ";", 1)
-    pattern = r"(?s)^\s*([A-Za-z0-9][A-Za-z0-9._-]*)\s*(?:\[[^\]]*\])?\s*(.*)$"
-    no = (text == "") | text.rlike(r"^[-./]") | F.contains(F.substring_index(text, "@", 1), F.lit("://")) | ~bare.rlike(pattern)
-    found = F.struct(package_name(F.regexp_extract(bare, pattern, 1)).alias("name"), F.regexp_replace(F.regexp_extract(bare, pattern, 2), r"\s+", "").alias("spec"))
-    return F.when(~no, found)
+    """A requirement line as (name, spec): a name, [extras], a specifier or an @ address, then a marker after ; and what is no part of it (options, a comment).
+
+    Null for lines that begin with no name or are options, paths or bare addresses.
+    """
+    own = F.btrim(F.split(F.split_part(line, F.lit(" #"), F.lit(1)), r"\s+--", 2)[0], F.lit(" \t\n\r\f"))
+    wanted = F.split_part(own, F.lit(";"), F.lit(1))
+    name = F.regexp_extract(wanted, r"^\p{Alnum}[\w.-]*", 0)
+    tail = F.ltrim(F.substr(wanted, F.length(name) + 1))
+    closed = F.instr(tail, "]")
+    spec = F.when(F.startswith(tail, F.lit("[")) & (closed > 0), F.substr(tail, closed + 1)).otherwise(tail)
+    address = F.contains(F.split_part(own, F.lit("@"), F.lit(1)), F.lit("://"))
+    return F.when((name != "") & ~address, F.struct(package_name(name).alias("name"), F.regexp_replace(spec, r"\s", "").alias("spec")))
 
 
 def database_engine(image: Column) -> Column:

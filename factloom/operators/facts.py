@@ -89,16 +89,6 @@ def numbered(evidence: DataFrame, by: str, order: list[str], letter: str = "E")
     return evidence.withColumn("label", F.concat(F.lit(letter), F.row_number().over(Window.partitionBy(by).orderBy(*order)).cast("string")))
 
 
-def evidence_lines(facts: DataFrame, builders: dict[str, tuple[str, str]]) -> DataFrame:
-    """facts: kind, depth and what formats name. (kind, status, details): builders gives each kind its SQL expression for details and its status; a call
-    further away than one step is only potentially relevant."""
-    details, status = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for kind, (text, state) in builders.items():
-        details = F.when(F.col("kind") == kind, F.expr(text)).otherwise(details)
-        status = F.when(F.col("kind") == kind, state).otherwise(status)
-    return facts.select("*", F.when(F.col("depth") > 1, "POTENTIALLY_RELEVANT").otherwise(status).alias("status"), details.alias("details"))
-
-
 def report(sections: DataFrame, key: str) -> DataFrame:
     """sections: key, section_no, title, ord, line. (key, report): a Markdown text for each key; a key's lines are one report, not one table."""
     part = sections.groupBy(key, "section_no", "title").agg(F.sort_array(F.collect_list(F.struct("ord", "line"))).alias("ls"))

@@ -28,12 +28,6 @@ def hashed_vectors(texts: DataFrame, key: str = "id", text: str = "text") -> Dat
     return counts.select(key, "bucket", (F.col("c") / norm).alias("weight"))
 
 
-def sparse_cosine(vectors: DataFrame, query: DataFrame, key: str = "id") -> DataFrame:
-    """(id, score) of the vectors that share a dimension with the query (bucket, weight); the query has at most one row for each dimension."""
-    q = query.select("bucket", F.col("weight").alias("__q"))
-    return vectors.join(F.broadcast(q), "bucket").groupBy(key).agg(F.sum(F.col("weight") * F.col("__q")).alias("score"))
-
-
 def nearest(vectors: DataFrame, query: Column, k: int, key: str, vector: str, min_score: float | None = None) -> DataFrame:
     """The k rows of the greatest positive cosine with one query vector; what is under min_score goes after the cut, not before."""
     scored = vectors.select(key, cosine(F.col(vector).cast("array<double>"), query).alias("score")).where("score > 0")

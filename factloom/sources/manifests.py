@@ -22,10 +22,22 @@ COMPOSE = r"(^|/)(docker-)?compose(\.[\w-]+)?\.ya?ml$"
 DECLARED = {"publishes": ("EVENT", "PUBLISHES"), "consumes": ("EVENT", "CONSUMES"), "calls": ("SERVICE", "CALLS"), "databases": ("DATABASE", "ACCESSES"), "tables": ("TABLE", "ACCESSES"), "apis": ("API", "EXPOSES")}
 
 
+def _project_dependencies(text: str) -> tuple[list, str | None]:
+    """The dependencies of a project file, and what is wrong with it if anything is."""
+    try:
+        project = tomllib.loads(text).get("project", {})
+    except tomllib.TOMLDecodeError as e:
+        return [], f"no valid TOML: {e}"
+    if not isinstance(project, dict):
+        return [], "project is no table"
+    listed = project.get("dependencies", [])
+    return (listed, None) if isinstance(listed, list) else ([], "dependencies are no list")
+
+
 def declared_dependencies(files: DataFrame) -> DataFrame:
     """(file, line, name, version) of requirement files and of [project] dependencies; version is the specifier without blanks, empty if there is none.
 
-    A file that is no TOML has no rows here; unreadable_manifests() tells it.
+    A file that is no TOML or has other shapes there has no rows here; unreadable_manifests() tells it.
     """
     lines = files.where(F.col("path").rlike(REQUIREMENTS)).select(F.col("path").alias("file"), F.posexplode(F.split("text", r"\r\n|\r|\n")).alias("pos", "raw"))
     plain = lines.select("file", (F.col("pos") + 1).alias("line"), requirement(F.col("raw")).alias("r"))
@@ -34,10 +46,7 @@ def declared_dependencies(files: DataFrame) -> DataFrame:
         for b in batches:
             rows = []
             for path, text in zip(b["path"], b["text"], strict=True):
-                try:
-                    found = tomllib.loads(text).get("project", {}).get("dependencies") or []
-                except tomllib.TOMLDecodeError:
-                    found = []
+                found, _ = _project_dependencies(text)
                 lines = text.splitlines()
                 rows += [(path, next((i for i, x in enumerate(lines, 1) if d in x), None), d) for d in found if isinstance(d, str)]
             yield pd.DataFrame(rows, columns=["file", "line", "raw"]).astype({"line": "Int32"})
@@ -48,17 +57,12 @@ def declared_dependencies(files: DataFrame) -> DataFrame:
 
 
 def unreadable_manifests(files: DataFrame) -> DataFrame:
-    """(file, reason) of project files that are no TOML."""
+    """(file, reason) of project files that are no TOML, or whose project or dependencies are of another shape."""
 
     def read(batches: Iterator[pd.DataFrame]):
         for b in batches:
-            rows = []
-            for path, text in zip(b["path"], b["text"], strict=True):
-                try:
-                    tomllib.loads(text)
-                except tomllib.TOMLDecodeError as e:
-                    rows.append((path, f"no valid TOML: {e}"))
-            yield pd.DataFrame(rows, columns=["file", "reason"])
+            told = [(path, _project_dependencies(text)[1]) for path, text in zip(b["path"], b["text"], strict=True)]
+            yield pd.DataFrame([x for x in told if x[1]], columns=["file", "reason"])
 
     return files.where(F.col("path").rlike(r"(^|/)pyproject\.toml$") & F.col("text").isNotNull()).mapInPandas(read, "file string, reason string")
 

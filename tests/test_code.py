@@ -51,19 +51,12 @@ def test_chunk_files(spark):
     assert got == {"a/b.py": "x", "envs/env.py": "ab", ".top.py": "x"}
 
 
-def test_code_helpers(spark):
-    rows = [("def b(): ...\nclass A:\n    def c(self): ...\n", 0), ("x = (", 0), (None, 0), ("def f():\n        return 1", 4)]
-    df = spark.createDataFrame(rows, "code string, col int")
-    got = df.select(python_code.defined_names("code").alias("n"), python_code.parses("code").alias("p"), python_code.dedented("code", "col").alias("d")).collect()
-    assert [g["n"] for g in got] == [["A", "b"], None, None, ["f"]] and [g["p"] for g in got] == [True, False, False, True]
-    assert got[3]["d"] == "def f():\n    return 1"
-    edit = spark.createDataFrame([("m.py", "def f():\n    return 1\n", "def f():\n    return 2\n", 4, 11)], "file string, before string, after string, col int, first int")
-    assert edit.select(python_code.edit_diff("file", "before", "after", "col", "first").alias("d")).first()["d"] == "--- a/m.py\n+++ b/m.py\n@@ -11,2 +11,2 @@\n     def f():\n-        return 1\n+        return 2"
-
-
 def test_declared_apis_and_bad_manifests(spark):
     files = spark.createDataFrame([("b/pyproject.toml", "not toml ["), ("c/pyproject.toml", "[project]\n"), ("own.json", '{"apis": [{"method": "get", "path": "/a"}, {"method": "get", "path": "a"}, 3]}')], "path string, text string")
     assert [r["file"] for r in manifests.unreadable_manifests(files).collect()] == ["b/pyproject.toml"]
+    odd = spark.createDataFrame([("a/pyproject.toml", 'project = "x"\n'), ("b/pyproject.toml", '[project]\ndependencies = "abc"\n'), ("c/pyproject.toml", '[project]\ndependencies = ["x", 3]\n'), ("d/pyproject.toml", "")], "path string, text string")
+    assert [(r["file"], r["name"]) for r in manifests.declared_dependencies(odd).collect()] == [("c/pyproject.toml", "x")]
+    assert sorted((r["file"], r["reason"]) for r in manifests.unreadable_manifests(odd).collect()) == [("a/pyproject.toml", "project is no table"), ("b/pyproject.toml", "dependencies are no list")]
     said = sorted((r["value"] or "", r["method"], r["entity_type"], r["rel_type"], r["line"]) for r in manifests.declarations(files, "own.json").collect())
     assert said == [("", None, "API", "EXPOSES", None)] * 2 + [("/a", "GET", "API", "EXPOSES", 1)]
     calls = spark.createDataFrame([("a.py", "http://me/x", 1), ("a.py", "http://you/x", 2), ("tests/a.py", "http://you/x", 3)], "file_path string, name string, line int")
