@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..operators import facts as facts_of
 from ..operators import logs, resolve, rules
+from ..operators.asof import as_of_above
 from .facts import fact, select
 from .register import Queries
 
@@ -29,7 +30,7 @@ def asof_definition_preferred(spark, sf):
     at = "unix_micros(CAST(ts AS TIMESTAMP)) AS at"
     left = select(spark, sf, f"SELECT event_id AS row, user_id, value, {at} FROM events WHERE event_type = 'error'")
     right = select(spark, sf, f"SELECT user_id, value, event_id, {at} FROM events WHERE event_type = 'signup'")
-    return resolve.as_of(left, right, "user_id", "at", [F.col("r.event_id")], F.col("r.value") > F.col("l.value")).select("row", "r_event_id")
+    return as_of_above(left, right, "user_id", "at", "value", [F.col("event_id")]).select("row", "r_event_id")
 
 
 @_Q.add(

@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from factloom.operators import logs, needles, resolve
+from factloom.operators import asof, logs, needles, resolve
 
 
 def test_substring_hits(spark, monkeypatch):
@@ -76,3 +76,41 @@ def test_band(spark, seconds):
     a, b = some(50), some(70)
     got = sorted((r["row"], r["other"]) for r in resolve.band(spark.createDataFrame(a, "row int, ts timestamp"), spark.createDataFrame(b, "other int, ts timestamp"), seconds).collect())
     assert got == sorted((i, j) for i, s in a for j, t in b if s and t and abs((s - t).total_seconds()) <= seconds)
+
+
+def above_by_definition(left, right):
+    """The last right row not after each left row with a greater value, else the last one; of one time the smallest id is the last."""
+    out = {}
+    for row, k, t, v in left:
+        before = [(s, -i, w) for j, s, w, i in right if j == k is not None and None not in (s, t) and s <= t]
+        over = [x for x in before if None not in (x[2], v) and x[2] > v]
+        best = max(over or before, default=None, key=lambda x: x[:2])
+        out[row] = best and -best[1]
+    return out
+
+
+@pytest.mark.parametrize("copies", [1, 7])
+def test_as_of_above(spark, monkeypatch, copies):
+    """Keys of one to many rows, ties of time and value, nulls and NaN; ranges that split a key and stacks that are asked in several copies."""
+    monkeypatch.setattr(asof, "ASKED", 200_000 if copies == 1 else 20)
+    rng = random.Random(copies)
+    key = lambda: rng.choice(["hot"] * 6 + ["a", "b", "c", None])
+    value = lambda: rng.choice([None, float("nan"), *range(12), *range(12)])
+    real = lambda v: None if v is None else float(v)
+    left = [(i, key(), rng.choice([None, *range(400)]), real(value())) for i in range(700)]
+    right = [(key(), rng.choice([None, *range(400)]), real(value()) if i % 40 else 50.0 - i / 40, i) for i in range(700)]
+    got = asof.as_of_above(spark.createDataFrame(left, "row int, k string, t int, v double").repartition(3), spark.createDataFrame(right, "k string, t int, v double, id int").repartition(3), "k", "t", "v", [F.col("id")])
+    clean = lambda rows, at: [tuple(None if j == at and x != x else x for j, x in enumerate(r)) for r in rows]
+    assert {r["row"]: r["r_id"] for r in got.collect()} == above_by_definition(clean(left, 3), clean(right, 2)) and got.columns == ["row", "r_t", "r_v", "r_id"]
+    none = spark.createDataFrame([], "k string, t int, v double, id int")
+    assert asof.as_of_above(spark.createDataFrame(left, "row int, k string, t int, v double"), none, "k", "t", "v", [F.col("id")]).where("r_id is null").count() == 700
+
+
+def test_as_of_above_is_linear_in_a_hot_key(spark):
+    """60,000 rows of each side under one key: falling values keep all of them on the stacks; pairs would be 1.8e9."""
+    n = 60_000
+    right = spark.range(n).select(F.lit("k").alias("k"), F.col("id").alias("t"), (n - F.col("id")).alias("v"), "id")
+    left = spark.range(n).select(F.col("id").alias("row"), F.lit("k").alias("k"), (n + F.col("id")).alias("t"), F.col("id").alias("v"))
+    got = asof.as_of_above(left, right, "k", "t", "v", [F.col("id")])
+    # the last right row with n - id > row is id = n - row - 1
+    assert got.where("r_id != 60000 - row - 1 or r_id is null").count() == 0 and got.count() == n
