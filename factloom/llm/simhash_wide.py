@@ -14,6 +14,9 @@ links most of a group of near copies in as many comparisons as it has rows. Then
 the rows outside its largest component still meet all others, each pair of components at most until it is linked. What is too large for one
 task is cut into parts, each two of which are a group, and only a spanning forest of verified pairs leaves a group.
 
+Blocks come in two rounds. The first few link most of a group of copies; in the second round a bucket's rows go on only if they may have a partner of another
+component, so a group does not stand in all of its buckets again.
+
 To the buckets go keys, nodes and the first SKETCH bits alone. A row that differs from all others of its small bucket in more of
 those than a candidate can (but for a chance of 10^-9) has no partner there; the other rows meet again with whole fingerprints.
 """
@@ -44,6 +47,8 @@ BUCKET, BUCKET_BYTES = 2048, 8 << 20
 PIVOTS = 4
 #: Candidates of a larger bucket that are verified at once, and the most bytes of bit sets for that.
 PAIRS, BIT_BYTES = 4096, 32 << 20
+#: So many blocks come first: what they link is one component for the others, whose buckets then hold few rows of a group of copies.
+FIRST = 6
 #: Bits of a fingerprint that go to its buckets, and by how many standard deviations a link's distance there may exceed its mean.
 SKETCH, DEVIATIONS = 128, 6
 
@@ -138,7 +143,7 @@ def _keys(fp: np.ndarray, blocks: np.ndarray) -> np.ndarray:
 
 
 def _sketches(batches, blocks: np.ndarray):
-    """Rows (key, node, a, b) for each block: the first SKETCH bits as two longs."""
+    """Rows (key, node, root, a, b) for each block: the first SKETCH bits as two longs."""
     for rows in batches:
         for s in range(0, len(rows), 2000):
             part = rows.slice(s, 2000)
@@ -146,7 +151,8 @@ def _sketches(batches, blocks: np.ndarray):
             a, b = np.ascontiguousarray(fp[:, : SKETCH // 8]).view(np.int64).T
             row = np.repeat(np.arange(len(part)), len(blocks))
             keys = _keys(fp, blocks).ravel().view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(keys), part["node"].take(pa.array(row)), pa.array(a[row]), pa.array(b[row])], ["key", "node", "a", "b"])
+            at = pa.array(row)
+            yield pa.RecordBatch.from_arrays([pa.array(keys), part["node"].take(at), part["root"].take(at), pa.array(a[row]), pa.array(b[row])], ["key", "node", "root", "a", "b"])
 
 
 def sketch_distance(most: int) -> int:
@@ -156,21 +162,25 @@ def sketch_distance(most: int) -> int:
 
 
 def _near_rows(batches, most: int):
-    """Rows sorted by key: (key, node) of those that may have a partner. Larger buckets and those at a batch's ends go on untested."""
+    """Rows sorted by key: (key, node, root) of those that may have a partner of another root. Larger buckets of several roots and those at a batch's ends go on untested."""
     for rows in batches:
-        key, node, a, b = (rows[c].to_numpy() for c in ("key", "node", "a", "b"))
+        key, node, root, a, b = (rows[c].to_numpy() for c in ("key", "node", "root", "a", "b"))
+        if not len(key):
+            continue
         sketch = np.stack([a, b], axis=1).view(np.uint64)
         cuts = np.concatenate([[0], np.flatnonzero(np.diff(key) != 0) + 1, [len(key)]])
         size = np.diff(cuts)
         group = np.repeat(np.arange(len(size)), size)
         tested = size <= SMALL
         tested[[0, -1]] = False
-        near = ~tested[group]
+        mixed = np.minimum.reduceat(root, cuts[:-1]) != np.maximum.reduceat(root, cuts[:-1])
+        mixed[[0, -1]] = True
+        near = (~tested & mixed)[group]
         for o in range(1, int(size[tested].max(initial=1))):
-            i = np.flatnonzero((group[o:] == group[:-o]) & tested[group[o:]])
+            i = np.flatnonzero((group[o:] == group[:-o]) & tested[group[o:]] & (root[o:] != root[:-o]))
             i = i[_distance(sketch[i], sketch[i + o]) <= most]
             near[i] = near[i + o] = True
-        yield pa.RecordBatch.from_arrays([pa.array(key[near]), pa.array(node[near])], ["key", "node"])
+        yield pa.RecordBatch.from_arrays([pa.array(key[near]), pa.array(node[near]), pa.array(root[near])], ["key", "node", "root"])
 
 
 def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -178,25 +188,27 @@ def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _small_pairs(batches, most: int):
-    """Rows (key, node, fp) sorted by key, buckets of SMALL rows or fewer: all pairs (u, v) within `most` bits."""
-    key, node, fp = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, BITS // 64), np.uint64)
+    """Rows (key, node, root, fp) sorted by key, buckets of SMALL rows or fewer: all pairs (u, v) of different roots within `most` bits."""
+    key, node, root, fp = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, BITS // 64), np.uint64)
 
-    def pairs(key, node, fp):
+    def pairs(key, node, root, fp):
         for o in range(1, len(key)):
             i = np.flatnonzero(key[o:] == key[:-o])
             if not len(i):
                 break
+            i = i[root[i] != root[i + o]]
             i = i[_distance(fp[i], fp[i + o]) <= most]
             yield pa.RecordBatch.from_arrays([pa.array(np.maximum(node[i], node[i + o])), pa.array(np.minimum(node[i], node[i + o]))], ["u", "v"])
 
     for b in batches:
         key = np.concatenate([key, b["key"].to_numpy()])
         node = np.concatenate([node, b["node"].to_numpy()])
+        root = np.concatenate([root, b["root"].to_numpy()])
         fp = np.concatenate([fp, np.frombuffer(b"".join(b["fp"].to_pylist()), np.uint64).reshape(-1, BITS // 64)])
         done = int(np.searchsorted(key, key[-1])) if len(key) else 0  # the last bucket may go on
-        yield from pairs(key[:done], node[:done], fp[:done])
-        key, node, fp = key[done:], node[done:], fp[done:]
-    yield from pairs(key, node, fp)
+        yield from pairs(key[:done], node[:done], root[:done], fp[:done])
+        key, node, root, fp = key[done:], node[done:], root[done:], fp[done:]
+    yield from pairs(key, node, root, fp)
 
 
 def _similar(both, size_u, size_v, similarity: float):
@@ -315,19 +327,20 @@ def _parts(rows: Column, shingles: Column) -> Column:
 
 
 def _with_pivots(large: DataFrame) -> DataFrame:
-    """large: key, node, m. Groups (key, i, j) of a pivot (part 0) and rows of its buckets (part 1); key is the pivot.
+    """large: key, node, root, m. Groups (key, i, j) of a pivot (part 0) and rows of its buckets (part 1) that are of other roots; key is the pivot.
 
     Pivots are the rows of the least hashes, whatever the bucket, so that buckets of one group of copies have the same ones and
     each pair is compared once.
     """
-    least = F.array(*(F.min(F.struct(F.xxhash64(F.lit(k), "node"), "node"))["node"] for k in range(PIVOTS)))
-    of_key = materialise(large.groupBy("key").agg(F.array_distinct(least).alias("pivots"), F.count("*").alias("rows")), "wide-pivots")
-    pairs = attach(large, of_key, "key", "rows").select(F.explode("pivots").alias("key"), "node", "m").where("node != key").distinct()
-    pairs = materialise(pairs, "wide-pivot-pairs")
-    size = materialise(pairs.groupBy("key").agg(_parts(F.count("*"), F.sum("m")).alias("parts"), F.count("*").alias("rows")), "wide-pivot-parts")
-    rows = attach(pairs.select("key", "node"), size, "key", "rows").select("key", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("i"), F.lit(1).alias("part"), "node")
-    heads = size.select("key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("i"), F.lit(0).alias("part"), F.col("key").alias("node"))
-    return rows.unionByName(heads).select("key", "i", F.lit(0).alias("j"), "part", "node", F.col("node").alias("root"))
+    least = F.array(*(F.min(F.struct(F.xxhash64(F.lit(k), "node").alias("h"), "node", "root")) for k in range(PIVOTS)))
+    named = F.array_distinct(F.transform(least, lambda x: F.struct(x["node"].alias("node"), x["root"].alias("root"))))
+    of_key = materialise(large.groupBy("key").agg(named.alias("pivots"), F.count("*").alias("rows")), "wide-pivots")
+    pairs = attach(large, of_key, "key", "rows").select(F.explode("pivots").alias("p"), "node", "root", "m")
+    pairs = materialise(pairs.where("root != p.root").select(F.col("p.node").alias("key"), F.col("p.root").alias("own"), "node", "root", "m").distinct(), "wide-pivot-pairs")
+    size = materialise(pairs.groupBy("key", "own").agg(_parts(F.count("*"), F.sum("m")).alias("parts"), F.count("*").alias("rows")), "wide-pivot-parts")
+    rows = attach(pairs.select("key", "node", "root"), size.select("key", "parts", "rows"), "key", "rows").select("key", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("i"), F.lit(1).alias("part"), "node", "root")
+    heads = size.select("key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("i"), F.lit(0).alias("part"), F.col("key").alias("node"), F.col("own").alias("root"))
+    return rows.unionByName(heads).select("key", "i", F.lit(0).alias("j"), "part", "node", "root")
 
 
 def _dealt(labelled: DataFrame) -> DataFrame:
@@ -348,6 +361,43 @@ def _dealt(labelled: DataFrame) -> DataFrame:
     return cut.select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "node", "root")
 
 
+def _components_by(docs: DataFrame, nodes: DataFrame, parts: DataFrame | None, sh: DataFrame | None, blocks: np.ndarray, k: int, similarity: float, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """(node, root) of the links so far (parts) and of those that the blocks propose, and the shingles that were read so far (sh). Nodes of one root are not compared."""
+    most = reach(similarity)
+    apart = sketch_distance(most)
+    root = F.col("node").alias("root") if parts is None else F.coalesce("root", "node").alias("root")
+    labelled = (nodes if parts is None else nodes.join(parts, "node", "left")).select("node", "fp", "m", root)
+    met = labelled.select("node", "fp", "root").mapInArrow(lambda it: _sketches(it, blocks), "key long, node long, root long, a long, b long")
+    met = met.repartition("key").sortWithinPartitions("key").mapInArrow(lambda it: _near_rows(it, apart), "key long, node long, root long")
+    near = materialise(met, "wide-near")
+    many = materialise(near.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > SMALL), "wide-large")
+    small, large = near, None
+    if not many.isEmpty():
+        marked = materialise(attach(near, many, "key", "n"), "wide-marked")
+        small, large = marked.where("n is null").select("key", "node", "root"), marked.where("n is not null")
+        large = materialise(large.join(nodes.select("node", "m"), "node").select("key", "node", "root", "m"), "wide-rows")
+    whole = small.join(nodes.select("node", "fp"), "node").select("key", "node", "root", "fp").repartition("key").sortWithinPartitions("key", "node")
+    pairs = materialise(whole.mapInArrow(lambda it: _small_pairs(it, most), "u long, v long").where("u != v").distinct(), "wide-pairs")
+    asked = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node")))
+    asked = (asked if large is None else asked.unionByName(large.select("node"))).distinct()
+    asked = asked if sh is None else asked.join(sh.select("node"), "node", "left_anti")
+    more = shingles_of(docs, materialise(nodes.select("node", "least.doc_id", "least.mark").join(asked, "node", "left_semi"), "wide-asked"), k, id_col, text_col)
+    sh = more if sh is None else sh.unionByName(more)
+    of = lambda end, name: sh.select(F.col("node").alias(end), F.col("sh").alias(name))
+    links = pairs.join(of("u", "a"), "u").join(of("v", "b"), "v").select("u", "v", "a", "b").mapInArrow(lambda it: _verified(it, similarity), "u long, v long")
+    links = links if parts is None else links.unionByName(parts.select(F.col("node").alias("u"), F.col("root").alias("v")))
+    links = materialise(links, "wide-links")
+    for deal in () if large is None else (_with_pivots, _dealt):
+        if deal is _dealt:
+            large = large.drop("root").join(parts, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"), "m")
+        rows = deal(large).join(nodes.select("node", "fp"), "node").join(sh, "node").select("key", "i", "j", "part", "node", "root", "fp", "sh")
+        rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+        links = links.unionByName(materialise(rows.mapInArrow(lambda it: _forests(it, most, similarity), "u long, v long"), "wide-forests"))
+        if deal is _with_pivots:
+            parts = materialise(connected_components(links), "wide-components")
+    return materialise(connected_components(links), "wide-components"), sh
+
+
 def similar_components(docs: DataFrame, k: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of docs that has a word: doc_id, mark (a hash of its text), component_id, stays.
 
@@ -364,37 +414,9 @@ def similar_components(docs: DataFrame, k: int = 5, similarity: float = 0.8, id_
     width = max(16, math.ceil(math.log2(max(n, 2))))
     share = differing_share(similarity)
     blocks = block_bits(width, max(BITS // width, math.ceil(math.log(1 / (1 - RECALL)) / (1 - share) ** width)))
-    most = reach(similarity)
-    apart = sketch_distance(most)
-    met = nodes.select("node", "fp").mapInArrow(lambda it: _sketches(it, blocks), "key long, node long, a long, b long")
-    met = met.repartition("key").sortWithinPartitions("key").mapInArrow(lambda it: _near_rows(it, apart), "key long, node long")
-    near = materialise(met, "wide-near")
-    many = materialise(near.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > SMALL), "wide-large")
-    small, large = near, None
-    if not many.isEmpty():
-        marked = materialise(attach(near, many, "key", "n"), "wide-marked")
-        small, large = marked.where("n is null").select("key", "node"), marked.where("n is not null")
-        large = materialise(large.join(nodes.select("node", "m"), "node").select("key", "node", "m"), "wide-rows")
-    whole = small.join(nodes.select("node", "fp"), "node").select("key", "node", "fp").repartition("key").sortWithinPartitions("key", "node")
-    pairs = materialise(whole.mapInArrow(lambda it: _small_pairs(it, most), "u long, v long").where("u != v").distinct(), "wide-pairs")
-    asked = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node")))
-    asked = asked if large is None else asked.unionByName(large.select("node"))
-    texts = nodes.select("node", "least.doc_id", "least.mark").join(asked.distinct(), "node", "left_semi")
-    sh = shingles_of(docs, materialise(texts, "wide-asked"), k, id_col, text_col)
-    of = lambda end, name: sh.select(F.col("node").alias(end), F.col("sh").alias(name))
-    links = pairs.join(of("u", "a"), "u").join(of("v", "b"), "v").select("u", "v", "a", "b").mapInArrow(lambda it: _verified(it, similarity), "u long, v long")
-    parts = None
-    if large is not None:
-        links = materialise(links, "wide-links")
-        for deal in (_with_pivots, _dealt):
-            rows = deal(large) if parts is None else deal(large.join(parts, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"), "m"))
-            rows = rows.join(nodes.select("node", "fp"), "node").join(sh, "node").select("key", "i", "j", "part", "node", "root", "fp", "sh")
-            rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-            more = materialise(rows.mapInArrow(lambda it: _forests(it, most, similarity), "u long, v long"), "wide-forests")
-            if parts is None or not more.isEmpty():
-                links = links.unionByName(more)
-                parts = materialise(connected_components(links), "wide-components")
-    parts = materialise(connected_components(links), "wide-components") if parts is None else parts
+    parts = sh = None
+    for own in (blocks[:FIRST], blocks[FIRST:]):
+        parts, sh = _components_by(docs, nodes, parts, sh, own, k, similarity, id_col, text_col)
     linked = nodes.select("node", "least").join(parts, "node")
     first = materialise(linked.groupBy("root").agg(F.min("least").alias("first"), F.count("*").alias("size")), "wide-firsts")
     of_node = attach(linked, first, "root", "size").select("node", "first")

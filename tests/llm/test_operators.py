@@ -561,7 +561,7 @@ def test_a_group_of_near_copies_costs_its_rows(spark):
     """20,000 distinct near copies in one bucket: the rows that are dealt follow the copies, not their pairs."""
     n = 20_000
     large = spark.range(n).selectExpr("7 as key", "id as node", "300L as m")
-    assert simhash_wide._with_pivots(large.selectExpr("cast(key as long) key", "node", "m")).count() <= (simhash_wide.PIVOTS + 1) * n
+    assert simhash_wide._with_pivots(large.selectExpr("cast(key as long) key", "node", "node AS root", "m")).count() <= (simhash_wide.PIVOTS + 1) * n
     linked = large.selectExpr("cast(key as long) key", "node", "if(node % 1000 = 7, node, 0L) as root", "m")
     assert simhash_wide._dealt(linked).count() <= n + 20 * (n // simhash_wide.BUCKET + 3)
     assert simhash_wide._dealt(linked.where("root = 0")).count() == 0
