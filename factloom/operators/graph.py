@@ -1,7 +1,7 @@
 """Bounded graph traversal over edge tables (src, dst): frontiers, shortest predecessors, capped path enumeration.
 
-Every level joins the frontier with the edges on the node and drops what was seen by an anti join, so work follows the edges that are
-reached, not paths. A level is written before the next one starts. Depths are small constants, so the loops are short;
+Every level joins the frontier with edges that are stored by the node and drops what was seen by an anti join, so work follows the edges that are
+reached, not paths, and no edge is shuffled after it was stored. A level is written before the next one starts. Depths are small constants, so the loops are short;
 the driver only learns whether a level is empty.
 """
 
@@ -10,35 +10,31 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .adjacency import Adjacency
 from .tables import is_written, written
 
 
-def reach(edges: DataFrame, starts: DataFrame, max_depth: int, forward: bool = False) -> DataFrame:
+def reach(edges: DataFrame | Adjacency, starts: DataFrame, max_depth: int, forward: bool = False) -> DataFrame:
     """(node, depth): the nodes that edges lead to from the starts (backward: that lead to them), with their least depth.
 
-    edges: src, dst, nulls lead nowhere. starts: node; all of them have depth 0, known to the edges or not. Cycles,
-    repeated edges and self loops do no harm.
+    edges: src, dst, nulls lead nowhere; or edges that are stored already, by the end that is walked from. starts: node; all of them have depth 0, known to the edges
+    or not. Cycles, repeated edges and self loops do no harm.
     """
-    near, far = ("src", "dst") if forward else ("dst", "src")
-    steps = _steps(edges, near, far) if max_depth > 0 else None
+    stored = edges if isinstance(edges, Adjacency) or max_depth < 1 else Adjacency.store(edges, *(("src", "dst") if forward else ("dst", "src")))
     level = written(starts.select("node").where("node is not null").distinct().withColumn("depth", F.lit(0)), "level-0")
     seen = level
     for depth in range(1, max_depth + 1):
-        found = steps.join(level.select("node"), "node", "left_semi").select(F.col("next").alias("node")).distinct()
+        found = stored.from_(level).select(F.col("next").alias("node")).distinct()
         found = found.join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(depth))
         level = written(found, f"level-{depth}")
         if level.isEmpty():
             break
         seen = seen.unionByName(level)
+    if stored is not edges and max_depth > 0:
+        stored.drop()
     return seen
 
 
-def _steps(edges: DataFrame, near: str, far: str) -> DataFrame:
-    """(node, next), dealt by the node and written once, so that a lazy edge table is made once and not for each level."""
-    steps = edges.select(F.col(near).alias("node"), F.col(far).alias("next")).where("node is not null and next is not null")
-    return steps if is_written(edges) else written(steps.distinct().repartition("node"), "steps")
-
-
 def walked_edges(edges: DataFrame, depths: DataFrame, max_depth: int, forward: bool = False) -> DataFrame:
     """(depth, src, dst): all edges out of each frontier, those back to visited nodes included; depth counts from 1."""
     near = "src" if forward else "dst"

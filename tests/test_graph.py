@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from factloom.operators import graph, impact, rules, snapshot
+from factloom.operators import adjacency, graph, impact, rules, snapshot
 
 
 def edges(spark, *pairs):
@@ -33,6 +33,30 @@ def test_reach_of_nulls_and_repeats(spark):
     assert {r["node"] for r in graph.reach(e, start(spark, "B", "B", None), 3).collect()} == {"A", "B"}
 
 
+def test_stored_edges_stay_where_they_are(spark, monkeypatch, tmp_path):
+    """A level shuffles its frontier, not the edges; a hub lies in several buckets; what is stored is opened again."""
+    monkeypatch.setattr(adjacency, "HUB", 50)
+    pairs = [("hub", f"n{i}") for i in range(1000)] + [(f"n{i}", f"n{i // 2}") for i in range(1000)] + [("hub", "n1"), (None, "x")]
+    e = spark.createDataFrame(pairs, "src string, dst string")
+    adjacency.Adjacency.store(e, root=str(tmp_path / "a")).drop()
+    own = adjacency.Adjacency.open(spark, str(tmp_path / "a"))
+    files = own.edges().where("node = 'hub'").select(F.input_file_name()).distinct().count()
+    assert own.edges().count() == 2000 and files > 3 and own.hubs.count() == 1
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        frontier = spark.createDataFrame([("hub",), ("n7",)], "node string")
+        plan = own.from_(frontier)._jdf.queryExecution().executedPlan().toString()
+        scan = plan[: plan.index("FileScan parquet spark_catalog")].splitlines()
+        assert "Bucketed: true" in plan and not any("Exchange" in x for x in scan[scan.index(next(x for x in scan if "SortMergeJoin" in x)) :])
+        assert {r["next"] for r in own.from_(frontier).collect()} == {f"n{i}" for i in range(1000)}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    want = {r["node"]: r["depth"] for r in graph.reach(e, start(spark, "hub"), 3, forward=True).collect()}
+    assert {r["node"]: r["depth"] for r in graph.reach(own, start(spark, "hub"), 3, forward=True).collect()} == want and len(want) == 1001
+    own.drop()
+
+
 def test_diamond(spark):
     e = edges(spark, "BD", "CD", "AB", "AC")
     depths = graph.reach(e, start(spark, "D"), 3)
