@@ -100,7 +100,8 @@ def impact_routes(nodes: DataFrame, edges: DataFrame, changed: DataFrame, max_de
     outside = lambda d: d.join(holds.join(own, "id", "left_semi").select(F.col("next").alias("id")), "id", "left_anti")
     first_files = holds.where("start_label = 'File'").join(holds.where("start_label = 'Class'").join(own, "id", "left_semi").select(F.col("next").alias("id")), "id", "left_semi").select(F.col("next").alias("id"))
     parts = [routes.where("category != 'PRIMARY_CHANGE'"), outside(classes), outside(files).join(first_files, "id", "left_anti"), services, things, tables, *below, tests]
-    whole = reduce(DataFrame.unionByName, [p.select("category", "id", "steps") for p in parts])
+    # read twice, and a plan of all branches once more would take longer than they do
+    whole = written(reduce(DataFrame.unionByName, [p.select("category", "id", "steps") for p in parts]), "route-all")
     known = whole.where("category = 'TEST'").select("id").distinct()
     whole = whole.unionByName(_by_name(nodes, routes.where("category = 'PRIMARY_CHANGE'"), known))
     per = Window.partitionBy("category", "id")

@@ -48,6 +48,29 @@ def _query_blocks(queries: DataFrame, key: str, vector: str) -> Iterator[tuple[n
         yield np.array(ids, np.int64), np.array(own, np.float64)
 
 
+def keep_best(best: list | None, queries: tuple[np.ndarray, np.ndarray] | None, own: np.ndarray, ids: np.ndarray, k: int) -> list:
+    """best: (query number, id, score) of the k best so far (None: none). queries: numbers and vectors. The k best after rows own, ids; ties in the order of ids."""
+    if best is None:
+        return [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+    number, q = queries
+    for at in range(0, len(own) if len(q) else 0, ROWS):
+        rows, names = own[at : at + ROWS], ids[at : at + ROWS]
+        scale = np.sqrt((q * q).sum(axis=1))[:, None] * np.sqrt((rows * rows).sum(axis=1))[None, :]
+        about = np.divide(q @ rows.T, scale, out=np.zeros_like(scale), where=scale > 0)
+        least = np.partition(about, -k, axis=1)[:, -k] if len(rows) > k else np.full(len(q), -1.0)
+        i, j = np.nonzero((about >= least[:, None] - 1e-9) & (about > -1e-9))
+        # equal vectors must have equal scores, so these are summed row by row
+        score = np.concatenate([np.zeros(0), *((q[i[s : s + ROWS]] * rows[j[s : s + ROWS]]).sum(axis=1) for s in range(0, len(i), ROWS))])
+        score = np.divide(score, scale[i, j], out=np.zeros(len(i)), where=scale[i, j] > 0)
+        more = score > 0
+        best = [np.concatenate(x) for x in zip(best, (number[i[more]], names[j[more]], score[more]), strict=True)]
+        order = np.lexsort((best[1], -best[2], best[0]))
+        best = [x[order] for x in best]
+        head = np.searchsorted(best[0], best[0])
+        best = [x[np.arange(len(head)) - head < k] for x in best]
+    return best
+
+
 def nearest_of_each(vectors: DataFrame, queries: DataFrame, k: int, key: str, vector: str, min_score: float | None = None) -> DataFrame:
     """(query_id, place, key, score): for each row of queries (key, vector) what nearest() says, ties in the order of the key.
 
@@ -56,29 +79,12 @@ def nearest_of_each(vectors: DataFrame, queries: DataFrame, k: int, key: str, ve
     rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).where("v is not null")
     out = None
     for q_ids, q in _query_blocks(queries, key, vector):
-        norm = np.sqrt((q * q).sum(axis=1))
-
-        def search(batches, q_ids=q_ids, q=q, norm=norm):
-            best = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
-            for whole in batches:
-                for at in range(0, len(whole), ROWS):
-                    b = whole.slice(at, ROWS)
-                    own = b["v"].flatten().to_numpy(zero_copy_only=False).reshape(len(b), -1)
-                    size = np.sqrt((own * own).sum(axis=1))
-                    scale = norm[:, None] * size[None, :]
-                    about = np.divide(q @ own.T, scale, out=np.zeros_like(scale), where=scale > 0)
-                    least = np.partition(about, -k, axis=1)[:, -k] if len(b) > k else np.full(len(q), -1.0)
-                    i, j = np.nonzero((about >= least[:, None] - 1e-9) & (about > -1e-9))
-                    # equal vectors must have equal scores, so these are summed row by row
-                    score = np.concatenate([np.zeros(0), *((q[i[s : s + ROWS]] * own[j[s : s + ROWS]]).sum(axis=1) for s in range(0, len(i), ROWS))])
-                    score = np.divide(score, scale[i, j], out=np.zeros(len(i)), where=scale[i, j] > 0)
-                    more = score > 0
-                    found = i[more], b["id"].to_numpy()[j[more]], score[more]
-                    best = [np.concatenate(x) for x in zip(best, found, strict=True)]
-                    order = np.lexsort((best[1], -best[2], best[0]))
-                    best = [x[order] for x in best]
-                    head = np.searchsorted(best[0], best[0])
-                    best = [x[np.arange(len(head)) - head < k] for x in best]
+
+        def search(batches, q_ids=q_ids, q=q):
+            best, number = keep_best(None, None, None, None, k), np.arange(len(q))
+            for b in batches:
+                if len(b):
+                    best = keep_best(best, (number, q), b["v"].flatten().to_numpy(zero_copy_only=False).reshape(len(b), -1), b["id"].to_numpy(), k)
             yield pa.RecordBatch.from_arrays([pa.array(q_ids[best[0]]), pa.array(best[1]), pa.array(best[2])], ["query_id", "id", "score"])
 
         found = rows.mapInArrow(search, "query_id long, id long, score double")

@@ -175,16 +175,17 @@ UNION ALL SELECT 'DOWNSTREAM_SERVICE', concat('s', CAST(k AS VARCHAR)), k - 4, C
 
 def impact_graph(spark, sf):
     """Nodes, edges and the changed node: parts call parts, files hold them, services hold files and need each other, files expose APIs."""
-    part = "SELECT DISTINCT src AS k FROM calls UNION SELECT dst FROM calls"
-    nodes = select(spark, sf, f"SELECT 'Function' AS label, concat('p', CAST(k AS STRING)) AS id, concat('p', CAST(k AS STRING)) AS name, concat(CASE WHEN k % 10 = 3 THEN 'tests/' ELSE 'src/' END, CAST(k AS STRING), '.py') AS path FROM ({part}) AS x UNION ALL SELECT DISTINCT 'File', concat('f', CAST(k % 50 AS STRING)), concat('f', CAST(k % 50 AS STRING)), 'f' FROM ({part}) AS x UNION ALL SELECT DISTINCT 'Service', concat('s', CAST(n_nationkey AS STRING)), concat('s', CAST(n_nationkey AS STRING)), '' FROM nation")
-    edges = select(
-        spark,
-        sf,
-        f"""SELECT 'Function' AS start_label, concat('p', CAST(src AS STRING)) AS start_id, 'CALLS' AS rel_type, 'Function' AS end_label, concat('p', CAST(dst AS STRING)) AS end_id FROM calls
-        UNION ALL SELECT 'File', concat('f', CAST(k % 50 AS STRING)), 'CONTAINS', 'Function', concat('p', CAST(k AS STRING)) FROM ({part}) AS x
-        UNION ALL SELECT DISTINCT 'Service', concat('s', CAST((k % 50) % 5 AS STRING)), 'CONTAINS', 'File', concat('f', CAST(k % 50 AS STRING)) FROM ({part}) AS x
-        UNION ALL SELECT DISTINCT 'File', concat('f', CAST(k % 50 AS STRING)), 'EXPOSES', 'API', concat('a', CAST(k % 50 AS STRING)) FROM ({part}) AS x
-        UNION ALL SELECT 'Service', concat('s', CAST(n_nationkey AS STRING)), 'DEPENDS_ON', 'Service', concat('s', CAST(n_nationkey + 1 AS STRING)) FROM nation WHERE n_nationkey >= 4""",
+    calls = written(fact(spark, sf, "calls"), "calls")
+    k = written(calls.select(F.col("src").alias("k")).union(calls.select("dst")).distinct(), "parts")
+    nation = spark.read.parquet(f"{sf}/nation.parquet")
+    of = lambda sql: spark.sql(sql, calls=calls, parts=k, nation=nation)
+    nodes = of("SELECT 'Function' AS label, concat('p', k) AS id, concat('p', k) AS name, concat(CASE WHEN k % 10 = 3 THEN 'tests/' ELSE 'src/' END, k, '.py') AS path FROM {parts} UNION ALL SELECT DISTINCT 'File', concat('f', k % 50), concat('f', k % 50), 'f' FROM {parts} UNION ALL SELECT 'Service', concat('s', n_nationkey), concat('s', n_nationkey), '' FROM {nation}")
+    edges = of(
+        """SELECT 'Function' AS start_label, concat('p', src) AS start_id, 'CALLS' AS rel_type, 'Function' AS end_label, concat('p', dst) AS end_id FROM {calls}
+        UNION ALL SELECT 'File', concat('f', k % 50), 'CONTAINS', 'Function', concat('p', k) FROM {parts}
+        UNION ALL SELECT DISTINCT 'Service', concat('s', (k % 50) % 5), 'CONTAINS', 'File', concat('f', k % 50) FROM {parts}
+        UNION ALL SELECT DISTINCT 'File', concat('f', k % 50), 'EXPOSES', 'API', concat('a', k % 50) FROM {parts}
+        UNION ALL SELECT 'Service', concat('s', n_nationkey), 'DEPENDS_ON', 'Service', concat('s', n_nationkey + 1) FROM {nation} WHERE n_nationkey >= 4"""
     )
     start = fact(spark, sf, "start").select(F.concat(F.lit("p"), F.col("node").cast("string")).alias("id"))
     return written(nodes, "nodes"), written(edges, "edges"), start

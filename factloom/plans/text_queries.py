@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..operators import retrieval
+from ..operators import retrieval, vector_index
 from .facts import fact, select
 from .register import Queries
 
@@ -40,6 +40,14 @@ def knn_cosine_of_each(spark, sf):
     return found.withColumn("score", F.round("score", 6))
 
 
+@_Q.add("WITH q AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS q FROM embeddings WHERE vec_id % 50 = 0), s AS (SELECT query_id, vec_id, list_cosine_similarity(CAST(embedding AS DOUBLE[]), q) AS score FROM embeddings, q), t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS place FROM s WHERE score > 0) SELECT query_id, place, vec_id, round(score, 6) AS score FROM t WHERE place <= 5 AND score >= 0.15")
+def knn_index_all_cells(spark, sf):
+    """The inverted file with all its cells probed: the exact result."""
+    vectors = select(spark, sf, "SELECT vec_id, embedding FROM embeddings")
+    index = vector_index.VectorIndex(vectors, "vec_id", "embedding")
+    return index.nearest(vectors.where("vec_id % 50 = 0"), "embedding", 5, index.cells, retrieval.MIN_SCORE).withColumn("score", F.round("score", 6))
+
+
 @_Q.add("SELECT key, round(sum(1.0 / (60 + rank)), 6) AS score, min(list) AS first_list FROM ranked_lists GROUP BY key")
 def rrf_scores(spark, sf):
     return retrieval.fuse(fact(spark, sf, "ranked_lists"), None).select("key", F.round("score", 6).alias("score"), "first_list")
