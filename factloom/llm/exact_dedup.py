@@ -1,10 +1,10 @@
 """Exact dedup by a log-structured merge index of text digests (operator 10), in DataFrame operations only.
 
-Flush: every task writes the digests of the rows that it reads as a run of its own, sorted by digest; nothing is shuffled. Runs come in
-generations. Each generation in turn becomes a level of the index: its digests, each once with its smallest identifier and its
-number of rows, and a filter of them. Before it does, its digests are asked of the filters of the levels so far; only what a filter does not deny
-is looked up in a level's keys, and what is there, or several times in the generation itself, is a hit. Levels of like size are merged by compaction, which
-keeps the smallest identifier, so there are as many as the logarithm of the number of generations.
+Flush: every task writes the digests of the rows that it reads as a run of its own, sorted by digest; nothing is shuffled. Runs are taken up in
+memtables of MEMTABLE_BYTES of digests, two at least. Each memtable in turn becomes a level of the index: its digests, each once with its smallest identifier and its
+number of rows, cut into ranges of keys and sorted, and a filter of them. Before it does, its digests are asked of the filters of the levels so far. What a filter does not deny
+is looked up in the ranges of the level that it falls into, and no other range is read; what is there, or several times in the memtable itself, is a hit. Levels of like
+size are merged by compaction, which keeps the smallest identifier, so there are as many as the logarithm of the number of memtables.
 
 The texts of hits are read again and compared byte by byte (grouped by the whole text), and only what is proven equal forms a group.
 """
@@ -18,8 +18,10 @@ from pyspark.sql import functions as F
 
 from .common import MAX_BROADCAST_ROWS, attach, discard, id_and_text, materialise, scratch, table
 
-#: Generations that the runs of one call come in.
-GENERATIONS = 4
+#: Bytes of digests that are one memtable, how many bytes a digest counts, and the most memtables that runs are dealt to.
+MEMTABLE_BYTES, DIGEST_BYTES, MEMTABLES = 8 << 30, 48, 256
+#: Bytes of digests of a range of a level, and the most ranges, as bits of the key.
+RANGE_BYTES, RANGE_BITS = 32 << 20, 12
 #: A filter has so many bits for each digest, about; of these so many are set and asked. A block of a filter is a binary value of BLOCK_BITS bits.
 BITS_A_KEY, PROBES, BLOCK_BITS = 12, 2, 32_768
 #: A level is merged into the one before it if that has at most so many times its digests.
@@ -32,14 +34,30 @@ def normalised(text: Column) -> Column:
 
 
 class Level:
-    """keys: key, keep_id, n, each key once; filter: block, bits; blocks: how many blocks the filter has."""
+    """keys: key, keep_id, n, each key once, by `range` of the key and sorted; filter: block, bits; blocks: how many blocks the filter has."""
 
     def __init__(self, keys: DataFrame, size: int):
-        self.keys, self.size = keys, size
+        spark = keys.sparkSession
+        self.size, self.path = size, scratch(spark, "digest-level")
+        self.bits = max(0, min(RANGE_BITS, (size * DIGEST_BYTES // RANGE_BYTES).bit_length()))
+        dealt = keys.select("key", "keep_id", "n", self._range().alias("range")).repartition("range").sortWithinPartitions("range", "key")
+        dealt.write.partitionBy("range").parquet(self.path)
+        self.keys = spark.read.schema("key binary, keep_id long, n long, range int").parquet(self.path)
+        self.keys._scratch_path = self.path
         self.blocks = max(1, -(-size * BITS_A_KEY // BLOCK_BITS))
-        placed = keys.select(F.explode(_probes(F.col("key"), self.blocks)).alias("p")).select("p.block", F.bitmap_bit_position(F.col("p.bit")).alias("at"))
+        placed = self.keys.select(F.explode(_probes(F.col("key"), self.blocks)).alias("p")).select("p.block", F.bitmap_bit_position(F.col("p.bit")).alias("at"))
         self.filter = materialise(placed.groupBy("block").agg(F.bitmap_construct_agg("at").alias("bits")), "digest-filter")
 
+    def _range(self) -> Column:
+        """The key's first bits, as a number."""
+        return F.shiftright(F.conv(F.hex(F.substring("key", 1, 2)), 16, 10).cast("int"), 16 - self.bits)
+
+    def find(self, keys: DataFrame) -> DataFrame:
+        """The level's rows of the keys (key): those that the filter does not deny, looked up in their ranges alone."""
+        asked = materialise(self.may_have(keys).select("key", self._range().alias("range")).distinct(), "digest-asked")
+        ranges = [r["range"] for r in asked.select("range").distinct().collect()]  # 2^RANGE_BITS at most
+        return self.keys.where(F.col("range").isin(ranges)).join(asked, ["range", "key"], "left_semi").select("key", "keep_id", "n")
+
     def may_have(self, keys: DataFrame) -> DataFrame:
         """keys (key) without those that the filter denies: each key's block is joined by its number, and its bits are looked at."""
         asked = keys.select("key", _probes(F.col("key"), self.blocks).alias("probes")).withColumn("block", F.col("probes")[0]["block"])
@@ -71,24 +89,25 @@ class DigestIndex:
         self.levels: list[Level] = []
         self.hits: list[DataFrame] = []
 
-    def flush(self, rows: DataFrame) -> DataFrame:
-        """Write (key, sha, doc_id) rows as runs, one a task, in generations, and return them as written, with `generation`."""
+    def flush(self, rows: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+        """Write (key, sha, doc_id) rows as runs, one a task. The rows as written, and the memtables (key, doc_id) that the runs make up."""
         path = f"{self.root}/runs"
-        dealt = rows.withColumn("generation", F.pmod(F.spark_partition_id(), F.lit(GENERATIONS)))
-        dealt.sortWithinPartitions("generation", "key").write.partitionBy("generation").mode("append").parquet(path)
-        return self.spark.read.schema("key binary, sha binary, doc_id long, generation int").parquet(path)
-
-    def add(self, generation: DataFrame) -> None:
-        """generation: key, doc_id. Make it the last level, note which of its keys are hits, and merge levels of like size."""
-        fresh = materialise(generation.groupBy("key").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("n")), "digest-level")
+        dealt = rows.withColumn("slot", F.pmod(F.spark_partition_id(), F.lit(MEMTABLES)))
+        dealt.sortWithinPartitions("slot", "key").write.partitionBy("slot").mode("append").parquet(path)
+        run = self.spark.read.schema("key binary, sha binary, doc_id long, slot int").parquet(path)
+        n = min(MEMTABLES, max(2, -(-run.count() * DIGEST_BYTES // MEMTABLE_BYTES)))
+        return run.select("key", "sha", "doc_id"), [run.where(F.pmod(F.col("slot"), F.lit(n)) == k).select("key", "doc_id") for k in range(n)]
+
+    def add(self, memtable: DataFrame) -> None:
+        """memtable: key, doc_id. Make it the last level, note which of its keys are hits, and merge levels of like size."""
+        fresh = materialise(memtable.groupBy("key").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("n")), "digest-memtable")
         size = fresh.count()
         if not size:
             return
-        found = [fresh.where("n > 1").select("key")]
-        for level in self.levels:
-            found.append(level.may_have(fresh.select("key")).join(level.keys.select("key"), "key", "left_semi"))
+        found = [fresh.where("n > 1").select("key"), *(level.find(fresh.select("key")).select("key") for level in self.levels)]
         self.hits.append(materialise(reduce(DataFrame.unionByName, found).distinct(), "digest-hits"))
         self.levels.append(Level(fresh, size))
+        discard(fresh)
         while len(self.levels) > 1 and self.levels[-2].size <= RATIO * self.levels[-1].size:
             self.compact(2)
 
@@ -96,9 +115,9 @@ class DigestIndex:
         """Merge the last levels into one: each key's smallest identifier and number of rows."""
         old, self.levels = self.levels[-last:], self.levels[:-last]
         keys = reduce(DataFrame.unionByName, (x.keys for x in old)).groupBy("key").agg(F.min("keep_id").alias("keep_id"), F.sum("n").alias("n"))
-        keys = materialise(keys, "digest-level")
+        keys = materialise(keys, "digest-merged")
         self.levels.append(Level(keys, keys.count()))
-        discard(*(t for x in old for t in (x.keys, x.filter)))
+        discard(keys, *(t for x in old for t in (x.keys, x.filter)))
 
     def repeated(self) -> DataFrame:
         """(key, n) of the keys that several rows have."""
@@ -109,8 +128,8 @@ class DigestIndex:
         return found.groupBy("key").agg(F.sum("n").alias("n"))
 
     def lookup(self, keys: DataFrame) -> DataFrame:
-        """(key, keep_id, n) of the keys (key) that the index has; a level is read only for keys that its filter does not deny."""
-        found = [x.keys.join(x.may_have(keys).distinct(), "key", "left_semi") for x in self.levels]
+        """(key, keep_id, n) of the keys (key) that the index has; of a level only the ranges are read that have a key which its filter does not deny."""
+        found = [x.find(keys) for x in self.levels]
         return reduce(DataFrame.unionByName, found).groupBy("key").agg(F.min("keep_id").alias("keep_id"), F.sum("n").alias("n"))
 
 
@@ -126,11 +145,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = id_and_text(docs, id_col, text_col).select("doc_id", normalised(F.col("text")).alias("norm"))
     keyed = rows.select(sha.alias("sha"), "doc_id").select(F.substring("sha", 1, digest_bytes).alias("key"), "sha", "doc_id")
     index = DigestIndex(spark)
-    run = index.flush(keyed)
-    for k in range(GENERATIONS):
-        index.add(run.where(F.col("generation") == k).select("key", "doc_id"))
+    run, memtables = index.flush(keyed)
+    for memtable in memtables:
+        index.add(memtable)
     hits = materialise(index.repeated(), "digest-repeated")
-    run = run.select("key", "sha", "doc_id")
     hit_rows = materialise(attach(run.select("key", "doc_id"), hits, "key", "n").where("n > 1").select("doc_id"), "hits")
     ids = hit_rows.where("doc_id is not null")
     ids = F.broadcast(ids) if ids.count() <= MAX_BROADCAST_ROWS else ids.distinct()

@@ -483,8 +483,37 @@ def test_digest_index(spark, monkeypatch):
         assert level.may_have(asked).count() < 200
 
 
+def test_digest_index_reads_only_ranges_that_are_asked(spark, monkeypatch):
+    """A level of 100,000 digests in 128 ranges: a lookup of a few keys reads the files of their ranges, keys that the filter denies read none."""
+    monkeypatch.setattr(exact_dedup, "RANGE_BYTES", 100_000 * exact_dedup.DIGEST_BYTES // 64)
+    index = exact_dedup.DigestIndex(spark)
+    index.add(spark.range(100_000).selectExpr("unhex(sha2(concat('k', id), 256)) as key", "id as doc_id"))
+    (level,) = index.levels
+    every = level.keys.inputFiles()
+    assert len({f.rpartition("/")[0] for f in every}) == 128
+    found = level.find(keys_of(spark, ["k5", "k77", "k999", *(f"none{i}" for i in range(3))]))
+    assert found.count() == 3 and {f.rpartition("/")[0] for f in found.inputFiles() if "range=" in f} <= {f.rpartition("/")[0] for f in every}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    read = found.select(F.col("key"))._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in plan and "range" in read
+    used = level.keys.join(found.select("key"), "key", "left_semi").select("range").distinct().count()
+    assert used == 3 and {r["range"] for r in level.keys.select("range").distinct().collect()} == set(range(128))
+    assert {r["keep_id"] for r in index.lookup(keys_of(spark, ["k5", "k77", "zz"])).collect()} == {5, 77}
+
+
+def test_memtables_are_bounded(spark, monkeypatch):
+    """Runs make up as many memtables as their digests' bytes need, two at least, and every row is in one."""
+    rows = spark.range(3000).repartition(12).selectExpr("unhex(sha2(cast(id as string), 256)) as key", "unhex(sha2(cast(id as string), 256)) as sha", "id as doc_id")
+    for size, n in ((8 << 30, 2), (1000 * exact_dedup.DIGEST_BYTES, 3), (1, exact_dedup.MEMTABLES)):
+        monkeypatch.setattr(exact_dedup, "MEMTABLE_BYTES", size)
+        run, memtables = exact_dedup.DigestIndex(spark).flush(rows)
+        assert len(memtables) == n and run.count() == 3000
+        if n < 10:
+            assert sum(m.count() for m in memtables) == 3000
+
+
 def test_registered_queries(spark):
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
     assert set(ORACLE_SQL) <= set(QUERIES)
 
 
