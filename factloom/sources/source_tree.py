@@ -9,6 +9,8 @@ from __future__ import annotations
 import json
 import os
 import subprocess
+import threading
+import uuid
 from collections.abc import Iterator
 from datetime import UTC, datetime
 
@@ -123,6 +125,33 @@ class _Tree(_Reader):
             yield self.options["revision"], path, text, None if text is not None else "UNREADABLE"
 
 
+def _log(repo: str, names: list[str], form: str, *args: str) -> Iterator[list[str]]:
+    """The fields of a log format (with NULs between them), and file names if args ask for them, of some commits: one process, read as it writes.
+
+    A word that only this process knows begins each commit, so no message and no file name can be taken for the next one.
+    """
+    if not names:
+        return
+    mark = uuid.uuid4().hex
+    command = ["git", "-C", repo, "log", "--no-walk=unsorted", "--stdin", "-z", f"--format=%x00{mark}%x00{form}%x00", *args]
+    with subprocess.Popen(command, stdin=subprocess.PIPE, stdout=subprocess.PIPE) as p:
+        threading.Thread(target=lambda: (p.stdin.write("".join(f"{n}\n" for n in names).encode()), p.stdin.close()), daemon=True).start()
+        own, rest = None, b""
+        while chunk := p.stdout.read(1 << 16):
+            *words, rest = (rest + chunk).split(b"\0")
+            for word in (w.decode("utf-8", "replace") for w in words):
+                if word.strip("\n") == mark:
+                    if own is not None:
+                        yield own
+                    own = []
+                elif own is not None:
+                    own.append(word)
+        if own is not None:
+            yield [*own, rest.decode("utf-8", "replace")]
+    if p.returncode:
+        raise subprocess.CalledProcessError(p.returncode, command)
+
+
 class _Commits(_Reader):
     """Options: path; revisions (HEAD, or previous..current); max_count. Newest first, with the sorted changed files; none for an empty repository."""
 
@@ -136,9 +165,7 @@ class _Commits(_Reader):
             return []
 
     def rows(self, items):
-        for commit in items:
-            out = git(self.options["path"], "show", "--no-renames", "--name-only", "-z", "--format=%H%x00%an%x00%ae%x00%ct%x00%B%x00", commit).decode("utf-8", "replace")
-            name, author, email, at, message, *files = out.split("\0")
+        for name, author, email, at, message, *files in _log(self.options["path"], items, "%H%x00%an%x00%ae%x00%ct%x00%B", "--no-renames", "--name-only", "--cc"):
             yield name, author, email, datetime.fromtimestamp(int(at), UTC), message.strip(), sorted(f.strip("\n") for f in files if f.strip("\n"))
 
 
@@ -161,13 +188,10 @@ def _listed(value: str) -> list:
     return json.loads(value) if value.lstrip().startswith("[") else value.split(",")
 
 
-def _commits(repo: str, names: list[str]) -> dict[str, tuple]:
+def _commits(repo: str, names: set[str]) -> dict[str, tuple]:
     """Author, time and message of some commits, by one process."""
-    if not names:
-        return {}
-    out = git(repo, "show", "-s", "-z", "--format=%H%x01%an%x01%ct%x01%B", *names).decode("utf-8", "replace")
-    each = (x.split("\x01", 3) for x in out.split("\0") if x.strip())
-    return {name.strip(): (author, datetime.fromtimestamp(int(at), UTC), message.strip()) for name, author, at, message in each}
+    each = (x[:4] for x in _log(repo, sorted(names), "%H%x00%an%x00%ct%x00%B", "-s"))
+    return {name: (author, datetime.fromtimestamp(int(at), UTC), message.strip()) for name, author, at, message in each}
 
 
 class _Blame(_Reader):
@@ -177,17 +201,39 @@ class _Blame(_Reader):
         return _listed(self.options["files"])
 
     def rows(self, items):
+        blamed = []
         for path in items:
             try:
                 out = git(self.options["path"], "blame", "-s", "-l", "--root", self.options.get("revision", "HEAD"), "--", path).decode("utf-8", "replace")
             except subprocess.CalledProcessError:
                 continue
-            lines = [line.split()[0].lstrip("^") for line in out.splitlines()]
-            known = _commits(self.options["path"], sorted(set(lines)))
-            for n, name in enumerate(lines, 1):
+            blamed.append((path, [line.split()[0].lstrip("^") for line in out.splitlines()]))
+        known = _commits(self.options["path"], {n for _, names in blamed for n in names})
+        for path, names in blamed:
+            for n, name in enumerate(names, 1):
                 yield path, n, name, *known[name]
 
 
+class _Revisions(_Reader):
+    """Options: path; revisions (a JSON array, or names with commas between them; default HEAD). Whether the folder itself is a repository, and the commit that each name means, null for none."""
+
+    def items(self):
+        return _listed(self.options.get("revisions", "HEAD"))
+
+    def rows(self, items):
+        repo = self.options["path"]
+        try:
+            own = git(repo, "rev-parse", "--show-cdup").strip() == b""  # a folder inside a repository is none
+        except (subprocess.CalledProcessError, OSError):
+            own = False
+        for name in items:
+            commit = None
+            if own and name and not name.startswith("-"):
+                found = subprocess.run(["git", "-C", repo, "rev-parse", "--verify", "--quiet", f"{name}^{{commit}}"], capture_output=True)
+                commit = found.stdout.decode().strip() or None
+            yield repo, own, name, commit
+
+
 class _LineLog(_Reader):
     """Options: path; ranges (a JSON array of [file, first line, last line]); revision. Newest first, the commits that changed lines of each range, by git's own line history; none where git knows no such lines."""
 
@@ -202,7 +248,7 @@ class _LineLog(_Reader):
             except subprocess.CalledProcessError:
                 continue
             names = out.split()
-            known = _commits(self.options["path"], names)
+            known = _commits(self.options["path"], set(names))
             for rank, name in enumerate(names):
                 yield file, int(first), int(last), rank, name, *known[name]
 
@@ -226,6 +272,7 @@ SOURCES = [
     _source("source_tree", "path string, file_name string, text string, line_count int, error string", _Files),
     _source("git_tree", "revision string, path string, text string, error string", _Tree),
     _source("git_commits", "commit_hash string, author_name string, author_email string, committed_at timestamp, message string, changed_files array<string>", _Commits),
+    _source("git_revisions", "path string, is_repository boolean, revision string, commit_hash string", _Revisions),
     _source("git_changes", "path string, status string, old_path string", _Changes),
     _source("git_blame", "file_path string, line_number int, commit_hash string, author_name string, committed_at timestamp, message string", _Blame),
     _source("git_line_log", "file_path string, first int, last int, rank int, commit_hash string, author_name string, committed_at timestamp, message string", _LineLog),

@@ -1,4 +1,5 @@
 import datetime
+import json
 import os
 import subprocess
 
@@ -70,6 +71,47 @@ def test_git_sources(spark, repo, parsed):
         read("git_tree", revision="--help").collect()
 
 
+def test_revisions(spark, repo, parsed, tmp_path):
+    read = lambda path, *names: {r["revision"]: (r["is_repository"], r["commit_hash"]) for r in spark.read.format("git_revisions").option("path", str(path)).option("revisions", json.dumps(names)).load().collect()}
+    newest = spark.read.format("git_commits").option("path", repo).load().first()["commit_hash"]
+    found = read(repo, "HEAD", newest[:8], "gone", "--help", "")
+    assert found == {"HEAD": (True, newest), newest[:8]: (True, newest), "gone": (True, None), "--help": (True, None), "": (True, None)}
+    assert read(tmp_path, "HEAD") == read(f"{repo}/payment", "HEAD") == read(tmp_path / "none", "HEAD") == {"HEAD": (False, None)}
+
+
+def test_a_thousand_commits_are_read_by_a_process_for_each_partition(spark, tmp_path, monkeypatch):
+    """Merges, empty commits, odd names and messages; one log process for 200 commits."""
+    run = lambda *a, **k: subprocess.run(["git", "-C", str(tmp_path), "-c", "user.name=N", "-c", "user.email=e@x", *a], check=True, capture_output=True, **k)
+    run("init", "-q", "-b", "main")
+    stream = []
+    for i in range(1000):
+        text = f"subject {i}\n\nbody\x01 with a line\nfile{i}.py\n".encode()
+        stream.append(b"commit refs/heads/main\ncommitter N <e@x> %d +0000\ndata %d\n%s\n" % (1_700_000_000 + i, len(text), text))
+        if i % 10:
+            stream.append(b'M 100644 inline "d\303\251/a\\tb %d.py"\ndata 2\n%02d\n' % (i % 7, i % 100))
+            stream.append(b"M 100644 inline z%d.py\ndata 2\n%02d\n" % (i % 3, i % 100))
+    run("fast-import", "--quiet", input=b"".join(stream))
+    run("checkout", "-q", "main")
+    run("checkout", "-q", "-b", "side", "HEAD~5")
+    (tmp_path / "side.py").write_text("1")
+    run("add", "side.py")
+    run("commit", "-qm", "side")
+    run("checkout", "-q", "main")
+    run("merge", "-q", "--no-ff", "-m", "merged", "side")
+    reader = source_tree._Commits({"path": str(tmp_path)})
+    started = []
+    popen = subprocess.Popen
+    monkeypatch.setattr(source_tree.subprocess, "Popen", lambda *a, **k: started.append(a[0]) or popen(*a, **k))
+    parts = reader.partitions()
+    started.clear()
+    got = [r for p in parts for r in reader.read(p)]
+    assert len(parts) == len(started) == 6 and len(got) == 1002
+    for name, author, email, at, message, files in got[:3] + got[3::97]:
+        said = run("show", "--no-renames", "--name-only", "-z", "--format=%H%x00%an%x00%ae%x00%ct%x00%B%x00", name).stdout.decode().split("\0")
+        assert [name, author, email, str(int(at.timestamp())), message] == [*said[:4], said[4].strip()] and files == sorted(f.strip("\n") for f in said[5:] if f.strip("\n"))
+    assert got[0][4] == "merged" and got[0][5] == [] and any(f and "\t" in f[0] for *_, f in got)
+
+
 def test_python_facts(parsed):
     _, f = parsed
     kind = lambda k, *c: sorted(tuple(r) for r in python_code.of_kind(f, k, *c).collect())
