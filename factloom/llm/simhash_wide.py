@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from .common import MAX_BROADCAST_ROWS, attach, id_and_text, materialise
 from .components import connected_components
 from .simhash import _lanes, fingerprints_of, shingle_hashes
-from .words import slices
+from .words import release, slices
 
 BITS = 640
 RECALL = 0.999
@@ -313,12 +313,15 @@ def _forests(batches, most: int, similarity: float):
             if now != (key[x], i[x], j[x]):
                 if held:
                     yield links()
+                    release()
                 held, now = [], (key[x], i[x], j[x])
             some = b.slice(x, y - x)
             fp = np.frombuffer(b"".join(some["fp"].to_pylist()), np.uint64).reshape(-1, BITS // 64)
             held.append((some["part"].to_numpy(), some["node"].to_numpy(), some["root"].to_numpy(), fp, some["sh"].to_pylist()))
     if held:
         yield links()
+        held.clear()
+        release()
 
 
 def _parts(rows: Column, shingles: Column) -> Column:
