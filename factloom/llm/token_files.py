@@ -88,7 +88,9 @@ class ChunkEncoder:
         core = pc.utf8_rtrim(whole, TAIL)
         safe = pc.and_not(pc.match_substring_regex(core, r"[\pL\pN]$"), pc.match_substring_regex(whole, "<\\||\u03a3|\u0130"))
         # a letter that composition takes apart ends in a mark, which stays with the punctuation after it
-        safe = pc.and_(safe, pc.equal(core, pc.utf8_normalize(core, "NFC")))
+        foreign = core.filter(pc.invert(pc.string_is_ascii(core)))
+        changed = foreign.filter(pc.not_equal(foreign, pc.utf8_normalize(foreign, "NFC")))
+        safe = pc.and_not(safe, pc.is_in(core, changed)) if len(changed) else safe
         keep = pc.binary_length(core).to_numpy(zero_copy_only=False)
         raw = whole.to_pylist()
         ok = safe.to_numpy(zero_copy_only=False)
