@@ -64,11 +64,12 @@ def dedupe_terms(spark, sf):
     return retrieval.terms(rows, "c_custkey", "t")
 
 
-@_Q.add("SELECT p.vec_id AS id, CASE WHEN p.label % 2 = 0 THEN 'new' ELSE 'old' END AS version FROM embeddings p")
+@_Q.add("SELECT vec_id AS id, CASE WHEN label % 2 = 0 THEN 'new' ELSE 'old' END AS version, list_transform(CAST(embedding AS DOUBLE[]), lambda x: CASE WHEN label % 2 = 0 THEN -x ELSE x END)[3] AS third FROM embeddings WHERE label % 3 <> 0 OR label % 2 = 0")
 def vector_upsert(spark, sf):
-    old = select(spark, sf, "SELECT vec_id AS id, 'old' AS version FROM embeddings")
-    new = select(spark, sf, "SELECT vec_id AS id, CASE WHEN n = 1 THEN 'new' ELSE 'newer' END AS version, -n AS ord FROM (SELECT vec_id, label, explode(array(1, 2)) AS n FROM embeddings) AS x WHERE label % 2 = 0")
-    return retrieval.upsert_vectors(old, new)
+    """Stored vectors of two thirds of the labels; a batch that has the even labels' vectors twice, the last time negated."""
+    old = select(spark, sf, "SELECT vec_id AS id, 'old' AS version, CAST(embedding AS ARRAY<DOUBLE>) AS v FROM embeddings WHERE label % 3 <> 0")
+    new = select(spark, sf, "SELECT vec_id AS id, CASE WHEN n = 1 THEN 'new' ELSE 'newer' END AS version, transform(CAST(embedding AS ARRAY<DOUBLE>), x -> CASE WHEN n = 1 THEN -x ELSE 0D END) AS v, -n AS ord FROM (SELECT vec_id, label, embedding, explode(array(1, 2)) AS n FROM embeddings) AS x WHERE label % 2 = 0")
+    return retrieval.upsert_vectors(old, new).select("id", "version", F.col("v")[2].alias("third"))
 
 
 @_Q.add(
@@ -89,10 +90,15 @@ def module_names(spark, sf):
     return rows.select("p_partkey", C.module_name(F.col("path")).alias("module"))
 
 
-@_Q.add("SELECT p_partkey, CASE WHEN p_size % 5 = 0 THEN 'a.b.x' WHEN p_size % 5 = 1 THEN 'a' WHEN p_size % 5 = 2 THEN 'x.y' WHEN p_size % 5 = 3 THEN 'os.path' END AS module FROM part")
+@_Q.add(
+    """WITH p AS (SELECT p_partkey, p_size % 5 AS k, lower(p_type) AS a, split_part(p_name, ' ', 1) AS b, split_part(p_name, ' ', 2) AS c FROM part)
+    SELECT p_partkey, CASE k WHEN 0 THEN concat_ws('.', a, b, c) WHEN 1 THEN a WHEN 2 THEN concat(c, '.y') WHEN 3 THEN concat(c, '.path') END AS module FROM p"""
+)
 def relative_imports(spark, sf):
-    rows = select(spark, sf, "SELECT p_partkey, 'a/b/c.py' AS path, CASE WHEN p_size % 5 = 0 THEN '.x' WHEN p_size % 5 = 1 THEN '..' WHEN p_size % 5 = 2 THEN '...x.y' WHEN p_size % 5 = 3 THEN 'os.path' ELSE '....x' END AS module FROM part")
-    return rows.select("p_partkey", C.absolute_module(F.col("path"), F.col("module")).alias("module"))
+    """Imports in files two folders deep: of a sibling, of the folder above, of the root, by a whole name, and beyond the root."""
+    rows = select(spark, sf, "SELECT p_partkey, concat(lower(p_type), '/', split_part(p_name, ' ', 1), '/c.py') AS path, split_part(p_name, ' ', 2) AS c, p_size % 5 AS k FROM part")
+    module = F.when(F.col("k") == 0, F.concat(F.lit("."), "c")).when(F.col("k") == 1, F.lit("..")).when(F.col("k") == 2, F.concat(F.lit("..."), "c", F.lit(".y"))).when(F.col("k") == 3, F.concat("c", F.lit(".path"))).otherwise(F.concat(F.lit("...."), "c"))
+    return rows.select("p_partkey", C.absolute_module(F.col("path"), module).alias("module"))
 
 
 _PATHS = "SELECT p_partkey, CASE WHEN p_size % 4 = 0 THEN concat('src/test_', replace(p_name, ' ', '_'), '.py') WHEN p_size % 4 = 1 THEN concat(replace(p_name, ' ', '_'), '_test.py') WHEN p_size % 4 = 2 THEN concat('pkg/tests/', replace(p_name, ' ', '/'), '.py') ELSE concat('latest/', replace(p_name, ' ', '_'), '/contest.py') END AS path FROM part"
@@ -104,16 +110,16 @@ def test_paths(spark, sf):
     return rows.select("p_partkey", C.is_test_path(F.col("path")).alias("is_test"))
 
 
-@_Q.add("SELECT doc_id, CAST(CASE WHEN octet_length(encode(text)) <= 400 THEN octet_length(encode(text)) ELSE 400 + length(concat(chr(10), '[... ', octet_length(encode(text)) - 400, ' bytes truncated ...]', chr(10))) END AS BIGINT) AS n_bytes FROM documents WHERE regexp_full_match(text, '[ -~\\n]*')".replace("\\\\", "\\"))
+_BOUNDED = r"""WITH h AS (SELECT doc_id, text, hex(encode(text)) AS h FROM documents), c AS (SELECT doc_id, text, octet_length(encode(text)) AS n, regexp_replace(left(h, 200), '^((?:..)*?)(?:[CDEF].|E.[89AB].|F.[89AB].|F.[89AB].[89AB].)$', '\1EFBFBD') AS head, right(h, 600) AS t, length(regexp_extract(right(h, 600), '^(?:[89AB].)*')) AS cut FROM h)
+    SELECT doc_id, octet_length(encode(b)) AS n_bytes, md5(b) AS md5 FROM (SELECT doc_id, CASE WHEN n <= 400 THEN text ELSE concat(decode(unhex(head)), chr(10), '[... ', n - 400, ' bytes truncated ...]', chr(10), decode(unhex(concat(repeat('EFBFBD', CAST(cut / 2 AS INT)), substr(t, cut + 1))))) END AS b FROM c) AS x"""
+
+
+@_Q.add(f"SELECT doc_id, CAST(n_bytes AS BIGINT) AS n_bytes FROM ({_BOUNDED}) AS x")
 def bounded_texts(spark, sf):
-    rows = select(spark, sf, "SELECT doc_id, text FROM documents").where(F.col("text").rlike(r"\A[ -~\n]*\z"))
-    return rows.select("doc_id", F.octet_length(C.bounded_text(F.col("text"), 400)).cast("long").alias("n_bytes"))
+    return bounded_texts_of_all(spark, sf).select("doc_id", "n_bytes")
 
 
-@_Q.add(
-    r"""WITH h AS (SELECT doc_id, text, hex(encode(text)) AS h FROM documents), c AS (SELECT doc_id, text, octet_length(encode(text)) AS n, regexp_replace(left(h, 200), '^((?:..)*?)(?:[CDEF].|E.[89AB].|F.[89AB].|F.[89AB].[89AB].)$', '\1EFBFBD') AS head, right(h, 600) AS t, length(regexp_extract(right(h, 600), '^(?:[89AB].)*')) AS cut FROM h)
-    SELECT doc_id, octet_length(encode(b)) AS n_bytes, md5(b) AS md5 FROM (SELECT doc_id, CASE WHEN n <= 400 THEN text ELSE concat(decode(unhex(head)), chr(10), '[... ', n - 400, ' bytes truncated ...]', chr(10), decode(unhex(concat(repeat('EFBFBD', CAST(cut / 2 AS INT)), substr(t, cut + 1))))) END AS b FROM c) AS x"""
-)
+@_Q.add(_BOUNDED)
 def bounded_texts_of_all(spark, sf):
     rows = select(spark, sf, "SELECT doc_id, text FROM documents").select("doc_id", C.bounded_text(F.col("text"), 400).alias("b"))
     return rows.select("doc_id", F.octet_length("b").cast("long").alias("n_bytes"), F.md5("b").alias("md5"))
