@@ -78,10 +78,17 @@ def resolve_calls(calls: DataFrame, imports: DataFrame, classes: DataFrame, meth
     return written.select(*calls.columns, F.coalesce("target", "as_module", F.nullif(F.concat_ws(".", "base", "attr"), F.lit("")), "raw").alias("target"), F.col("rule").isNotNull().alias("resolved"), "rule")
 
 
-def unresolved_call_sites(nodes: DataFrame, name: str, limit: int = 25) -> DataFrame:
-    """nodes: id, unresolved_calls. (id, call): up to `limit` nodes, by id, one of whose unresolved calls is the name or ends with "." and it, and the first such call."""
-    fits = F.filter("unresolved_calls", lambda c: (c == name) | F.endswith(c, F.lit("." + name)))
-    return nodes.select("id", F.try_element_at(fits, F.lit(1)).alias("call")).where("call is not null").orderBy("id").limit(limit)
+def unresolved_call_sites(nodes: DataFrame, names: DataFrame, limit: int = 25) -> DataFrame:
+    """nodes: id, unresolved_calls; names: name. (name, id, call): for each name up to `limit` nodes, by id, one of whose unresolved calls is the name or ends with "." and it, and the first such call.
+
+    A call stands under each of its dotted ends, so this is an equi join for any number of names. Null and empty names have no sites.
+    """
+    parts = F.split("call", r"\.")
+    ends = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
+    each = nodes.select("id", F.posexplode("unresolved_calls").alias("pos", "call")).where("call is not null")
+    under = each.select("id", "pos", "call", F.explode(ends).alias("name")).join(names.select("name").where("name != ''").distinct(), "name")
+    first = under.groupBy("name", "id").agg(F.min(F.struct("pos", "call")).alias("f")).select("name", "id", "f.call")
+    return first.withColumn("__r", F.row_number().over(Window.partitionBy("name").orderBy("id"))).where(F.col("__r") <= limit).drop("__r")
 
 
 def numbered(evidence: DataFrame, by: str, order: list[str], letter: str = "E") -> DataFrame:

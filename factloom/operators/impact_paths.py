@@ -126,7 +126,6 @@ def unresolved(nodes: DataFrame, edges: DataFrame, changed: DataFrame, routes: D
 
     nodes with unresolved_calls (an array) too. A changed id that is no method or function is the one reason that there is then.
     """
-    spark = nodes.sparkSession
     code = nodes.where("label in ('Method', 'Function')")
     primary = code.join(changed.select("id").distinct(), "id", "left_semi")
     lost = changed.select("id").distinct().join(code.select("id"), "id", "left_anti").select(F.lit("PRIMARY_CHANGE").alias("category"), F.concat("id", F.lit(" is no method or function of the graph")).alias("reason"))
@@ -135,11 +134,9 @@ def unresolved(nodes: DataFrame, edges: DataFrame, changed: DataFrame, routes: D
     gaps = coverage(edges, files).where("status = 'UNRESOLVED'").select("category", F.lit("the graph has no link of this kind").alias("reason"))
     calls = edges.where("rel_type = 'CALLS'").select(F.col("start_id").alias("src"), F.col("end_id").alias("dst"))
     more = callers_beyond(calls, depths, max_depth).where("n > 0").select(F.lit("INDIRECT_CALLER").alias("category"), F.format_string(f"%d callers lie beyond depth {max_depth}", F.col("n")).alias("reason"))
-    sites = spark.createDataFrame([], "category string, reason string")
-    for row in primary.select("name").distinct().collect():  # the changed code's names: a parameter of the analysis
-        found = unresolved_call_sites(code.join(depths.select(F.col("node").alias("id")), "id", "left_anti"), row["name"])
-        told = found.join(code.select("id", "name"), "id").select(F.lit("DIRECT_CALLER").alias("category"), F.concat("name", F.lit(" has an unresolved call "), "call", F.lit(f" that ends in {row['name']}")).alias("reason"))
-        sites = sites.unionByName(told)
+    found = unresolved_call_sites(code.join(depths.select(F.col("node").alias("id")), "id", "left_anti"), primary.select("name")).withColumnRenamed("name", "ends")
+    reason = F.concat("name", F.lit(" has an unresolved call "), "call", F.lit(" that ends in "), "ends")
+    sites = found.join(code.select("id", "name"), "id").select(F.lit("DIRECT_CALLER").alias("category"), reason.alias("reason"))
     capped = routes.where("capped").limit(1).select(F.lit("PRIMARY_CHANGE").alias("category"), F.lit(f"some elements have over {limit} routes").alias("reason"))
     return reduce(DataFrame.unionByName, [lost, gaps, more, sites, capped])
 

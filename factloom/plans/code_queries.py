@@ -361,7 +361,17 @@ def test_chunks(spark, sf):
 @_Q.add("SELECT concat('m', CAST(file AS VARCHAR)) AS id, concat('x.', f) AS call FROM (SELECT l_suppkey AS file, 'f7' AS f FROM lineitem WHERE l_partkey = 7 GROUP BY 1 ORDER BY concat('m', CAST(l_suppkey AS VARCHAR)) LIMIT 25) AS x")
 def unresolved_call_sites(spark, sf):
     nodes = select(spark, sf, "SELECT concat('m', CAST(l_suppkey AS STRING)) AS id, sort_array(collect_set(concat('x.f', CAST(l_partkey AS STRING)))) AS unresolved_calls FROM lineitem GROUP BY 1")
-    return facts_of.unresolved_call_sites(nodes, "f7")
+    return facts_of.unresolved_call_sites(nodes, spark.createDataFrame([("f7",)], "name string")).select("id", "call")
+
+
+@_Q.add(
+    """WITH c AS (SELECT DISTINCT concat('m', CAST(l_suppkey AS VARCHAR)) AS id, concat(CASE WHEN l_partkey % 2 = 0 THEN 'x.' ELSE '' END, 'f', CAST(l_partkey % 90 AS VARCHAR)) AS call, concat('f', CAST(l_partkey % 90 AS VARCHAR)) AS name FROM lineitem),
+    f AS (SELECT name, id, min(call) AS call FROM c WHERE name IN (SELECT concat('f', CAST(p_size AS VARCHAR)) FROM part) GROUP BY 1, 2)
+    SELECT name, id, call FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY id) AS n FROM f) AS x WHERE n <= 25"""
+)
+def unresolved_call_sites_of_names(spark, sf):
+    nodes = select(spark, sf, "SELECT concat('m', CAST(l_suppkey AS STRING)) AS id, sort_array(collect_set(concat(CASE WHEN l_partkey % 2 = 0 THEN 'x.' ELSE '' END, 'f', CAST(l_partkey % 90 AS STRING)))) AS unresolved_calls FROM lineitem GROUP BY 1")
+    return facts_of.unresolved_call_sites(nodes, select(spark, sf, "SELECT concat('f', CAST(p_size AS STRING)) AS name FROM part"))
 
 
 QUERIES, ORACLE_SQL = _Q.queries, _Q.sql
