@@ -52,6 +52,10 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages over `documents`, each over what its predecessor wrote: a row of tokens() for each document that is left.
+
+    Null texts and texts without a letter go with the first stage; rows with a null or repeated doc_id are judged by their own texts in every stage; an empty table gives an empty result.
+    """
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = materialise(stage(spark, docs, sf_dir), f"stage-{name}")
