@@ -184,7 +184,9 @@ def _without_covered(rows: list[tuple[int, int, float, int, int]], t: Templates)
 
 
 def license_scan(docs: DataFrame, templates: dict[str, list[str]] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row for each occurrence of a template: doc_id, license, template (its number), containment, first_word, end_word.
+    """A row for each stretch that a template covers: doc_id, license, template (its number), containment, first_word, end_word.
+
+    Copies of a template that follow each other within its own length are one stretch.
 
     Words are compared in lower case and without ASCII punctuation around them; places count such words, ends exclusive. Null texts and
     texts of fewer than five words hold nothing; repeated documents have their own rows.
@@ -203,4 +205,5 @@ def license_scan(docs: DataFrame, templates: dict[str, list[str]] | None = None,
 
 
 def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, license, template, containment, first_word, end_word of all license texts and notices in every document; a null text holds none, rows of a repeated doc_id have their own rows."""
     return license_scan(table(spark, sf_dir, "documents"))

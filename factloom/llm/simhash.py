@@ -5,8 +5,8 @@ never becomes pairs. A node's 64 bits are cut into six blocks; two fingerprints
 agree on three blocks at least, so each node goes to the 20 buckets of its triples of blocks and meets all its
 partners there. A bucket is streamed, not gathered: up to BUCKET fingerprints are compared (Hamming distance) and
 only a spanning star of each local component leaves the task; a larger bucket's members go on to the next level, where
-the bits that are still free are cut into six blocks again. Members of a bucket agree on 32 bits at the first level,
-48 at the second and 56 at the third, so the third level's buckets have 256 members at most: no cap drops a pair.
+the bits that are still free are cut into six blocks again. Members of a bucket agree on 31 bits at least at the first level,
+46 at the second and 55 at the third, so the third level's buckets have 512 members at most: no cap drops a pair.
 """
 
 from __future__ import annotations
@@ -200,4 +200,5 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, fingerprint and component_id of every document; null texts and texts without words have the fingerprint zero and are linked like any other."""
     return simhash_components(table(spark, sf_dir, "documents"))
