@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 FACT, RELEVANT, UNRESOLVED = "FACT", "POTENTIALLY_RELEVANT", "UNRESOLVED"
 _TYPES = {"key": "string", "type": "string", "source": "string", "status": "string", "details": "string", "file": "string", "line": "int", "method": "string", "commit": "string", "at": "timestamp"}
 
+# The sentences in the functions below, word for word, are the wording of the evidence that is asked for.
+
 
 def _rows(df: DataFrame, type_: Column | str, source: str, status: Column | str, details: Column, **more: Column) -> DataFrame:
     lit = lambda x: F.lit(x) if isinstance(x, str) else x

@@ -111,14 +111,14 @@ def risk_level(raw: Column) -> Column:
     return F.when(level.isin(*CONFIDENCE), level).otherwise("medium")
 
 
+#: Why a fix is not tried, in the order of the tests.
+SKIPPED = ["No root cause analysis available.", "Root cause is not established (insufficient evidence).", "Root cause has no exact code location to fix.", "Source code for the location is not indexed."]
+
+
 def skipped_fix(insufficient: Column, location: Column, indexed: Column) -> Column:
     """Why a fix is not tried, null if it is: insufficient is null without an analysis."""
-    return (
-        F.when(insufficient.isNull(), "No root cause analysis available.")
-        .when(insufficient, "Root cause is not established (insufficient evidence).")
-        .when(F.coalesce(location, F.lit("")) == "", "Root cause has no exact code location to fix.")
-        .when(~F.coalesce(indexed, F.lit(False)), "Source code for the location is not indexed.")
-    )
+    tests = [insufficient.isNull(), insufficient, F.coalesce(location, F.lit("")) == "", ~F.coalesce(indexed, F.lit(False))]
+    return F.coalesce(*(F.when(t, reason) for t, reason in zip(tests, SKIPPED, strict=True)))
 
 
 def validation_request(requests: DataFrame, tests: DataFrame, prefix: str = "pytest") -> DataFrame:

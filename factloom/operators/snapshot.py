@@ -193,13 +193,17 @@ def git_evidence(files: DataFrame, file_changes: DataFrame, commits: DataFrame,
     return files.join(diff.unionByName(told), "file").select("owner", "source", "file", "details", "commit", "at")
 
 
+#: How an empty and another comparison are told.
+NO_CHANGES, CHANGES = "No architecture changes between the two revisions.", " change(s): "
+
+
 def told(changes: DataFrame) -> DataFrame:
     """One row (status, n, text): whether and how much changed, with the number of each category, by name."""
     per = changes.groupBy("category").agg(F.count("*").alias("n"))
     one = per.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.array_sort(F.collect_list(F.struct("category", "n"))).alias("c"))
     listed = F.array_join(F.transform("c", lambda x: F.concat(x["n"].cast("string"), F.lit(" x "), x["category"])), ", ")
     none = F.col("n") == 0
-    text = F.when(none, "No architecture changes between the two revisions.").otherwise(F.concat(F.col("n").cast("string"), F.lit(" change(s): "), listed))
+    text = F.when(none, NO_CHANGES).otherwise(F.concat(F.col("n").cast("string"), F.lit(CHANGES), listed))
     return one.select(F.when(none, "NO_CHANGES").otherwise("CHANGES_DETECTED").alias("status"), "n", text.alias("text"))
 
 
