@@ -9,14 +9,12 @@ at the wanted similarity shares a block with a chance of RECALL (closer pairs: n
 always, as the first blocks are disjoint).
 
 Candidates are links only if the shingle sets of their texts have a Jaccard similarity of at least the wanted one. The pairs of small
-buckets are made distinct and joined to the shingles. The rows of a larger bucket are first compared with a few of them, its pivots: that
-links most of a group of near copies in as many comparisons as it has rows. Then the components so far are known, and of a bucket only
-the rows outside its largest component still meet all others, each pair of components at most until it is linked. What is too large for one
+buckets are made distinct and joined to the shingles. Blocks come in two rounds. In the first one, of a few blocks, the rows of a larger bucket are compared
+with a few of them, its pivots: that links most of a group of near copies in as many comparisons as it has rows. Then the components so far are known. In the
+second round, of all blocks, a bucket's rows go on only if they may have a partner of another component, so a group does not stand in all of its buckets again, and of a
+larger bucket only the rows outside its largest component meet all others, each pair of components at most until it is linked. What is too large for one
 task is cut into parts, each two of which are a group, and only a spanning forest of verified pairs leaves a group.
 
-Blocks come in two rounds. The first few link most of a group of copies; in the second round a bucket's rows go on only if they may have a partner of another
-component, so a group does not stand in all of its buckets again.
-
 To the buckets go keys, nodes and the first SKETCH bits alone. A row that differs from all others of its small bucket in more of
 those than a candidate can (but for a chance of 10^-9) has no partner there; the other rows meet again with whole fingerprints.
 """
@@ -47,7 +45,7 @@ BUCKET, BUCKET_BYTES = 2048, 8 << 20
 PIVOTS = 4
 #: Candidates of a larger bucket that are verified at once, and the most bytes of bit sets for that.
 PAIRS, BIT_BYTES = 4096, 32 << 20
-#: So many blocks come first: what they link is one component for the others, whose buckets then hold few rows of a group of copies.
+#: So many blocks come first: what they link is one component when all blocks are looked at, whose buckets then hold few rows of a group of copies.
 FIRST = 6
 #: Bits of a fingerprint that go to its buckets, and by how many standard deviations a link's distance there may exceed its mean.
 SKETCH, DEVIATIONS = 128, 6
@@ -365,7 +363,10 @@ def _dealt(labelled: DataFrame) -> DataFrame:
 
 
 def _components_by(docs: DataFrame, nodes: DataFrame, parts: DataFrame | None, sh: DataFrame | None, blocks: np.ndarray, k: int, similarity: float, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """(node, root) of the links so far (parts) and of those that the blocks propose, and the shingles that were read so far (sh). Nodes of one root are not compared."""
+    """(node, root) of the links so far (parts) and of those that the blocks propose, and the shingles that were read so far (sh). Nodes of one root are not compared.
+
+    Without parts, rows of larger buckets meet their pivots alone; with them, all that they have to.
+    """
     most = reach(similarity)
     apart = sketch_distance(most)
     root = F.col("node").alias("root") if parts is None else F.coalesce("root", "node").alias("root")
@@ -390,14 +391,11 @@ def _components_by(docs: DataFrame, nodes: DataFrame, parts: DataFrame | None, s
     links = pairs.join(of("u", "a"), "u").join(of("v", "b"), "v").select("u", "v", "a", "b").mapInArrow(lambda it: _verified(it, similarity), "u long, v long")
     links = links if parts is None else links.unionByName(parts.select(F.col("node").alias("u"), F.col("root").alias("v")))
     links = materialise(links, "wide-links")
-    for deal in () if large is None else (_with_pivots, _dealt):
-        if deal is _dealt:
-            large = large.drop("root").join(parts, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"), "m")
+    if large is not None:
+        deal = _with_pivots if parts is None else _dealt
         rows = deal(large).join(nodes.select("node", "fp"), "node").join(sh, "node").select("key", "i", "j", "part", "node", "root", "fp", "sh")
         rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
         links = links.unionByName(materialise(rows.mapInArrow(lambda it: _forests(it, most, similarity), "u long, v long"), "wide-forests"))
-        if deal is _with_pivots:
-            parts = materialise(connected_components(links), "wide-components")
     return materialise(connected_components(links), "wide-components"), sh
 
 
@@ -418,7 +416,7 @@ def similar_components(docs: DataFrame, k: int = 5, similarity: float = 0.8, id_
     share = differing_share(similarity)
     blocks = block_bits(width, max(BITS // width, math.ceil(math.log(1 / (1 - RECALL)) / (1 - share) ** width)))
     parts = sh = None
-    for own in (blocks[:FIRST], blocks[FIRST:]):
+    for own in (blocks[:FIRST], blocks):
         parts, sh = _components_by(docs, nodes, parts, sh, own, k, similarity, id_col, text_col)
     linked = nodes.select("node", "least").join(parts, "node")
     first = materialise(linked.groupBy("root").agg(F.min("least").alias("first"), F.count("*").alias("size")), "wide-firsts")
