@@ -14,8 +14,17 @@ BLOCK_LINES = 64
 
 def _only(found: DataFrame, asked: DataFrame, value: str, none: Column, several: Column) -> DataFrame:
     """asked (row, ...) with value where found (row, value) has just one for the row, and reason otherwise. `n` is known to none and several."""
-    one = found.select("row", value).distinct().groupBy("row").agg(F.count("*").alias("n"), F.min(value).alias(value))
-    out = asked.join(one, "row", "left").na.fill(0, ["n"])
+    return _told(asked, asked.join(_counted(found, ["row"], value), "row", "left"), value, none, several)
+
+
+def _counted(found: DataFrame, by: list[str], value: str) -> DataFrame:
+    """(by, n, value): how many different values there are, and the least one."""
+    return found.select(*by, value).distinct().groupBy(*by).agg(F.count("*").alias("n"), F.min(value).alias(value))
+
+
+def _told(asked: DataFrame, counted: DataFrame, value: str, none: Column, several: Column) -> DataFrame:
+    """counted: the columns of asked, n (null: 0) and value. asked with value where n is 1, and reason otherwise."""
+    out = counted.na.fill(0, ["n"])
     return out.select(*asked.columns, F.when(F.col("n") == 1, F.col(value)).alias(value), F.when(F.col("n") == 0, none).when(F.col("n") > 1, several).alias("reason"))
 
 
@@ -40,16 +49,22 @@ def changed_node(asked: DataFrame, definitions: DataFrame) -> DataFrame:
 
     asked with node_id of the only method or function that fits; Class.method in method names the class. Functions fit only where
     no class is named. No or several leave it null, with a reason.
+    A definition stands under its name alone, with its file, with its class and with both, and is counted there once; a row looks up the one
+    place that it asks for. So neither side is multiplied by the other, however many definitions have a name.
     """
     dotted = F.col("class_name").isNull() & F.contains("method", F.lit("."))
     owner = F.regexp_extract("method", r"^(.*)\.[^.]*$", 1)
     a = asked.withColumns({"class_name": F.when(dotted, owner).otherwise(F.col("class_name")), "method": F.when(dotted, F.substring_index("method", ".", -1)).otherwise(F.col("method"))})
-    wanted = a.select("row", "repository_id", F.col("method").alias("name"), F.col("file").alias("wanted_file"), F.col("class_name").alias("wanted_class"))
-    hits = wanted.join(definitions, ["repository_id", "name"])
-    hits = hits.where((F.col("wanted_file").isNull() | (F.col("wanted_file") == F.col("file"))) & (F.col("wanted_class").isNull() | (F.col("wanted_class") == F.col("class_name"))))
+    place = ["repository_id", "__name", "__file", "__class"]
+    # a name is wrapped where it is given, so that none is not the empty one
+    wrapped = lambda c: F.coalesce(F.concat(F.lit("="), c), F.lit(""))
+    ways = lambda c: F.explode(F.when(F.col(c).isNull(), F.array(F.lit(""))).otherwise(F.array(F.lit(""), wrapped(F.col(c)))))
+    stands = definitions.select("repository_id", F.col("name").alias("__name"), ways("file").alias("__file"), "class_name", F.col("id").alias("node_id"))
+    stands = stands.select(*place[:3], ways("class_name").alias("__class"), "node_id")
+    looked = a.withColumns({"__name": F.col("method"), "__file": wrapped(F.col("file")), "__class": wrapped(F.col("class_name"))})
     none = F.concat(F.lit("no method or function is named "), "method")
     several = F.format_string("%d methods or functions are named %s: give a file or class", F.col("n"), F.col("method"))
-    return _only(hits.select("row", F.col("id").alias("node_id")), a, "node_id", none, several)
+    return _told(a, looked.join(_counted(stands, place, "node_id"), place, "left"), "node_id", none, several)
 
 
 def related_tests(targets: DataFrame, functions: DataFrame, methods: DataFrame) -> DataFrame:

@@ -161,3 +161,21 @@ def test_relevant_code_beyond_the_file(spark):
     got = {r["row"]: (r["lines"], r["status"]) for r in localize.relevant_code(asked, lines).collect()}
     assert got[1] == ([f"l{i}" for i in range(60, 71)], "RESOLVED") and got[2][0] == ["l128", "l129"]
     assert [got[i] for i in (3, 4, 5)] == [([], "UNRESOLVED")] * 3
+
+
+def test_changed_node_makes_no_pairs(spark, capsys):
+    """Every row looks up one counted place: no join is left with a condition that has to look at all definitions of a name."""
+    defs = [("r", "a.py", "A", "run", "A.run"), ("r", "b.py", "A", "run", "A.run"), ("r", "b.py", "B", "run", "B.run"), ("r", "b.py", None, "go", "go"), ("r", None, "", "odd", "odd"), ("r", "", None, "odd", "odd2"), ("s", "a.py", "A", "run", "s"), ("r", "a.py", None, None, "none")]
+    asked = [(1, "r", None, None, "run"), (2, "r", "a.py", None, "run"), (3, "r", "b.py", None, "run"), (4, "r", None, "A", "run"), (5, "r", None, None, "B.run"), (6, "r", "b.py", "A", "go"), (7, "r", None, None, "go"), (8, "r", None, "", "odd"), (9, "r", "", None, "odd"), (10, "r", "a.py", None, None), (11, "t", "a.py", None, "run")]
+    df = localize.changed_node(
+        spark.createDataFrame(asked, "row int, repository_id string, file string, class_name string, method string"),
+        spark.createDataFrame(defs, "repository_id string, file string, class_name string, name string, id string"),
+    )
+    several = "2 methods or functions are named run: give a file or class"
+    missing = "no method or function is named "
+    assert {r["row"]: (r["node_id"], r["reason"]) for r in df.collect()} == {
+        1: (None, several), 2: ("A.run", None), 3: (None, several), 4: ("A.run", None), 5: ("B.run", None), 6: (None, missing + "go"), 7: ("go", None), 8: ("odd", None), 9: ("odd2", None), 10: (None, None), 11: (None, missing + "run"),
+    }
+    df.explain(mode="formatted")
+    plan = capsys.readouterr().out
+    assert "Join condition: None" in plan and plan.count("Join condition: None") == plan.count("Join condition:")
