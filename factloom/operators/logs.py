@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -73,20 +75,38 @@ def correlate_all(logs: DataFrame, failures: DataFrame, seconds: int = 5) -> Dat
     (failure_id, log_id, matched_on): each pair that a rule ties, with the first rule that does: the id, the time (at most `seconds` away), then exception type,
     message, file name and method name as parts of the line. Ids meet by an equi join, times by a band join, strings by an automaton over the distinct
     strings of all failures; empty ones tie nothing. A log_id or failure_id that is there twice is one.
+    A pair that a rule finds is left out where an earlier rule ties it, which its own two rows tell: so pairs, of which there may be as many as failures times lines,
+    leave the join that makes them and are neither shuffled nor gathered, unless an id is there twice.
     """
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
     entry = log_entry(F.col("raw"))
-    read = written(logs.select("log_id", "raw", entry.alias("entry")).select("log_id", "raw", "entry.ts", "entry.correlation_id"), "log-entries")
+    read = logs.select("log_id", "raw", entry.alias("entry")).select("log_id", "raw", micros("entry.ts").alias("l_at"), F.col("entry.correlation_id").alias("l_id"))
+    read = written(read, "log-entries")
     last = lambda c, sep: F.substring_index(c, sep, -1)
     wanted = [F.col("exception_type"), F.col("message"), last("file_path", "/"), last("qualified_name", ".")]
-    needles = F.explode(F.array(*(F.struct(F.lit(RULES.index(r)).alias("rule"), c.alias("needle")) for r, c in zip(RULES[2:], wanted, strict=True)))).alias("x")
-    asked = written(failures.select("failure_id", needles).select("failure_id", "x.rule", "x.needle").where("needle != ''").distinct(), "log-needles")
-    ids = failures.where("correlation_id != ''").select("failure_id", "correlation_id")
-    by_id = read.join(ids, "correlation_id").select("failure_id", "log_id", F.lit(0).alias("rule"))
-    near = band(failures.select(F.col("failure_id").alias("row"), "ts"), read.select(F.col("log_id").alias("other"), "ts"), seconds)
-    by_time = near.select(F.col("row").alias("failure_id"), F.col("other").alias("log_id"), F.lit(1).alias("rule"))
-    by_part = substring_hits(read.select("log_id", "raw"), "raw", asked, "needle").join(asked, "needle").select("failure_id", "log_id", "rule")
-    first = by_id.unionByName(by_time).unionByName(by_part).groupBy("failure_id", "log_id").agg(F.min("rule").alias("rule"))
-    return first.select("failure_id", "log_id", F.element_at(F.array(*map(F.lit, RULES)), F.col("rule") + 1).alias("matched_on"))
+    given = [F.nullif(c.cast("string"), F.lit("")).alias(r) for r, c in zip(RULES[2:], wanted, strict=True)]
+    asked = written(failures.select("failure_id", F.nullif("correlation_id", F.lit("")).alias("f_id"), micros("ts").alias("f_at"), *given), "log-failures")
+    width = seconds * 1_000_000
+    ties = [F.col("f_id") == F.col("l_id"), F.abs(F.col("f_at") - F.col("l_at")) <= width, *(F.contains("raw", F.col(r)) for r in RULES[2:])]
+
+    def first(pairs: DataFrame, rule: Column) -> DataFrame:
+        earlier = reduce(Column.__or__, (F.coalesce(t, F.lit(False)) & (rule > i) for i, t in enumerate(ties[:-1])))
+        return pairs.where(~earlier).select("failure_id", "log_id", rule.alias("rule"))
+
+    by_id = read.join(asked.select("failure_id", F.col("f_id").alias("l_id")), "l_id").select("failure_id", "log_id", F.lit(0).alias("rule"))
+    # of the two sides band() lays out the failures
+    at = lambda c: F.timestamp_micros(F.col(c)).alias("ts")
+    near = band(read.select(F.struct("log_id", "l_id").alias("row"), at("l_at")), asked.select(F.struct("failure_id", "f_id").alias("other"), at("f_at")), seconds)
+    by_time = near.select("row.*", "other.*").where(~F.coalesce(ties[0], F.lit(False))).select("failure_id", "log_id", F.lit(1).alias("rule"))
+    needles = F.explode(F.array(*(F.struct(F.lit(RULES.index(r)).alias("rule"), F.col(r).alias("needle")) for r in RULES[2:]))).alias("x")
+    needles = asked.select("*", needles).select(*asked.columns, "x.rule", "x.needle").where("needle is not null")
+    hits = substring_hits(read.withColumn("text", F.col("raw")), "text", needles, "needle")
+    by_part = first(hits.join(needles, "needle"), F.col("rule"))
+    found = by_id.unionByName(by_time).unionByName(by_part)
+    twice = lambda d, c: not d.groupBy(c).agg(F.count("*").alias("n")).where("n > 1").isEmpty()
+    if twice(asked, "failure_id") or twice(read, "log_id"):
+        found = found.groupBy("failure_id", "log_id").agg(F.min("rule").alias("rule"))
+    return found.select("failure_id", "log_id", F.element_at(F.array(*map(F.lit, RULES)), F.col("rule") + 1).alias("matched_on"))
 
 
 def correlate(logs: DataFrame, failure: dict, seconds: int = 5) -> DataFrame:
