@@ -39,15 +39,16 @@ def walked_edges(edges: DataFrame, depths: DataFrame, max_depth: int, forward: b
     """(depth, src, dst): all edges out of each frontier, those back to visited nodes included; depth counts from 1."""
     near = "src" if forward else "dst"
     from_ = depths.where(F.col("depth") < max_depth).select(F.col("node").alias(near), (F.col("depth") + 1).alias("depth"))
-    return edges.select("src", "dst").distinct().join(from_, near).select("depth", "src", "dst")
+    return edges.select("src", "dst").join(from_, near).select("depth", "src", "dst").distinct()
 
 
 def shortest_predecessors(edges: DataFrame, depths: DataFrame) -> DataFrame:
     """(node, predecessor, depth): the next nodes on shortest chains from a caller `node` back to the start."""
     a = depths.select(F.col("node").alias("src"), F.col("depth").alias("depth"))
     b = depths.select(F.col("node").alias("dst"), (F.col("depth") + 1).alias("depth"))
-    both = edges.select("src", "dst").distinct().join(a, "src").join(b, ["dst", "depth"])
-    return both.select(F.col("src").alias("node"), F.col("dst").alias("predecessor"), "depth")
+    # edges that no chain has are dropped before repeated ones are
+    both = edges.select("src", "dst").join(a, "src").join(b, ["dst", "depth"])
+    return both.select(F.col("src").alias("node"), F.col("dst").alias("predecessor"), "depth").distinct()
 
 
 def callers_beyond(edges: DataFrame, depths: DataFrame, max_depth: int) -> DataFrame:
@@ -78,10 +79,11 @@ def shortest_chains(predecessors: DataFrame, starts: DataFrame, max_depth: int,
     return ranked.where(F.col("rank") <= limit).select("node", "depth", "chain", (F.col("n") > limit).alias("capped"))
 
 
-def containers(edges: DataFrame, max_hops: int = 4) -> DataFrame:
-    """(owner, node, hops): who contains whom within max_hops steps of src CONTAINS dst, by the least number of steps."""
+def containers(edges: DataFrame, max_hops: int = 4, owners: DataFrame | None = None) -> DataFrame:
+    """(owner, node, hops): who contains whom within max_hops steps of src CONTAINS dst, by the least number of steps. owners (owner): only what these contain."""
     hop = edges.select(F.col("src").alias("owner"), F.col("dst").alias("node")).distinct()
-    level, whole = hop, hop.withColumn("hops", F.lit(1))
+    level = hop if owners is None else hop.join(owners.select("owner"), "owner", "left_semi")
+    whole = level.withColumn("hops", F.lit(1))
     for hops in range(2, max_hops + 1):
         step = hop.select(F.col("owner").alias("node"), F.col("node").alias("next"))
         level = level.join(step, "node").select("owner", F.col("next").alias("node")).distinct()

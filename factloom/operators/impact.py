@@ -82,7 +82,7 @@ def analyze(nodes: DataFrame, edges: DataFrame, changed: DataFrame, max_depth: i
     files = up.where("start_label = 'File'").join(inner.unionByName(classes), "id").select(F.col("owner").alias("id"), "depth")
     anchors = written(inner.unionByName(classes).unionByName(files).groupBy("id").agg(F.min("depth").alias("depth")), "impact-anchors")
     service = nodes.where("label = 'Service'").select(F.col("id").alias("owner"))
-    owned = containers(holds.select("src", "dst")).join(service, "owner", "left_semi")
+    owned = containers(holds.select("src", "dst"), owners=service)
     services = owned.join(anchors.withColumnRenamed("id", "node"), "node").groupBy("owner").agg(F.min(F.col("depth") + F.col("hops")).alias("depth")).select(F.col("owner").alias("id"), "depth")
     services = written(services, "impact-services")
     every = anchors.unionByName(services)
@@ -118,6 +118,6 @@ def naming_convention_tests(files: DataFrame, functions: DataFrame, targets: Dat
 
 def name_call_impact(calls: DataFrame, chunks: DataFrame, start: str, max_depth: int = 3) -> DataFrame:
     """calls: src, dst by name; chunks: id, is_test. (id, depth, relation): callers by name; tests are reported but nothing is reached through them."""
-    spread = calls.join(chunks.where("is_test").select(F.col("id").alias("dst")), "dst", "left_anti").select("src", "dst")
+    spread = written(calls.join(chunks.where("is_test").select(F.col("id").alias("dst")), "dst", "left_anti").select("src", "dst"), "name-calls")  # read twice
     found = reach(spread, calls.sparkSession.createDataFrame([(start,)], "node string"), max_depth).where("depth > 0")
     return found.join(chunks.select(F.col("id").alias("node"), "is_test"), "node").select(F.col("node").alias("id"), "depth", F.when(F.col("is_test"), "tests").otherwise("calls").alias("relation"))

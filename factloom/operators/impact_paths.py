@@ -75,7 +75,7 @@ def impact_routes(nodes: DataFrame, edges: DataFrame, changed: DataFrame, max_de
     files = written(_cut(_longer(inner, up("File"), limit).unionByName(_longer(classes, up("File"), limit)), limit), "route-files")
     anchors = inner.unionByName(classes).unionByName(files)
     service = nodes.where("label = 'Service'").select(F.col("id").alias("owner"))
-    owned = containers(holds.select(F.col("next").alias("src"), F.col("id").alias("dst"))).join(service, "owner", "left_semi").select(F.col("owner").alias("next"), F.col("node").alias("id")).distinct()
+    owned = containers(holds.select(F.col("next").alias("src"), F.col("id").alias("dst")), owners=service).select(F.col("owner").alias("next"), F.col("node").alias("id")).distinct()
     services = written(_longer(anchors, links(owned, "SERVICE", "Service", "CONTAINS", "REVERSE"), limit), "route-services")
     legal, category = F.lit(False), F.lit(None).cast("string")
     for rel, label, name in OWNED:

@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows of a task that sorts or gathers rows of keys, about.
+ROWS_A_TASK = 250_000
 #: At most this many rows of a narrow table are broadcast; larger sides are joined by a shuffle.
 MAX_BROADCAST_ROWS = 200_000
 
@@ -32,6 +34,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """df dealt by keys into partitions of about ROWS_A_TASK rows, as many as shuffles have at least: what a task sorts or gathers does not grow with the table.
+
+    Groups, windows and joins by these keys, or by these and more, need no further shuffle.
+    """
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // ROWS_A_TASK))
+    return df.repartition(parts, *keys)
+
+
 def is_written(df: DataFrame) -> bool:
     """Whether df is as written() returned it, so that reading it twice costs no second run."""
     return getattr(df, "_written", False)

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..operators.tables import dealt
+
 #: Facts by name; a fact may use tables and the facts before it.
 FACTS = {
     # parts that follow each other in an order are caller and callee
@@ -62,34 +65,38 @@ FACTS = {
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
-def needed(sql: str) -> list[str]:
-    """The facts that a text names, with those that they need, in order."""
+def needed(sql: str, given: Iterable[str] = ()) -> list[str]:
+    """The facts that a text names, with those that they need, in order, without those that are given."""
     found: set[str] = set()
     for name in reversed(FACTS):
+        if name in given:
+            continue
         if any(re.search(rf"\b(?:FROM|JOIN)\s+{name}\b", FACTS[x]) for x in found) or re.search(rf"\b(?:FROM|JOIN)\s+{name}\b", sql):
             found.add(name)
     return [n for n in FACTS if n in found]
 
 
-def for_duckdb(sql: str) -> str:
+def for_duckdb(sql: str, given: Iterable[str] = ()) -> str:
     """The statement with the facts that it needs as common table expressions."""
-    ctes = [f"{n} AS ({FACTS[n]})" for n in needed(sql)]
+    ctes = [f"{n} AS ({FACTS[n]})" for n in needed(sql, given)]
     head = re.match(r"\s*WITH (RECURSIVE )?", sql)
     if head and ctes:
         return f"WITH {head[1] or ''}{', '.join(ctes)}, {sql[head.end():]}"
     return f"WITH {', '.join(ctes)} {sql}" if ctes else sql
 
 
-def fact(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def fact(spark: SparkSession, sf_dir: str, name: str, **options) -> DataFrame:
     """A fact as a DataFrame."""
-    return select(spark, sf_dir, f"SELECT * FROM {name}")
+    return select(spark, sf_dir, f"SELECT * FROM {name}", **options)
 
 
-def select(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
-    """A statement over tables and facts."""
-    whole = for_duckdb(sql)
-    used = [t for t in TABLES if re.search(rf"\b(?:FROM|JOIN)\s+{t}\b", whole)]
+def select(spark: SparkSession, sf_dir: str, sql: str, deal: dict[str, str] | None = None, **given: DataFrame) -> DataFrame:
+    """A statement over tables and facts. given: facts that are there already; deal: columns by which tables are dealt (see dealt()) before anything else."""
+    whole = for_duckdb(sql, given)
+    used = [t for t in [*TABLES, *given] if re.search(rf"\b(?:FROM|JOIN)\s+{t}\b", whole)]
     for t in used:
         whole = re.sub(rf"\b(FROM|JOIN)\s+{t}\b", rf"\1 {{{t}}}", whole)
     # braces of literals would be taken for names
-    return spark.sql(whole, **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in used})
+    deal = deal or {}
+    read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
+    return spark.sql(whole, **{t: given[t] if t in given else dealt(read(t), deal[t]) if t in deal else read(t) for t in used})

@@ -18,36 +18,38 @@ _WALK = "WITH RECURSIVE w AS (SELECT node, 0 AS depth FROM start UNION SELECT c.
 _UP, _DOWN = _WALK.format(far="src", near="dst"), _WALK.format(far="dst", near="src")
 
 
-def _calls(spark, sf):
-    return written(fact(spark, sf, "calls"), "calls")
+def _calls_and_start(spark, sf):
+    """Both written: the calls are a join and a distinct over all lines, which all that follows reads."""
+    calls = written(fact(spark, sf, "calls"), "calls")
+    return calls, written(fact(spark, sf, "start", calls=calls), "start")
 
 
 @_Q.add(_UP + "SELECT node, depth FROM d")
 def bfs_callers(spark, sf):
-    return graph.reach(fact(spark, sf, "calls"), fact(spark, sf, "start"), DEPTH)
+    return graph.reach(*_calls_and_start(spark, sf), DEPTH)
 
 
 @_Q.add(_DOWN + "SELECT node, depth FROM d")
 def bfs_callees(spark, sf):
-    return graph.reach(fact(spark, sf, "calls"), fact(spark, sf, "start"), DEPTH, forward=True)
+    return graph.reach(*_calls_and_start(spark, sf), DEPTH, forward=True)
 
 
 @_Q.add(_UP + "SELECT d.depth + 1 AS depth, c.src, c.dst FROM calls c JOIN d ON c.dst = d.node WHERE d.depth < 3")
 def walked_call_edges(spark, sf):
-    edges = _calls(spark, sf)
-    return graph.walked_edges(edges, graph.reach(edges, fact(spark, sf, "start"), DEPTH), DEPTH)
+    edges, start = _calls_and_start(spark, sf)
+    return graph.walked_edges(edges, graph.reach(edges, start, DEPTH), DEPTH)
 
 
 @_Q.add(_UP + "SELECT a.node, b.node AS predecessor, a.depth FROM calls c JOIN d a ON c.src = a.node JOIN d b ON c.dst = b.node WHERE a.depth = b.depth + 1")
 def shortest_predecessors(spark, sf):
-    edges = _calls(spark, sf)
-    return graph.shortest_predecessors(edges, graph.reach(edges, fact(spark, sf, "start"), DEPTH))
+    edges, start = _calls_and_start(spark, sf)
+    return graph.shortest_predecessors(edges, graph.reach(edges, start, DEPTH))
 
 
 @_Q.add(_UP + "SELECT count(DISTINCT c.src) AS n FROM calls c JOIN d ON c.dst = d.node WHERE d.depth = 3 AND c.src NOT IN (SELECT node FROM d)")
 def frontier_truncated(spark, sf):
-    edges = _calls(spark, sf)
-    return graph.callers_beyond(edges, graph.reach(edges, fact(spark, sf, "start"), DEPTH), DEPTH)
+    edges, start = _calls_and_start(spark, sf)
+    return graph.callers_beyond(edges, graph.reach(edges, start, DEPTH), DEPTH)
 
 
 @_Q.add(
@@ -59,14 +61,14 @@ def frontier_truncated(spark, sf):
     SELECT node, depth, array_to_string(chain, '>') AS chain, n > 10 AS capped FROM r WHERE rank <= 10"""
 )
 def shortest_paths(spark, sf):
-    edges, start = _calls(spark, sf), fact(spark, sf, "start")
+    edges, start = _calls_and_start(spark, sf)
     steps = graph.shortest_predecessors(edges, graph.reach(edges, start, DEPTH))
     return graph.shortest_chains(steps, start, DEPTH).withColumn("chain", F.array_join("chain", ">"))
 
 
 @_Q.add(_DOWN + "SELECT node, depth, CASE WHEN depth = 1 THEN 'DIRECT' ELSE 'INDIRECT' END AS directness FROM d WHERE depth > 0")
 def downstream_services(spark, sf):
-    return graph.downstream(fact(spark, sf, "calls"), fact(spark, sf, "start"), DEPTH)
+    return graph.downstream(*_calls_and_start(spark, sf), DEPTH)
 
 
 @_Q.add("SELECT src AS owner, dst AS node, 1 AS hops FROM holds UNION ALL SELECT a.src, b.dst, 2 FROM holds a JOIN holds b ON a.dst = b.src")
@@ -94,8 +96,9 @@ def rendered_paths(spark, sf):
     "WITH RECURSIVE w AS (SELECT node, 0 AS depth FROM start UNION SELECT c.src, w.depth + 1 FROM w JOIN calls c ON c.dst = w.node AND c.src <> c.dst WHERE w.depth < 3 AND (w.depth = 0 OR w.node % 10 <> 3)) SELECT concat('p', CAST(node AS VARCHAR)) AS id, min(depth) AS depth, CASE WHEN node % 10 = 3 THEN 'tests' ELSE 'calls' END AS relation FROM w WHERE node IN (SELECT src FROM calls) GROUP BY node HAVING min(depth) > 0"
 )
 def call_name_bfs(spark, sf):
-    chunks = select(spark, sf, "SELECT id, id AS name, text FROM code_chunks").withColumn("is_test", F.col("id").rlike("3$"))
-    start = f"p{fact(spark, sf, 'start').first()[0]}"
+    edges, first = _calls_and_start(spark, sf)
+    chunks = written(select(spark, sf, "SELECT id, id AS name, text FROM code_chunks", calls=edges).withColumn("is_test", F.col("id").rlike("3$")), "chunks")
+    start = f"p{first.first()[0]}"
     # the start is expanded even if it is a test
     calls = graph.name_calls(chunks)
     return impact.name_call_impact(calls, chunks.withColumn("is_test", F.col("is_test") & (F.col("id") != start)), start, DEPTH)
@@ -175,7 +178,7 @@ UNION ALL SELECT 'DOWNSTREAM_SERVICE', concat('s', CAST(k AS VARCHAR)), k - 4, C
 
 def impact_graph(spark, sf):
     """Nodes, edges and the changed node: parts call parts, files hold them, services hold files and need each other, files expose APIs."""
-    calls = written(fact(spark, sf, "calls"), "calls")
+    calls, start = _calls_and_start(spark, sf)
     k = written(calls.select(F.col("src").alias("k")).union(calls.select("dst")).distinct(), "parts")
     nation = spark.read.parquet(f"{sf}/nation.parquet")
     of = lambda sql: spark.sql(sql, calls=calls, parts=k, nation=nation)
@@ -187,7 +190,7 @@ def impact_graph(spark, sf):
         UNION ALL SELECT DISTINCT 'File', concat('f', k % 50), 'EXPOSES', 'API', concat('a', k % 50) FROM {parts}
         UNION ALL SELECT 'Service', concat('s', n_nationkey), 'DEPENDS_ON', 'Service', concat('s', n_nationkey + 1) FROM {nation} WHERE n_nationkey >= 4"""
     )
-    start = fact(spark, sf, "start").select(F.concat(F.lit("p"), F.col("node").cast("string")).alias("id"))
+    start = start.select(F.concat(F.lit("p"), F.col("node").cast("string")).alias("id"))
     return written(nodes, "nodes"), written(edges, "edges"), start
 
 
