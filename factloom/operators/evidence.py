@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .tables import dealt
+
 FACT, RELEVANT, UNRESOLVED = "FACT", "POTENTIALLY_RELEVANT", "UNRESOLVED"
 _TYPES = {"key": "string", "type": "string", "source": "string", "status": "string", "details": "string", "file": "string", "line": "int", "method": "string", "commit": "string", "at": "timestamp"}
 
@@ -142,5 +144,5 @@ def with_new_only(evidence: DataFrame, retrieved: DataFrame) -> DataFrame:
 
 def in_first_order(items: DataFrame, key: str, value: str, order: list[str]) -> DataFrame:
     """(key, values): the distinct values of a key in the order of their first place (the columns of order)."""
-    first = items.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.min(F.struct(*order)).alias("at"))
+    first = dealt(items.where(F.col(value).isNotNull()), key).groupBy(key, value).agg(F.min(F.struct(*order)).alias("at"))
     return first.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("at", F.col(value).alias("v")))).alias("x")).select(key, F.transform("x", lambda r: r["v"]).alias("values"))
