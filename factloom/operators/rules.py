@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import location_file
 from .resolve import cited
+from .tables import dealt
 
 #: Exit codes that say a command could not run; levels of confidence.
 COULD_NOT_RUN, CONFIDENCE = (126, 127), ("low", "medium", "high")
@@ -127,7 +128,7 @@ def validation_request(requests: DataFrame, tests: DataFrame, prefix: str = "pyt
     Given commands win; else one command over the linked test files, each once, in order, quoted for a shell where that is needed. A request
     with neither raises an error, for no command is guessed.
     """
-    first = tests.where("test_file is not null").groupBy("id", "test_file").agg(F.min("ord").alias("ord"))
+    first = dealt(tests.where("test_file is not null"), "id").groupBy("id", "test_file").agg(F.min("ord").alias("ord"))
     bare = F.col("test_file").rlike(r"^[A-Za-z0-9_@%+=:,./-]+$")
     quoted = F.when(bare, F.col("test_file")).otherwise(F.concat(F.lit("'"), F.replace("test_file", F.lit("'"), F.lit("'\"'\"'")), F.lit("'")))
     listed = first.groupBy("id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ord", quoted.alias("f")))), lambda x: x["f"]), " ").alias("files"))

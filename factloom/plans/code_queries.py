@@ -340,7 +340,7 @@ def small_rules(spark, sf):
 )
 def validation_requests(spark, sf):
     tests = select(spark, sf, "SELECT l_orderkey AS id, concat('tests/t', CAST(l_partkey % 7 AS STRING), CASE WHEN l_partkey % 7 = 3 THEN ' x' ELSE '' END, '.py') AS test_file, l_linenumber AS ord FROM lineitem")
-    asked = select(spark, sf, "SELECT o_orderkey AS id, CASE WHEN o_orderstatus = 'F' THEN array('make test') END AS commands, CASE WHEN o_orderstatus <> 'P' THEN 'f.py' END AS file, o_orderpriority AS qualified_name FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)")
+    asked = select(spark, sf, "SELECT o_orderkey AS id, CASE WHEN o_orderstatus = 'F' THEN array('make test') END AS commands, CASE WHEN o_orderstatus <> 'P' THEN 'f.py' END AS file, o_orderpriority AS qualified_name FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)", deal={"lineitem": "l_orderkey"})
     out = rules.validation_request(asked, tests)
     return out.select("id", F.col("commands")[0].alias("command"), F.array_join("changed_files", ",").alias("changed"), "target")
 
