@@ -84,12 +84,12 @@ def evidence_location(claims: DataFrame, evidence: DataFrame) -> DataFrame:
     per = both.groupBy("claim").agg(
         F.min(F.when(F.col("wanted") == F.concat(F.lit("E"), F.col("n").cast("string")), F.col("known"))).alias("by_id"),
         F.min(F.when(F.col("location") == F.col("known"), F.col("known"))).alias("exact"),
-        F.count_distinct(F.when(fits, F.col("known"))).alias("n_fits"),
         F.min(F.when(fits, F.col("known"))).alias("fit"),
+        F.max(F.when(fits, F.col("known"))).alias("last_fit"),
         F.min(F.when(fits & F.col("localised"), F.struct("n", "known"))).alias("own"),
         F.min(F.when(F.col("localised") & F.col("sure"), F.struct("n", "known"))).alias("default"),
     )
-    loose = F.when(F.col("n_fits") == 1, F.col("fit")).when(F.col("n_fits") > 1, F.col("own.known"))
+    loose = F.when(F.col("fit") == F.col("last_fit"), F.col("fit")).when(F.col("fit").isNotNull(), F.col("own.known"))
     names = ["evidence_id", "exact", "file", "localised"]
     found = [F.col("by_id"), F.col("exact"), loose, F.col("default.known")]
     rule = F.coalesce(*(F.when(x.isNotNull(), n) for n, x in zip(names, found, strict=True)))

@@ -175,7 +175,7 @@ def ground_citations(spark, sf):
     SELECT claim, coalesce(by_id, exact, loose, fallback) AS location, CASE WHEN by_id IS NOT NULL THEN 'evidence_id' WHEN exact IS NOT NULL THEN 'exact' WHEN loose IS NOT NULL THEN 'file' WHEN fallback IS NOT NULL THEN 'localised' END AS rule FROM h"""
 )
 def evidence_location(spark, sf):
-    return rules.evidence_location(fact(spark, sf, "claims"), fact(spark, sf, "evidence"))
+    return rules.evidence_location(fact(spark, sf, "claims"), fact(spark, sf, "evidence", deal={"lineitem": "l_orderkey"}))
 
 
 _STATUS = "CASE WHEN timed_out THEN 'TIMEOUT' WHEN exit_code IS NULL OR exit_code IN (126, 127) THEN 'ERROR' WHEN exit_code = 0 THEN 'PASSED' ELSE 'FAILED' END"
