@@ -186,8 +186,10 @@ def git_evidence(files: DataFrame, file_changes: DataFrame, commits: DataFrame,
     diff = asked.where("status is not null").select("file", F.lit("git_diff").alias("source"), F.concat(detail, F.lit(f" between {previous[:12]} and {current[:12]}")).alias("details"), F.lit(None).cast("string").alias("commit"), F.lit(None).cast("timestamp").alias("at"))
     names = asked.select("file", F.explode(F.array_distinct(F.array_compact(F.array("file", "path")))).alias("name"))
     each = commits.select("commit_hash", "committed_at", "message", "ord", F.explode("changed_files").alias("name"))
-    hits = names.join(each, "name").select("file", "commit_hash", "committed_at", "message", "ord").distinct()
-    top = hits.withColumn("rank", F.row_number().over(Window.partitionBy("file").orderBy("ord", "commit_hash"))).where(F.col("rank") <= COMMITS_A_FILE)
+    hits = names.join(each, "name").select("file", "commit_hash", "committed_at", "message", "ord")
+    # a rank that repeated rows share is cut where the rows are, so few are left to be told apart
+    newest = hits.withColumn("rank", F.dense_rank().over(Window.partitionBy("file").orderBy("ord", "commit_hash"))).where(F.col("rank") <= COMMITS_A_FILE).drop("rank").distinct()
+    top = newest.withColumn("rank", F.row_number().over(Window.partitionBy("file").orderBy("ord", "commit_hash"))).where(F.col("rank") <= COMMITS_A_FILE)
     line = F.element_at(F.split(F.coalesce("message", F.lit("")), r"\r\n|\r|\n", 2), 1)
     told = top.select("file", F.lit("git_commit").alias("source"), F.concat(F.lit("commit "), F.substring("commit_hash", 1, 12), F.lit(" touched "), "file", F.lit(": "), line).alias("details"), F.col("commit_hash").alias("commit"), F.col("committed_at").cast("timestamp").alias("at"))
     return files.join(diff.unionByName(told), "file").select("owner", "source", "file", "details", "commit", "at")

@@ -8,7 +8,8 @@ from ..functions import columns as C
 from ..operators import evidence as ev
 from ..operators import facts as facts_of
 from ..operators import impact, impact_paths, localize, logs, projection, rules, snapshot
-from .facts import fact, select
+from ..operators.tables import dealt
+from .facts import FACTS, fact, select
 from .graph_queries import _IMPACT_SQL, _PAIR_SQL, DEPTH, impact_graph, snapshot_diff
 from .register import Queries
 
@@ -28,13 +29,18 @@ _FUNCTION = _sid("'function'", _FILE, "name", "line")
 _COMMIT = _sid("'commit'", _REPO, "commit_hash")
 
 
+def _changed_files(spark, sf):
+    """(commit_hash, changed_files): the rows of src_changes, each once, by commit; dealt once, by the commit, instead of by its rows first."""
+    rows = select(spark, sf, FACTS["src_changes"].replace("SELECT DISTINCT", "SELECT", 1))
+    return dealt(rows, "commit_hash").groupBy("commit_hash").agg(F.collect_set("path").alias("changed_files"))
+
+
 def _parsed(spark, sf):
     repo = projection.repositories(spark.createDataFrame([("shop", "/r", "git@x")], "name string, root_path string, remote_url string"))
     own = C.stable_id(F.lit("repository"), F.lit("git@x"))
     table = lambda name: fact(spark, sf, name).withColumn("repository", own)
-    changes = fact(spark, sf, "src_changes").groupBy("commit_hash").agg(F.collect_list("path").alias("changed_files"))
     known = select(spark, sf, "SELECT CAST(o_orderkey AS STRING) AS commit_hash, o_orderpriority AS message, o_orderstatus AS author_name, o_orderdate AS committed_at FROM orders WHERE o_orderkey % 3 > 0")
-    commits = known.join(changes, "commit_hash", "left").withColumn("repository", own).withColumn("author_email", F.lit(None).cast("string"))
+    commits = known.join(_changed_files(spark, sf), "commit_hash", "left").withColumn("repository", own).withColumn("author_email", F.lit(None).cast("string"))
     return repo, table, commits
 
 
@@ -157,9 +163,8 @@ def dependencies_both_ways(spark, sf):
 
 
 def _commits(spark, sf):
-    changes = fact(spark, sf, "src_changes").groupBy("commit_hash").agg(F.collect_list("path").alias("changed_files"))
     known = select(spark, sf, "SELECT CAST(o_orderkey AS STRING) AS commit_hash, o_orderdate AS committed_at, o_orderpriority AS message, o_orderstatus AS author_name, -o_orderkey AS ord FROM orders")
-    return known.join(changes, "commit_hash")
+    return known.join(_changed_files(spark, sf), "commit_hash")
 
 
 @_Q.add("SELECT path AS file, commit_hash FROM src_changes JOIN orders ON commit_hash = CAST(o_orderkey AS VARCHAR) JOIN src_files USING (path) WHERE o_orderdate < TIMESTAMP '1996-01-01 00:00:00' + INTERVAL 1 DAY * line_count")
