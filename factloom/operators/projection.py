@@ -106,8 +106,10 @@ def call_edges(calls: DataFrame, names: DataFrame) -> DataFrame:
     there = there.select("repository", F.concat_ws(".", "module", "symbol").alias("target"), F.struct("x.label", "x.id").alias("far"))
     source = names.select("repository", "file_path", F.col("symbol").alias("caller"), F.struct("label", "id").alias("start"))
     mine = calls.where("resolved").select("repository", "file_path", qualified_name(F.col("class_name"), F.col("name")).alias("caller"), "target")
-    out = mine.join(source, ["repository", "file_path", "caller"]).join(here, ["repository", "file_path", "target"], "left").join(there, ["repository", "target"], "left")
-    out = out.withColumn("end", F.coalesce("near", "far")).where("end is not null")
+    # the end first: calls without one are dropped before they are dealt by their callers
+    ends = mine.join(here, ["repository", "file_path", "target"], "left").join(there, ["repository", "target"], "left")
+    ends = ends.select("repository", "file_path", "caller", F.coalesce("near", "far").alias("end")).where("end is not null")
+    out = ends.join(source, ["repository", "file_path", "caller"])
     return out.select(F.col("start.label").alias("start_label"), F.col("start.id").alias("start_id"), F.lit("CALLS").alias("rel_type"), F.col("end.label").alias("end_label"), F.col("end.id").alias("end_id"))
 
 
