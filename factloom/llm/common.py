@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 HOT_SHARE = 0.001
 #: At most this many rows of (key, few longs) are broadcast; larger sides are joined by a shuffle.
 MAX_BROADCAST_ROWS = 500_000
+#: Spark's setting for the bytes of an Arrow batch.
+ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -51,6 +53,15 @@ def settings(spark: SparkSession, **conf: str) -> Iterator[None]:
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
+def small_batches(spark: SparkSession, size: int = 2 << 20) -> None:
+    """From here on the session hands rows to Python in Arrow batches of about `size` bytes (a larger row: one of its own), unless it has a setting of its own.
+
+    Otherwise 10,000 texts of any length make a batch, which lies in the JVM beside its heap and again in the Python worker.
+    """
+    if spark.conf.get(ARROW_BYTES, None) is None:
+        spark.conf.set(ARROW_BYTES, str(size))
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """df as a written table of the shared folder: cuts the lineage and outlives lost executors.
 

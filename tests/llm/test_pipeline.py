@@ -136,3 +136,29 @@ def test_near_dedup_judges_rows_by_their_own_texts(spark):
     assert texts.count("") == 2 and texts.count(" ") == 1
     said = {(r["doc_id"], r["component_id"]) for r in simhash_wide.similar_components(docs).collect()}
     assert said == {(1, 1), (2, 1), (2, 2), (7, 2), (None, 1), (None, None), (9, 9)}
+
+
+def test_stages_hand_small_batches_to_python(spark, corpus):
+    """60 texts of 100 KB and one of 5 MB in one partition: every stage bounds what an Arrow batch holds, whole texts stay, and a setting of the session's own counts."""
+    from factloom.llm.common import ARROW_BYTES
+
+    def sizes(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([len(b)]), pa.array([b.nbytes])], ["n", "size"])
+
+    docs = spark.range(0, 61, 1, 1).selectExpr("id AS doc_id", "repeat('a', if(id = 30, 5000000, 100000)) AS text")
+    few = spark.read.parquet(f"{corpus}/documents.parquet").limit(20)
+    for name, f in corpus_pipeline.STAGES:
+        spark.conf.unset(ARROW_BYTES)
+        f(spark, few, corpus)
+        got = docs.mapInArrow(sizes, "n long, size long").collect()
+        assert sum(r["n"] for r in got) == 61, name
+        assert sum(r["size"] for r in got) >= 11_000_000, name
+        assert all(r["size"] < 2_400_000 for r in got if r["size"] < 5_000_000), name
+        assert max(r["size"] for r in got) < 7_400_000, name
+    spark.conf.set(ARROW_BYTES, "500000")
+    dict(corpus_pipeline.STAGES)["byte_bpe"](spark, few, corpus)
+    assert spark.conf.get(ARROW_BYTES) == "500000"
+    spark.conf.unset(ARROW_BYTES)
