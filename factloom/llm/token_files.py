@@ -18,7 +18,7 @@ import os
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
-from itertools import chain
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +27,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import id_and_text, scratch
+from .common import ARROW_BYTES, id_and_text, scratch, settings
 from .words import ranges, slices
 
 NULL_ID = -(1 << 63)
@@ -35,8 +35,10 @@ NULL_ID = -(1 << 63)
 SHARD_BYTES, MANY = (16 << 20, 1 << 30), 4096
 #: Bytes of text that are encoded at once: of more text fewer words are new.
 ENCODE_BYTES = 8 << 20
-#: Distinct pieces of text whose ids a task keeps.
-CACHE_PIECES = 1_000_000
+#: Distinct pieces of text whose ids a process keeps, and the bytes of the longest of them.
+CACHE_PIECES, LONGEST_CACHED = 1_000_000, 128
+#: Characters of pieces that are encoded as one text.
+JOINED = 1 << 15
 TAIL = ".,;:!?*&%$#()[]{}<>-+=_/\\\"@^~|`"
 
 
@@ -59,24 +61,57 @@ class ChunkEncoder:
         self._clear()
 
     def _clear(self) -> None:
-        self.number: dict[str, int] = {"": 0}
-        self.flat, self.size = [np.zeros(0, np.uint32)], [np.zeros(1, np.int64)]
-
-    def pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        self.known, self.uses = pa.array([], pa.large_string()), np.zeros(0, np.int64)
+        self.flat, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64)
+
+    def _encode(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """How many ids each piece has, and all their ids.
+
+        Many pieces go to the library as one text with spaces between them, which costs less than a text for each; an id's
+        place in that text says whose it is.
+        """
+        ends = np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)) + 1)
+        size, flat, lo = [], [], 0
+        while lo < len(pieces):
+            before = int(ends[lo - 1]) if lo else 0
+            hi = max(lo + 1, int(np.searchsorted(ends, before + JOINED, side="right")))
+            made = self.tok.encode(" ".join(pieces[lo:hi]), add_special_tokens=False)
+            ids = made.ids
+            at = np.fromiter((x for x, _ in made.offsets), np.int64, len(ids))
+            size.append(np.bincount(np.searchsorted(ends[lo:hi] - before, at, side="right"), minlength=hi - lo))
+            flat.append(np.array(ids, np.uint32))
+            lo = hi
+        return np.concatenate(size), np.concatenate(flat)
+
+    def _forget(self) -> None:
+        """Drop long pieces; of too many, those that few slices had."""
+        keep = pc.binary_length(self.known).to_numpy(zero_copy_only=False) <= LONGEST_CACHED
+        if np.count_nonzero(keep) > CACHE_PIECES:
+            keep &= self.uses > 1
+            if np.count_nonzero(keep) > CACHE_PIECES // 2:
+                often = np.argsort(np.where(keep, -self.uses, 0), kind="stable")[: CACHE_PIECES // 2]
+                keep[:] = False
+                keep[often] = True
+            self.uses = self.uses >> 1
+        if not keep.all():
+            self.flat = self.flat[ranges((np.cumsum(self.size) - self.size)[keep], self.size[keep])]
+            self.known, self.uses, self.size = self.known.filter(pa.array(keep)), self.uses[keep], self.size[keep]
+
+    def pieces(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Where each of some distinct pieces' ids start, how many they are, and the array they lie in."""
-        if len(self.number) + len(pieces) > CACHE_PIECES:
-            self._clear()
-        number = self.number
-        new = [p for p in pieces if p not in number]
-        if new:
-            ids = [e.ids for e in self.tok.encode_batch(new, add_special_tokens=False)]
-            number.update(zip(new, range(len(number), len(number) + len(new)), strict=True))
-            self.size.append(np.fromiter(map(len, ids), np.int64, len(ids)))
-            self.flat.append(np.fromiter(chain.from_iterable(ids), np.uint32))
-            self.flat, self.size = [np.concatenate(self.flat)], [np.concatenate(self.size)]
-            self.at = np.cumsum(self.size[0]) - self.size[0]
-        own = np.fromiter(map(number.__getitem__, pieces), np.int64, len(pieces))
-        return (self.at if len(number) > 1 else np.zeros(1, np.int64))[own], self.size[0][own], self.flat[0]
+        found = pc.index_in(pieces, value_set=self.known)
+        own, had = found.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), found.is_valid().to_numpy(zero_copy_only=False)
+        self.uses[own[had]] += 1
+        if not had.all():
+            new = pieces.filter(found.is_null())
+            size, ids = self._encode(new.to_pylist())
+            own[~had] = np.arange(len(self.known), len(self.known) + len(new))
+            self.known, self.uses = pa.concat_arrays([self.known, new]), np.concatenate([self.uses, np.ones(len(new), np.int64)])
+            self.flat, self.size = np.concatenate([self.flat, ids]), np.concatenate([self.size, size])
+        out = (np.cumsum(self.size) - self.size)[own], self.size[own], self.flat
+        if not had.all():
+            self._forget()
+        return out
 
     def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in one array, and where each text's start (one more: the end)."""
@@ -92,31 +127,29 @@ class ChunkEncoder:
         changed = foreign.filter(pc.not_equal(foreign, pc.utf8_normalize(foreign, "NFC")))
         safe = pc.and_not(safe, pc.is_in(core, changed)) if len(changed) else safe
         keep = pc.binary_length(core).to_numpy(zero_copy_only=False)
-        raw = whole.to_pylist()
         ok = safe.to_numpy(zero_copy_only=False)
-        long_tail = ok & (keep < pc.binary_length(whole).to_numpy(zero_copy_only=False))
-        tails = [raw[i].rpartition(raw[i].rstrip(TAIL))[2] for i in np.flatnonzero(long_tail)]
-        heads = pc.if_else(safe, pc.utf8_lower(core), whole).dictionary_encode()
-        tail_coded = pa.array(tails, pa.large_string()).dictionary_encode()
-        known = [*heads.dictionary.to_pylist(), *tail_coded.dictionary.to_pylist()]
-        distinct = list(dict.fromkeys(known))
-        at, size, ids = self.pieces(distinct)
-        place = {p: i for i, p in enumerate(distinct)} if len(distinct) < len(known) else None
-        tail_at = np.array([place[p] for p in known[len(heads.dictionary) :]], np.int64) if place else np.arange(len(heads.dictionary), len(known))
-        # ids of a chunk: of its head, then of its tail
+        rest = pc.binary_length(whole).to_numpy(zero_copy_only=False) - keep
+        long_tail = np.flatnonzero(ok & (rest > 0))
+        tails = [w[-k:] for w, k in zip(whole.take(pa.array(long_tail)).to_pylist(), rest[long_tail].tolist(), strict=True)]
         n = len(whole)
-        two = np.zeros((n, 2), np.int64)
-        two_size = np.zeros((n, 2), np.int64)
-        head_code = heads.indices.to_numpy(zero_copy_only=False)
-        head_place = head_code if place is None else np.array([place[p] for p in known[: len(heads.dictionary)]], np.int64)[head_code]
-        two[:, 0], two_size[:, 0] = at[head_place], size[head_place]
-        if len(tails):
-            t = tail_at[tail_coded.indices.to_numpy(zero_copy_only=False)]
-            two[long_tail, 1], two_size[long_tail, 1] = at[t], size[t]
+        coded = pa.concat_arrays([pc.if_else(safe, pc.utf8_lower(core), whole), pa.array(tails, pa.large_string())]).dictionary_encode()
+        place = coded.indices.to_numpy(zero_copy_only=False)
+        at, size, ids = self.pieces(coded.dictionary)
+        # ids of a chunk: of its head, then of its tail
+        two, two_size = np.zeros((n, 2), np.int64), np.zeros((n, 2), np.int64)
+        two[:, 0], two_size[:, 0] = at[place[:n]], size[place[:n]]
+        two[long_tail, 1], two_size[long_tail, 1] = at[place[n:]], size[place[n:]]
+        ids = ids[ranges(two.ravel(), two_size.ravel())]
+        size = two_size.sum(axis=1)
         codes = flat.indices.to_numpy(zero_copy_only=False)
-        lengths = two_size[codes]
-        total = np.concatenate([[0], np.cumsum(lengths.sum(axis=1))])[offsets]
-        return ids[ranges(two[codes].ravel(), lengths.ravel())], total
+        lengths = size[codes]
+        return ids[ranges((np.cumsum(size) - size)[codes], lengths)], np.concatenate([[0], np.cumsum(lengths)])[offsets]
+
+
+@lru_cache(1)
+def shared(path: str, special_as_text: bool = True) -> ChunkEncoder:
+    """One for all tasks of a process."""
+    return ChunkEncoder(path, special_as_text)
 
 
 def closed(ids: np.ndarray, starts: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
@@ -192,7 +225,7 @@ def shard_bounds(data: DataFrame, shards: int) -> np.ndarray:
 def write_token_files(docs: DataFrame, make_encoder: Callable, end_id: int, vocabulary: int, uri: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Write the ids of every document (null text: empty) and end_id after each; returns the manifest.
 
-    make_encoder: called once in each task, gives an object with batch(texts). Ids are made where the text is read;
+    make_encoder: called once in each task, gives an object with batch(texts), which may be one for all tasks of a process. Ids are made where the text is read;
     only the packed ids are shuffled, once, to the shard of their doc_id. Shards follow the bytes of text. Repeated doc_ids stand side by side,
     in the order of a hash of their texts, and may go on in the next shard; null doc_ids come first; an empty table gives an empty manifest.
     """
@@ -245,7 +278,8 @@ def write_token_files(docs: DataFrame, make_encoder: Callable, end_id: int, voca
 
     coded = data.mapInArrow(encode, "shard int, doc_id long, mark long, ids binary")
     dealt = coded.repartitionById(len(bounds) + 1, F.col("shard")).sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), "mark")
-    dealt.mapInArrow(write, "shard int, n_docs long, n_ids long").withColumn("dtype", F.lit(dtype)).write.parquet(f"{uri}/manifest")
+    with settings(spark, **{ARROW_BYTES.replace(".", "__"): str(ENCODE_BYTES)}):
+        dealt.mapInArrow(write, "shard int, n_docs long, n_ids long").withColumn("dtype", F.lit(dtype)).write.parquet(f"{uri}/manifest")
     return manifest(spark, uri)
 
 
@@ -283,5 +317,5 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .common import table
 
     path = public_tokenizers.path("word_bpe_49k.json")
-    shards = write_token_files(table(spark, sf_dir, "documents"), lambda: ChunkEncoder(path, special_as_text=False), end_id=1, vocabulary=49_408)
+    shards = write_token_files(table(spark, sf_dir, "documents"), lambda: shared(path, special_as_text=False), end_id=1, vocabulary=49_408)
     return read_token_files(shards, end_id=1)

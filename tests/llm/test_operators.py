@@ -642,3 +642,28 @@ def test_chunk_encoder_of_every_code_point_before_punctuation(tokenizer):
             want = [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
             assert np.array_equal(np.diff(starts), [len(w) for w in want])
             assert np.array_equal(ids, np.concatenate([np.array(w, np.uint32) for w in want]))
+
+
+def test_chunk_encoder_keeps_pieces_between_tasks(tokenizer, monkeypatch):
+    """Tasks of a process share an encoder: known pieces are not encoded again, few and short ones are kept, and ids stay those of the library."""
+    import pyarrow as pa
+
+    t, path = tokenizer
+    own = token_files.shared(path)
+    assert own is token_files.shared(path)
+    asked = []
+    encode = own._encode
+    monkeypatch.setattr(own, "_encode", lambda pieces: asked.extend(pieces) or encode(pieces))
+    monkeypatch.setattr(token_files, "CACHE_PIECES", 40)
+    own._clear()
+    texts = ["The quick, brown fox's \u0301x don't", "brown\tfox. quick 12345", "", "x" * 300 + " The!", "\n \n", "a<|endoftext|>b c"]
+    more = [f"word{i} The" for i in range(60)]
+    for batch, new in ((texts, True), (texts, False), (more, True), (texts, None), (more, None)):
+        asked.clear()
+        ids, starts = own.batch(pa.array(batch))
+        want = [e.ids for e in t.encode_batch(batch, add_special_tokens=False)]
+        assert [ids[i:j].tolist() for i, j in zip(starts, starts[1:], strict=False)] == want
+        assert new is None or bool([p for p in asked if len(p) < 100]) == new
+        assert len(own.known) <= 40
+        assert max(map(len, own.known.to_pylist()), default=0) < 300
+    own._clear()
