@@ -15,6 +15,9 @@ second round, of all blocks, a bucket's rows go on only if they may have a partn
 larger bucket only the rows outside its largest component meet all others, each pair of components at most until it is linked. What is too large for one
 task is cut into parts, each two of which are a group, and only a spanning forest of verified pairs leaves a group.
 
+The blocks are dealt in passes of PASS at most, and what a pass wrote for them is gone when the next one begins. So the rows that lie on disk at once grow as the
+number of texts, though the number of blocks grows too; a bucket is of one block, so passes find what all blocks at once would.
+
 To the buckets go keys, nodes and the first SKETCH bits alone. A row that differs from all others of its small bucket in more of
 those than a candidate can (but for a chance of 10^-9) has no partner there; the other rows meet again with whole fingerprints.
 """
@@ -22,13 +25,14 @@ those than a candidate can (but for a chance of 10^-9) has no partner there; the
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import MAX_BROADCAST_ROWS, attach, id_and_text, materialise
+from .common import MAX_BROADCAST_ROWS, attach, discard, id_and_text, materialise
 from .components import connected_components
 from .simhash import _lanes, fingerprints_of, shingle_hashes
 from .words import release, slices
@@ -47,6 +51,8 @@ PIVOTS = 4
 PAIRS, BIT_BYTES = 4096, 32 << 20
 #: So many blocks come first: what they link is one component when all blocks are looked at, whose buckets then hold few rows of a group of copies.
 FIRST = 6
+#: So many blocks at most are dealt at once: a row of about 24 bytes for each of them and each text.
+PASS = 48
 #: Bits of a fingerprint that go to its buckets, and by how many standard deviations a link's distance there may exceed its mean.
 SKETCH, DEVIATIONS = 128, 6
 
@@ -127,8 +133,8 @@ def block_bits(width: int, blocks: int) -> np.ndarray:
     return np.stack(out)
 
 
-def _keys(fp: np.ndarray, blocks: np.ndarray) -> np.ndarray:
-    """The value of each block of each fingerprint (rows of bytes), 64-bit hashes that include the block's number."""
+def _keys(fp: np.ndarray, blocks: np.ndarray, first: int) -> np.ndarray:
+    """The value of each block of each fingerprint (rows of bytes), 64-bit hashes that include the block's number, which is first and so on."""
     bits = np.unpackbits(fp, axis=1, bitorder="little")
     out = np.zeros((len(fp), len(blocks)), np.uint64)
     for j, own in enumerate(blocks):
@@ -136,19 +142,20 @@ def _keys(fp: np.ndarray, blocks: np.ndarray) -> np.ndarray:
         for i in own:
             v = v << np.uint64(1) | bits[:, i]
         out[:, j] = v
-    out = (out ^ (np.arange(len(blocks), dtype=np.uint64) << np.uint64(56))) * np.uint64(0xBF58476D1CE4E5B9) + np.arange(len(blocks), dtype=np.uint64)
+    number = np.arange(first, first + len(blocks), dtype=np.uint64)
+    out = (out ^ (number << np.uint64(56))) * np.uint64(0xBF58476D1CE4E5B9) + number
     return out ^ out >> np.uint64(31)
 
 
-def _sketches(batches, blocks: np.ndarray):
-    """Rows (key, node, root, a, b) for each block: the first SKETCH bits as two longs."""
+def _sketches(batches, blocks: np.ndarray, first: int):
+    """Rows (key, node, root, a, b) for each block, whose numbers are first and so on: the first SKETCH bits as two longs."""
     for rows in batches:
         for s in range(0, len(rows), 2000):
             part = rows.slice(s, 2000)
             fp = np.frombuffer(b"".join(part["fp"].to_pylist()), np.uint8).reshape(-1, BITS // 8)
             a, b = np.ascontiguousarray(fp[:, : SKETCH // 8]).view(np.int64).T
             row = np.repeat(np.arange(len(part)), len(blocks))
-            keys = _keys(fp, blocks).ravel().view(np.int64)
+            keys = _keys(fp, blocks, first).ravel().view(np.int64)
             at = pa.array(row)
             yield pa.RecordBatch.from_arrays([pa.array(keys), part["node"].take(at), part["root"].take(at), pa.array(a[row]), pa.array(b[row])], ["key", "node", "root", "a", "b"])
 
@@ -362,28 +369,39 @@ def _dealt(labelled: DataFrame) -> DataFrame:
     return cut.select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "node", "root")
 
 
-def _components_by(docs: DataFrame, nodes: DataFrame, parts: DataFrame | None, sh: DataFrame | None, blocks: np.ndarray, k: int, similarity: float, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """(node, root) of the links so far (parts) and of those that the blocks propose, and the shingles that were read so far (sh). Nodes of one root are not compared.
-
-    Without parts, rows of larger buckets meet their pivots alone; with them, all that they have to.
-    """
-    most = reach(similarity)
+def _proposed(labelled: DataFrame, nodes: DataFrame, blocks: np.ndarray, first: int, most: int) -> tuple[DataFrame, DataFrame | None]:
+    """What these blocks, whose numbers are first and so on, propose: distinct candidates (u, v) of small buckets, and the rows (key, node, root, m) of larger ones, if there are any."""
     apart = sketch_distance(most)
-    root = F.col("node").alias("root") if parts is None else F.coalesce("root", "node").alias("root")
-    labelled = (nodes if parts is None else nodes.join(parts, "node", "left")).select("node", "fp", "m", root)
-    met = labelled.select("node", "fp", "root").mapInArrow(lambda it: _sketches(it, blocks), "key long, node long, root long, a long, b long")
+    met = labelled.select("node", "fp", "root").mapInArrow(lambda it: _sketches(it, blocks, first), "key long, node long, root long, a long, b long")
     met = met.repartition("key").sortWithinPartitions("key").mapInArrow(lambda it: _near_rows(it, apart), "key long, node long, root long")
     near = materialise(met, "wide-near")
     many = materialise(near.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > SMALL), "wide-large")
-    small, large = near, None
+    small, large, read = near, None, [near]
     if not many.isEmpty():
         marked = materialise(attach(near, many, "key", "n"), "wide-marked")
         small, large = marked.where("n is null").select("key", "node", "root"), marked.where("n is not null")
         large = materialise(large.join(nodes.select("node", "m"), "node").select("key", "node", "root", "m"), "wide-rows")
+        read.append(marked)
     whole = small.join(nodes.select("node", "fp"), "node").select("key", "node", "root", "fp").repartition("key").sortWithinPartitions("key", "node")
     pairs = materialise(whole.mapInArrow(lambda it: _small_pairs(it, most), "u long, v long").where("u != v").distinct(), "wide-pairs")
-    asked = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node")))
-    asked = (asked if large is None else asked.unionByName(large.select("node"))).distinct()
+    discard(*read)
+    return pairs, large
+
+
+def _components_by(docs: DataFrame, nodes: DataFrame, parts: DataFrame | None, sh: DataFrame | None, blocks: np.ndarray, k: int, similarity: float, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """(node, root) of the links so far (parts) and of those that the blocks propose, and the shingles that were read so far (sh). Nodes of one root are not compared.
+
+    Without parts, rows of larger buckets meet their pivots alone; with them, all that they have to.
+    """
+    most = reach(similarity)
+    root = F.col("node").alias("root") if parts is None else F.coalesce("root", "node").alias("root")
+    labelled = (nodes if parts is None else nodes.join(parts, "node", "left")).select("node", "fp", root)
+    passes = np.array_split(np.arange(len(blocks)), -(-len(blocks) // PASS))
+    labelled = labelled if len(passes) == 1 else materialise(labelled, "wide-labelled")
+    said = [_proposed(labelled, nodes, blocks[own], int(own[0]), most) for own in passes]
+    pairs, larges = reduce(DataFrame.unionByName, (p for p, _ in said)), [x for _, x in said if x is not None]
+    pairs = pairs if len(said) == 1 else materialise(pairs.distinct(), "wide-pairs")
+    asked = reduce(DataFrame.unionByName, [pairs.select(F.col("u").alias("node")), pairs.select(F.col("v").alias("node")), *(x.select("node") for x in larges)]).distinct()
     asked = asked if sh is None else asked.join(sh.select("node"), "node", "left_anti")
     more = shingles_of(docs, materialise(nodes.select("node", "least.doc_id", "least.mark").join(asked, "node", "left_semi"), "wide-asked"), k, id_col, text_col)
     sh = more if sh is None else sh.unionByName(more)
@@ -391,9 +409,11 @@ def _components_by(docs: DataFrame, nodes: DataFrame, parts: DataFrame | None, s
     links = pairs.join(of("u", "a"), "u").join(of("v", "b"), "v").select("u", "v", "a", "b").mapInArrow(lambda it: _verified(it, similarity), "u long, v long")
     links = links if parts is None else links.unionByName(parts.select(F.col("node").alias("u"), F.col("root").alias("v")))
     links = materialise(links, "wide-links")
-    if large is not None:
-        deal = _with_pivots if parts is None else _dealt
-        rows = deal(large).join(nodes.select("node", "fp"), "node").join(sh, "node").select("key", "i", "j", "part", "node", "root", "fp", "sh")
+    deal, held = _with_pivots if parts is None else _dealt, sh
+    if len(larges) > 1:  # each of them is joined to the shingles, of which few are theirs
+        held = materialise(sh.join(reduce(DataFrame.unionByName, [x.select("node") for x in larges]).distinct(), "node", "left_semi"), "wide-held")
+    for large in larges:
+        rows = deal(large).join(nodes.select("node", "fp"), "node").join(held, "node").select("key", "i", "j", "part", "node", "root", "fp", "sh")
         rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
         links = links.unionByName(materialise(rows.mapInArrow(lambda it: _forests(it, most, similarity), "u long, v long"), "wide-forests"))
     return materialise(connected_components(links), "wide-components"), sh

@@ -596,6 +596,34 @@ def test_a_group_of_near_copies_costs_its_rows(spark):
     assert simhash_wide._dealt(linked.where("root = 0")).count() == 0
 
 
+def most_dealt(spark, run):
+    """run's result, and how many rows the stage of it that wrote most wrote for a shuffle."""
+    sc = spark.sparkContext
+    store, gateway = sc._jsc.sc().statusStore(), sc._gateway
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+
+    def stages():
+        found = store.stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())
+        return {x.stageId(): x.shuffleWriteRecords() for x in map(found.apply, range(found.size()))}
+
+    before = stages()
+    out = run()
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    return out, max(n for k, n in stages().items() if k not in before)
+
+
+def test_near_dedup_deals_its_blocks_in_passes(spark, monkeypatch):
+    """What lies on disk at once follows the texts, not their number times that of the blocks; the components are those of all blocks at once."""
+    texts = near_copies(np.random.default_rng(11), 60) + overlapping_texts(np.random.default_rng(12), 40, [178 + i % 20 for i in range(40)])
+    found = lambda: {r["doc_id"]: r["component_id"] for r in simhash_wide.similar_components(odd_documents(spark, texts)).collect()}
+    got, most = most_dealt(spark, found)
+    assert most <= 50 * len(texts)
+    monkeypatch.setattr(simhash_wide, "PASS", 1000)
+    once, all_at_once = most_dealt(spark, found)
+    assert got == once
+    assert all_at_once > 60 * len(texts)  # texts of one fingerprint are one node
+
+
 def test_token_files_special_tokens(spark, tmp_path):
     """The registered query gives the ids of the unchanged tokenizer, strings of special tokens included."""
     import public_tokenizers
