@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .needles import substring_hits
 from .resolve import band
-from .tables import written
+from .tables import ROWS_A_TASK, written
 
 #: A frame line, an exception line with and without a message, a time, an id.
 FRAME = r'^\s*File "([^"]+)", line (\d+), in (\S+)\s*$'
@@ -69,6 +69,46 @@ def log_entry(raw: Column) -> Column:
 RULES = ["correlation_id", "timestamp_window", "exception_type", "exception_message", "file_path", "method"]
 
 
+#: Lines and failures of one needle that a tile holds, failures that a row of it holds, and pairs that a task makes, about.
+TILE_LINES, TILE_FAILURES, PIECE, PAIRS_A_TASK = 2_000, 20_000, 128, 50_000_000
+
+
+def _met(hits: DataFrame, needles: DataFrame) -> DataFrame:
+    """hits: log_id, raw, l_at, l_id, needle; needles: failure_id, f_id, f_at, rule, needle and the strings of RULES[2:].
+
+    (log_id, l_at, l_id, failure_id, f_id, f_at, rule): failures and lines of the same needle, but for those that a string of an earlier rule ties.
+    A needle's pairs are cut into tiles of some lines and some failures, which are dealt evenly, however common a needle is: lines and failures are repeated
+    once for thousands of pairs, pairs themselves never move. Failures with the same strings stand in rows of PIECE at most, and each such row meets the
+    lines of its tile one after the other: so ids repeat at short distances, which files that pairs are written to encode in a small part of a byte.
+    """
+    spark, strings = hits.sparkSession, RULES[2:-1]
+    parts = lambda c, most: F.ceil(F.col(c) / most).cast("int")
+    size = hits.groupBy("needle").agg(F.count("*").alias("lines")).join(needles.groupBy("needle").agg(F.count("*").alias("failures")), "needle")
+    size = written(size.withColumns({"across": parts("lines", TILE_LINES), "down": parts("failures", TILE_FAILURES)}), "log-tiles")
+    times = lambda a, b: F.coalesce(F.sum(F.col(a).cast("double") * F.col(b)), F.lit(0.0))
+    total = size.agg(times("lines", "failures").alias("pairs"), (times("lines", "down") + times("failures", "across")).alias("rows")).first()
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(total["pairs"] // PAIRS_A_TASK) + 1, int(total["rows"] // ROWS_A_TASK) + 1)
+    # at most one for TILE_LINES hits or TILE_FAILURES failures
+    cut = F.broadcast(size.where("across > 1 or down > 1").select("needle", "across", "down"))
+    many = lambda c: F.coalesce(c, F.lit(1))
+    own = lambda c, of: F.pmod(F.xxhash64(c), many(of)).cast("int")
+    every = lambda of: F.explode(F.sequence(F.lit(0), many(of) - 1))
+
+    told = [F.when(F.col("rule") > i, F.col(r)).alias(r) for i, r in enumerate(strings, 2)]
+    alike = needles.join(cut, "needle", "left").select("needle", "across", own("failure_id", "down").alias("y"), "rule", *told, F.struct("failure_id", "f_id", "f_at").alias("f"))
+    alike = alike.groupBy("needle", "across", "y", "rule", *strings).agg(F.collect_list("f").alias("fs"))
+    starts = F.sequence(F.lit(1), F.size("fs"), F.lit(PIECE))
+    pieces = written(alike.select("needle", "across", "y", "rule", *strings, F.explode(F.transform(starts, lambda i: F.slice("fs", i, PIECE))).alias("fs")), "log-pieces")
+    pieces = pieces.select("needle", every("across").alias("x"), "y", "rule", *strings, "fs")
+    lines = hits.join(cut, "needle", "left").select("needle", own("log_id", "across").alias("x"), every("down").alias("y"), "log_id", "l_at", "l_id", "raw")
+    tile = ["needle", "x", "y"]
+    # the rows of the first side are gone through, those of the second are held
+    met = pieces.repartition(n, *tile).hint("merge").join(lines.repartition(n, *tile), tile)
+    earlier = reduce(Column.__or__, (F.coalesce(F.contains("raw", F.col(r)), F.lit(False)) for r in strings))
+    # as many partitions as before, the same ones: a join's stage holds all rows that come of one row of its first side, so pairs are made in a stage of their own
+    return met.where(~earlier).select("log_id", "l_at", "l_id", "rule", "fs").coalesce(n).select("log_id", "l_at", "l_id", "rule", F.inline("fs"))
+
+
 def correlate_all(logs: DataFrame, failures: DataFrame, seconds: int = 5) -> DataFrame:
     """logs: log_id, raw; failures: failure_id and correlation_id, ts, exception_type, message, file_path, qualified_name, each of which may be null.
 
@@ -76,7 +116,7 @@ def correlate_all(logs: DataFrame, failures: DataFrame, seconds: int = 5) -> Dat
     message, file name and method name as parts of the line. Ids meet by an equi join, times by a band join, strings by an automaton over the distinct
     strings of all failures; empty ones tie nothing. A log_id or failure_id that is there twice is one.
     A pair that a rule finds is left out where an earlier rule ties it, which its own two rows tell: so pairs, of which there may be as many as failures times lines,
-    leave the join that makes them and are neither shuffled nor gathered, unless an id is there twice.
+    leave the join that makes them and are neither shuffled nor gathered, unless an id is there twice. The join of strings is one of tiles (see _met()).
     """
     micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
     entry = log_entry(F.col("raw"))
@@ -87,21 +127,18 @@ def correlate_all(logs: DataFrame, failures: DataFrame, seconds: int = 5) -> Dat
     given = [F.nullif(c.cast("string"), F.lit("")).alias(r) for r, c in zip(RULES[2:], wanted, strict=True)]
     asked = written(failures.select("failure_id", F.nullif("correlation_id", F.lit("")).alias("f_id"), micros("ts").alias("f_at"), *given), "log-failures")
     width = seconds * 1_000_000
-    ties = [F.col("f_id") == F.col("l_id"), F.abs(F.col("f_at") - F.col("l_at")) <= width, *(F.contains("raw", F.col(r)) for r in RULES[2:])]
-
-    def first(pairs: DataFrame, rule: Column) -> DataFrame:
-        earlier = reduce(Column.__or__, (F.coalesce(t, F.lit(False)) & (rule > i) for i, t in enumerate(ties[:-1])))
-        return pairs.where(~earlier).select("failure_id", "log_id", rule.alias("rule"))
+    by_both = [F.col("f_id") == F.col("l_id"), F.abs(F.col("f_at") - F.col("l_at")) <= width]
+    ties = [F.coalesce(t, F.lit(False)) for t in by_both]
 
     by_id = read.join(asked.select("failure_id", F.col("f_id").alias("l_id")), "l_id").select("failure_id", "log_id", F.lit(0).alias("rule"))
     # of the two sides band() lays out the failures
     at = lambda c: F.timestamp_micros(F.col(c)).alias("ts")
     near = band(read.select(F.struct("log_id", "l_id").alias("row"), at("l_at")), asked.select(F.struct("failure_id", "f_id").alias("other"), at("f_at")), seconds)
-    by_time = near.select("row.*", "other.*").where(~F.coalesce(ties[0], F.lit(False))).select("failure_id", "log_id", F.lit(1).alias("rule"))
+    by_time = near.select("row.*", "other.*").where(~ties[0]).select("failure_id", "log_id", F.lit(1).alias("rule"))
     needles = F.explode(F.array(*(F.struct(F.lit(RULES.index(r)).alias("rule"), F.col(r).alias("needle")) for r in RULES[2:]))).alias("x")
     needles = asked.select("*", needles).select(*asked.columns, "x.rule", "x.needle").where("needle is not null")
     hits = substring_hits(read.withColumn("text", F.col("raw")), "text", needles, "needle")
-    by_part = first(hits.join(needles, "needle"), F.col("rule"))
+    by_part = _met(hits, needles).where(~ties[0] & ~ties[1]).select("failure_id", "log_id", "rule")
     found = by_id.unionByName(by_time).unionByName(by_part)
     twice = lambda d, c: not d.groupBy(c).agg(F.count("*").alias("n")).where("n > 1").isEmpty()
     if twice(asked, "failure_id") or twice(read, "log_id"):
